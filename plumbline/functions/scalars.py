@@ -20,7 +20,7 @@ def ratio(num: ColumnLike, den: ColumnLike, empty: float | None = 0.0) -> Column
     return value if empty is None else F.coalesce(value, F.lit(float(empty)))
 
 
-def rounded(c: ColumnLike, digits: int = 6) -> Column:
+def rounded(c: ColumnLike, digits: int = 9) -> Column:
     """Half-up rounding for report columns; adding 0.0 turns a negative zero into zero."""
     return F.round(col(c).cast("double"), digits) + F.lit(0.0)
 

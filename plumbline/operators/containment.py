@@ -19,9 +19,15 @@ def _words(text: str | Column) -> Column:
 
 
 def _runs(words: Column, width: int) -> Column:
-    """Hashes of all runs of ``width`` words."""
-    last = F.size(words) - F.lit(width)
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(words, i, width))))
+    """Hashes of all runs of ``width`` words.
+
+    The word array is bound as the variable of an outer one-element transform: named inside the inner one
+    directly, it would be split from the text again for every run.
+    """
+    def of(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - F.lit(width - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, width)))
+    return F.element_at(F.transform(F.array(words), of), 1)
 
 
 def anchors(passages: DataFrame, item: str, text: str, width: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.fingerprint import neighbour_fingerprint, sha256_hex
 from plumbline.functions.scalars import uniform_hash
 from plumbline.operators.fusion import VIEWS
-from plumbline.sources.scans import table
+from plumbline.sources.scans import spread, table
 
 MODELS = ("A", "B", "C", "D")
 MODEL_WEIGHT = {"A": 0.35, "B": 0.10, "C": 0.30, "D": 0.33}
@@ -34,7 +34,7 @@ def literal_rows(**columns: list) -> Column:
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events").select("event_id", "event_type", "user_id"), "event_id")
     return e.select(
         F.col("event_id").alias("sample_id"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("y"),
         F.col("event_type").alias("generator"), F.col("user_id").alias("grp"),
@@ -77,8 +77,8 @@ def branches(spark: SparkSession, d: str) -> DataFrame:
         F.when(gen, "AI_GENERATED").when(man, "AI_MANIPULATED").otherwise("REAL_ORIGINAL").alias("truth"),
         lift(gen, "gen").alias("p_generated"), lift(man, "man").alias("p_manipulated"),
         lift(gen, "spatial").alias("p_spatial"), lift(gen, "frequency").alias("p_frequency"), lift(gen, "hybrid").alias("p_hybrid"),
-        F.round(u("paper", "sample_id"), 3).alias("paper_fraction"), F.floor(u("glyphs", "sample_id") * 300).cast("double").alias("text_glyphs"),
-        F.round(u("lines", "sample_id") * 0.2, 4).alias("line_energy"), F.round(u("mono", "sample_id"), 3).alias("mono_fraction"))
+        u("paper", "sample_id").alias("paper_fraction"), F.floor(u("glyphs", "sample_id") * 300).cast("double").alias("text_glyphs"),
+        (u("lines", "sample_id") * 0.2).alias("line_energy"), u("mono", "sample_id").alias("mono_fraction"))
     return b.withColumn("p_real", F.round(F.lit(1.0) - F.col("p_generated"), 3)).withColumn("p_original", F.round(F.lit(1.0) - F.col("p_manipulated"), 3))
 
 
@@ -107,7 +107,7 @@ def uq(text: str) -> str:
     return f"(cast('0x'||substr(md5({text}),1,8) as bigint)/4294967296e0)"
 
 
-def r6(x: str, digits: int = 6) -> str:
+def rnd(x: str, digits: int = 9) -> str:
     return f"(round({x},{digits})+0e0)"
 
 
@@ -139,8 +139,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                  f" case when {_GEN} then 'AI_GENERATED' when {_MAN} then 'AI_MANIPULATED' else 'REAL_ORIGINAL' end as truth,"
                  f" {_lift(_GEN, 'gen')} as p_generated, {_lift(_MAN, 'man')} as p_manipulated, {_lift(_GEN, 'spatial')} as p_spatial,"
                  f" {_lift(_GEN, 'frequency')} as p_frequency, {_lift(_GEN, 'hybrid')} as p_hybrid,"
-                 f" round({uq(repr('paper:') + '||event_id')},3) as paper_fraction, cast(floor({uq(repr('glyphs:') + '||event_id')}*300) as double) as text_glyphs,"
-                 f" round({uq(repr('lines:') + '||event_id')}*0.2e0,4) as line_energy, round({uq(repr('mono:') + '||event_id')},3) as mono_fraction from events)"),
+                 f" {uq(repr('paper:') + '||event_id')} as paper_fraction, cast(floor({uq(repr('glyphs:') + '||event_id')}*300) as double) as text_glyphs,"
+                 f" {uq(repr('lines:') + '||event_id')}*0.2e0 as line_energy, {uq(repr('mono:') + '||event_id')} as mono_fraction from events)"),
     "docs": ((), "select doc_id, lang, source, n_chars, sha256(text) as sha from documents"),
     "fp": ((), "select vec_id, label, (" + " + ".join(
         f"(case when {_BITS}[{i + 1}]>{_BITS}[{i + 2}] then {1 << (62 - i)} else 0 end)::bigint" for i in range(63)) + ") as fp from embeddings"),
@@ -171,7 +171,7 @@ SQL_COUNTS = ("cast(count(*) filter (where y=1 and pred=1) as bigint) as tp, cas
 
 
 def sql_rates(*names: str) -> str:
-    """Rates from columns tp, tn, fp, fn, rounded to six places."""
+    """Rates from columns tp, tn, fp, fn, rounded for the report."""
     z = lambda a, b: f"coalesce(({a})::double/nullif({b},0),0)"
     precision, recall, spec, npv = z("tp", "tp+fp"), z("tp", "tp+fn"), z("tn", "tn+fp"), z("tn", "tn+fn")
     accuracy = z("tp+tn", "tp+tn+fp+fn")
@@ -184,7 +184,7 @@ def sql_rates(*names: str) -> str:
         "negative_precision": npv, "negative_f1": nf1, "macro_precision": f"({precision}+{npv})/2",
         "macro_recall": f"({recall}+{spec})/2", "macro_f1": f"({f1}+{nf1})/2",
     }
-    return ", ".join(f"{r6(forms[n])} as {n}" for n in names)
+    return ", ".join(f"{rnd(forms[n])} as {n}" for n in names)
 
 
 def sql_points(source: str, keys: str) -> dict[str, str]:

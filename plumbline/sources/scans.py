@@ -28,6 +28,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan that has fewer partitions than the cluster has cores (one small file, say), so
+    the expressions above it run in parallel. A scan with enough partitions is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def shards(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Parquet shards with the file name and row number of every row (``shard``, ``row_in_shard``)."""
     paths = [path] if isinstance(path, str) else list(path)
