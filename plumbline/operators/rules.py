@@ -1,4 +1,4 @@
-"""Decision rules as ordered rule lists compiled to one column expression.
+"""Decision rules as ordered rule lists compiled to column expressions.
 
 A rule list reads top to bottom: the first rule whose condition holds gives (label, confidence, case).
 Everything is stateless, so the same columns work on batch and streaming frames.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clip, col, half_even, ramp, softmax
@@ -206,10 +206,14 @@ def manipulation_priority(s: Scores, th_gen: float | Column = 0.55, th_manip: fl
     ], tag + "FALLBACK")
 
 
-def margin_rule(s: Scores, th_gen: float | Column = 0.55, th_manip: float | Column = 0.55, margin: float = 0.10) -> Column:
-    """Strategy D: where both detectors fire, the clearly stronger one wins and a near tie abstains."""
+def margin_rule(s: Scores, th_gen: float | Column = 0.55, th_manip: float | Column = 0.55, margin: float = 0.10,
+                lead: Column | None = None) -> Column:
+    """Strategy D: where both detectors fire, the clearly stronger one wins and a near tie abstains.
+
+    ``lead`` (manipulated minus generated) is given only where the scores are replaced by their ranks.
+    """
     q = _quadrants(s, th_gen, th_manip)
-    lead = s.manipulated - s.generated
+    lead = s.manipulated - s.generated if lead is None else lead
     return first_match([
         Rule(q["low"], UNCERTAIN, s.weakest, "MARGIN_LOW_CONF"),
         Rule(q["clean"], REAL, F.least(s.real, s.original), "MARGIN_REAL_ORIGINAL"),
@@ -239,27 +243,37 @@ class FusionModel:
             raise ValueError("one weight pair and one bias per label are needed")
 
 
-def fusion_probabilities(generated: Column, manipulated: Column, model: FusionModel = FusionModel()) -> list[Column]:
-    logits = [generated * F.lit(float(w[0])) + manipulated * F.lit(float(w[1])) + F.lit(float(b))
-              for w, b in zip(model.weights, model.biases, strict=True)]
-    return softmax(*logits)
-
-
-def top_label(probabilities: Sequence[Column], labels: Sequence[str]) -> tuple[Column, Column]:
-    """(label, probability) of the largest; the first wins a tie."""
-    best = F.greatest(*probabilities)
-    chain = F.when(probabilities[0] == best, labels[0])
-    for p, name in zip(probabilities[1:], labels[1:], strict=True):
-        chain = chain.when(p == best, name)
-    return chain, best
-
+def with_fusion(df: DataFrame, generated: str | Column = "p_generated", manipulated: str | Column = "p_manipulated",
+                model: FusionModel = FusionModel(), prefix: str = "fused") -> DataFrame:
+    """Add <prefix>_p0.. (one probability per label), <prefix>_label and <prefix>_confidence; the first label wins a tie.
 
-def fusion_rule(s: Scores, model: FusionModel = FusionModel()) -> Column:
-    label, best = top_label(fusion_probabilities(s.generated, s.manipulated, model), model.labels)
-    return first_match([
+    Built in steps, each a projection: as one expression the logits would be repeated in every branch above them.
+    """
+    n = range(len(model.labels))
+    z, e, p = ([f"_{prefix}_{c}{i}" for i in n] for c in "zep")
+    p = [f"{prefix}_p{i}" for i in n]
+    g, m = col(generated), col(manipulated)
+    out = df.withColumns({z[i]: g * F.lit(float(model.weights[i][0])) + m * F.lit(float(model.weights[i][1])) + F.lit(float(model.biases[i])) for i in n})
+    out = out.withColumn(f"_{prefix}_top", F.greatest(*z))
+    out = out.withColumns({e[i]: F.exp(F.col(z[i]) - F.col(f"_{prefix}_top")) for i in n})
+    out = out.withColumn(f"_{prefix}_sum", sum([F.col(x) for x in e[1:]], F.col(e[0])))
+    out = out.withColumns({p[i]: F.col(e[i]) / F.col(f"_{prefix}_sum") for i in n})
+    out = out.withColumn(f"{prefix}_confidence", F.greatest(*p))
+    label = F.when(F.col(p[0]) == F.col(f"{prefix}_confidence"), model.labels[0])
+    for i in n[1:]:
+        label = label.when(F.col(p[i]) == F.col(f"{prefix}_confidence"), model.labels[i])
+    return out.withColumn(f"{prefix}_label", label).drop(*z, *e, f"_{prefix}_top", f"_{prefix}_sum")
+
+
+def fusion_decision(df: DataFrame, s: Scores, model: FusionModel = FusionModel(), out: str = "decision") -> DataFrame:
+    """Strategy E: the label the fusion model finds most probable, an abstention below its floor."""
+    f = with_fusion(df, s.generated, s.manipulated, model, "_f")
+    best, label = F.col("_f_confidence"), F.col("_f_label")
+    rule = first_match([
         Rule(best < model.floor, UNCERTAIN, best, "LOGISTIC_LOW_PROB"),
         Rule(F.lit(True), label, best, F.concat(F.lit("LOGISTIC_"), label)),
     ], "LOGISTIC_LOW_PROB")
+    return f.withColumn(out, rule).drop(*[c for c in f.columns if c.startswith("_f_")])
 
 
 # --------------------------------------------------------------------------- reliability-aware engine
@@ -297,17 +311,18 @@ def disagreement(e: Evidence) -> dict[str, Column]:
     }
 
 
-def reliability_engine(s: Scores, e: Evidence | None = None, model: FusionModel = FusionModel()) -> Column:
-    """Struct (label, confidence, decision_case, decision_source, consensus_state).
+def reliability_decision(df: DataFrame, s: Scores, e: Evidence | None = None, model: FusionModel = FusionModel(), out: str = "decision") -> DataFrame:
+    """Add a struct (label, confidence, decision_case, decision_source, consensus_state).
 
     Order with evidence: high domain risk abstains; at low risk strong consensus decides and strong
     disagreement abstains; at medium risk anything short of decisive abstains; then the fusion model.
     """
     r = s.rounded()
-    has = F.lit(False) if e is None else e.available
-    generated = r.generated if e is None else F.when(has, e.frequency).otherwise(r.generated)
-    original, manipulated = r.original, r.manipulated
-    label, best = top_label(fusion_probabilities(generated, manipulated, model), model.labels)
+    generated = r.generated if e is None else F.when(e.available, e.frequency).otherwise(r.generated)
+    staged = df.withColumns({"_g": generated, "_m": r.manipulated, "_o": r.original,
+                             "_bad": F.coalesce(pair_problem(s.real, s.generated), pair_problem(s.original, s.manipulated)).isNotNull()})
+    f = with_fusion(staged, "_g", "_m", model, "_f")
+    label, best, original = F.col("_f_label"), F.col("_f_confidence"), F.col("_o")
 
     def outcome(lab, conf, source: Column | str, state: str) -> Column:
         lab = _text(lab)
@@ -317,14 +332,15 @@ def reliability_engine(s: Scores, e: Evidence | None = None, model: FusionModel
 
     steps: list[tuple[Column, Column]] = []
     if e is not None:
-        spread = F.greatest(e.spatial, e.frequency, e.hybrid) - F.least(e.spatial, e.frequency, e.hybrid)
-        low, medium = has & (e.domain_risk == "LOW"), has & (e.domain_risk == "MEDIUM")
+        f = f.withColumn("_spread", F.greatest(e.spatial, e.frequency, e.hybrid) - F.least(e.spatial, e.frequency, e.hybrid))
+        spread = F.col("_spread")
+        low, medium = e.available & (e.domain_risk == "LOW"), e.available & (e.domain_risk == "MEDIUM")
         strong_ai = (e.spatial >= STRONG_AI_SPATIAL) & (e.frequency >= STRONG_AI_FREQUENCY)
         strong_real = ((e.spatial < STRONG_REAL_SPATIAL) & (e.frequency < STRONG_REAL_FREQUENCY)
                        & (e.hybrid < STRONG_REAL_HYBRID) & (original >= STRONG_REAL_ORIGINAL))
         agreed = label == GENERATED
         steps += [
-            (has & (e.domain_risk == "HIGH"), outcome(UNCERTAIN, e.domain_score, "domain_risk_abstention", "OUT_OF_DOMAIN")),
+            (e.available & (e.domain_risk == "HIGH"), outcome(UNCERTAIN, e.domain_score, "domain_risk_abstention", "OUT_OF_DOMAIN")),
             (low & strong_ai, outcome(
                 GENERATED, F.when(agreed, best).otherwise(F.greatest(e.spatial, e.frequency)),
                 F.when(agreed, "strategy_e_calibration").otherwise("generation_consensus_override"), "STRONG_AI")),
@@ -334,46 +350,51 @@ def reliability_engine(s: Scores, e: Evidence | None = None, model: FusionModel
              outcome(UNCERTAIN, best, "moderate_disagreement_abstention", "CONFLICT")),
         ]
     steps.append((best < model.floor, outcome(UNCERTAIN, best, "strategy_e_calibration", "CONFLICT")))
-    bad = F.coalesce(pair_problem(s.real, s.generated), pair_problem(s.original, s.manipulated)).isNotNull()
-    invalid = F.struct(F.lit(UNCERTAIN).alias("label"), F.lit(0.0).alias("confidence"), F.lit("CASE_4_INVALID").alias("decision_case"),
-                       F.lit("validation").alias("decision_source"), F.lit("INVALID").alias("consensus_state"))
-    chain = F.when(bad, invalid)
-    for when, out in steps:
-        chain = chain.when(when, out)
-    return chain.otherwise(outcome(label, best, "strategy_e_calibration", "CONFLICT"))
+    chain = F.when(F.col("_bad"), F.struct(
+        F.lit(UNCERTAIN).alias("label"), F.lit(0.0).alias("confidence"), F.lit("CASE_4_INVALID").alias("decision_case"),
+        F.lit("validation").alias("decision_source"), F.lit("INVALID").alias("consensus_state")))
+    for when, result in steps:
+        chain = chain.when(when, result)
+    decided = f.withColumn(out, chain.otherwise(outcome(label, best, "strategy_e_calibration", "CONFLICT")))
+    return decided.drop("_g", "_m", "_o", "_bad", "_spread", *[c for c in f.columns if c.startswith("_f_")])
+
+
+def baseline_decision(df: DataFrame, s: Scores, out: str = "decision", **thresholds) -> DataFrame:
+    return df.withColumn(out, baseline_engine(s, **thresholds))
 
 
 # Accepted strategy names.
-ENGINES: dict[str, Callable[..., Column]] = {
-    "baseline": baseline_engine, "v1_baseline": baseline_engine, "phase10_baseline": baseline_engine,
-    "calibrated": reliability_engine, "v2_calibrated": reliability_engine, "strategy_e": reliability_engine,
+ENGINES: dict[str, Callable[..., DataFrame]] = {
+    "baseline": baseline_decision, "v1_baseline": baseline_decision, "phase10_baseline": baseline_decision,
+    "calibrated": reliability_decision, "v2_calibrated": reliability_decision, "strategy_e": reliability_decision,
 }
 
 
-def decide(strategy: str, scores: Scores, *args, **kwargs) -> Column:
-    """Decision struct of the engine chosen by name (case and outer blanks ignored)."""
+def decide(df: DataFrame, strategy: str, scores: Scores, *args, **kwargs) -> DataFrame:
+    """Add the decision struct of the engine chosen by name (case and outer blanks ignored)."""
     name = strategy.strip().lower()
     if name not in ENGINES:
         raise ValueError(f"Unknown decision strategy: {strategy!r}; one of {sorted(ENGINES)}")
-    return ENGINES[name](scores, *args, **kwargs)
+    return ENGINES[name](df, scores, *args, **kwargs)
 
 
 # --------------------------------------------------------------------------- domain risk, cross-check
 
-def domain_risk(paper="paper_fraction", glyphs="text_glyphs", lines="line_energy", mono="mono_fraction") -> dict[str, Column]:
-    """Risk score, level and type of an image domain from its four measured signals."""
-    s_paper, s_glyphs = ramp(paper, 0.35, 0.25), ramp(glyphs, 50.0, 150.0)
-    s_lines, s_mono = ramp(lines, 0.0, 0.12), ramp(mono, 0.45, 0.40)
-    on_canvas = s_paper * s_glyphs
-    base = on_canvas * 0.40 + s_paper * s_mono * 0.25 + s_lines * 0.25 + s_mono * 0.10
-    boost = F.when((on_canvas > 0.40) & (s_lines > 0.40), 1.30).when((s_lines > 0.70) & (s_mono > 0.70), 1.25).otherwise(1.0)
-    score = half_even(clip(base * boost, 0.0, 1.0), 4)
+def with_domain_risk(df: DataFrame, paper="paper_fraction", glyphs="text_glyphs", lines="line_energy", mono="mono_fraction") -> DataFrame:
+    """Add risk score, level and type of an image domain from its four measured signals."""
+    d = df.withColumns({"_paper": ramp(paper, 0.35, 0.25), "_glyphs": ramp(glyphs, 50.0, 150.0), "_lines": ramp(lines, 0.0, 0.12), "_mono": ramp(mono, 0.45, 0.40)})
+    d = d.withColumn("_canvas", F.col("_paper") * F.col("_glyphs"))
+    canvas, s_paper, s_lines, s_mono = (F.col(c) for c in ("_canvas", "_paper", "_lines", "_mono"))
+    base = canvas * 0.40 + s_paper * s_mono * 0.25 + s_lines * 0.25 + s_mono * 0.10
+    boost = F.when((canvas > 0.40) & (s_lines > 0.40), 1.30).when((s_lines > 0.70) & (s_mono > 0.70), 1.25).otherwise(1.0)
+    d = d.withColumn("domain_risk_score", half_even(clip(base * boost, 0.0, 1.0), 4))
+    score = F.col("domain_risk_score")
     level = F.when(score >= DOMAIN_HIGH, "HIGH").when(score >= DOMAIN_MEDIUM, "MEDIUM").otherwise("LOW")
     kind = (F.when((score >= DOMAIN_HIGH) & (s_lines > 0.60) & (col(mono) < 0.60), "SCREENSHOT_LIKE")
              .when(score >= DOMAIN_HIGH, "DOCUMENT_LIKE")
-             .when((score >= DOMAIN_MEDIUM) & ((on_canvas > 0.25) | (s_paper > 0.35)), "DOCUMENT_LIKE")
+             .when((score >= DOMAIN_MEDIUM) & ((canvas > 0.25) | (s_paper > 0.35)), "DOCUMENT_LIKE")
              .when(score >= DOMAIN_MEDIUM, "UNKNOWN").otherwise("NATURAL_PHOTO"))
-    return {"domain_risk_score": score, "domain_risk": level, "domain_type": kind}
+    return d.withColumns({"domain_risk": level, "domain_type": kind}).drop("_paper", "_glyphs", "_lines", "_mono", "_canvas")
 
 
 def primary_pick(primary_p: str | Column, fallback_p: str | Column) -> dict[str, Column]:

@@ -6,7 +6,7 @@ import importlib
 
 from plumbline.plans.registry import CATALOG, Query
 
-MODULES = ("integrity","sampling","metrics","studies","decisions")
+MODULES = ("integrity", "sampling", "metrics", "studies", "decisions", "statistics")
 
 
 def load() -> dict[str, Query]:

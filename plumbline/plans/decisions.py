@@ -8,7 +8,7 @@ from plumbline.functions.scalars import logit, rounded
 from plumbline.operators import calibration as cal, metrics as mt, rules
 from plumbline.operators.curves import curve_metrics, curve_points, score_histogram
 from plumbline.plans import views as V
-from plumbline.plans.integrity import DOMAIN_SQL, with_domain
+from plumbline.plans.integrity import DOMAIN_SQL
 from plumbline.plans.metrics import bins_sql, reported
 from plumbline.plans.registry import query
 from plumbline.plans.sampling import _ranked, calibration_half
@@ -106,11 +106,8 @@ def fusion_sql(source, g="p_generated", m="p_manipulated"):
 @query("G9", W("branches", **fusion_sql("branches")) + f"""select sample_id, {rnd('q0')} as q_real, {rnd('q1')} as q_generated, {rnd('q2')} as q_manipulated,
  case when best<0.5 then {_U} else top end as label from q""")
 def strategy_e_fusion(spark, d):
-    b = V.branches(spark, d)
-    q = rules.fusion_probabilities(F.col("p_generated"), F.col("p_manipulated"))
-    out = decided(b.select("sample_id", "p_real", "p_generated", "p_original", "p_manipulated", *[c.alias(n) for c, n in zip(q, ("q_real", "q_generated", "q_manipulated"), strict=True)]),
-                  "_d", rules.fusion_rule(rules.Scores.of()))
-    return out.select("sample_id", *[rounded(c).alias(c) for c in ("q_real", "q_generated", "q_manipulated")], "label")
+    out = rules.fusion_decision(rules.with_fusion(V.branches(spark, d), prefix="q"), rules.Scores.of())
+    return out.select("sample_id", rounded("q_p0").alias("q_real"), rounded("q_p1").alias("q_generated"), rounded("q_p2").alias("q_manipulated"), "decision.label")
 
 
 @query("G10")
@@ -137,8 +134,8 @@ _ENGINE = {
 
 
 def engine_rows(spark, d):
-    b = with_domain(V.branches(spark, d))
-    return decided(b, "_d", rules.reliability_engine(rules.Scores.of(), rules.Evidence.of()))
+    b = rules.with_domain_risk(V.branches(spark, d))
+    return rules.reliability_decision(b, rules.Scores.of(), rules.Evidence.of()).select("sample_id", "truth", "decision.*")
 
 
 @query("G11", W("branches", **DOMAIN_SQL, **fusion_sql("domains", "p_frequency"), **_ENGINE) + "select sample_id, label, confidence, decision_source, consensus_state from v")
@@ -149,7 +146,7 @@ def reliability_aware_decisions(spark, d):
 @query("G11, K4", W("branches", **fusion_sql("branches")) + f"select sample_id, case when best<0.5 then {_U} else top end as label, 'V2_CALIBRATED_'||case when best<0.5 then {_U} else top end as decision_case from q")
 def calibrated_without_evidence(spark, d):
     """The calibrated engine chosen by name; without auxiliary streams the fusion model alone decides."""
-    return decided(V.branches(spark, d), "_d", rules.decide(" Strategy_E ", rules.Scores.of())).select("sample_id", "label", "decision_case")
+    return rules.decide(V.branches(spark, d), " Strategy_E ", rules.Scores.of()).select("sample_id", "decision.label", "decision.decision_case")
 
 
 @query("B13, G5", W("branches", c=f"""select *, case cast(floor({uq("'bad:'||sample_id")}*10) as integer) when 0 then null when 1 then 'nan'::double when 2 then 1.5e0 when 3 then p_real+0.1e0 when 4 then 'inf'::double else p_real end as a from branches""",
@@ -165,7 +162,7 @@ def invalid_inputs_abstain(spark, d):
 @query("G12", W("branches", **DOMAIN_SQL, s="select *, greatest(p_spatial,p_frequency,p_hybrid)-least(p_spatial,p_frequency,p_hybrid) as spread from domains") + f"""select sample_id, {rnd('spread')} as generation_disagreement, {rnd('abs(p_spatial-p_frequency)')} as spatial_frequency_disagreement,
  {rnd('greatest(abs(p_hybrid-p_spatial),abs(p_hybrid-p_frequency))')} as hybrid_disagreement, case when domain_risk='HIGH' or spread>=0.45e0 then 'LOW' when domain_risk='MEDIUM' or spread>=0.3e0 then 'MODERATE' else 'RELIABLE' end as reliability_state from s""")
 def disagreement_metrics(spark, d):
-    b = with_domain(V.branches(spark, d))
+    b = rules.with_domain_risk(V.branches(spark, d))
     m = rules.disagreement(rules.Evidence.of())
     return reported(b.select("sample_id", *[c.alias(n) for n, c in m.items()]))
 
@@ -177,8 +174,7 @@ def primary_cross_check(spark, d):
     """Primary verdict (missing for a fifth of the rows, then the fallback's) checked against the fused label."""
     b = V.branches(spark, d).withColumn("primary", F.when(V.u("primary", "sample_id") < 0.8, F.col("p_frequency")))
     pick = rules.primary_pick("primary", "p_hybrid")
-    fused = rules.fusion_rule(rules.Scores.of())["label"]
-    out = b.select(pick["primary_source"].alias("primary_source"), pick["primary_verdict"].alias("primary_verdict"), fused.alias("fused"))
+    out = rules.fusion_decision(b, rules.Scores.of()).select(pick["primary_source"].alias("primary_source"), pick["primary_verdict"].alias("primary_verdict"), F.col("decision.label").alias("fused"))
     return out.groupBy("primary_source", "primary_verdict", rules.cross_check(F.col("primary_verdict"), F.col("fused")).alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -257,11 +253,10 @@ def threshold_grid(spark, d):
     s = rules.Scores.of()
     grid = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("kg"), F.lit(j + 1).alias("km"), F.lit(a).alias("th_gen"), F.lit(b).alias("th_manip")) for i, a in enumerate(GRID) for j, b in enumerate(GRID)]))
     g = cells.withColumn("g", grid).select("*", "g.*").drop("g")
-    q = rules._quadrants(s, F.col("kg"), F.col("km"))
-    both = F.when(F.col("lead") > 0, rules.MANIPULATED).when(F.col("lead") < 0, rules.GENERATED).otherwise(rules.UNCERTAIN)
-    base = F.when(q["low"], rules.UNCERTAIN).when(q["clean"], rules.REAL).when(q["edited"], rules.MANIPULATED).when(q["synthetic"], rules.GENERATED)
-    verdicts = F.explode(F.array(F.struct(F.lit("C").alias("strategy"), base.when(q["both"], rules.MANIPULATED).otherwise(rules.UNCERTAIN).alias("verdict")),
-                                 F.struct(F.lit("D").alias("strategy"), base.when(q["both"], both).otherwise(rules.UNCERTAIN).alias("verdict"))))
+    k = (F.col("kg"), F.col("km"))
+    verdicts = F.explode(F.array(
+        F.struct(F.lit("C").alias("strategy"), rules.manipulation_priority(s, *k)["label"].alias("verdict")),
+        F.struct(F.lit("D").alias("strategy"), rules.margin_rule(s, *k, margin=0.5, lead=F.col("lead"))["label"].alias("verdict"))))
     long = g.select("truth", "n", "th_gen", "th_manip", verdicts.alias("v")).select("truth", "n", "th_gen", "th_manip", "v.strategy", "v.verdict")
     keys = ["strategy", "th_gen", "th_manip"]
     r = mt.verdict_rates(mt.verdict_table(long.groupBy(*keys, "truth", "verdict").agg(F.sum("n").alias("n")), keys, "truth", "verdict", "n"))
@@ -323,7 +318,7 @@ _HALVES = {"dd": "select sample_id, y, score from pred where model='D'", "r": _r
 def _narrow(level, previous, width, name):
     """One level of a grid search on 1/T: 201 points around the best of the level before."""
     centre = f"(select b from {previous})"
-    return {f"{name}g": f"select {centre} + (range-100)*{width}e0/100 as b from range(201)",
+    return {f"{name}g": f"select {centre} + (range-100)*{width:.8f}::double/100 as b from range(201)",
             name: f"select b from (select b, sum(w*(ln(1e0+exp(-abs(b*s)))+greatest(b*s,0e0)-y*b*s)) as loss from f, {name}g where b between 0.1e0 and 100e0 group by b) order by loss limit 1"}
 
 

@@ -244,16 +244,9 @@ DOMAIN_SQL = {
 }
 
 
-def with_domain(df):
-    out = df
-    for name, c in rules.domain_risk().items():
-        out = out.withColumn(name, c)
-    return out
-
-
 @query("B16", W("branches", **DOMAIN_SQL) + f"select sample_id, {rnd('domain_risk_score')} as domain_risk_score, domain_risk, domain_type from domains")
 def domain_risk_scores(spark, d):
-    return with_domain(V.branches(spark, d)).select("sample_id", rounded("domain_risk_score").alias("domain_risk_score"), "domain_risk", "domain_type")
+    return rules.with_domain_risk(V.branches(spark, d)).select("sample_id", rounded("domain_risk_score").alias("domain_risk_score"), "domain_risk", "domain_type")
 
 
 @query("B17", "select doc_id, source, lang from documents where contains(lower(cast(doc_id as varchar)),'12') or contains(lower(source),'12') or contains(lower(text),'the whole')")
