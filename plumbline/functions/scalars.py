@@ -25,6 +25,12 @@ def rounded(c: ColumnLike, digits: int = 9) -> Column:
     return F.round(col(c).cast("double"), digits) + F.lit(0.0)
 
 
+def snapped(c: ColumnLike, digits: int) -> Column:
+    """Nearest multiple of 10^-digits in plain double arithmetic. For rows: F.round goes through a decimal object."""
+    scale = F.lit(10.0 ** digits)
+    return F.floor(col(c) * scale + F.lit(0.5)) / scale
+
+
 def half_even(c: ColumnLike, digits: int) -> Column:
     return F.bround(col(c).cast("double"), digits) + F.lit(0.0)
 

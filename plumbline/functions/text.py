@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,11 +50,12 @@ def alternation(keywords: Sequence[str]) -> str:
 
 def first_keyword_label(text: ColumnLike, rules: Sequence[tuple[str, Sequence[str]]] = EDIT_RULES_V2,
                         fallback: str = EDIT_FALLBACK) -> Column:
-    """Label of the first rule with a keyword in the text; one regular expression scan per rule."""
+    """Label of the first rule with a keyword in the text. Keywords are plain substrings, so each is a byte
+    search that stops at its first hit, and the rest of the chain is skipped."""
     lowered = F.lower(col(text))
     chain = None
     for label, keywords in rules:
-        hit = lowered.rlike(alternation(keywords))
+        hit = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(k)) for k in keywords])
         chain = F.when(hit, label) if chain is None else chain.when(hit, label)
     return F.lit(fallback) if chain is None else chain.otherwise(F.lit(fallback))
 

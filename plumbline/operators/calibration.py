@@ -129,7 +129,7 @@ def fit_platt(df: DataFrame, s: str = "s", y: str = "y", l2: float = 1e-5, a_ran
     return Calibration("platt", A=a, B=b)
 
 
-def fit_fusion(df: DataFrame, label: str, features: tuple[str, str] = ("p_generated", "p_manipulated"), labels=None, iterations: int = 200):
+def fit_fusion(df: DataFrame, label: str, features: tuple[str, str] = ("p_generated", "p_manipulated"), labels=None, iterations: int = 100):
     """Class-weighted multinomial regression on the two scores, fitted by Spark ML; returns a FusionModel.
 
     Softmax weights are known only up to a common shift; they are centred so that each column sums to zero.
@@ -146,7 +146,7 @@ def fit_fusion(df: DataFrame, label: str, features: tuple[str, str] = ("p_genera
     data = df.join(F.broadcast(weights.limit(len(labels))), label).select(index.cast("double").alias("_y"), "weight", *features)
     vectors = VectorAssembler(inputCols=list(features), outputCol="_x").transform(data)
     lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial",
-                            standardization=False, regParam=0.0, maxIter=iterations, tol=1e-10)
+                            standardization=False, regParam=0.0, maxIter=iterations, tol=1e-7)
     model = lr.fit(vectors)
     w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     w, b = w - w.mean(axis=0), b - b.mean()

@@ -69,12 +69,18 @@ def _refine(keyed: DataFrame, hot: DataFrame, distance: int, blocks: int, sub_bl
     return marked.select(*keyed.columns, F.explode(entries).alias("_s")).select(*keyed.columns, "_s.sub", "_s.sub_key")
 
 
-def candidate_keys(left: DataFrame, right: DataFrame, distance: int, blocks: int, hot_key: int) -> tuple[DataFrame, DataFrame]:
+def candidate_keys(left: DataFrame, right: DataFrame, distance: int, blocks: int, hot_key: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Keyed fingerprints of both sides and the columns to join them on.
+
+    Whether any key gathers more than ``hot_key`` patterns is looked up first (a partial aggregate that ends with
+    one row on the driver); without one, the refinement and its shuffles are left out of the plan.
+    """
     kl, kr = _keyed(left, distance, blocks), _keyed(right, distance, blocks)
-    # Sizes per key are a partial aggregate; only keys over the limit are kept.
-    hot = (kr.groupBy("choice", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_key)
-             .select("choice", "key", F.lit(True).alias("is_hot")))
-    return (_refine(kl, hot, distance, blocks, distance + 2), _refine(kr, hot, distance, blocks, distance + 2))
+    hot = kr.groupBy("choice", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_key)
+    if hot.isEmpty():
+        return kl, kr, ["choice", "key"]
+    marked = hot.select("choice", "key", F.lit(True).alias("is_hot"))
+    return (_refine(kl, marked, distance, blocks, distance + 2), _refine(kr, marked, distance, blocks, distance + 2), ["choice", "key", "sub", "sub_key"])
 
 
 def within_distance(left: DataFrame, right: DataFrame, distance: int, blocks: int | None = None,
@@ -88,8 +94,7 @@ def within_distance(left: DataFrame, right: DataFrame, distance: int, blocks: in
     if distance > 7:
         raise ValueError("a distance above 7 of 64 bits cannot be searched by keys")
     n = blocks or distance + 2
-    kl, kr = candidate_keys(left.select("fp"), right.select("fp"), distance, n, hot_key)
-    on = ["choice", "key", "sub", "sub_key"]
+    kl, kr, on = candidate_keys(left.select("fp"), right.select("fp"), distance, n, hot_key)
     met = kl.withColumnRenamed("fp", "fp_left").join(kr.withColumnRenamed("fp", "fp_right"), on, "inner")
     d = hamming("fp_left", "fp_right")
     # A pair may agree on several choices; the distinct runs after the distance filter.

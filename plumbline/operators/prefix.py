@@ -3,7 +3,7 @@
 A plain window puts a whole group on one task. Here every group is cut into ordered buckets: the running
 total inside a bucket is a window over that bucket only, and the totals of the buckets before it (at most
 ``buckets`` rows per group) are added by an equi-join. The bucket depends on the row alone, so a lost
-executor can recompute any part and get the same answer. Group keys must not be NULL.
+executor can recompute any part and get the same answer.
 """
 
 from __future__ import annotations
@@ -50,7 +50,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], buc
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*[side(o) for o in order]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = b.select("*", *[F.sum(c).over(inside).alias(f"_l_{n}") for n, c in sums.items()])
-    on = [local[k] == offsets[f"_k_{k}"] for k in keys] + [local["_bucket"] == offsets["_k_bucket"]]
+    # Null-safe equality: a plain one adds IS NOT NULL filters that are pushed below the aggregation, where they
+    # evaluate the row expressions a second time and keep the two branches from sharing one shuffle.
+    on = [local[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys] + [local["_bucket"].eqNullSafe(offsets["_k_bucket"])]
     joined = local.join(offsets, on, "inner")
     return joined.select(
         *[F.col(c) for c in df.columns],
@@ -71,26 +73,36 @@ def seeded_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: str, rank
     return ranked.withColumnRenamed(f"{rank}_all", size).drop("_digest", "_one")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float],
-                    bucket: Column | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, one column per ``name: probability``.
+def describe(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], at_least: Mapping[str, float] | None = None,
+             bucket: Column | None = None) -> DataFrame:
+    """Per group: n, mean, std (population), lowest, highest, exact linear-interpolation quantiles (one column per
+    ``name: probability``) and percentages of values >= a level (``at_least``, ``name: level``).
 
-    Equal values are counted first, so what is ranked is the distinct values. NULLs are left out.
+    Equal values are counted first, in one pass over the rows; everything else works on the distinct values.
+    NULLs are left out.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ranked = running_totals(counted, keys, [value], bucket if bucket is not None else value_bucket(value), {"_upto": "_c"})
-    picks, finals = [], []
-    for name, q in probabilities.items():
+    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
+    ranked = running_totals(counted, keys, ["_v"], bucket if bucket is not None else value_bucket("_v"), {"_upto": "_c"})
+    v, c = F.col("_v"), F.col("_c")
+    aggs = [F.max("_upto_all").alias("n"), F.sum(v * c).alias("_s1"), F.sum(v * v * c).alias("_s2"), F.min(v).alias("lowest"), F.max(v).alias("highest")]
+    n, mean = F.col("n"), F.col("_s1") / F.col("n")
+    finals = [n, mean.alias("mean"), F.sqrt(F.greatest(F.col("_s2") / n - mean * mean, F.lit(0.0))).alias("std"), "lowest", "highest"]
+    first = F.col("_upto") - c
+    for name, q in quantiles.items():
         at = F.lit(float(q)) * (F.col("_upto_all") - 1)
         low, high = F.floor(at), F.ceil(at)
-        first = F.col("_upto") - F.col("_c")
-        holds = lambda i: (first <= i) & (i < F.col("_upto"))
-        picks += [
-            F.max(F.when(holds(low), F.col(value))).alias(f"_{name}_lo"),
-            F.max(F.when(holds(high), F.col(value))).alias(f"_{name}_hi"),
-            F.max(at - low).alias(f"_{name}_f"),
-        ]
-        lo, hi, f = (F.col(f"_{name}_{s}") for s in ("lo", "hi", "f"))
+        aggs += [F.max(F.when((first <= i) & (i < F.col("_upto")), v)).alias(f"_{name}_{side}") for side, i in (("lo", low), ("hi", high))]
+        aggs.append(F.max(at - low).alias(f"_{name}_f"))
+        lo, hi, f = (F.col(f"_{name}_{x}") for x in ("lo", "hi", "f"))
         finals.append((lo + (hi - lo) * f).alias(name))
-    return ranked.groupBy(*keys).agg(*picks).select(*keys, *finals)
+    for name, level in (at_least or {}).items():
+        aggs.append(F.sum(F.when(v >= F.lit(float(level)), c).otherwise(0)).alias(f"_{name}_n"))
+        finals.append((F.col(f"_{name}_n") / n * 100.0).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *finals)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float],
+                    bucket: Column | None = None) -> DataFrame:
+    """The quantile columns of ``describe`` alone."""
+    return describe(df, keys, value, probabilities, bucket=bucket).select(*keys, *probabilities)

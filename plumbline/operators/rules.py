@@ -66,14 +66,19 @@ def _number(v: Column | float) -> Column:
 
 
 def first_match(rules: Sequence[Rule], case_otherwise: str, digits: int = 4) -> Column:
-    """Struct (label, confidence, decision_case) of the first rule that holds, else an abstention at 0."""
-    def outcome(r: Rule) -> Column:
-        return F.struct(_text(r.label).alias("label"), half_even(_number(r.confidence), digits).alias("confidence"),
-                        _text(r.case).alias("decision_case"))
-    chain = F.when(rules[0].when, outcome(rules[0]))
-    for r in rules[1:]:
-        chain = chain.when(r.when, outcome(r))
-    return chain.otherwise(outcome(Rule(F.lit(True), UNCERTAIN, 0.0, case_otherwise)))
+    """Struct (label, confidence, decision_case) of the first rule that holds, else an abstention at 0.
+
+    One CASE per field: a query that reads only the label evaluates only the label's.
+    """
+    def field(value: Callable[[Rule], Column], otherwise: Column) -> Column:
+        chain = F.when(rules[0].when, value(rules[0]))
+        for r in rules[1:]:
+            chain = chain.when(r.when, value(r))
+        return chain.otherwise(otherwise)
+    return F.struct(
+        field(lambda r: _text(r.label), F.lit(UNCERTAIN)).alias("label"),
+        half_even(field(lambda r: _number(r.confidence), F.lit(0.0)), digits).alias("confidence"),
+        field(lambda r: _text(r.case), F.lit(case_otherwise)).alias("decision_case"))
 
 
 @dataclass(frozen=True)
@@ -129,11 +134,10 @@ def pair_problem(first: str | Column, second: str | Column, tolerance: float = 0
     return problem.when(F.abs(a + b - 1.0) > tolerance, F.lit("do not sum to 1"))
 
 
-def with_validation(decision: Column, s: Scores) -> Column:
-    """Invalid inputs keep their row and come out as an abstention."""
-    bad = F.coalesce(pair_problem(s.real, s.generated), pair_problem(s.original, s.manipulated))
-    invalid = F.struct(F.lit(UNCERTAIN).alias("label"), F.lit(0.0).alias("confidence"), F.lit("CASE_4_INVALID").alias("decision_case"))
-    return F.when(bad.isNotNull(), invalid).otherwise(decision)
+def invalid_input(s: Scores) -> Rule:
+    """Invalid inputs keep their row and come out as an abstention. Goes first in a rule list."""
+    bad = F.coalesce(pair_problem(s.real, s.generated), pair_problem(s.original, s.manipulated)).isNotNull()
+    return Rule(bad, UNCERTAIN, 0.0, "CASE_4_INVALID")
 
 
 # --------------------------------------------------------------------------- strategies A to D
@@ -161,7 +165,7 @@ def baseline_engine(s: Scores, min_confidence: float = MIN_CONFIDENCE, strong_or
     """
     r = s.rounded()
     low = [Rule(c < min_confidence, UNCERTAIN, c, "CASE_4_LOW_CONFIDENCE") for c in (r.generation_confidence, r.manipulation_confidence)]
-    return with_validation(_baseline(r, s, low, strong_original, margin), s)
+    return _baseline(r, s, [invalid_input(s), *low], strong_original, margin)
 
 
 def current_rule(s: Scores, min_confidence: float = MIN_CONFIDENCE, strong_original: float = STRONG_ORIGINAL,

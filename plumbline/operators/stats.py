@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.scalars import chi2_1df_p, ratio, two_sided_p
+from plumbline.functions.scalars import chi2_1df_p, ratio, snapped, two_sided_p
 from plumbline.operators.metrics import cell_counts, with_rates
 from plumbline.operators.prefix import running_totals, value_bucket
 
@@ -29,20 +29,20 @@ def poisson_weight(u: Column, steps: Sequence[float] = POISSON_STEPS) -> Column:
     return sum([(u >= F.lit(t)).cast("int") for t in steps[1:]], (u >= F.lit(steps[0])).cast("int"))
 
 
-def _draw32(digest: Column, part: int) -> Column:
-    return F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-
-
 def poisson_replicates(df: DataFrame, keep: Sequence[str], id_col: str, replicates: int, seed: str) -> DataFrame:
-    """Rows (replicate, weight, keep...) with weight > 0. One md5 serves four replicates."""
+    """Rows (replicate, weight, keep...) with weight > 0. One md5 serves four replicates; each step is its own
+    projection, so the digest and the number read from it are computed once."""
     blocks = -(-replicates // 4)
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    hashed = df.select(F.col(id_col).alias("_id"), *keep, block.alias("_block")).withColumn(
-        "_digest", F.md5(F.concat_ws(":", F.lit(seed), F.col("_block").cast("string"), F.col("_id").cast("string"))))
-    draws = F.explode(F.array(*[
-        F.struct((F.col("_block") * 4 + i).alias("replicate"), poisson_weight(_draw32(F.col("_digest"), i)).alias("weight")) for i in range(4)]))
-    return (hashed.select(*keep, draws.alias("_d")).select(F.col("_d.replicate").alias("replicate"), F.col("_d.weight").alias("weight"), *keep)
-                  .where((F.col("weight") > 0) & (F.col("replicate") < replicates)))
+    hashed = df.select(F.col(id_col).alias("_id"), *keep, block.alias("_block")).select(
+        *keep, "_block", F.md5(F.concat_ws(":", F.lit(seed), F.col("_block").cast("string"), F.col("_id").cast("string"))).alias("_digest"))
+    part = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_i")
+    drawn = hashed.select(*keep, "_block", "_digest", part)
+    piece = F.substr(F.col("_digest"), F.col("_i") * 8 + 1, F.lit(8))
+    u = drawn.select(*keep, (F.col("_block") * 4 + F.col("_i")).alias("replicate"), (F.conv(piece, 16, 10).cast("bigint") / F.lit(4294967296.0)).alias("_u"))
+    # Most draws are below the first step (weight 0); they are dropped before the other steps are compared.
+    kept = u.where((F.col("_u") >= F.lit(POISSON_STEPS[0])) & (F.col("replicate") < replicates))
+    return kept.select("replicate", poisson_weight(F.col("_u")).alias("weight"), *keep)
 
 
 def bootstrap_cells(wide: DataFrame, id_col: str, y: str, preds: Sequence[str], replicates: int, seed: str, mode: str = "poisson") -> DataFrame:
@@ -127,7 +127,7 @@ def signed_rank(df: DataFrame, keys: Sequence[str], delta: str, digits: int = 9)
     counted by size before ranking; only distinct sizes are ordered.
     """
     keys = list(keys)
-    d = F.round(F.col(delta), digits)
+    d = snapped(delta, digits)
     sizes = (df.select(*keys, d.alias("_d")).where((F.col("_d") != 0) & F.col("_d").isNotNull())
                .groupBy(*keys, F.abs("_d").alias("_size"))
                .agg(F.count("*").alias("_t"), F.count_if(F.col("_d") > 0).alias("_up")))

@@ -124,7 +124,8 @@ def edit_category(spark, d):
 
 @query("B4, J10", f"select {_sql_rules('text', tx.EDIT_RULES_V2)} as category, count(*) as n from documents group by 1")
 def edit_category_counts(spark, d):
-    return table(spark, d, "documents").groupBy(tx.first_keyword_label("text", tx.EDIT_RULES_V2).alias("category")).agg(F.count("*").alias("n"))
+    docs = scans.spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return docs.groupBy(tx.first_keyword_label("text", tx.EDIT_RULES_V2).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query("B5", "select event_id, cast(event_id as varchar) as source_id from events")
@@ -376,7 +377,8 @@ def leakage_audit_log(spark, d):
 
 @query("C8", "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
 def benchmark_containment(spark, d):
-    return containment.contained_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+    docs = scans.spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return containment.contained_passages(docs, "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
 
 SPLIT_SQL = """select *, case when rn <= floor(n*0.7e0) then 'train' when rn <= floor(n*0.7e0)+floor(n*0.15e0) then 'validation' else 'test' end as split from

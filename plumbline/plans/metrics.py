@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import confidence, ratio, rounded
+from plumbline.functions.scalars import confidence, ratio, rounded, snapped
 from plumbline.operators import curves, metrics as mt
-from plumbline.operators.prefix import exact_quantiles
+from plumbline.operators.prefix import describe
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.plans.views import SQL_COUNTS, rnd, sql_points, sql_rates, with_views
@@ -105,12 +105,13 @@ def tpr_at_fixed_fpr(spark, d):
 
 def _scores_sql(eps):
     q = f"least(greatest(score,{eps}),1e0-{eps})"
-    return f"{rnd(f'-avg(y*ln({q})+(1-y)*ln(1e0-{q}))')} as nll, {rnd('avg((score-y)*(score-y))')} as brier"
+    return f"{rnd(f'-avg(y*ln({q})+(1-y)*ln(1e0-{q}))')} as nll, {rnd('avg((score-y)*(score-y))', 10)} as brier"
 
 
 @query("H10", W("pred") + f"select model, {_scores_sql('1e-12')} from pred group by 1")
 def nll_and_brier(spark, d):
-    return reported(mt.proper_scores(V.pred(spark, d), ["model"]))
+    m = mt.proper_scores(V.pred(spark, d), ["model"])
+    return m.select("model", rounded("nll").alias("nll"), rounded("brier", 10).alias("brier"))
 
 
 def bins_sql(source, keys, on="score"):
@@ -155,17 +156,7 @@ def risk_coverage_table(spark, d):
 @query("H14", W("pred") + f"""select model, y, count(*) as n, {rnd('avg(score)')} as mean, {rnd('median(score)')} as median, {rnd('stddev_pop(score)')} as std, min(score) as lowest, max(score) as highest,
  {rnd('avg((score>=0.5)::integer)*100')} as pct_ge_50, {rnd('avg((score>=0.7)::integer)*100')} as pct_ge_70, {rnd('avg((score>=0.9)::integer)*100')} as pct_ge_90 from pred group by 1,2""")
 def probability_summary(spark, d):
-    p = V.pred(spark, d)
-    return reported(score_summary(p, ["model", "y"]), "lowest", "highest")
-
-
-def score_summary(p, keys):
-    """Mean, median, spread and high-score shares; the median comes from counted scores, not a gathered group."""
-    share = lambda t: ratio(F.count_if(F.col("score") >= t), F.count("*")) * 100.0
-    base = p.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("lowest"), F.max("score").alias("highest"),
-        share(0.5).alias("pct_ge_50"), share(0.7).alias("pct_ge_70"), share(0.9).alias("pct_ge_90"))
-    return base.join(exact_quantiles(p, keys, "score", {"median": 0.5}), list(keys))
+    return reported(describe(V.pred(spark, d), ["model", "y"], "score", {"median": 0.5}, {f"pct_ge_{t}": t / 100 for t in (50, 70, 90)}), "lowest", "highest")
 
 
 _GEN = "select model, generator, count(*) as n, count(*) filter (where pred=1) as tp, count(*) filter (where pred=0) as fn from pred where y=1 group by 1,2"
@@ -175,9 +166,10 @@ _GEN = "select model, generator, count(*) as n, count(*) filter (where pred=1) a
        + f"select model, generator, n, tp, fn, {rnd('tp::double/n')} as recall, {rnd('fn::double/n')} as fnr, {rnd('mean_score')} as mean_score, {rnd('median_score')} as median_score from g join m using (model, generator)")
 def generator_recall_matrix(spark, d):
     p = V.pred(spark, d).where("y = 1")
-    g = p.groupBy("model", "generator").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == 1).alias("tp"), F.count_if(F.col("pred") == 0).alias("fn"), F.avg("score").alias("mean_score"))
-    q = exact_quantiles(p, ["model", "generator"], "score", {"median_score": 0.5})
-    return reported(g.join(q, ["model", "generator"]).select("model", "generator", "n", "tp", "fn", ratio("tp", "n").alias("recall"), ratio("fn", "n").alias("fnr"), "mean_score", "median_score"))
+    # A decision is its score against the threshold, so the counts too come from the counted scores.
+    g = describe(p, ["model", "generator"], "score", {"median_score": 0.5}, {"hit": 0.5}).withColumn("tp", F.round(F.col("hit") * F.col("n") / 100.0).cast("bigint"))
+    g = g.withColumn("fn", F.col("n") - F.col("tp"))
+    return reported(g.select("model", "generator", "n", "tp", "fn", ratio("tp", "n").alias("recall"), ratio("fn", "n").alias("fnr"), F.col("mean").alias("mean_score"), "median_score"))
 
 
 @query("H15, F6", W("pred", g=_GEN, r="select model, generator, n, tp, tp::double/n as recall from g") + f"""select model, {rnd('avg(recall)')} as macro_recall, {rnd('min(recall)')} as worst_recall,
@@ -234,6 +226,6 @@ def category_breakdown(spark, d):
 @query("H19", W("pred", c="select *, greatest(score,1e0-score) as conf from pred") + f"""select model, correct, count(*) as n, {rnd('avg(conf)')} as mean_confidence, {rnd('median(conf)')} as median_confidence from c group by 1,2""")
 def confidence_by_correctness(spark, d):
     # Confidence is rounded to the scores' own precision so that equal ones are counted together.
-    p = V.pred(spark, d).withColumn("conf", F.round(confidence("score"), 9))
-    base = p.groupBy("model", "correct").agg(F.count("*").alias("n"), F.avg("conf").alias("mean_confidence"))
-    return reported(base.join(exact_quantiles(p, ["model", "correct"], "conf", {"median_confidence": 0.5}), ["model", "correct"]))
+    p = V.pred(spark, d).withColumn("conf", snapped(confidence("score"), 9))
+    g = describe(p, ["model", "correct"], "conf", {"median_confidence": 0.5})
+    return reported(g.select("model", "correct", "n", F.col("mean").alias("mean_confidence"), "median_confidence"))

@@ -6,11 +6,11 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import rounded
+from plumbline.functions.scalars import rounded, snapped
 from plumbline.operators import metrics as mt, stats as st
 from plumbline.operators.decontaminate import values_long
 from plumbline.operators.fusion import VIEWS, VIEW_SETS
-from plumbline.operators.prefix import exact_quantiles
+from plumbline.operators.prefix import describe
 from plumbline.plans import views as V
 from plumbline.plans.metrics import reported
 from plumbline.plans.registry import query
@@ -171,11 +171,11 @@ def condition_interaction_tests(spark, d):
     used = sorted({c for p in _INTER for c in p})
     c = V.cond(spark, d).where((F.col("gt") == 1) & (F.col("model") == "D") & F.col("condition").isin(*used))
     w = c.groupBy("sample_id").agg(*[F.max(F.when(F.col("condition") == x, F.col("score"))).alias(x) for x in used])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("condition_test"), F.lit(b).alias("condition_ref"), F.round(F.col(a) - F.col(b), 9).alias("delta")) for a, b in _INTER]))
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("condition_test"), F.lit(b).alias("condition_ref"), snapped(F.col(a) - F.col(b), 9).alias("delta")) for a, b in _INTER]))
     x = w.select(rows.alias("r")).select("r.*").where("delta is not null")
     keys = ["condition_test", "condition_ref"]
     t = st.signed_rank(x, keys, "delta")
-    summary = x.groupBy(*keys).agg(F.avg("delta").alias("mean_shift")).join(exact_quantiles(x, keys, "delta", {"median_shift": 0.5}), keys)
+    summary = describe(x, keys, "delta", {"median_shift": 0.5}).select(*keys, F.col("mean").alias("mean_shift"), "median_shift")
     out = t.join(summary, keys)
     return out.select(*keys, "n", "w_plus", "w_minus", "statistic", *[rounded(c).alias(c) for c in ("z", "p_value", "mean_shift", "median_shift")], (F.col("p_value") < 0.05).alias("significant"))
 

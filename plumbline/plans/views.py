@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.fingerprint import neighbour_fingerprint, sha256_hex
-from plumbline.functions.scalars import uniform_hash
+from plumbline.functions.scalars import snapped, uniform_hash
 from plumbline.operators.fusion import VIEWS
 from plumbline.sources.scans import spread, table
 
@@ -38,13 +38,13 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("sample_id"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("y"),
         F.col("event_type").alias("generator"), F.col("user_id").alias("grp"),
-        F.floor(F.col("event_id") / 2).cast("bigint").alias("pair_id"), (F.col("event_id") % 2).cast("int").alias("gt"))
+        F.expr("event_id div 2").alias("pair_id"), (F.col("event_id") % 2).cast("int").alias("gt"))
 
 
 def pred(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d).withColumn("_m", literal_rows(model=list(MODELS), w=[MODEL_WEIGHT[m] for m in MODELS]))
     w = F.col("_m.w")
-    score = F.round(w * F.col("y") + (F.lit(1.0) - w) * u(F.col("_m.model"), "sample_id"), 3)
+    score = snapped(w * F.col("y") + (F.lit(1.0) - w) * u(F.col("_m.model"), "sample_id"), 3)
     p = s.select("sample_id", "y", "generator", "grp", "pair_id", "gt", F.col("_m.model").alias("model"), score.alias("score"))
     p = p.withColumn("pred", (F.col("score") >= 0.5).cast("int"))
     return p.withColumn("correct", F.col("pred") == F.col("y"))
@@ -55,7 +55,7 @@ def cond(spark: SparkSession, d: str) -> DataFrame:
                      k=[x[3] for x in CONDITIONS], ord=[x[4] for x in CONDITIONS])
     p = pred(spark, d).select("sample_id", "y", "gt", "generator", "model", F.col("score").alias("clean_score"), c.alias("_c"))
     k, name = F.col("_c.k"), F.col("_c.condition")
-    noisy = F.round((F.lit(1.0) - k) * F.col("clean_score") + k * u(F.concat_ws(":", name, F.col("model")), "sample_id"), 3)
+    noisy = snapped((F.lit(1.0) - k) * F.col("clean_score") + k * u(F.concat_ws(":", name, F.col("model")), "sample_id"), 3)
     out = p.select("sample_id", "y", "gt", "generator", "model", "clean_score", name.alias("condition"), F.col("_c.family").alias("family"),
                    F.col("_c.level").alias("level"), F.col("_c.ord").alias("cond_order"),
                    F.when(name == "clean", F.col("clean_score")).otherwise(noisy).alias("score"))
@@ -65,13 +65,13 @@ def cond(spark: SparkSession, d: str) -> DataFrame:
 def views(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     return s.select("sample_id", F.col("gt").alias("y"), F.col("generator").alias("category"), "pair_id",
-                    *[F.round(F.lit(0.4) * F.col("gt") + F.lit(0.6) * u(v, "sample_id"), 3).alias(f"p_{v}") for v in VIEWS])
+                    *[snapped(F.lit(0.4) * F.col("gt") + F.lit(0.6) * u(v, "sample_id"), 3).alias(f"p_{v}") for v in VIEWS])
 
 
 def branches(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     gen, man = F.col("generator").isin("view", "click"), F.col("generator").isin("signup", "purchase")
-    lift = lambda on, salt: F.round(F.when(on, 0.4).otherwise(0.0) + F.lit(0.6) * u(salt, "sample_id"), 3)
+    lift = lambda on, salt: snapped(F.when(on, 0.4).otherwise(0.0) + F.lit(0.6) * u(salt, "sample_id"), 3)
     b = s.select(
         "sample_id", "y", "generator", "pair_id", "gt",
         F.when(gen, "AI_GENERATED").when(man, "AI_MANIPULATED").otherwise("REAL_ORIGINAL").alias("truth"),
@@ -79,7 +79,7 @@ def branches(spark: SparkSession, d: str) -> DataFrame:
         lift(gen, "spatial").alias("p_spatial"), lift(gen, "frequency").alias("p_frequency"), lift(gen, "hybrid").alias("p_hybrid"),
         u("paper", "sample_id").alias("paper_fraction"), F.floor(u("glyphs", "sample_id") * 300).cast("double").alias("text_glyphs"),
         (u("lines", "sample_id") * 0.2).alias("line_energy"), u("mono", "sample_id").alias("mono_fraction"))
-    return b.withColumn("p_real", F.round(F.lit(1.0) - F.col("p_generated"), 3)).withColumn("p_original", F.round(F.lit(1.0) - F.col("p_manipulated"), 3))
+    return b.withColumn("p_real", snapped(F.lit(1.0) - F.col("p_generated"), 3)).withColumn("p_original", snapped(F.lit(1.0) - F.col("p_manipulated"), 3))
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +107,10 @@ def uq(text: str) -> str:
     return f"(cast('0x'||substr(md5({text}),1,8) as bigint)/4294967296e0)"
 
 
+def snap(x: str) -> str:
+    return f"(floor(({x})*1000e0+0.5e0)/1000e0)"
+
+
 def rnd(x: str, digits: int = 9) -> str:
     return f"(round({x},{digits})+0e0)"
 
@@ -116,7 +120,7 @@ _COND_ROWS = ", ".join(f"('{c}','{f}',{lv},{k}e0,{o})" for c, f, lv, k, o in CON
 
 
 def _lift(on: str, salt: str) -> str:
-    return f"round((case when {on} then 0.4e0 else 0e0 end) + 0.6e0*{uq(repr(salt + ':') + '||event_id')},3)"
+    return snap(f"(case when {on} then 0.4e0 else 0e0 end) + 0.6e0*{uq(repr(salt + ':') + '||event_id')}")
 
 
 _GEN, _MAN = "event_type in ('view','click')", "event_type in ('signup','purchase')"
@@ -126,15 +130,15 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "samples": ((), "select event_id as sample_id, case when event_type='error' then 0 else 1 end as y, event_type as generator, "
                     "user_id as grp, event_id//2 as pair_id, cast(event_id%2 as integer) as gt from events"),
     "pred": (("samples",), "select *, cast(score>=0.5 as integer) as pred, (score>=0.5)=(y=1) as correct from (select s.*, m.model, "
-             f"round(m.w*s.y+(1e0-m.w)*{uq('m.model||' + repr(':') + '||s.sample_id')},3) as score "
+             f"{snap('m.w*s.y+(1e0-m.w)*' + uq('m.model||' + repr(':') + '||s.sample_id'))} as score "
              f"from samples s, (values {_MODEL_ROWS}) m(model,w))"),
     "cond": (("samples", "pred"), "select *, cast(score>=0.5 as integer) as pred from (select p.sample_id,p.y,p.gt,p.generator,p.model,p.score as clean_score,"
              "c.condition,c.family,c.level,c.cond_order, case when c.condition='clean' then p.score else "
-             f"round((1e0-c.k)*p.score+c.k*{uq('c.condition||' + repr(':') + '||p.model||' + repr(':') + '||p.sample_id')},3) end as score "
+             f"{snap('(1e0-c.k)*p.score+c.k*' + uq('c.condition||' + repr(':') + '||p.model||' + repr(':') + '||p.sample_id'))} end as score "
              f"from pred p, (values {_COND_ROWS}) c(condition,family,level,k,cond_order))"),
     "views": (("samples",), "select sample_id, gt as y, generator as category, pair_id, " + ", ".join(
-        f"round(0.4e0*gt+0.6e0*{uq(repr(v + ':') + '||sample_id')},3) as p_{v}" for v in VIEWS) + " from samples"),
-    "branches": ((), "select *, round(1e0-p_generated,3) as p_real, round(1e0-p_manipulated,3) as p_original from (select event_id as sample_id,"
+        f"{snap('0.4e0*gt+0.6e0*' + uq(repr(v + ':') + '||sample_id'))} as p_{v}" for v in VIEWS) + " from samples"),
+    "branches": ((), f"select *, {snap('1e0-p_generated')} as p_real, {snap('1e0-p_manipulated')} as p_original from (select event_id as sample_id,"
                  " case when event_type='error' then 0 else 1 end as y, event_type as generator, event_id//2 as pair_id, cast(event_id%2 as integer) as gt,"
                  f" case when {_GEN} then 'AI_GENERATED' when {_MAN} then 'AI_MANIPULATED' else 'REAL_ORIGINAL' end as truth,"
                  f" {_lift(_GEN, 'gen')} as p_generated, {_lift(_MAN, 'man')} as p_manipulated, {_lift(_GEN, 'spatial')} as p_spatial,"
