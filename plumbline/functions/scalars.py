@@ -21,8 +21,10 @@ def ratio(num: ColumnLike, den: ColumnLike, empty: float | None = 0.0) -> Column
 
 
 def rounded(c: ColumnLike, digits: int = 9) -> Column:
-    """Half-up rounding for report columns; adding 0.0 turns a negative zero into zero."""
-    return F.round(col(c).cast("double"), digits) + F.lit(0.0)
+    """Rounding for report columns. A thousandth of the last digit is added first, so that values which lie exactly
+    half-way (means over 2^k rows do) are not decided by the order in which a sum was taken; adding 0.0 turns a
+    negative zero into zero."""
+    return F.round(col(c).cast("double") + F.lit(1.37 * 10.0 ** -(digits + 3)), digits) + F.lit(0.0)
 
 
 def snapped(c: ColumnLike, digits: int) -> Column:

@@ -518,3 +518,33 @@ def asset_ledger(spark, d):
     content = F.when(F.col("altered"), F.concat("text", F.lit("?"))).otherwise(F.col("text"))
     ledger = t.join(toxic, "doc_id", "left").select("path", F.upper(sha256_hex(content)).alias("sha256"))
     return ex.ledger_check(ledger, t.select("path", sha256_hex("text").alias("sha256"))).select("path", "status")
+
+
+# --------------------------------------------------------------------------- payloads and sinks
+
+_HEADS = ("FFD8FFE0", "89504E470D0A1A0A", "52494646101000005745425056503820", "52494646101000005741564566666666", "")
+
+
+@query("A3", "select kind, count(*) as n from (select case cast(floor(" + uq("'head:'||doc_id") + "*5) as integer) when 0 then 'jpg' when 2 then 'webp' else 'png' end as kind from documents) group by 1")
+def payload_kinds(spark, d):
+    """Documents as payloads behind one of five file headers (by hash), sorted out by their leading bytes."""
+    from plumbline.functions.fingerprint import payload_kind
+    t = table(spark, d, "documents")
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), F.floor(V.u("head", "doc_id") * 5).cast("int") + 1)
+    payload = F.concat(F.unhex(head), F.encode("text", "utf-8"))
+    return t.groupBy(payload_kind(payload).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("A9, B18", "select source, count(*) as n, round_even(100e0*count(*)/(select count(*) from documents),2)+0e0 as pct from documents group by 1")
+def result_sink_round_trip(spark, d):
+    """A result written to a new folder under the shared checkpoint folder (never over an existing one) and read back."""
+    import uuid
+
+    from plumbline.session import ensure_checkpoint_dir
+    from plumbline.sources.sinks import percent, write_result
+    from pyspark.sql import Window
+    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    g = g.select("source", "n", percent(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("pct"))
+    path = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    write_result(g, path)
+    return spark.read.schema(g.schema).parquet(path)

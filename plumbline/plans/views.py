@@ -112,7 +112,7 @@ def snap(x: str) -> str:
 
 
 def rnd(x: str, digits: int = 9) -> str:
-    return f"(round({x},{digits})+0e0)"
+    return f"(round(({x})::double+{1.37 * 10.0 ** -(digits + 3)!r},{digits})+0e0)"
 
 
 _MODEL_ROWS = ", ".join(f"('{m}', {MODEL_WEIGHT[m]}e0)" for m in MODELS)
