@@ -3,6 +3,9 @@
 Keys that repeat (one text may be a third of a corpus) are always collapsed by a partial aggregation
 before they are shuffled for a window or a join. No join is hinted: which side is broadcast is left to the
 size Spark measures.
+
+NULL keys are dropped by counting them after the aggregation, and joins to key sets are null-safe: a plain
+``key IS NOT NULL`` would be pushed down to the scan and hash every text a second time.
 """
 
 from __future__ import annotations
@@ -31,21 +34,27 @@ def blacklist(sources: Sequence[tuple[str, DataFrame]], key: str, name: str) ->
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    return union.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count("*").alias("n_members"),
+    return union.groupBy(key).agg(
+        F.count(key).alias("n_members"),
         F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"),
         F.min(F.struct("origin", "member")).alias("_first"),
-    ).select(key, "n_members", "origins", F.col("_first.origin").alias("first_origin"), F.col("_first.member").alias("first_member"))
+    ).where(F.col("n_members") > 0).select(key, "n_members", "origins", F.col("_first.origin").alias("first_origin"), F.col("_first.member").alias("first_member"))
+
+
+def _key_join(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Null-safe join to a key set that holds no NULL."""
+    right = keys.withColumnRenamed(key, "_key")
+    return df.join(right, df[key].eqNullSafe(right["_key"]), how)
 
 
 def without(df: DataFrame, banned: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not banned (a NULL key is kept: a failed fingerprint proves nothing)."""
-    return df.join(banned.select(key), key, "left_anti")
+    return _key_join(df, banned.select(key), key, "left_anti")
 
 
 def collisions(df: DataFrame, banned: DataFrame, key: str) -> DataFrame:
     """Rows whose key is banned, with the blacklist columns."""
-    return df.join(banned, key, "inner")
+    return _key_join(df, banned, key, "inner").drop("_key")
 
 
 def first_failing_key(df: DataFrame, checks: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
@@ -57,8 +66,8 @@ def first_failing_key(df: DataFrame, checks: Sequence[tuple[str, str, DataFrame]
     out, reason = df, None
     for i, (label, key, known) in enumerate(checks):
         flag = f"_hit{i}"
-        keys = known.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
-        out = out.join(keys, key, "left")
+        keys = known.groupBy(key).agg((F.count(key) > 0).alias(flag)).where(flag)
+        out = _key_join(out, keys, key, "left").drop("_key")
         hit = F.col(flag).isNotNull()
         reason = F.when(hit, label) if reason is None else reason.when(hit, label)
     return out.withColumn("exclude_reason", reason).drop(*[f"_hit{i}" for i in range(len(checks))])
@@ -66,8 +75,8 @@ def first_failing_key(df: DataFrame, checks: Sequence[tuple[str, str, DataFrame]
 
 def presence(df: DataFrame, key: str, split: str, names: Sequence) -> DataFrame:
     """Per key one boolean column in_<name> for every named split; a partial aggregate, no lists."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        *[F.bool_or(F.col(split) == F.lit(n)).alias(f"in_{n}") for n in names])
+    present = F.col(key).isNotNull()
+    return df.groupBy(key).agg(*[F.bool_or(present & (F.col(split) == F.lit(n))).alias(f"in_{n}") for n in names])
 
 
 def cross_split_overlap(df: DataFrame, key: str, split: str, names: Sequence) -> DataFrame:

@@ -44,8 +44,8 @@ def masks(positions: list[int], distance: int, blocks: int) -> list[int]:
 
 def distinct_fingerprints(df: DataFrame, fp: str, id_col: str, extra: list[Column] | None = None) -> DataFrame:
     """One row per fingerprint: members, first id. Failed (NULL) fingerprints never match anything."""
-    return df.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(
-        F.count("*").alias("members"), F.min(id_col).alias("first_id"), *(extra or []))
+    return df.groupBy(F.col(fp).alias("fp")).agg(
+        F.count(fp).alias("members"), F.min(id_col).alias("first_id"), *(extra or [])).where(F.col("members") > 0)
 
 
 def _keyed(df: DataFrame, distance: int, blocks: int) -> DataFrame:

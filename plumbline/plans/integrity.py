@@ -76,7 +76,7 @@ def label_normalisation(spark, d):
 @query("A8", W("fp") + "select fp, count(*) as members, min(vec_id) as first_id from fp group by fp")
 def cached_reference_index(spark, d):
     """Fingerprint index written once to the checkpoint folder and read from there."""
-    return cut_lineage(neardup.distinct_fingerprints(V.fp(spark, d), "fp", "vec_id"))
+    return _index(V.fp(spark, d))
 
 
 @query("A10", W("samples") + """select generator as source, count(*) as n_total, count(*) filter (where y=0) as n_real, count(*) filter (where y=1) as n_ai,
@@ -325,12 +325,16 @@ _DISTINCT_FP = {"ref": "select fp, count(*) as members, min(vec_id) as first_id
                 "cand": "select fp, count(*) as members, min(vec_id) as first_id from fp_near group by fp"}
 
 
+def _index(rows):
+    """Distinct fingerprints, written to the checkpoint folder: the search reads them several times."""
+    return cut_lineage(neardup.distinct_fingerprints(rows, "fp", "vec_id"))
+
+
 @query("C5", W("fp", "fp_near", **_DISTINCT_FP) + """select c.first_id as candidate, r.first_id as reference, cast(bit_count(xor(c.fp,r.fp)) as integer) as distance
  from cand c join ref r on bit_count(xor(c.fp,r.fp)) <= 3""")
 def near_duplicates_of_reference(spark, d):
     """Every fingerprint's altered copy against the originals, Hamming distance at most 3."""
-    ref = neardup.distinct_fingerprints(V.fp(spark, d), "fp", "vec_id")
-    cand = neardup.distinct_fingerprints(V.fp_near(spark, d), "fp", "vec_id")
+    ref, cand = _index(V.fp(spark, d)), _index(V.fp_near(spark, d))
     pairs = neardup.within_distance(cand, ref, 3)
     return (pairs.join(cand.select(F.col("fp").alias("fp_left"), F.col("first_id").alias("candidate")), "fp_left")
                  .join(ref.select(F.col("fp").alias("fp_right"), F.col("first_id").alias("reference")), "fp_right")
@@ -341,7 +345,7 @@ def near_duplicates_of_reference(spark, d):
        + """select least(a.first_id,b.first_id) as id_1, greatest(a.first_id,b.first_id) as id_2, cast(bit_count(xor(a.fp,b.fp)) as integer) as distance, a.members*b.members as row_pairs
  from pool a join pool b on a.fp < b.fp and bit_count(xor(a.fp,b.fp)) <= 2""")
 def near_duplicates_internal(spark, d):
-    pool = neardup.distinct_fingerprints(V.fp(spark, d).unionByName(V.fp_near(spark, d)), "fp", "vec_id")
+    pool = _index(V.fp(spark, d).unionByName(V.fp_near(spark, d)))
     pairs = neardup.near_pairs(pool, 2)
     side = lambda s, n: pool.select(F.col("fp").alias(s), F.col("first_id").alias(f"id{n}"), F.col("members").alias(f"m{n}"))
     j = pairs.join(side("fp_left", 1), "fp_left").join(side("fp_right", 2), "fp_right")
@@ -349,8 +353,8 @@ def near_duplicates_internal(spark, d):
 
 
 def _nearest(spark, d, distance):
-    ref = neardup.distinct_fingerprints(V.fp(spark, d), "fp", "vec_id").select("fp", F.col("first_id").alias("ref_order"), F.col("first_id").alias("ref_id"))
-    cand = neardup.distinct_fingerprints(V.fp_near(spark, d), "fp", "vec_id")
+    ref = _index(V.fp(spark, d)).select("fp", F.col("first_id").alias("ref_order"), F.col("first_id").alias("ref_id"))
+    cand = _index(V.fp_near(spark, d))
     return V.fp_near(spark, d), neardup.nearest_reference(cand, ref, distance)
 
 
