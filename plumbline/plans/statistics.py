@@ -65,11 +65,13 @@ _AUC_W = {
 
 @query("I1", W("pred", **_AUC_W) + f"select model, {rnd('avg(value)')} as boot_mean, {rnd('stddev_samp(value)', 8)} as std_error, {rnd('quantile_cont(value,0.025e0)', 8)} as ci_low, {rnd('quantile_cont(value,0.975e0)', 8)} as ci_high from aa group by 1")
 def bootstrap_auroc(spark, d):
-    """Poisson bootstrap of AUROC. Weights are summed per distinct score before any ordering."""
+    """Poisson bootstrap of AUROC. A sample's weight is drawn once and shared by its models; weights are summed per
+    distinct score before any ordering."""
     from plumbline.operators.curves import curve_metrics, curve_points
-    p = V.pred(spark, d)
-    rep = st.poisson_replicates(p, ["model", "y", "score"], "sample_id", 12, "boot")
     keys = ["replicate", "model"]
+    rep = st.poisson_replicates(wide(spark, d), ["y", *[f"score_{m}" for m in MODELS]], "sample_id", 12, "boot")
+    scores = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"score_{m}").alias("score")) for m in MODELS]))
+    rep = rep.select("replicate", "weight", "y", scores.alias("s")).select("replicate", "weight", "y", "s.model", "s.score")
     hist = rep.groupBy(*keys, "score").agg(F.sum(F.when(F.col("y") == 1, F.col("weight")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("weight")).otherwise(0)).alias("neg"))
     auc = curve_metrics(curve_points(hist, keys), keys).select(*keys, F.col("auroc").alias("value"))
     i = st.interval(auc, ["model"])
