@@ -313,7 +313,8 @@ _NORM = "trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
  select outcome, count(*) as n from r group by 1""")
 def leak_filter_waterfall(spark, d):
     """Candidates removed by known id, then exact hash, then the hash of the normalised text."""
-    t = table(spark, d, "documents").select("doc_id", "source", sha256_hex("text").alias("sha"), sha256_hex(tx.normalised_text("text")).alias("norm"))
+    raw = scans.spread(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    t = raw.select("doc_id", "source", sha256_hex("text").alias("sha"), sha256_hex(tx.normalised_text("text")).alias("norm"))
     held = F.col("source").isin("src0", "src1", "src2")
     known = t.where(held)
     out = dc.first_failing_key(t.where(~held), [
