@@ -1,6 +1,6 @@
 """Which documents contain a benchmark passage word for word.
 
-Every passage is represented by one run of whole words from its inside (its first and last word may be cut
+Every distinct passage is represented by one run of whole words from its inside (its first and last word may be cut
 from a longer word in a document). A document that contains the passage contains that run, so an equi-join
 on the run's hash finds every candidate and the substring test confirms it. Document texts are
 not carried through the join: only ids and hashes are, and the texts of the few candidates are fetched again.
@@ -30,33 +30,42 @@ def _runs(words: Column, width: int) -> Column:
     return F.element_at(F.transform(F.array(words), of), 1)
 
 
-def anchors(passages: DataFrame, item: str, text: str, width: int) -> DataFrame:
-    """(item, run, width) for passages with at least ``width`` inner words: the run after the first word."""
-    w = _words(text)
-    return passages.where(F.size(w) >= width + 2).select(
-        F.col(item).alias("item_id"), F.xxhash64(F.slice(w, 2, width)).alias("run"))
+def _anchors(distinct: DataFrame, width: int) -> DataFrame:
+    """(key, run): of a passage's inner runs the one fewest passages share, the earliest of those.
+
+    Passages with a common opening thus get different runs, and a run found in very many documents is paired
+    with as few passages as possible.
+    """
+    words = _words("passage")
+    inner = F.slice(words, 2, F.size(words) - 2)
+    runs = distinct.select("key", F.posexplode(_runs(inner, width)).alias("pos", "run"))
+    shared = runs.groupBy("run").agg(F.count_distinct("key").alias("sharing"))
+    return runs.join(shared, "run").groupBy("key").agg(F.min(F.struct("sharing", "pos", "run"))["run"].alias("run"))
 
 
 def contained_passages(docs: DataFrame, doc_id: str, text: str, passages: DataFrame, item: str, passage: str,
                        width: int = 6) -> DataFrame:
     """(doc_id, item_id) for every passage of three words or more found verbatim in a document.
 
-    Passages too short for a run of ``width`` inner words are matched by one inner word instead. Passages
-    of one or two words have no inner word; find them with ``unanchored`` and treat them apart.
+    Equal passages are searched for once. Passages too short for a run of ``width`` inner words are matched by one
+    inner word instead. Passages of one or two words have no inner word; find them with ``unanchored`` and treat
+    them apart.
     """
-    w = _words(passage)
-    long_anchor = anchors(passages, item, passage, width)
-    short = passages.where((F.size(w) >= 3) & (F.size(w) < width + 2))
-    short_anchor = short.select(F.col(item).alias("item_id"), F.xxhash64(F.slice(w, 2, 1)).alias("run"))
+    items = passages.select(F.col(item).alias("item_id"), F.col(passage).alias("passage"))
+    distinct = items.groupBy("passage").agg(F.min("item_id").alias("key"))
+    n = F.size(_words("passage"))
     dw = _words(text)
-    def meet(anchor: DataFrame, n: int) -> DataFrame:
-        runs = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(_runs(dw, n))).alias("run"))
-        return runs.join(anchor, "run").select("doc_id", "item_id")
-    candidates = meet(long_anchor, width).unionByName(meet(short_anchor, 1)).distinct()
-    return (candidates
-            .join(passages.select(F.col(item).alias("item_id"), F.col(passage).alias("_p")), "item_id")
-            .join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), "doc_id")
-            .where(F.contains("_t", "_p")).select("doc_id", "item_id"))
+
+    def meet(anchor: DataFrame, size: int) -> DataFrame:
+        runs = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(_runs(dw, size))).alias("run"))
+        return runs.join(anchor, "run").select("doc_id", "key")
+
+    candidates = meet(_anchors(distinct.where(n >= width + 2), width), width).unionByName(
+        meet(_anchors(distinct.where((n >= 3) & (n < width + 2)), 1), 1)).distinct()
+    found = (candidates.join(distinct, "key")
+             .join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
+             .where(F.contains("_text", "passage")).select("doc_id", "passage"))
+    return found.join(items, "passage").select("doc_id", "item_id")
 
 
 def unanchored(passages: DataFrame, item: str, passage: str) -> DataFrame:

@@ -31,12 +31,14 @@ def get_session(app: str = "plumbline", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's own setting, a temporary folder only if there is none."""
+    """The folder for checkpoints: the session's own setting; in local mode a temporary folder if there is none."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="spark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
