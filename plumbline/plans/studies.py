@@ -368,8 +368,10 @@ def hypothesis_gate(spark, d):
         F.max(F.when(F.col("model") == "D", F.col("fpr"))).alias("fpr_D"), *[F.max(F.when(F.col("model") == m, F.col("macro_f1"))).alias(f"mf_{m}") for m in "AD"])
     miss = (F.col("y") == 1) & (F.col("pred_D") == 0)
     r = cells(spark, d).agg(F.coalesce(F.sum(F.when(miss, F.col("n"))), F.lit(0)).alias("missed"), F.coalesce(F.sum(F.when(miss & (F.col("pred_B") == 1), F.col("n"))), F.lit(0)).alias("recovered"))
-    one = [x.withColumn("_one", F.lit(1)) for x in (row, k, r)]
-    j = one[0].join(one[1], "_one").join(one[2], "_one")
+    # Three one-row tables side by side: as (metric, value) rows in one union, folded into one row. No join.
+    names = [n for x in (row, k, r) for n in x.columns]
+    long = values_long(row, [], row.columns).unionByName(values_long(k, [], k.columns)).unionByName(values_long(r, [], r.columns))
+    j = long.agg(*[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in names])
     c = F.col
     tests = {
         "H1_new_generator_recall": (c("view_D") >= 0.5) & (c("view_D") > c("view_A")), "H2_no_forgetting": c("click_D") >= c("click_A") - 0.15,

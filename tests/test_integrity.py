@@ -186,3 +186,22 @@ def test_ledger(spark):
     led = spark.createDataFrame([("a", "AB"), ("b", "cd"), ("c", "ef")], "path string, sha256 string")
     act = spark.createDataFrame([("a", "ab"), ("b", "xx"), ("d", "ef")], "path string, sha256 string")
     assert {r.path: r.status for r in ex.ledger_check(led, act).collect()} == {"a": "MATCH", "b": "MISMATCH", "c": "MISSING", "d": "UNLISTED"}
+
+
+def test_one_key_holds_a_third_of_all_rows(spark):
+    """A hot text, a hot stratum and a hot fingerprint: results stay whole and no pairs of members appear."""
+    n = 3000
+    df = spark.range(n).select("id", F.when(F.col("id") < n // 3, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("sha"), (F.col("id") % 5 == 0).alias("v"),
+                               F.when(F.col("id") < n // 3, F.lit(0)).otherwise(F.col("id") * 7919).cast("bigint").alias("fp"))
+    first = {r.sha: (r.id, r.copies) for r in dc.keep_first(df, "sha", ["id"], ["id"]).collect()}
+    assert first["hot"] == (0, n // 3) and len(first) == n - n // 3 + 1
+    assert dc.without(df, spark.createDataFrame([("hot",)], "sha string"), "sha").count() == n - n // 3
+    split = sp.split_by_shares(df.withColumn("s", F.lit("one")), ["s"], "id", "x")
+    assert Counter(r.split for r in split.collect()) == {"train": 2100, "validation": 450, "test": 450}
+    fps = neardup.distinct_fingerprints(df, "fp", "id")
+    assert fps.where("fp = 0").first().members == n // 3
+    pairs = neardup.near_pairs(fps, 1, hot_key=5)
+    values = sorted({0} | {i * 7919 for i in range(n // 3, n)})
+    have = set(values)
+    want = sum(1 for v in values for b in range(40) if (w := v ^ (1 << b)) > v and w in have)
+    assert pairs.count() == want
