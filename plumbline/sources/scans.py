@@ -29,10 +29,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan with far fewer partitions than the cluster has cores (one small file, say), so the
+    """Hash-partition a scan with at most half as many partitions as the cluster has cores (one small file, say), so the
     expressions above it run in parallel. Any other scan is returned as it is: a big table is never shuffled for this."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def shards(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
