@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +44,22 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once a session, unless their path has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_plumbline_sent", False):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        shutil.copytree(f"{root}/plumbline", f"{folder}/zip/plumbline", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/plumbline", "zip", f"{folder}/zip"))
+    sc._plumbline_sent = True
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, since one row may be a text of megabytes. A smaller setting is kept."""
+    """Before a Python step: bound the rows of an Arrow batch, since one row may be a text of megabytes (a smaller setting
+    is kept), and see that the workers have this package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import linededup, mixing
+from plumbline.llm import linededup, minhash, mixing
 from plumbline.llm.registry import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -37,6 +37,29 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP3_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 2 then [w] else list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]) end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+g as (select s, count(*) as f from s group by s),
+o as (select s.doc_id, s.s, n.n, row_number() over (partition by s.doc_id order by g.f, s.s) as r from s join g using (s) join n using (doc_id)),
+p as (select * from o where r <= n - ceil(n * 0.8 - 1e-9) + 1),
+c as (select distinct a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny from p a join p b on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+i as (select x, y, nx, ny, count(*) as k from c join s a on a.doc_id = x join s b on b.doc_id = y and a.s = b.s group by all),
+l as (select x, y from i where 100 * k >= 80 * (nx + ny - k)),
+e as (select x as a, y as b from l union select y, x from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(m.b, d.doc_id)) as kept
+from documents d left join n using (doc_id) left join (select a, min(b) as b from r group by a) m on m.a = d.doc_id
+"""
+
+
+@query(OP3_SQL)
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are at least 80 % alike."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
+
+
 OP5_SQL = r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
