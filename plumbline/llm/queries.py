@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import linededup, minhash, mixing
+from plumbline.llm import langid, linededup, minhash, mixing
 from plumbline.llm.registry import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -37,6 +37,14 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learned from documents that are not held out."""
+    docs = table(spark, folder, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    net = langid.train(docs.where("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 OP3_SQL = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 2 then [w] else list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]) end) as s from w),
