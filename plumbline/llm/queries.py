@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, linededup, minhash, mixing
+from plumbline.llm import langid, linededup, minhash, mixing, records, warc
 from plumbline.llm.registry import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -83,3 +83,27 @@ def op5_dedup_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the lines that ten or more documents share."""
     kept = linededup.dedup_lines(table(spark, folder, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, octet_length(encode(body))::bigint as payload_bytes, sha1(body) as payload_digest from p),
+t as (select *, max(page_id) over (partition by payload_digest) as top from d)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from t
+"""
+
+
+@query(OP8_SQL)
+def op8_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a WARC record, written, normalised and read back."""
+    return warc.read_archives(warc.archive(table(spark, folder, "pages"), min_bytes=1000))
+
+
+@query()
+def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole document, written to record files in the order of doc_id and read back."""
+    import public_tokenizers
+    manifest = records.write_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return records.read_tokens(manifest)
