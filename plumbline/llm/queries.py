@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, linededup, minhash, mixing, records, warc
+from plumbline.llm import chat, langid, linededup, minhash, mixing, records, warc
 from plumbline.llm.registry import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -85,6 +85,19 @@ def op5_dedup_lines(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+@query()
+def op7_format_chats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted, masked and read back; one more holds the template's own control strings."""
+    import public_tokenizers
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    back = chat.read_back(chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("bigint").alias("loss_chars"),
+                       F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 OP8_SQL = """
 with p as (select page_id, coalesce(html, '') as body from pages),
 d as (select page_id, octet_length(encode(body))::bigint as payload_bytes, sha1(body) as payload_digest from p),
