@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, langid, linededup, minhash, mixing, records, warc
+from plumbline.llm import chat, embdup, langid, linededup, minhash, mixing, packing, records, warc
 from plumbline.llm.registry import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -68,6 +68,23 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
 
 
+OP4_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+select d.vec_id, coalesce(n.n, 0)::bigint as n_links, least(d.vec_id, coalesce(m.b, d.vec_id)) as component_id, d.vec_id = least(d.vec_id, coalesce(m.b, d.vec_id)) as kept
+from embeddings d left join (select a, count(*) as n from l group by a) n on n.a = d.vec_id left join (select a, min(b) as b from r group by a) m on m.a = d.vec_id
+"""
+
+
+@query(OP4_SQL)
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of vectors with cosine 0.9 or more."""
+    return embdup.near_duplicate_vectors(table(spark, folder, "embeddings"), threshold=0.9)
+
+
 OP5_SQL = r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
@@ -114,6 +131,12 @@ def op8_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(warc.archive(table(spark, folder, "pages"), min_bytes=1000))
 
 
+@query()
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in bins of 2,048 words without conflicts."""
+    return packing.pack(table(spark, folder, "documents"), capacity=2048, per_source=4)
+
+
 @query()
 def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole document, written to record files in the order of doc_id and read back."""
