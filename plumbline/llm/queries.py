@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, embdup, langid, linededup, minhash, mixing, packing, records, warc
+from plumbline.llm import ann, chat, embdup, langid, linededup, minhash, mixing, packing, records, warc
 from plumbline.llm.registry import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -102,6 +102,12 @@ def op5_dedup_lines(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+@query()
+def op6_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector."""
+    return ann.nearest(table(spark, folder, "embeddings"), every=50, k=5)
+
+
 @query()
 def op7_format_chats(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation formatted, masked and read back; one more holds the template's own control strings."""
