@@ -107,5 +107,5 @@ def take_mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), ratio: f
     names = docs.columns
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d")) if names else docs
     joined = d.join(cuts.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(_copies(_hash(F.col("d.doc_id"), F.col("d.text"))), F.lit(0)).cast("int"))))
-    return repeated.where("copy > 0").select("d.*")
+    counted = joined.withColumn("copies", _copies(_hash(F.col("d.doc_id"), F.col("d.text")))).where("copies > 0")
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("d.*")
