@@ -26,6 +26,8 @@ _RNG = np.random.default_rng(7)
 _MULTIPLY = (_RNG.integers(0, 2**63, _N, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _FLIP = _RNG.integers(0, 2**63, _N, dtype=np.uint64)[:, None]
 _BLOCK = 4096
+#: Nodes on one side of a comparison inside a task.
+_TILE = 512
 
 
 def _band_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +68,88 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), summarise("text").alias("s")).select("id", "t", "s.*")
 
 
+def _texts(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): one document's text for each of ``nodes``."""
+    needed = nodes.join(reps.select("node", "id", "t"), "node")
+    source = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text").alias("d")
+    return stage(source.join(needed.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.t") == F.col("k.t"))).select("k.node", "d.text"), "texts")
+
+
+def linked_sets(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of ``x`` its place and those of the sets of ``y`` that are alike: members are looked up in the sorted members of all y."""
+    sizes = np.array([a.size for a in y], dtype=np.int64)
+    members, owner = np.concatenate(y), np.repeat(np.arange(len(y)), sizes)
+    order = np.argsort(members, kind="stable")
+    members, owner = members[order], owner[order]
+    for i, a in enumerate(x):
+        left, right = np.searchsorted(members, a, "left"), np.searchsorted(members, a, "right")
+        n = right - left
+        at = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(y))
+        found = np.flatnonzero(100 * both >= percent * (a.size + sizes - both))
+        if found.size:
+            yield i, found
+
+
+def _across(buckets: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between nodes that share a bucket but are not yet in one component.
+
+    In a bucket the component that is largest overall is the main one, the nodes of others are strays. Each stray is compared once with all
+    members of each main component it meets, and strays of the buckets with one smallest member with each other. Both kinds of
+    work are cut into tiles of ``_TILE`` nodes, compared inside a task; only links leave it, one for each
+    stray and tile, since a link to any member joins the component.
+    """
+    same = Window.partitionBy("key")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    placed = buckets.join(roots.join(sizes, "root"), "node", "left").select("key", "low", "node", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    main = F.max(F.struct("size", "root")).over(same)["root"]
+    # A bucket of two was tested whole by its star.
+    mixed = placed.withColumn("r0", F.min("root").over(same)).withColumn("main", main).withColumn("r1", F.max("root").over(same)).withColumn("m", F.count("*").over(same)).where("r0 <> r1 and m > 2")
+    mixed = stage(mixed.select("low", "node", "root", "main"), "mixed")
+    texts = _texts(mixed.select("node").distinct(), reps, docs)
+    members = mixed.where("root = main").select("main", "node").distinct()
+    strays = mixed.where("root <> main").select("main", "node").distinct()
+    among = mixed.where("root <> main").select("low", "node", "root").distinct()
+
+    def tiles(df: DataFrame, by: str, name: str) -> DataFrame:
+        return df.groupBy(by).agg(F.ceil(F.count("*") / _TILE).cast("int").alias(name))
+
+    def tile_of(count: str):
+        return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    counts = tiles(members, "main", "tm").join(tiles(strays, "main", "ts"), "main")
+    of_main = members.join(counts, "main").select("main", "node", tile_of("tm").alias("i"), every("ts").alias("j"), F.lit(False).alias("stray"))
+    of_strays = strays.join(counts, "main").select("main", "node", every("tm").alias("i"), tile_of("ts").alias("j"), F.lit(True).alias("stray"))
+
+    def to_main(g: pd.DataFrame) -> pd.DataFrame:
+        found, m, s = [], g[~g["stray"]], g[g["stray"]]
+        if len(m) and len(s):
+            y = [sh.shingle_set(t, width) for t in m["text"]]
+            found = [(s["node"].iloc[i], m["node"].iloc[at[0]]) for i, at in linked_sets([sh.shingle_set(t, width) for t in s["text"]], y, percent)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def to_each_other(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        sets, side = [sh.shingle_set(t, width) for t in g["text"]], (g["tile"] == key[1]).to_numpy()
+        other = np.flatnonzero(g["tile"] == key[2])
+        found, node, root = [], g["node"].to_numpy(), g["root"].to_numpy()
+        mine = np.flatnonzero(side)
+        for i, at in linked_sets([sets[k] for k in mine], [sets[k] for k in other], percent):
+            at = other[at]
+            _, first = np.unique(root[at], return_index=True)  # one link to each component
+            found += [(node[mine[i]], node[k]) for k in at[first] if root[k] != root[mine[i]]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    a = of_main.union(of_strays).join(texts, "node").groupBy("main", "i", "j").applyInPandas(to_main, "a long, b long")
+    per = among.groupBy("low").agg(F.ceil(F.count("*") / _TILE).cast("int").alias("tn"), F.countDistinct("root").alias("r")).where("r > 1").select("low", "tn")
+    own = among.join(per, "low").select("low", "node", "root", tile_of("tn").alias("tile"), every("tn").alias("k"))
+    own = own.select("low", "node", "root", "tile", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j")).join(texts, "node")
+    b = own.groupBy("low", "i", "j").applyInPandas(to_each_other, "a long, b long")
+    return stage(a.union(b), "links")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the node pairs (a, b) whose full sets are alike.
 
@@ -84,9 +168,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
     side = reps.select("node", "n", "histogram")
     sized = pairs.join(side.toDF("a", "na", "ha"), "a").join(side.toDF("b", "nb", "hb"), "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     close = stage(sized.where(possible("na", "ha", "nb", "hb")).select("a", "b"), "candidates")
-    needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "id", "t"), "node")
-    source = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text").alias("d")
-    texts = stage(source.join(needed.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.t") == F.col("k.t"))).select("k.node", "d.text"), "texts")
+    texts = _texts(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, docs)
     joined = close.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
     return stage(joined.where(alike("ta", "tb")).select("a", "b").distinct(), "links")
 
@@ -100,8 +182,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component of its text and is kept only if nothing there has an id; rows that repeat an id get a row each. An empty table
     gives no rows. Other columns are ignored.
 
-    In each bucket of each table all members are first paired with the smallest one. Buckets whose members then lie in different
-    components are paired across those components, so no link that the tables offer is lost, and a dense group costs pairs in proportion to its size.
+    In each bucket of each table all members are first paired with the smallest one. What then shares a bucket but no component is
+    compared in tiles (see ``_across``), so no link that the tables offer is lost, and a dense group costs rows in proportion to its size.
     """
     if not 80 <= percent <= 100:
         raise ValueError("the tables are made for similarities of 80 per cent or more")
@@ -114,14 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = stage(buckets.select("key", "node", "low"), "buckets")
     stars = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(stars, reps, docs, width, percent)
-    roots = components(links)
-    placed = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "low")
-    mixed = placed.withColumn("r0", F.min("root").over(same)).withColumn("r1", F.max("root").over(same)).where("r0 <> r1")
-    mixed = stage(mixed.select("key", "node", "root", "low").join(reps.select("node", "n"), "node"), "mixed")
-    # Stars were tested already: pairs with a bucket's smallest member are left out.
-    x, y = mixed.where("node <> low").alias("x"), mixed.where("node <> low").alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    more = _verified(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), reps, docs, width, percent)
+    more = _across(buckets, components(links), reps, docs, width, percent)
     roots = components(links.union(more))
     full = rows.where("node is not null").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
     lowest = full.groupBy("root").agg(F.min("id").alias("component_id"))
