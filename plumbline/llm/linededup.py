@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BLANKS, lower_ascii
+from plumbline.llm.common import BLANKS, lower_ascii, stage
 
 
 def _key(line: Column) -> Column:
@@ -36,7 +36,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     row = docs.select(F.struct(F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(F.lit("row"), F.col(id_col), text).alias("r2")).alias("row"), F.transform(F.split(text, "\n", -1), _key).alias("keys"))
     long_enough = F.length("key") >= min_chars
     counted = docs.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n", -1), _key))).alias("key")).where(long_enough).select(_pair(F.col("key")).alias("k")).groupBy("k.h1", "k.h2").count()
-    shared = counted.where(F.col("count") >= min_docs).select("h1", "h2")
+    shared = stage(counted.where(F.col("count") >= min_docs).select("h1", "h2"), "shared_lines")
     places = row.select("row", F.posexplode("keys").alias("pos", "key")).where(long_enough).select("row", "pos", _pair(F.col("key")).alias("k")).select("row", "pos", "k.h1", "k.h2")
     drops = places.join(shared, ["h1", "h2"]).groupBy("row.r1", "row.r2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
     d = named.select(F.struct(*[F.col(f"`{c}`") for c in named.columns]).alias("d"), F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(F.lit("row"), F.col(id_col), text).alias("r2"))
