@@ -68,10 +68,12 @@ def fit_temperature(df: DataFrame, s: str = "s", y: str = "y", low: float = 0.01
             lo = beta
         step = beta - g / h if h > 1e-300 else (lo + hi) / 2
         new = step if lo < step < hi else (lo + hi) / 2
-        if abs(g) < tolerance or abs(new - beta) < tolerance * max(1.0, beta):
-            beta = new
-            break
+        settled = abs(g) < tolerance or abs(new - beta) < tolerance * max(1.0, beta)
         beta = new
+        if settled:
+            break
+    else:
+        raise RuntimeError(f"the temperature did not settle in {steps} steps (gradient {g:.3g})")
     return Calibration("temperature", T=min(max(1.0 / beta, low), high))
 
 
@@ -121,29 +123,41 @@ def fit_platt(df: DataFrame, s: str = "s", y: str = "y", l2: float = 1e-5, a_ran
             if trial[0] <= f + 1e-15:
                 break
             scale /= 2
+        else:  # no step this way lowers the loss: the point is as good as rounding allows
+            return Calibration("platt", A=a, B=b)
         moved = abs(na - a) + abs(nb - b)
         a, b = na, nb
         f, ga, gb, haa, hab, hbb = trial
         if moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"the Platt fit did not settle in {steps} steps (gradient {ga:.3g}, {gb:.3g})")
     return Calibration("platt", A=a, B=b)
 
 
 def fit_fusion(df: DataFrame, label: str, features: tuple[str, str] = ("p_generated", "p_manipulated"), labels=None, iterations: int = 100):
     """Class-weighted multinomial regression on the two scores, fitted by Spark ML; returns a FusionModel.
 
+    Rows with any other label are left out, and weights are those of the labels that occur: n / (k n_c).
     Softmax weights are known only up to a common shift; they are centred so that each column sums to zero.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     from plumbline.operators.rules import LABELS, FusionModel
-    from plumbline.operators.sampling import class_weights
 
     labels = tuple(labels or LABELS)
-    weights = class_weights(df.select(label), label).select(label, "weight")
+    known = df.where(F.col(label).isin(*labels))
+    counts = {r[label]: r.n for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}  # one row per known label
+    total = sum(counts.values())
+    if not total:
+        raise ValueError("no row has a known label")
+    weight = None
+    for name, n in counts.items():
+        share = F.lit(total / (len(counts) * n))
+        weight = F.when(F.col(label) == name, share) if weight is None else weight.when(F.col(label) == name, share)
     index = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)) - 1
-    data = df.join(F.broadcast(weights.limit(len(labels))), label).select(index.cast("double").alias("_y"), "weight", *features)
+    data = known.select(index.cast("double").alias("_y"), weight.alias("weight"), *features)
     vectors = VectorAssembler(inputCols=list(features), outputCol="_x").transform(data)
     lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial",
                             standardization=False, regParam=0.0, maxIter=iterations, tol=1e-7)

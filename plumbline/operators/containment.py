@@ -1,8 +1,10 @@
 """Which documents contain a benchmark passage word for word.
 
-Every distinct passage is represented by one run of whole words from its inside (its first and last word may be cut
-from a longer word in a document). A document that contains the passage contains that run, so an equi-join
-on the run's hash finds every candidate and the substring test confirms it. Document texts are
+Every distinct passage is represented by one key. A passage of three words or more has a run of whole words from its
+inside (its first and last word may be cut from a longer word in a document), up to ``width`` of them. A
+shorter one has its first characters, up to ``gram``, since it may lie anywhere in a word. A document that contains the
+passage contains that run or those characters, so an equi-join on the key's hash finds every candidate and the
+substring test confirms it. Documents give keys of those widths alone that some passage has, in one pass. Their texts are
 not carried through the join: only ids and hashes are, and the texts of the few candidates are fetched again.
 """
 
@@ -18,56 +20,56 @@ def _words(text: str | Column) -> Column:
     return F.split(F.col(text) if isinstance(text, str) else text, WORD_BREAK)
 
 
-def _runs(words: Column, width: int) -> Column:
-    """Hashes of all runs of ``width`` words.
+def _runs(items: Column, widths: Column, kind: str) -> Column:
+    """Hashes of all runs of each of ``widths`` items.
 
-    The word array is bound as the variable of an outer one-element transform: named inside the inner one
+    The array is bound as the variable of an outer one-element transform: named inside the inner one
     directly, it would be split from the text again for every run.
     """
-    def of(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - F.lit(width - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, width)))
-    return F.element_at(F.transform(F.array(words), of), 1)
+    def of(a: Column) -> Column:
+        def of_width(w: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - w + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(kind), F.slice(a, i, w)))
+        return F.flatten(F.transform(widths, of_width))
+    return F.element_at(F.transform(F.array(items), of), 1)
 
 
-def _anchors(distinct: DataFrame, width: int) -> DataFrame:
-    """(key, run): of a passage's inner runs the one fewest passages share, the earliest of those.
+def _anchors(distinct: DataFrame, width: int, gram: int) -> DataFrame:
+    """(key, kind, width, run): of a passage's inner runs the one fewest passages share, the earliest of those; for passages of
+    one or two words their first characters.
 
     Passages with a common opening thus get different runs, and a run found in very many documents is paired
     with as few passages as possible.
     """
-    words = _words("passage")
-    inner = F.slice(words, 2, F.size(words) - 2)
-    runs = distinct.select("key", F.posexplode(_runs(inner, width)).alias("pos", "run"))
+    n = F.size(_words("passage"))
+    inner = F.slice(_words("passage"), 2, n - 2)
+    long = distinct.where(n >= 3).withColumn("width", F.least(F.lit(width), n - 2))
+    runs = long.select("key", "width", F.posexplode(_runs(inner, F.array("width"), "words")).alias("pos", "run"))
     shared = runs.groupBy("run").agg(F.count_distinct("key").alias("sharing"))
-    return runs.join(shared, "run").groupBy("key").agg(F.min(F.struct("sharing", "pos", "run"))["run"].alias("run"))
+    chosen = runs.join(shared, "run").groupBy("key", "width").agg(F.min(F.struct("sharing", "pos", "run"))["run"].alias("run"))
+    short = distinct.where(n < 3).withColumn("width", F.least(F.lit(gram), F.length("passage")))
+    first = F.xxhash64(F.lit("letters"), F.slice(F.split("passage", ""), F.lit(1), F.col("width")))
+    return chosen.select("key", F.lit("words").alias("kind"), "width", "run").unionByName(short.select("key", F.lit("letters").alias("kind"), "width", first.alias("run")))
 
 
 def contained_passages(docs: DataFrame, doc_id: str, text: str, passages: DataFrame, item: str, passage: str,
-                       width: int = 6) -> DataFrame:
-    """(doc_id, item_id) for every passage of three words or more found verbatim in a document.
+                       width: int = 6, gram: int = 6) -> DataFrame:
+    """(doc_id, item_id) for every passage, of any length, found verbatim in a document.
 
-    Equal passages are searched for once. Passages too short for a run of ``width`` inner words are matched by one
-    inner word instead. Passages of one or two words have no inner word; find them with ``unanchored`` and treat
-    them apart.
+    Equal passages are searched for once. NULL passages are found nowhere; an empty passage, which every text contains, is an error.
     """
     items = passages.select(F.col(item).alias("item_id"), F.col(passage).alias("passage"))
-    distinct = items.groupBy("passage").agg(F.min("item_id").alias("key"))
-    n = F.size(_words("passage"))
-    dw = _words(text)
-
-    def meet(anchor: DataFrame, size: int) -> DataFrame:
-        runs = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(_runs(dw, size))).alias("run"))
-        return runs.join(anchor, "run").select("doc_id", "key")
-
-    candidates = meet(_anchors(distinct.where(n >= width + 2), width), width).unionByName(
-        meet(_anchors(distinct.where((n >= 3) & (n < width + 2)), 1), 1)).distinct()
+    empty = F.assert_true(F.col("passage") != "", F.lit("an empty passage"))
+    distinct = items.where(F.col("passage").isNotNull() & empty.isNull()).groupBy("passage").agg(F.min("item_id").alias("key"))
+    anchors = _anchors(distinct, width, gram)
+    # At most width + gram numbers: which widths occur.
+    used = anchors.agg(F.sort_array(F.collect_set(F.when(F.col("kind") == "words", F.col("width")))).alias("words"),
+                       F.sort_array(F.collect_set(F.when(F.col("kind") == "letters", F.col("width")))).alias("letters"))
+    asked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), used.select(F.struct("words", "letters")).scalar().alias("_use"))
+    words = _runs(_words("_text"), F.col("_use.words"), "words")
+    letters = F.when(F.size("_use.letters") > 0, _runs(F.split("_text", ""), F.col("_use.letters"), "letters")).otherwise(F.array().cast("array<bigint>"))
+    runs = asked.select("doc_id", F.explode(F.array_distinct(F.concat(words, letters))).alias("run"))
+    candidates = runs.join(anchors.select("key", "run"), "run").select("doc_id", "key").distinct()
     found = (candidates.join(distinct, "key")
              .join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
              .where(F.contains("_text", "passage")).select("doc_id", "passage"))
     return found.join(items, "passage").select("doc_id", "item_id")
-
-
-def unanchored(passages: DataFrame, item: str, passage: str) -> DataFrame:
-    """Passages of one or two words, which ``contained_passages`` does not look for."""
-    return passages.where(F.size(_words(passage)) < 3).select(F.col(item).alias("item_id"))

@@ -1,7 +1,7 @@
 """ROC and precision-recall quantities from score histograms.
 
 Rows are first reduced to one row per (group, distinct score); ties thus become one curve point by
-construction. The running counts come from ``running_totals``, so one model's scores are not sorted on a
+construction. The running counts come from ``value_totals``, so one model's scores are not sorted on a
 single task.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import ratio
-from plumbline.operators.prefix import running_totals, value_bucket
+from plumbline.operators.prefix import value_totals
 
 
 def score_histogram(df: DataFrame, keys: Sequence[str], y: str = "y", score: str = "score",
@@ -25,10 +25,9 @@ def score_histogram(df: DataFrame, keys: Sequence[str], y: str = "y", score: str
         F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("neg"))
 
 
-def curve_points(hist: DataFrame, keys: Sequence[str], bucket: Column | None = None) -> DataFrame:
+def curve_points(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cumulative (tp, fp) at every distinct score used as threshold, highest first, and the totals P, N."""
-    run = running_totals(hist, keys, ["score"], bucket if bucket is not None else value_bucket("score"),
-                         {"tp": "pos", "fp": "neg"}, descending=True)
+    run = value_totals(hist, keys, "score", {"tp": "pos", "fp": "neg"}, descending=True)
     return run.withColumnRenamed("tp_all", "n_pos").withColumnRenamed("fp_all", "n_neg")
 
 

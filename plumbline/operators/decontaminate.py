@@ -11,7 +11,6 @@ NULL keys are dropped by counting them after the aggregation, and joins to key s
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +26,11 @@ def keep_first(df: DataFrame, key: str, order: Sequence[str], carry: Sequence[st
               .select(key, *[F.col(f"_first.{c}").alias(c) for c in carry], "copies"))
 
 
-def blacklist(sources: Sequence[tuple[str, DataFrame]], key: str, name: str) -> DataFrame:
-    """Union of several evaluation sets: per key how many set members carry it, from how many sets, the
-    first member, and the set names. The set count is fixed, so the collected set is small."""
-    parts = [df.select(F.col(key), F.col(name).cast("string").alias("member"), F.lit(s).alias("origin")) for s, df in sources]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy(key).agg(
+def blacklist(members: DataFrame, key: str, name: str, origin: str = "origin") -> DataFrame:
+    """Per key how many members of evaluation sets carry it, the set names, and the first member, from one table of all sets' members
+    with the set's name in ``origin``. The sets are few, so the collected names are."""
+    m = members.select(F.col(key), F.col(name).cast("string").alias("member"), F.col(origin).alias("origin"))
+    return m.groupBy(key).agg(
         F.count(key).alias("n_members"),
         F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"),
         F.min(F.struct("origin", "member")).alias("_first"),
@@ -73,20 +69,22 @@ def first_failing_key(df: DataFrame, checks: Sequence[tuple[str, str, DataFrame]
     return out.withColumn("exclude_reason", reason).drop(*[f"_hit{i}" for i in range(len(checks))])
 
 
-def presence(df: DataFrame, key: str, split: str, names: Sequence) -> DataFrame:
-    """Per key one boolean column in_<name> for every named split; a partial aggregate, no lists."""
-    present = F.col(key).isNotNull()
-    return df.groupBy(key).agg(*[F.bool_or(present & (F.col(split) == F.lit(n))).alias(f"in_{n}") for n in names])
+def cross_split_overlap(df: DataFrame, key: str, split: str) -> DataFrame:
+    """Number of keys shared by each pair of the splits that occur, in order of their names as text, pairs without a shared key too.
 
+    Per key the set of its splits is gathered, which is as small as the number of splits; its pairs are counted. The list of all
+    pairs comes from one row per split.
+    """
+    name = F.col(split).cast("string")
+    seen = df.where(name.isNotNull())
+
+    def pairs(names: Column) -> Column:
+        return F.flatten(F.transform(names, lambda a: F.transform(F.filter(names, lambda b: a < b), lambda b: F.struct(a.alias("left_split"), b.alias("right_split")))))
 
-def cross_split_overlap(df: DataFrame, key: str, split: str, names: Sequence) -> DataFrame:
-    """Number of keys shared by each pair of splits, all pairs listed (zero too)."""
-    table = presence(df, key, split, names)
-    pairs = list(combinations(names, 2))
-    counts = table.agg(*[F.count_if(F.col(f"in_{a}") & F.col(f"in_{b}")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(str(a)).alias("left_split"), F.lit(str(b)).alias("right_split"), F.col(f"c{i}").alias("shared_keys"))
-                     for i, (a, b) in enumerate(pairs)])
-    return counts.select(F.explode(rows).alias("r")).select("r.*")
+    per_key = seen.groupBy(key).agg(F.collect_set(name).alias("_s"), F.count(key).alias("_n")).where((F.col("_n") > 0) & (F.size("_s") > 1))
+    shared = per_key.select(F.explode(pairs(F.col("_s"))).alias("p")).groupBy("p.left_split", "p.right_split").agg(F.count("*").alias("shared_keys"))
+    every = seen.select(name.alias("s")).distinct().agg(F.collect_set("s").alias("_s")).select(F.explode(pairs(F.col("_s"))).alias("p")).select("p.*")
+    return every.join(shared, ["left_split", "right_split"], "left").select("left_split", "right_split", F.coalesce("shared_keys", F.lit(0)).alias("shared_keys"))
 
 
 def duplicate_groups(df: DataFrame, key: str, id_col: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import col
-from plumbline.operators.prefix import hash_bucket, running_totals, seeded_rank
+from plumbline.operators.prefix import hash_bucket, running_totals, seeded_rank, value_totals
 
 
 def _digest(seed: str | Column, id_col: str) -> Column:
@@ -21,20 +21,16 @@ def _digest(seed: str | Column, id_col: str) -> Column:
 
 
 def sample_per_stratum(df: DataFrame, stratum: str, id_col: str, k: int, seed: str) -> DataFrame:
-    """The first k rows of each stratum in seeded order. With a constant k Spark drops all but k rows per
-    stratum on every task before the shuffle, so no stratum is gathered whole."""
-    w = Window.partitionBy(stratum).orderBy("_digest", id_col)
-    return (df.withColumn("_digest", _digest(seed, id_col)).withColumn("rank", F.row_number().over(w).cast("bigint"))
-              .where(F.col("rank") <= k).drop("_digest"))
+    """The first k rows of each stratum in seeded order, for any k: strata are ranked in buckets, none is gathered whole."""
+    return seeded_rank(df, [stratum], id_col, seed).where(F.col("rank") <= k).drop("n_group")
 
 
 def first_per_category(df: DataFrame, category: str, order: str, quotas: Mapping[str, int]) -> DataFrame:
-    """The first rows of each category in arrival order, up to its own quota; unlisted categories get none."""
-    most = max(quotas.values())
-    w = Window.partitionBy(category).orderBy(order)
+    """The first rows of each category in arrival order (a number), up to its own quota; unlisted categories get none."""
+    listed = df.where(F.col(category).isin(*quotas)).withColumn("_one", F.lit(1).cast("bigint"))
     entries = [x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))]
-    ranked = df.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= most)
-    return ranked.where(F.col("rank") <= F.try_element_at(F.create_map(*entries), F.col(category)))
+    ranked = value_totals(listed, [category], order, {"rank": "_one"})
+    return ranked.where(F.col("rank") <= F.try_element_at(F.create_map(*entries), F.col(category))).drop("_one", "rank_all")
 
 
 def audited_draw(pool: DataFrame, category: str, id_col: str, accepted: str, k: int, seed: str) -> DataFrame:
@@ -106,10 +102,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def sequential_names(df: DataFrame, keys: Sequence[str], id_col: str, existing_max: Column, prefix: str, width: int = 6) -> DataFrame:
     """Number the rows of each group on from ``existing_max`` in id order and build padded names.
 
-    Ids are integers; a run of them is one bucket, so a big group is numbered in parallel.
+    Ids are numbers, dense or sparse; a big group is numbered in parallel.
     """
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    run = running_totals(one, keys, [id_col], F.floor(F.col(id_col) / F.lit(100_000)).cast("bigint"), {"_pos": "_one"})
+    run = value_totals(one, keys, id_col, {"_pos": "_one"})
     number = F.coalesce(existing_max, F.lit(0)) + F.col("_pos")
     return (run.withColumn("number", number.cast("bigint"))
                .withColumn("name", F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0")))

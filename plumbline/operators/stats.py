@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.scalars import chi2_1df_p, ratio, snapped, two_sided_p
 from plumbline.operators.metrics import cell_counts, with_rates
-from plumbline.operators.prefix import running_totals, value_bucket
+from plumbline.operators.prefix import value_totals
 
 # Cumulative Poisson(1) probabilities; a weight is how many of them a uniform number reaches.
 POISSON_STEPS = tuple(sum(exp(-1.0) / factorial(i) for i in range(k + 1)) for k in range(12))
@@ -131,7 +131,7 @@ def signed_rank(df: DataFrame, keys: Sequence[str], delta: str, digits: int = 9)
     sizes = (df.select(*keys, d.alias("_d")).where((F.col("_d") != 0) & F.col("_d").isNotNull())
                .groupBy(*keys, F.abs("_d").alias("_size"))
                .agg(F.count("*").alias("_t"), F.count_if(F.col("_d") > 0).alias("_up")))
-    run = running_totals(sizes, keys, ["_size"], value_bucket("_size"), {"_upto": "_t"})
+    run = value_totals(sizes, keys, "_size", {"_upto": "_t"})
     t = F.col("_t").cast("double")
     mid = F.col("_upto").cast("double") - (t - 1.0) / 2.0
     s = run.groupBy(*keys).agg(

@@ -124,7 +124,7 @@ def edit_category(spark, d):
 
 @query("B4, J10", f"select {_sql_rules('text', tx.EDIT_RULES_V2)} as category, count(*) as n from documents group by 1")
 def edit_category_counts(spark, d):
-    docs = scans.spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return docs.groupBy(tx.first_keyword_label("text", tx.EDIT_RULES_V2).alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -261,16 +261,27 @@ def history_search(spark, d):
 _HELD = "source in ('src0','src1','src2')"
 
 
-def _held_out(spark, d):
-    docs = V.docs(spark, d)
-    held = F.col("source").isin("src0", "src1", "src2")
-    return docs.where(held), docs.where(~held)
+HELD = ("src0", "src1", "src2")
+
+
+def _hashed(spark, d):
+    """Documents (``is_doc``) and benchmark passages, one scan and one hash of each text, with the evaluation set (``origin``) of what is held out."""
+    docs = V.docs(spark, d).select("doc_id", "lang", "source", "n_chars", "sha", F.when(F.col("source").isin(*HELD), F.col("source")).alias("origin"), F.lit(True).alias("is_doc"))
+    none = F.lit(None)
+    return docs.unionByName(table(spark, d, "benchmark").select(
+        F.col("item_id").alias("doc_id"), none.cast("string").alias("lang"), none.cast("string").alias("source"), none.cast("bigint").alias("n_chars"),
+        sha256_hex("text").alias("sha"), F.lit("benchmark").alias("origin"), F.lit(False).alias("is_doc")))
+
+
+def docs_and_black(spark, d):
+    """All documents and the blacklist, both from one staged table of hashes: texts are read and hashed once."""
+    rows = cut_lineage(_hashed(spark, d))
+    return rows.where("is_doc").drop("is_doc"), dc.blacklist(rows.where("origin is not null"), "sha", "doc_id")
 
 
-def _evaluation_sets(spark, d):
-    held, _ = _held_out(spark, d)
-    b = table(spark, d, "benchmark").select(sha256_hex("text").alias("sha"), F.col("item_id").alias("name"))
-    return [("benchmark", b)] + [(s, held.where(F.col("source") == s).select("sha", F.col("doc_id").alias("name"))) for s in ("src0", "src1", "src2")]
+def _pool_and_black(spark, d):
+    docs, black = docs_and_black(spark, d)
+    return docs.where("origin is null"), black
 
 
 _BLACK = f"""select sha, count(*) as n_members, string_agg(distinct origin, ',' order by origin) as origins, min(origin) as first_origin from
@@ -279,19 +290,17 @@ _BLACK = f"""select sha, count(*) as n_members, string_agg(distinct origin, ','
 
 @query("C1", W("docs", black=_BLACK) + "select * from black")
 def evaluation_blacklist(spark, d):
-    return dc.blacklist(_evaluation_sets(spark, d), "sha", "name").select("sha", "n_members", "origins", "first_origin")
+    return dc.blacklist(_hashed(spark, d).where("origin is not null"), "sha", "doc_id").select("sha", "n_members", "origins", "first_origin")
 
 
 @query("C2", W("docs", black=_BLACK) + f"select doc_id, lang, source, sha from docs where not ({_HELD}) and sha not in (select sha from black)")
 def exact_decontamination(spark, d):
-    _, pool = _held_out(spark, d)
-    return dc.without(pool, dc.blacklist(_evaluation_sets(spark, d), "sha", "name"), "sha").select("doc_id", "lang", "source", "sha")
+    return dc.without(*_pool_and_black(spark, d), "sha").select("doc_id", "lang", "source", "sha")
 
 
 @query("C2", W("docs", black=_BLACK) + f"select doc_id, source, sha, origins, n_members from docs join black using (sha) where not ({_HELD})")
 def decontamination_log(spark, d):
-    _, pool = _held_out(spark, d)
-    return dc.collisions(pool, dc.blacklist(_evaluation_sets(spark, d), "sha", "name"), "sha").select("doc_id", "source", "sha", "origins", "n_members")
+    return dc.collisions(*_pool_and_black(spark, d), "sha").select("doc_id", "source", "sha", "origins", "n_members")
 
 
 _PRIO = "cast(substr(source,4) as integer)"
@@ -313,8 +322,9 @@ _NORM = "trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
  select outcome, count(*) as n from r group by 1""")
 def leak_filter_waterfall(spark, d):
     """Candidates removed by known id, then exact hash, then the hash of the normalised text."""
-    raw = scans.spread(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
-    t = raw.select("doc_id", "source", sha256_hex("text").alias("sha"), sha256_hex(tx.normalised_text("text")).alias("norm"))
+    raw = table(spark, d, "documents").select("doc_id", "source", "text")
+    # Hashes of all texts, staged: candidates and known keys both come from it, and no text is read twice or shuffled.
+    t = cut_lineage(raw.select("doc_id", "source", sha256_hex("text").alias("sha"), sha256_hex(tx.normalised_text("text")).alias("norm")))
     held = F.col("source").isin("src0", "src1", "src2")
     known = t.where(held)
     out = dc.first_failing_key(t.where(~held), [
@@ -382,7 +392,7 @@ def leakage_audit_log(spark, d):
 
 @query("C8", "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
 def benchmark_containment(spark, d):
-    docs = scans.spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return containment.contained_passages(docs, "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
 
@@ -396,14 +406,14 @@ def split_docs(spark, d):
 
 @query("C9, J9", W("docs", s=SPLIT_SQL, k="select sha, bool_or(split='train') as a, bool_or(split='validation') as b, bool_or(split='test') as c from s group by 1") + """
  select 'train' as left_split, 'validation' as right_split, count(*) filter (where a and b) as shared_keys from k
- union all select 'train','test', count(*) filter (where a and c) from k union all select 'validation','test', count(*) filter (where b and c) from k""")
+ union all select 'test','train', count(*) filter (where a and c) from k union all select 'test','validation', count(*) filter (where b and c) from k""")
 def cross_split_exact_overlap(spark, d):
-    return dc.cross_split_overlap(split_docs(spark, d), "sha", "split", ["train", "validation", "test"])
+    return dc.cross_split_overlap(split_docs(spark, d), "sha", "split")
 
 
 @query("C9", W("docs", s=SPLIT_SQL, black=_BLACK) + "select split, count(*) as n_blacklisted from s where sha in (select sha from black) group by 1")
 def split_blacklist_overlap(spark, d):
-    black = dc.blacklist(_evaluation_sets(spark, d), "sha", "name").select("sha")
+    black = dc.blacklist(_hashed(spark, d).where("origin is not null"), "sha", "doc_id").select("sha")
     return split_docs(spark, d).join(black, "sha", "left_semi").groupBy("split").agg(F.count("*").alias("n_blacklisted"))
 
 
@@ -411,7 +421,7 @@ def split_blacklist_overlap(spark, d):
        "select least(x.label,y.label) as label_1, greatest(x.label,y.label) as label_2, count(distinct x.fp) as shared_fingerprints from a x join a y on x.fp=y.fp and x.label<y.label group by 1,2")
 def cross_split_fingerprint_overlap(spark, d):
     a = V.fp(spark, d).select("fp", "label").unionByName(V.fp_near(spark, d).select("fp", (9 - F.col("label")).alias("label")))
-    out = dc.cross_split_overlap(a, "fp", "label", list(range(10)))
+    out = dc.cross_split_overlap(a, "fp", "label")
     return out.where("shared_keys > 0").select(F.col("left_split").cast("int").alias("label_1"), F.col("right_split").cast("int").alias("label_2"),
                                                F.col("shared_keys").alias("shared_fingerprints"))
 

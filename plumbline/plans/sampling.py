@@ -8,7 +8,7 @@ from plumbline.functions.fingerprint import sha256_hex
 from plumbline.functions.scalars import rounded
 from plumbline.operators import decontaminate as dc, sampling as sp
 from plumbline.plans import views as V
-from plumbline.plans.integrity import SPLIT_SQL, _evaluation_sets, split_docs, _BLACK
+from plumbline.plans.integrity import SPLIT_SQL, docs_and_black, split_docs, _BLACK
 from plumbline.plans.registry import query
 from plumbline.plans.views import rnd, with_views
 from plumbline.sources.scans import table
@@ -33,9 +33,8 @@ def stratified_sample(spark, d):
        + "select doc_id, lang, accepted, rank, n_accepted::bigint as n_accepted, rank > 25 as is_replacement from a where n_accepted - cast(accepted as integer) < 25")
 def audited_sample(spark, d):
     """Draw 25 clean documents per language; every document looked at is logged, replacements marked."""
-    docs = V.docs(spark, d)
-    black = dc.blacklist(_evaluation_sets(spark, d), "sha", "name").select("sha", F.lit(False).alias("accepted"))
-    pool = docs.join(black, "sha", "left").select("doc_id", "lang", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+    docs, black = docs_and_black(spark, d)
+    pool = docs.join(black.select("sha", F.lit(False).alias("accepted")), "sha", "left").select("doc_id", "lang", F.coalesce("accepted", F.lit(True)).alias("accepted"))
     return sp.audited_draw(pool, "lang", "doc_id", "accepted", 25, "audit").select("doc_id", "lang", "accepted", "rank", "n_accepted", "is_replacement")
 
 
@@ -154,7 +153,8 @@ def clean_dataset_build(spark, d):
 
     Deduplication comes first: it is a partial aggregation, and no repeated hash reaches the join.
     """
-    docs = V.docs(spark, d).withColumn("priority", F.substring("source", 4, 10).cast("int"))
+    docs, black = docs_and_black(spark, d)
+    docs = docs.withColumn("priority", F.substring("source", 4, 10).cast("int"))
     first = dc.keep_first(docs, "sha", ["priority", "doc_id"], ["doc_id", "lang", "source", "n_chars"])
-    kept = dc.without(first, dc.blacklist(_evaluation_sets(spark, d), "sha", "name"), "sha")
+    kept = dc.without(first, black, "sha")
     return sp.split_by_shares(kept, ["lang"], "doc_id", "split").groupBy("split", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))

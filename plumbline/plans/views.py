@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.fingerprint import neighbour_fingerprint, sha256_hex
 from plumbline.functions.scalars import snapped, uniform_hash
 from plumbline.operators.fusion import VIEWS
-from plumbline.sources.scans import spread, table
+from plumbline.sources.scans import table
 
 MODELS = ("A", "B", "C", "D")
 MODEL_WEIGHT = {"A": 0.35, "B": 0.10, "C": 0.30, "D": 0.33}
@@ -34,7 +34,7 @@ def literal_rows(**columns: list) -> Column:
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    e = spread(table(spark, d, "events").select("event_id", "event_type", "user_id"), "event_id")
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id")
     return e.select(
         F.col("event_id").alias("sample_id"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("y"),
         F.col("event_type").alias("generator"), F.col("user_id").alias("grp"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = folder or tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -44,10 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+    """Write ``df`` to the shared checkpoint folder, as a table, and read on from there.
 
-    Used where a result is scanned many times (iterative fits, a reference index); unlike a cache it
-    survives the loss of executors.
+    Used where a result is scanned many times (iterative fits, a reference index, rows that are ranked); unlike a cache it
+    survives the loss of executors, and unlike ``checkpoint`` the plan runs once and Spark knows the size of what it reads.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,18 +28,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan with at most half as many partitions as the cluster has cores (one small file, say), so the
-    expressions above it run in parallel. Any other scan is returned as it is: a big table is never shuffled for this."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def shards(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Parquet shards with the file name and row number of every row (``shard``, ``row_in_shard``)."""
+    """Parquet shards with the place of every row: ``shard`` (the file's path below the common root of the paths; its name where one file is read),
+    ``file_name`` (for display: names may repeat) and ``row_in_shard``."""
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.parquet(*paths)
-    return df.select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row_in_shard"))
+    bare = [p.split("://", 1)[-1].rstrip("/") for p in paths]
+    common = bare[0].split("/")
+    for p in bare[1:]:
+        common = [a for a, b in zip(common, p.split("/")) if a == b] if common != p.split("/") else common
+    tail = len("/".join(common)) if len(bare) > 1 else len(bare[0])
+    root = bare[0][:tail]
+    full, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    below = F.substring_index(full, root + "/", -1)
+    return df.select("*", F.when(F.contains(full, F.lit(root + "/")), below).otherwise(name).alias("shard"), name.alias("file_name"), F.col("_metadata.row_index").alias("row_in_shard"))
 
 
 def asset_files(spark: SparkSession, folder: str, extensions: Sequence[str] = IMAGE_EXTENSIONS, content: bool = False) -> DataFrame:
@@ -64,6 +66,8 @@ def resolve_rows(manifest: DataFrame, source: DataFrame, reference: str = "stora
 
     ``source`` comes from ``shards``. References that name no row are dropped.
     """
+    if "file_name" in manifest.columns:
+        manifest = manifest.drop("file_name")
     ref = manifest.withColumn("shard", F.regexp_extract(reference, r"^(.*):[0-9]+$", 1)) \
                   .withColumn("row_in_shard", F.regexp_extract(reference, r":([0-9]+)$", 1).cast("bigint"))
     return ref.join(source, ["shard", "row_in_shard"], "inner")

@@ -99,8 +99,13 @@ def test_containment_matches_brute_force(spark):
     passages.append((200, "aa bb cc dd ee aa bb cc dd"))
     passages.append((201, "aa bb cc dd ee aa bb cc dd"))
     passages += [(300 + i, "aa bb cc dd ee aa " + " ".join(rng.choices(words, k=3))) for i in range(20)]
-    want = {(d, p) for d, t in docs for p, q in passages if q in t and len(q.split()) >= 3}
+    docs += [(501, "alpha"), (502, "xalphay beta gammaz"), (503, " lead and trail "), (504, ""), (505, None), (506, "日本語のテキスト")]
+    passages += [(400 + i, q) for i, q in enumerate(["beta gamma", "alpha", "alpha beta gamma", "ha", "a", " ", "a be", "lead ", " lead and", "本語", "nowhere", "aa bb", "e a", "beta gammaz"])]
+    want = {(d, p) for d, t in docs for p, q in passages if t is not None and q in t}
+    passages.append((499, None))
     got = containment.contained_passages(spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text", spark.createDataFrame(passages, "item_id int, text string"), "item_id", "text")
+    with pytest.raises(Exception, match="empty passage"):
+        containment.contained_passages(spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text", spark.createDataFrame([(1, "")], "item_id int, text string"), "item_id", "text").collect()
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and {(500, 200), (500, 201)} <= want
 
 
@@ -109,7 +114,8 @@ def test_first_failing_key_and_blacklist(spark):
     known = spark.createDataFrame([(1, "b"), (1, "b")], "id int, sha string")
     got = {r.id: r.exclude_reason for r in dc.first_failing_key(df, [("id", "id", known), ("sha", "sha", known)]).collect()}
     assert got == {1: "id", 2: "sha", 3: None, 4: None}
-    black = dc.blacklist([("x", known.withColumn("n", F.lit("p"))), ("y", df.withColumn("n", F.lit("q")))], "sha", "n")
+    members = known.withColumn("n", F.lit("p")).withColumn("origin", F.lit("x")).unionByName(df.withColumn("n", F.lit("q")).withColumn("origin", F.lit("y")))
+    black = dc.blacklist(members, "sha", "n")
     b = {r.sha: (r.n_members, r.origins, r.first_origin) for r in black.collect()}
     assert b["b"] == (3, "x,y", "x") and None not in b
     assert {r.id for r in dc.without(df, known, "sha").collect()} == {1, 3, 4}
@@ -119,8 +125,8 @@ def test_keep_first_and_overlap(spark):
     df = spark.createDataFrame([("h", 2, 9, "x"), ("h", 1, 12, "y"), ("h", 1, 11, "z"), ("k", 3, 1, "x")], "sha string, prio int, id int, split string")
     got = {r.sha: (r.id, r.split, r.copies) for r in dc.keep_first(df, "sha", ["prio", "id"], ["id", "split"]).collect()}
     assert got == {"h": (11, "z", 3), "k": (1, "x", 1)}
-    o = {(r.left_split, r.right_split): r.shared_keys for r in dc.cross_split_overlap(df, "sha", "split", ["x", "y", "z"]).collect()}
-    assert o == {("x", "y"): 1, ("x", "z"): 1, ("y", "z"): 1}
+    o = {(r.left_split, r.right_split): r.shared_keys for r in dc.cross_split_overlap(df.unionByName(spark.createDataFrame([("m", 1, 1, "q"), (None, 1, 1, "x"), (None, 1, 1, "y")], df.schema)), "sha", "split").collect()}
+    assert o == {("x", "y"): 1, ("x", "z"): 1, ("y", "z"): 1, ("q", "x"): 0, ("q", "y"): 0, ("q", "z"): 0}
 
 
 def test_compare_reported(spark):
@@ -205,3 +211,27 @@ def test_one_key_holds_a_third_of_all_rows(spark):
     have = set(values)
     want = sum(1 for v in values for b in range(40) if (w := v ^ (1 << b)) > v and w in have)
     assert pairs.count() == want
+
+
+def test_samples_beyond_a_thousand_gather_no_stratum(spark):
+    df = spark.range(12_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"))
+    got = sp.sample_per_stratum(df, "k", "id", 5000, "s")
+    assert {r.k: r["count"] for r in got.groupBy("k").count().collect()} == {"a": 4000, "b": 5000}
+    assert {r.id for r in sp.sample_per_stratum(df, "k", "id", 50, "s").collect()} <= {r.id for r in got.collect()}
+    first = sp.first_per_category(df, "k", "id", {"b": 3000})
+    assert {r.id for r in first.collect()} == {i for i in range(4500) if i % 3}
+    for frame in (got, first):  # every window works inside a bucket or over bucket totals
+        windows = [x for x in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.strip(" +-:").startswith("Window ")]
+        assert windows and all("_k" in x for x in windows)
+
+
+def test_row_references_tell_equal_names_apart(spark, tmp_path):
+    from plumbline.sources import scans
+    for folder in ("one", "two"):
+        spark.range(3).selectExpr("id", f"'{folder}' as origin").coalesce(1).write.parquet(str(tmp_path / folder))
+        made = next((tmp_path / folder).glob("part-*.parquet"))
+        made.rename(tmp_path / folder / "part-0.parquet")
+    source = scans.shards(spark, [str(tmp_path / "one"), str(tmp_path / "two")])
+    refs = source.select(F.concat_ws(":", "shard", F.col("row_in_shard").cast("string")).alias("storage_ref"), F.col("origin").alias("want"))
+    rows = scans.resolve_rows(refs, source).collect()
+    assert len(rows) == 6 and all(r.want == r.origin for r in rows) and {r.shard for r in rows} == {"one/part-0.parquet", "two/part-0.parquet"}

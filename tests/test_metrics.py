@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import curves, metrics as mt, robustness as rb
-from plumbline.operators.prefix import describe, exact_quantiles, running_totals, seeded_rank, value_bucket
+from plumbline.operators.prefix import describe, exact_quantiles, running_totals, seeded_rank, value_totals, with_even_bucket
 from plumbline.sources.reports import flatten_report
 
 # Published counts (tp, tn, fp, fn) with the published F1, MCC and share of the clean F1 0.970176 retained.
@@ -122,8 +122,8 @@ def test_running_totals_in_buckets(spark):
     rng = np.random.default_rng(9)
     rows = [("a" if i % 3 else "b", float(x), int(c)) for i, (x, c) in enumerate(zip(np.unique(rng.random(500)), rng.integers(1, 9, 500)))]
     df = spark.createDataFrame(rows, "k string, x double, c int")
-    for buckets, desc in ((4, False), (65536, True)):
-        got = {(r.k, r.x): (r.t, r.t_all) for r in running_totals(df, ["k"], ["x"], value_bucket("x", buckets), {"t": "c"}, desc).collect()}
+    for splits, desc in ((4, False), (1024, True)):
+        got = {(r.k, r.x): (r.t, r.t_all) for r in running_totals(with_even_bucket(df, "x", splits), ["k"], ["x"], "_bucket", {"t": "c"}, desc).collect()}
         for k in "ab":
             mine = sorted([r for r in rows if r[0] == k], key=lambda r: r[1], reverse=desc)
             acc = 0
@@ -132,6 +132,39 @@ def test_running_totals_in_buckets(spark):
                 assert got[(k, r[1])] == (acc, sum(m[2] for m in mine))
 
 
+def test_value_buckets_are_even_whatever_the_values(spark):
+    rng = np.random.default_rng(4)
+    crowded = 1 / (1 + np.exp(-rng.normal(14, 3, 20_000)))
+    for values in (np.unique(crowded), 1e9 + np.arange(5000), np.unique(rng.integers(-2**62, 2**62, 5000)).astype(float), np.array([1.0, 1.0 + 1e-12])):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        sizes = [r["count"] for r in with_even_bucket(df, "v", 256).groupBy("_bucket").count().collect()]
+        assert len(sizes) <= 257 and max(sizes) <= max(2, 3 * len(values) / 256)
+    odd = spark.createDataFrame([(v,) for v in (None, float("-inf"), -1.0, 0.0, 3.0, float("inf"), float("nan"))], "v double").withColumn("c", F.lit(1))
+    assert [r.t for r in value_totals(odd, [], "v", {"t": "c"}).orderBy(F.asc_nulls_first("v")).collect()] == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_large_values_keep_their_spread(spark):
+    df = spark.createDataFrame([("g", 1e9), ("g", 1e9 + 1), (None, 5.0), (None, 7.0)], "k string, v double")
+    got = {r.k: (r["std"], r.m) for r in describe(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {"g": (0.5, 1e9 + 0.5), None: (1.0, 6.0)}
+
+
+def test_ranks_read_and_shuffle_rows_once(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id % 7 as k").write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = seeded_rank(spark.read.parquet(str(tmp_path / "t")), ["k"], "id", "s")
+        assert df.count() == 5000
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("FileScan parquet") == 1 and plan.count("REPARTITION_BY_COL") <= 2 and "ReusedExchange" in plan
+    full = [x for x in plan.splitlines() if " Exchange " in x and "REPARTITION_BY_COL" in x and "ReusedExchange" not in x]
+    assert len(full) == 1
+
+
 def test_seeded_rank_is_a_permutation_and_ignores_partitioning(spark):
     df = spark.range(1000).withColumn("k", (F.col("id") % 3 == 0).cast("int"))
     a = {r.id: (r["rank"], r.n_group) for r in seeded_rank(df, ["k"], "id", "s").collect()}

@@ -70,7 +70,8 @@ def test_checkpoint_dir_of_the_session_is_kept(spark):
     first = ensure_checkpoint_dir(spark)
     assert ensure_checkpoint_dir(spark) == first
     df = cut_lineage(spark.range(10).selectExpr("id * 2 as v"))
-    assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString() and df.count() == 10
+    # A table in that folder is read; nothing of what made it is left in the plan.
+    assert all(first.split(":")[-1] in f for f in df.inputFiles()) and "Range" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 10
 
 
 def test_pushdown_reaches_the_scan(spark, sf):
@@ -84,10 +85,3 @@ def test_nested_report_and_percent(spark):
     assert sinks.nested_report(df, "model", "cond", ["f1"]).first()[0] == '{"m1":{"c1":{"f1":1.0},"c2":{"f1":0.25}},"m2":{"c1":{"f1":0.5}}}'
     got = [r[0] for r in spark.createDataFrame([(0.00125,), (0.00375,)], "x double").select(sinks.percent("x")).collect()]
     assert got == [0.12, 0.38]
-
-
-def test_spread_only_touches_small_scans(spark, sf):
-    one = scans.table(spark, sf, "events")
-    assert scans.spread(one, "event_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 3)
-    assert scans.spread(many, "id") is many

@@ -175,3 +175,13 @@ def test_scoring(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, -3.0])], "id bigint, x array<double>")
     got = {r.sample_id: (r.score, r.pred, r.model) for r in score_batches(df, "id", "x", "lin", linear_scorer([1.0, 1.0])).collect()}
     assert got[1][0] == pytest.approx(1 / (1 + math.exp(-3))) and got[2][1] == 0 and got[1][2] == "lin"
+
+
+def test_fusion_weights_ignore_stray_labels(spark):
+    rng = np.random.default_rng(2)
+    rows = [(("REAL_ORIGINAL", "AI_GENERATED", "AI_MANIPULATED")[i % 3], float(rng.random()), float(rng.random())) for i in range(300)]
+    clean = cal.fit_fusion(spark.createDataFrame(rows, "truth string, p_generated double, p_manipulated double"), "truth")
+    stray = cal.fit_fusion(spark.createDataFrame([("A_STRAY", .5, .5), (None, .1, .2), *rows], "truth string, p_generated double, p_manipulated double"), "truth")
+    assert np.allclose(clean.weights, stray.weights, atol=1e-6) and np.allclose(clean.biases, stray.biases, atol=1e-6)
+    with pytest.raises(ValueError):
+        cal.fit_fusion(spark.createDataFrame([("A_STRAY", .5, .5)], "truth string, p_generated double, p_manipulated double"), "truth")
