@@ -137,7 +137,7 @@ class Network:
 def train(labelled: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_col: str = "lang", key: Column | None = None) -> Network | None:
     """Fit on a bounded sample of the rows of ``labelled`` with a language and a letter in the text; None if there is none.
 
-    The sample is the ``max_docs`` rows with the smallest hashes of ``key`` (default: of the text), so it does not depend on partitioning. Its windows
+    The sample is one row for each of the ``max_docs`` smallest hashes of ``key`` (default: of the text), so it does not depend on partitioning. Its windows
     are cut on the executors; the driver gets at most max_docs x windows_per_doc windows.
     """
     small_batches(labelled.sparkSession)
@@ -156,13 +156,15 @@ def train(labelled: DataFrame, s: Settings = Settings(), text_col: str = "text",
 
     text, lang = F.col(text_col), F.col(lang_col)
     usable = labelled.where(lang.isNotNull() & text.isNotNull() & text.rlike(r"\p{L}"))
-    order = F.xxhash64(F.lit(s.seed), key if key is not None else text)
-    chosen = usable.select(order.alias("o"), text.alias("t"), lang.alias("l")).orderBy("o", "l").limit(s.max_docs)
+    hashed = usable.select(F.xxhash64(F.lit(s.seed), key if key is not None else text).alias("o"), text.alias("t"), lang.alias("l"))
+    lowest = [r.o for r in hashed.select("o").distinct().orderBy("o").limit(s.max_docs).collect()]
+    if not lowest:
+        return None
+    # Only texts below the last hash leave the scan; copies share a hash and are one row.
+    chosen = hashed.where(F.col("o") <= lowest[-1]).groupBy("o").agg(F.first("t").alias("t"), F.min("l").alias("l"))
     rows = chosen.select("o", cut("t").alias("w"), "l").collect()
-    rows.sort(key=lambda r: (r.o, r.l))
+    rows.sort(key=lambda r: r.o)
     languages = sorted({r.l for r in rows})
-    if not languages:
-        return None
     x = np.stack([np.frombuffer(w, dtype=np.uint8) for r in rows for w in r.w])
     y = np.array([languages.index(r.l) for r in rows for _ in r.w])
     net = Network(languages, s)
