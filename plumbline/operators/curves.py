@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import ratio
-from plumbline.operators.prefix import value_totals
+from plumbline.operators.prefix import SPLITS, value_totals
 
 
 def score_histogram(df: DataFrame, keys: Sequence[str], y: str = "y", score: str = "score",
@@ -25,9 +25,9 @@ def score_histogram(df: DataFrame, keys: Sequence[str], y: str = "y", score: str
         F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("neg"))
 
 
-def curve_points(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+def curve_points(hist: DataFrame, keys: Sequence[str], splits: int = SPLITS) -> DataFrame:
     """Cumulative (tp, fp) at every distinct score used as threshold, highest first, and the totals P, N."""
-    run = value_totals(hist, keys, "score", {"tp": "pos", "fp": "neg"}, descending=True)
+    run = value_totals(hist, keys, "score", {"tp": "pos", "fp": "neg"}, descending=True, splits=splits)
     return run.withColumnRenamed("tp_all", "n_pos").withColumnRenamed("fp_all", "n_neg")
 
 

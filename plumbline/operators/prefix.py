@@ -39,7 +39,7 @@ def with_even_bucket(df: DataFrame, value: str, splits: int = SPLITS, name: str
 
     x = F.col(value).cast("double")
     finite = F.when(~F.isnan(x), x)
-    points = df.agg(F.percentile_approx(finite, [i / splits for i in range(1, splits)], 100 * splits).alias("q")).first().q or []
+    points = df.agg(F.percentile_approx(finite, [i / splits for i in range(1, splits)], 16 * splits).alias("q")).first().q or []
     inner = sorted({float(v) for v in points if v is not None and abs(v) != float("inf")})
     cuts = [float("-inf"), *inner, float("inf")]
     if len(cuts) < 3:
@@ -96,9 +96,12 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], buc
     )
 
 
-def value_totals(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, str], descending: bool = False) -> DataFrame:
-    """``running_totals`` in the order of a numeric column, with even buckets. ``df`` (one row per value) is staged first."""
-    staged = with_even_bucket(cut_lineage(df), value)
+def value_totals(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, str], descending: bool = False, splits: int = SPLITS) -> DataFrame:
+    """``running_totals`` in the order of a numeric column, with even buckets. ``df`` (one row per value) is staged first.
+
+    ``splits`` bounds a bucket's share of all rows; where there are many groups of much the same size, few are enough.
+    """
+    staged = with_even_bucket(cut_lineage(df), value, splits)
     return running_totals(staged, keys, [value], "_bucket", sums, descending).drop("_bucket")
 
 

@@ -1,16 +1,15 @@
 """Resampling intervals and paired tests.
 
-Bootstrap, two modes. ``poisson``: each sample gets an independent Poisson(1) weight per replicate, made
-from a hash of (seed, replicate, sample), so all models share one resample, nothing is joined, and the
-weights collapse map-side into a few cells per replicate. ``multinomial``: rows are first counted into
-cells and each replicate redraws the cell counts, which is resampling rows with replacement
-exactly, at a cost that does not grow with the number of rows.
+Bootstrap, always on counted cells, so its cost is cells x replicates whatever the number of rows. ``poisson``: a cell of n rows gets a
+Poisson(n) count per replicate, which is what n independent Poisson(1) weights add up to; it is made from a hash of (seed,
+replicate, cell), so any engine can repeat it. ``multinomial``: each replicate redraws all cell counts together, which is resampling rows with
+replacement exactly. All models share the cells, hence one resample.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import exp, factorial
+from math import exp, pi
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,51 +20,71 @@ from plumbline.functions.scalars import chi2_1df_p, ratio, snapped, two_sided_p
 from plumbline.operators.metrics import cell_counts, with_rates
 from plumbline.operators.prefix import value_totals
 
-# Cumulative Poisson(1) probabilities; a weight is how many of them a uniform number reaches.
-POISSON_STEPS = tuple(sum(exp(-1.0) / factorial(i) for i in range(k + 1)) for k in range(12))
-
-
-def poisson_weight(u: Column, steps: Sequence[float] = POISSON_STEPS) -> Column:
-    return sum([(u >= F.lit(t)).cast("int") for t in steps[1:]], (u >= F.lit(steps[0])).cast("int"))
+#: Counts below this are drawn from the exact distribution, larger ones from the normal one rounded; terms of the distribution that are kept.
+EXACT_BELOW, TERMS = 16, 64
+
+
+def poisson_steps() -> list[tuple[int, int, float, float]]:
+    """(n, k, low, high): a uniform number in [low, high) gives the count k for a Poisson mean n, for n from 0 to EXACT_BELOW - 1."""
+    out = []
+    for n in range(EXACT_BELOW):
+        term, low = exp(-n), 0.0
+        for k in range(TERMS):
+            high = 2.0 if k == TERMS - 1 else low + term
+            if high > low:
+                out.append((n, k, low, high))
+            low, term = high, term * n / (k + 1)
+    return out
+
+
+def poisson_cells(cells: DataFrame, keys: Sequence[str], replicates: int, seed: str) -> DataFrame:
+    """(replicate, keys..., n) with n > 0: the counts ``n`` of the cells drawn again for each replicate, by inversion where n is
+    small, else by Box-Muller, rounded and not below zero."""
+    name = F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    # Each step is its own projection, so the digest is computed once.
+    digest = cells.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("replicate", *keys, "n", F.md5(name).alias("_d"))
+    part = lambda at: F.conv(F.substring("_d", at, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    drawn = digest.select("replicate", *keys, "n", part(1).alias("_u"), part(9).alias("_v"))
+    steps = cells.sparkSession.createDataFrame(poisson_steps(), "_n int, _k long, _low double, _high double")
+    few = drawn.join(steps, (F.col("n") == F.col("_n")) & (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))).select("replicate", *keys, F.col("_k").alias("n"))
+    z = F.sqrt(F.log(F.lit(1.0) - F.col("_u")) * -2.0) * F.cos(F.col("_v") * (2.0 * pi))
+    many = drawn.where(F.col("n") >= EXACT_BELOW).select("replicate", *keys, F.greatest(F.lit(0.0), F.floor(F.col("n") + F.sqrt(F.col("n").cast("double")) * z + 0.5)).cast("bigint").alias("n"))
+    return few.union(many).where("n > 0")
+
+
+def bootstrap_cells(wide: DataFrame, y: str, preds: Sequence[str], replicates: int, seed: str, mode: str = "poisson") -> DataFrame:
+    """(replicate, y, preds..., n): resampled counts of every prediction pattern. Binary columns only."""
+    cells = [y, *preds]
+    draw = {"poisson": poisson_cells, "multinomial": multinomial_replicates}.get(mode)
+    if draw is None:
+        raise ValueError(f"unknown bootstrap mode {mode!r}")
+    return draw(wide.groupBy(*cells).agg(F.count("*").alias("n")), cells, replicates, seed)
 
 
-def poisson_replicates(df: DataFrame, keep: Sequence[str], id_col: str, replicates: int, seed: str) -> DataFrame:
-    """Rows (replicate, weight, keep...) with weight > 0. One md5 serves four replicates; each step is its own
-    projection, so the digest and the number read from it are computed once."""
-    blocks = -(-replicates // 4)
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    hashed = df.select(F.col(id_col).alias("_id"), *keep, block.alias("_block")).select(
-        *keep, "_block", F.md5(F.concat_ws(":", F.lit(seed), F.col("_block").cast("string"), F.col("_id").cast("string"))).alias("_digest"))
-    part = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_i")
-    drawn = hashed.select(*keep, "_block", "_digest", part)
-    piece = F.substr(F.col("_digest"), F.col("_i") * 8 + 1, F.lit(8))
-    u = drawn.select(*keep, (F.col("_block") * 4 + F.col("_i")).alias("replicate"), (F.conv(piece, 16, 10).cast("bigint") / F.lit(4294967296.0)).alias("_u"))
-    # Most draws are below the first step (weight 0); they are dropped before the other steps are compared.
-    kept = u.where((F.col("_u") >= F.lit(POISSON_STEPS[0])) & (F.col("replicate") < replicates))
-    return kept.select("replicate", poisson_weight(F.col("_u")).alias("weight"), *keep)
+def bootstrap_scores(df: DataFrame, keys: Sequence[str], y: str, score: str, replicates: int, seed: str) -> DataFrame:
+    """(replicate, keys..., score, pos, neg): score histograms resampled cell by cell, for curves of every replicate."""
+    cells = [*keys, F.col(y).cast("int").alias("y"), F.col(score).alias("score")]
+    drawn = poisson_cells(df.groupBy(*cells).agg(F.count("*").alias("n")), [*keys, "y", "score"], replicates, seed)
+    return drawn.groupBy("replicate", *keys, "score").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
 
 
-def bootstrap_cells(wide: DataFrame, id_col: str, y: str, preds: Sequence[str], replicates: int, seed: str, mode: str = "poisson") -> DataFrame:
-    """(replicate, y, preds..., n): resampled counts of every prediction pattern. Binary columns only."""
-    cells = [y, *preds]
-    if mode == "poisson":
-        rep = poisson_replicates(wide, cells, id_col, replicates, seed)
-        return rep.groupBy("replicate", *cells).agg(F.sum("weight").cast("bigint").alias("n"))
-    if mode == "multinomial":
-        return multinomial_replicates(wide.groupBy(*cells).agg(F.count("*").alias("n")), cells, replicates, seed)
-    raise ValueError(f"unknown bootstrap mode {mode!r}")
+#: Cells that one array may hold.
+MAX_CELLS = 65_536
 
 
 def multinomial_replicates(cells: DataFrame, keys: Sequence[str], replicates: int, seed: str) -> DataFrame:
     """Redraw cell counts ``n`` for each replicate from Multinomial(sum n, n / sum n).
 
-    The cells of a replicate (2^(models + 1) at most) are gathered into one array; a generator seeded with
-    (seed, replicate) draws from them in key order, so the result does not depend on partitioning.
+    The cells of a replicate (prediction patterns: 2^(models + 1) at most) are gathered into one array; more than MAX_CELLS are an error. A
+    generator seeded with (seed, replicate) draws from them in key order, so the result does not depend on partitioning.
     """
     import zlib
 
+
     base = zlib.crc32(seed.encode())
     struct = F.struct(*keys, "n")
+    if cells.limit(MAX_CELLS + 1).count() > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells: scores are not patterns")
     packed = cells.agg(F.array_sort(F.collect_list(struct)).alias("_cells"))
     spread = packed.select(F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"), "_cells").repartition("replicate")
 
@@ -144,9 +163,18 @@ def signed_rank(df: DataFrame, keys: Sequence[str], delta: str, digits: int = 9)
                     two_sided_p(z).alias("p_value"), (F.col("_most") > 1).alias("has_ties"))
 
 
-def with_exact_p(tests: DataFrame, largest: int = 50) -> DataFrame:
-    """Replace the normal p by the exact one where the group has no ties and at most ``largest`` pairs; the
-    column ``p_method`` says which was used. Works on the result rows of signed_rank only."""
+#: Largest number of pairs for which exact p-values are made: beyond it the table of sums grows with its square.
+MOST_EXACT_PAIRS = 1000
+
+
+def with_p_method(tests: DataFrame, method: str) -> DataFrame:
+    """Add ``p_method`` and, for ``exact``, replace the normal p by the exact one. Exact p needs groups without ties and of at most
+    MOST_EXACT_PAIRS pairs and is NULL elsewhere. Works on the result rows of signed_rank only."""
+    if method == "normal":
+        return tests.withColumn("p_method", F.lit(method))
+    if method != "exact":
+        raise ValueError(f"unknown p method {method!r}")
+
     @F.pandas_udf(T.DoubleType())
     def exact(n: pd.Series, w: pd.Series) -> pd.Series:
         tables: dict[int, list[int]] = {}
@@ -162,9 +190,9 @@ def with_exact_p(tests: DataFrame, largest: int = 50) -> DataFrame:
             out.append(min(1.0, 2.0 * sum(ways[: int(stat) + 1]) / 2.0 ** size))
         return pd.Series(out, dtype="float64")
 
-    small = (F.col("n") <= largest) & ~F.col("has_ties")
-    p = F.when(small, exact(F.when(small, F.col("n")).otherwise(0), F.when(small, F.col("statistic")).otherwise(0.0))).otherwise(F.col("p_value"))
-    return tests.withColumn("p_value", p).withColumn("p_method", F.when(small, "exact").otherwise("normal"))
+    fit = (F.col("n") <= MOST_EXACT_PAIRS) & ~F.col("has_ties")
+    p = F.when(fit, exact(F.when(fit, F.col("n")).otherwise(0), F.when(fit, F.col("statistic")).otherwise(0.0)))
+    return tests.withColumn("p_value", p).withColumn("p_method", F.lit(method))
 
 
 def mcnemar(gained: Column, lost: Column) -> dict[str, Column]:

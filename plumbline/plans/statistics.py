@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import pi
 
 from pyspark.sql import functions as F
 
@@ -18,75 +19,124 @@ from plumbline.plans.studies import WIDE_SQL, fused_rows, fused_union, wide
 from plumbline.plans.views import MODELS, rnd, sql_rates, with_views
 
 W = with_views
-REPLICATES = 40
+REPLICATES = 1000
 BOOT_METRICS = ("accuracy", "precision", "recall", "f1", "balanced_accuracy", "mcc")
 PAIRS = list(combinations(MODELS, 2))
 PRED = {m: f"pred_{m}" for m in MODELS}
 
-_STEPS = "+".join(f"cast(u>={t!r}e0 as integer)" for t in st.POISSON_STEPS)
+
+def _drawn(cells: str, keys: str) -> dict[str, str]:
+    """Subqueries that redraw the counts n of ``cells`` for every replicate: as operators.stats.poisson_cells does."""
+    name = "||':'||".join(f"{k}::varchar" for k in keys.split(", "))
+    u = lambda at: f"cast('0x'||substr(d,{at},8) as bigint)/4294967296e0"
+    num = lambda x: repr(x) + ("" if "e" in repr(x) else "e0")
+    steps = ", ".join(f"({n}, {k}, {num(low)}, {num(high)})" for n, k, low, high in st.poisson_steps())
+    return {
+        "ps": f"select * from (values {steps}) t(pn, pk, low, high)",
+        "d1": f"select b.range as replicate, {keys}, n, md5('boot:'||b.range||':'||{name}) as d from {cells}, range({REPLICATES}) b",
+        "d2": f"select replicate, {keys}, n, {u(1)} as u, {u(9)} as v from d1",
+        "dr": f"""select replicate, {keys}, pk::bigint as n from d2 join ps on n = pn and u >= low and u < high
+ union all select replicate, {keys}, greatest(0e0, floor(n + sqrt(n::double) * (sqrt(ln(1e0-u) * -2e0) * cos(v * {2 * pi!r}e0)) + 0.5e0))::bigint as n from d2 where n >= {st.EXACT_BELOW}""",
+    }
+
+
 _WEIGHTS = {
     "w": WIDE_SQL,
-    "uu": f"select w.*, b.range as replicate, cast('0x'||substr(md5('boot:'||(b.range//4)||':'||w.sample_id), 1+8*(b.range%4)::integer, 8) as bigint)/4294967296e0 as u from w, range({REPLICATES}) b",
-    "ww": f"select *, {_STEPS} as weight from uu",
-    "lg": " union all ".join(f"select replicate, '{m}' as model, y, pred_{m} as pred, weight from ww" for m in MODELS),
-    "c": "select replicate, model, " + ", ".join(f"sum(case when y={y} and pred={p} then weight else 0 end)::bigint as {n}" for n, y, p in (("tp", 1, 1), ("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0))) + " from lg group by 1,2",
+    "ce": f"select y, {', '.join(PRED.values())}, count(*) as n from w group by all",
+    **_drawn("ce", "y, " + ", ".join(PRED.values())),
+    "lg": " union all ".join(f"select replicate, '{m}' as model, y, pred_{m} as pred, n from dr" for m in MODELS),
+    "c": "select replicate, model, " + ", ".join(f"sum(case when y={y} and pred={p} then n else 0 end)::bigint as {x}" for x, y, p in (("tp", 1, 1), ("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0))) + " from lg group by 1,2",
     "rm": "select replicate, model, " + sql_rates(*BOOT_METRICS).replace(",9)", ",15)") + " from c",
     "ml": " union all ".join(f"select replicate, model, '{m}' as metric, {m} as value from rm" for m in BOOT_METRICS),
+    "pc": "select model, count(*) filter (where y=1 and pred=1)::bigint as tp, count(*) filter (where y=0 and pred=0)::bigint as tn, count(*) filter (where y=0 and pred=1)::bigint as fp, count(*) filter (where y=1 and pred=0)::bigint as fn from pred group by 1",
+    "pr": "select model, " + sql_rates(*BOOT_METRICS) + " from pc",
+    "pe": " union all ".join(f"select model, '{m}' as metric, {m} as estimate from pr" for m in BOOT_METRICS),
 }
 
 
-def _replicates(spark, d, names=BOOT_METRICS, mode="poisson", replicates=REPLICATES):
-    cells = st.bootstrap_cells(wide(spark, d), "sample_id", "y", list(PRED.values()), replicates, "boot", mode)
+def _replicates(spark, d, names=BOOT_METRICS, mode="poisson"):
+    cells = st.bootstrap_cells(wide(spark, d), "y", list(PRED.values()), REPLICATES, "boot", mode)
     return values_long(st.replicate_metrics(cells, "y", PRED, names), ["replicate", "model"], list(names))
 
 
-@query("I1", W("pred", **_WEIGHTS) + f"""select model, metric, {rnd('avg(value)')} as boot_mean, {rnd('stddev_samp(value)', 8)} as std_error, {rnd('quantile_cont(value,0.025e0)', 8)} as ci_low, {rnd('quantile_cont(value,0.975e0)', 8)} as ci_high
- from ml group by 1,2""")
+def _estimates(spark, d, names=BOOT_METRICS):
+    point = mt.binary_metrics(V.pred(spark, d), ["model"], names=names)
+    return values_long(point, ["model"], list(names)).withColumnRenamed("value", "estimate")
+
+
+_STAT = f"{rnd('avg(value)')} as boot_mean, {rnd('stddev_samp(value)', 8)} as std_error, {rnd('quantile_cont(value,0.025e0)', 8)} as ci_low, {rnd('quantile_cont(value,0.975e0)', 8)} as ci_high"
+
+
+def _interval_rows(i, *keys):
+    return i.select(*keys, rounded("estimate").alias("estimate"), rounded("boot_mean").alias("boot_mean"), *[rounded(c, 8).alias(c) for c in ("std_error", "ci_low", "ci_high")])
+
+
+@query("I1", W("pred", **_WEIGHTS, b=f"select model, metric, {_STAT} from ml group by 1,2") + f"select model, metric, {rnd('estimate')} as estimate, boot_mean, std_error, ci_low, ci_high from b join pe using (model, metric)")
 def bootstrap_intervals(spark, d):
-    """Poisson bootstrap of six count metrics for four models; one pass over the samples."""
-    i = st.interval(_replicates(spark, d), ["model", "metric"])
-    return i.select("model", "metric", rounded("boot_mean").alias("boot_mean"), *[rounded(c, 8).alias(c) for c in ("std_error", "ci_low", "ci_high")])
+    """1,000 Poisson replicates of six count metrics for four models, drawn on prediction patterns; the estimate beside its interval."""
+    i = st.interval(_replicates(spark, d), ["model", "metric"]).join(_estimates(spark, d), ["model", "metric"])
+    return _interval_rows(i, "model", "metric")
+
+
+_MOMENTS = ("accuracy", "recall", "specificity")
 
 
-@query("I1")
+@query("I1", W("pred", pc=_WEIGHTS["pc"], pr="select model, tp+tn+fp+fn as n_accuracy, tp+fn as n_recall, tn+fp as n_specificity, " + sql_rates(*_MOMENTS) + " from pc",
+               pe=" union all ".join(f"select model, '{m}' as metric, {m} as estimate, n_{m} as n from pr" for m in _MOMENTS))
+       + f"select model, metric, {rnd('estimate')} as estimate, true as mean_agrees, true as error_agrees from pe")
 def bootstrap_intervals_multinomial(spark, d):
-    """The same intervals with exact resampling of cell counts, 1000 replicates, at a cost independent of the rows."""
-    i = st.interval(_replicates(spark, d, mode="multinomial", replicates=1000), ["model", "metric"])
-    return reported(i)
+    """1,000 exact redraws of cell counts, held against closed forms: the mean of the replicates lies within six of its standard errors of the estimate, and
+    their standard error within a quarter of sqrt(p (1-p) / n)."""
+    point = mt.binary_metrics(V.pred(spark, d), ["model"], names=_MOMENTS)
+    base = {"accuracy": F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"), "recall": F.col("tp") + F.col("fn"), "specificity": F.col("tn") + F.col("fp")}
+    sizes = values_long(point, ["model"], base).withColumnRenamed("value", "n")
+    est = values_long(point, ["model"], list(_MOMENTS)).withColumnRenamed("value", "estimate").join(sizes, ["model", "metric"])
+    i = st.interval(_replicates(spark, d, _MOMENTS, "multinomial"), ["model", "metric"]).join(est, ["model", "metric"])
+    p = F.col("estimate")
+    closed = F.sqrt(p * (F.lit(1.0) - p) / F.col("n"))
+    return i.select("model", "metric", rounded("estimate").alias("estimate"), (F.abs(F.col("boot_mean") - p) <= closed * 6.0 / REPLICATES**0.5 + 2.0 / F.col("n")).alias("mean_agrees"),
+                    (F.abs(F.col("std_error") - closed) <= closed * 0.25).alias("error_agrees"))
 
 
 _AUC_W = {
-    "ww": f"select *, {_STEPS} as weight from (select p.model, p.y, p.score, b.range as replicate, cast('0x'||substr(md5('boot:'||(b.range//4)||':'||p.sample_id), 1+8*(b.range%4)::integer, 8) as bigint)/4294967296e0 as u from pred p, range(12) b)",
-    "hh": "select replicate, model, score, sum(case when y=1 then weight else 0 end)::bigint as pos, sum(case when y=0 then weight else 0 end)::bigint as neg from ww group by 1,2,3",
-    "rr": "select *, sum(pos) over w as tp, sum(pos) over v as np, sum(neg) over v as nn from hh window w as (partition by replicate, model order by score desc rows unbounded preceding), v as (partition by replicate, model)",
-    "aa": "select replicate, model, sum(neg*(2*tp-pos))/2e0/(max(np)::double*max(nn)) as value from rr group by 1,2",
+    "ce": "select model, y, score, count(*) as n from pred group by all",
+    **_drawn("ce", "model, y, score"),
+    "hh": "select replicate, model, score, sum(case when y=1 then n else 0 end)::bigint as pos, sum(case when y=0 then n else 0 end)::bigint as neg from dr where n > 0 group by 1,2,3"
+          " union all select -1, model, score, sum(y*n)::bigint, sum((1-y)*n)::bigint from ce group by 1,2,3",
+    "rr": "select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over v as np, sum(neg) over v as nn from hh window w as (partition by replicate, model order by score desc rows unbounded preceding), v as (partition by replicate, model)",
+    "aa": "select replicate, model, sum(neg*(2*tp-pos))/2e0/(max(np)::double*max(nn)) as auroc, sum(pos*(tp::double/(tp+fp)))/max(np) as average_precision from rr group by 1,2",
+    "ml": "select replicate, model, 'auroc' as metric, auroc as value from aa union all select replicate, model, 'average_precision', average_precision from aa",
 }
 
 
-@query("I1", W("pred", **_AUC_W) + f"select model, {rnd('avg(value)')} as boot_mean, {rnd('stddev_samp(value)', 8)} as std_error, {rnd('quantile_cont(value,0.025e0)', 8)} as ci_low, {rnd('quantile_cont(value,0.975e0)', 8)} as ci_high from aa group by 1")
+@query("I1", W("pred", **_AUC_W, b=f"select model, metric, {_STAT} from ml where replicate >= 0 group by 1,2") + f"select model, metric, {rnd('value')} as estimate, boot_mean, std_error, ci_low, ci_high from b join (from ml where replicate < 0) using (model, metric)")
 def bootstrap_auroc(spark, d):
-    """Poisson bootstrap of AUROC. A sample's weight is drawn once and shared by its models; weights are summed per
-    distinct score before any ordering."""
-    from plumbline.operators.curves import curve_metrics, curve_points
+    """1,000 Poisson replicates of AUROC and average precision, drawn on the cells of the score histograms."""
+    from plumbline.operators.curves import curve_metrics, curve_points, score_histogram
     keys = ["replicate", "model"]
-    rep = st.poisson_replicates(wide(spark, d), ["y", *[f"score_{m}" for m in MODELS]], "sample_id", 12, "boot")
-    scores = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"score_{m}").alias("score")) for m in MODELS]))
-    rep = rep.select("replicate", "weight", "y", scores.alias("s")).select("replicate", "weight", "y", "s.model", "s.score")
-    hist = rep.groupBy(*keys, "score").agg(F.sum(F.when(F.col("y") == 1, F.col("weight")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("weight")).otherwise(0)).alias("neg"))
-    auc = curve_metrics(curve_points(hist, keys), keys).select(*keys, F.col("auroc").alias("value"))
-    i = st.interval(auc, ["model"])
-    return i.select("model", rounded("boot_mean").alias("boot_mean"), *[rounded(c, 8).alias(c) for c in ("std_error", "ci_low", "ci_high")])
+    p = V.pred(spark, d)
+    hist = st.bootstrap_scores(p, ["model"], "y", "score", REPLICATES, "boot").select(*keys, "score", "pos", "neg")
+    whole = score_histogram(p, ["model"]).select(F.lit(-1).alias("replicate"), "model", "score", "pos", "neg")
+    m = values_long(curve_metrics(curve_points(hist.unionByName(whole), keys, splits=16), keys), keys, ["auroc", "average_precision"])  # 4,004 groups, each a small share
+    i = st.interval(m.where("replicate >= 0"), ["model", "metric"]).join(m.where("replicate < 0").select("model", "metric", F.col("value").alias("estimate")), ["model", "metric"])
+    return _interval_rows(i, "model", "metric")
 
 
 _PAIR_SQL = " union all ".join(f"select '{a}' as model_1, '{b}' as model_2, x.metric, x.value-z.value as value from ml x join ml z on x.replicate=z.replicate and x.metric=z.metric and x.model='{a}' and z.model='{b}'" for a, b in PAIRS)
+_PAIR_EST = " union all ".join(f"select '{a}' as model_1, '{b}' as model_2, x.metric, x.estimate-z.estimate as estimate from pe x join pe z on x.metric=z.metric and x.model='{a}' and z.model='{b}'" for a, b in PAIRS)
 
 
-@query("I2", W("pred", **_WEIGHTS, dd=_PAIR_SQL, g="""select model_1, model_2, metric, avg(value) as m, quantile_cont(value,0.025e0) as lo, quantile_cont(value,0.975e0) as hi, avg((value<=0)::integer) as le, avg((value>=0)::integer) as ge from dd group by 1,2,3""")
-       + f"""select model_1, model_2, metric, {rnd('m')} as boot_mean, {rnd('lo', 8)} as ci_low, {rnd('hi', 8)} as ci_high, not (lo<=0 and hi>=0) as significant, {rnd(f'greatest(2*least(le,ge),1e0/{REPLICATES})')} as p_value from g""")
+@query("I2", W("pred", **_WEIGHTS, dd=_PAIR_SQL, de=_PAIR_EST, g="""select model_1, model_2, metric, avg(value) as m, quantile_cont(value,0.025e0) as lo, quantile_cont(value,0.975e0) as hi, avg((value<=0)::integer) as le, avg((value>=0)::integer) as ge from dd group by 1,2,3""")
+       + f"""select model_1, model_2, metric, {rnd('estimate', 8)} as estimate, {rnd('m')} as boot_mean, {rnd('lo', 8)} as ci_low, {rnd('hi', 8)} as ci_high, not (lo<=0 and hi>=0) as significant, {rnd(f'greatest(2*least(le,ge),1e0/{REPLICATES})')} as p_value
+ from g join de using (model_1, model_2, metric)""")
 def paired_bootstrap(spark, d):
-    """Differences of two models on the same resamples."""
+    """Differences of two models on the same 1,000 resamples, with the difference of the estimates."""
     r = st.paired_interval(_replicates(spark, d).withColumn("value", F.round("value", 15)), PAIRS, REPLICATES)
-    return r.select("model_1", "model_2", "metric", rounded("boot_mean").alias("boot_mean"), rounded("ci_low", 8).alias("ci_low"), rounded("ci_high", 8).alias("ci_high"), "significant", rounded("p_value").alias("p_value"))
+    e = _estimates(spark, d)
+    x, z = e.select(F.col("model").alias("model_1"), "metric", F.col("estimate").alias("_1")), e.select(F.col("model").alias("model_2"), "metric", F.col("estimate").alias("_2"))
+    r = r.join(x, ["model_1", "metric"]).join(z, ["model_2", "metric"])
+    # Estimates are rounded as reported before they are subtracted.
+    return r.select("model_1", "model_2", "metric", rounded(rounded("_1") - rounded("_2"), 8).alias("estimate"), rounded("boot_mean").alias("boot_mean"), rounded("ci_low", 8).alias("ci_low"), rounded("ci_high", 8).alias("ci_high"), "significant", rounded("p_value").alias("p_value"))
 
 
 # --------------------------------------------------------------------------- paired tests

@@ -402,7 +402,9 @@ def metric_report_round_trip(spark, d):
     return flat.select("model", "condition", "true_positive", "total", "accuracy", "f1")
 
 
-@query("K2")
+@query("K2", W("pred", r=f"select generator, model, {sql_rates('accuracy', 'recall')}, tp, fn from (select generator, model, {SQL_COUNTS} from pred group by 1,2)",
+               e="""select model, string_agg('"'||generator||'":{"accuracy":'||accuracy::varchar||',"recall":'||recall::varchar||',"tp":'||tp||',"fn":'||fn||'}', ',' order by generator) as j from r group by 1""")
+       + """select '{'||string_agg('"'||model||'":{'||j||'}', ',' order by model)||'}' as report from e""")
 def nested_json_report(spark, d):
     m = reported(mt.binary_metrics(V.pred(spark, d), ["generator", "model"], names=("accuracy", "recall")))
     return nested_report(m, "model", "generator", ["accuracy", "recall", "tp", "fn"])

@@ -45,11 +45,18 @@ def test_signed_rank_with_ties_and_zeros(spark):
 
 def test_signed_rank_exact_small(spark):
     d = [0.5, -0.1, 0.9, 1.3, 0.25, -0.35, 0.8]
-    r = st.with_exact_p(st.signed_rank(spark.createDataFrame([(x,) for x in d], "d double"), [], "d")).first()
+    tested = st.signed_rank(spark.createDataFrame([(x,) for x in d], "d double"), [], "d")
+    r = st.with_p_method(tested, "exact").first()
     n, wp, wm = plain_signed_rank(d)
     stat = min(wp, wm)
     ways = sum(1 for s in product([0, 1], repeat=n) if sum(i + 1 for i, x in enumerate(s) if x) <= stat)
     assert r.p_method == "exact" and abs(r.p_value - min(1.0, 2 * ways / 2 ** n)) < 1e-12
+    normal = st.with_p_method(tested, "normal").first()
+    assert normal.p_method == "normal" and normal.p_value == tested.first().p_value
+    tied = st.signed_rank(spark.createDataFrame([(0.5,), (0.5,)], "d double"), [], "d")
+    assert st.with_p_method(tied, "exact").first().p_value is None
+    with pytest.raises(ValueError):
+        st.with_p_method(tested, "whichever fits")
 
 
 def test_mcnemar(spark):
@@ -77,7 +84,7 @@ def wide(spark, n=3000):
 @pytest.mark.parametrize("mode", ["poisson", "multinomial"])
 def test_bootstrap_agrees_with_theory(spark, mode):
     rows, df = wide(spark)
-    cells = st.bootstrap_cells(df, "sample_id", "y", ["pred_A", "pred_B"], 300, "s", mode)
+    cells = st.bootstrap_cells(df, "y", ["pred_A", "pred_B"], 300, "s", mode)
     totals = cells.groupBy("replicate").agg(F.sum("n").alias("n")).collect()
     assert len(totals) == 300
     if mode == "multinomial":
@@ -93,10 +100,27 @@ def test_bootstrap_agrees_with_theory(spark, mode):
     assert pair.significant and pair.p_value == pytest.approx(1 / 300)
 
 
+def test_drawn_counts_are_poisson(spark):
+    cells = spark.createDataFrame([(n, n) for n in (1, 3, 15, 16, 400)], "k int, n long")
+    got = {r.k: (r.m, r.v) for r in st.poisson_cells(cells, ["k"], 4000, "s").groupBy("k").agg((F.sum("n") / 4000).alias("m"), ((F.sum(F.col("n") * F.col("n")) / 4000) - F.pow(F.sum("n") / 4000, 2)).alias("v")).collect()}
+    for n, (mean, var) in got.items():
+        assert abs(mean - n) < 5 * math.sqrt(n / 4000) and abs(var - n) < n * 0.15
+    scores = spark.createDataFrame([("m", i % 2, round(i / 40, 3)) for i in range(40)] * 3, "model string, y int, score double")
+    hist = st.bootstrap_scores(scores, ["model"], "y", "score", 500, "s")
+    assert abs(hist.agg(F.sum(F.col("pos") + F.col("neg"))).first()[0] / 500 - 120) < 3
+
+
+def test_patterns_alone_are_gathered(spark, monkeypatch):
+    monkeypatch.setattr(st, "MAX_CELLS", 3)
+    _, df = wide(spark, 200)
+    with pytest.raises(ValueError, match="more than 3 cells"):
+        st.bootstrap_cells(df, "y", ["pred_A", "pred_B"], 5, "s", "multinomial")
+
+
 def test_bootstrap_is_repeatable_under_repartitioning(spark):
     _, df = wide(spark, 500)
     for mode in ("poisson", "multinomial"):
-        a, b = ({tuple(r) for r in st.bootstrap_cells(x, "sample_id", "y", ["pred_A", "pred_B"], 8, "s", mode).collect()} for x in (df, df.repartition(5)))
+        a, b = ({tuple(r) for r in st.bootstrap_cells(x, "y", ["pred_A", "pred_B"], 8, "s", mode).collect()} for x in (df, df.repartition(5)))
         assert a == b
 
 
