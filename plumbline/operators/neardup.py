@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fingerprint import hamming
+from plumbline.session import cut_lineage
 
 BITS = 64
 
@@ -72,15 +73,13 @@ def _refine(keyed: DataFrame, hot: DataFrame, distance: int, blocks: int, sub_bl
 def candidate_keys(left: DataFrame, right: DataFrame, distance: int, blocks: int, hot_key: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Keyed fingerprints of both sides and the columns to join them on.
 
-    Whether any key gathers more than ``hot_key`` patterns is looked up first (a partial aggregate that ends with
-    one row on the driver); without one, the refinement and its shuffles are left out of the plan.
+    Keys that gather more than ``hot_key`` patterns on either side are staged first, as a table whose size Spark
+    knows: the join that marks them is a broadcast unless there are very many. The plan is the same for any data.
     """
     kl, kr = _keyed(left, distance, blocks), _keyed(right, distance, blocks)
-    hot = kr.groupBy("choice", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_key)
-    if hot.isEmpty():
-        return kl, kr, ["choice", "key"]
-    marked = hot.select("choice", "key", F.lit(True).alias("is_hot"))
-    return (_refine(kl, marked, distance, blocks, distance + 2), _refine(kr, marked, distance, blocks, distance + 2), ["choice", "key", "sub", "sub_key"])
+    full = lambda k: k.groupBy("choice", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_key)
+    hot = cut_lineage(full(kl).unionByName(full(kr)).select("choice", "key", F.lit(True).alias("is_hot")).distinct())
+    return (_refine(kl, hot, distance, blocks, distance + 2), _refine(kr, hot, distance, blocks, distance + 2), ["choice", "key", "sub", "sub_key"])
 
 
 def within_distance(left: DataFrame, right: DataFrame, distance: int, blocks: int | None = None,
@@ -88,8 +87,8 @@ def within_distance(left: DataFrame, right: DataFrame, distance: int, blocks: in
     """All (fp_left, fp_right, distance) with Hamming distance <= ``distance``.
 
     Both inputs need a column ``fp`` of distinct fingerprints. ``blocks`` trades replicas, C(blocks, d) per
-    fingerprint, for key length, 64 * (blocks - d) / blocks bits; d + 2 suits up to about 10^8
-    fingerprints, d + 3 more. Above distance 7 the keys are too short to select anything.
+    fingerprint, for key length, 64 * (blocks - d) / blocks bits: the default d + 2 gives 25 bits at d = 3 and 18 at d = 5, so
+    about 3 and 380 candidates a key among 10^8 fingerprints; d + 3 gives 32 and 24. Above distance 7 the keys are too short to select anything.
     """
     if distance > 7:
         raise ValueError("a distance above 7 of 64 bits cannot be searched by keys")

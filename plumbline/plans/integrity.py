@@ -363,10 +363,10 @@ def near_duplicates_internal(spark, d):
     return j.select(F.least("id1", "id2").alias("id_1"), F.greatest("id1", "id2").alias("id_2"), "distance", (F.col("m1") * F.col("m2")).alias("row_pairs"))
 
 
-def _nearest(spark, d, distance):
+def _nearest(spark, d, distance, blocks=None):
     ref = _index(V.fp(spark, d)).select("fp", F.col("first_id").alias("ref_order"), F.col("first_id").alias("ref_id"))
     cand = _index(V.fp_near(spark, d))
-    return V.fp_near(spark, d), neardup.nearest_reference(cand, ref, distance)
+    return V.fp_near(spark, d), neardup.nearest_reference(cand, ref, distance, blocks=blocks)
 
 
 _NEAREST_SQL = """select vec_id, fp, distance, ref_id from (select c.vec_id, c.fp, cast(bit_count(xor(c.fp,r.fp)) as integer) as distance, r.vec_id as ref_id,
@@ -383,7 +383,7 @@ def nearest_reference_within(spark, d):
  else 'CLEAN' end as k from fp_near f left join near n on f.vec_id=n.vec_id""") + """select vec_id, case when k='CLEAN' then 'ACCEPT' else 'REJECT' end as audit_action,
  case k when 'EXACT' then 'EXACT_SHA256_COLLISION' when 'OVERLAP' then 'NEAR_DUPLICATE_SOURCE_OVERLAP' when 'SUSPICIOUS' then 'SUSPICIOUS_NEAR_DUPLICATE' else 'Clean' end as reason_class from log""")
 def leakage_audit_log(spark, d):
-    rows, nearest = _nearest(spark, d, 5)
+    rows, nearest = _nearest(spark, d, 3, blocks=6)  # no more than the audit decides on; keys of 32 bits
     j = rows.join(nearest, "fp", "left")
     origin = F.when(F.col("label") < 5, "shared").otherwise("other")
     log = dc.audit_decision(j, F.coalesce(F.col("distance") == 0, F.lit(False)), F.col("distance"), origin, F.col("ref_id").cast("string"), ["shared"], 3)
