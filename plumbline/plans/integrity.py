@@ -9,13 +9,14 @@ from plumbline.functions.fingerprint import hamming, neighbour_fingerprint, sha2
 from plumbline.functions.scalars import is_positive, logit, rounded, sigmoid, softplus
 from plumbline.operators import containment, decontaminate as dc, expectations as ex, neardup, rules
 from plumbline.operators.metrics import confusion, error_bands, shift_buckets, with_rates
-from plumbline.operators.sampling import split_by_shares
+from plumbline.operators.sampling import manifest as sp_manifest, split_by_shares
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.plans.views import rnd, uq, with_views
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, new_folder
 from plumbline.sources import scans
 from plumbline.sources.scans import table
+from plumbline.sources.sinks import percent, write_result
 
 W = with_views
 
@@ -36,14 +37,13 @@ def scan_asset_files(spark, d):
 
 @query("A4", "select cast(doc_id as varchar) as sample_id, lang as domain, source, sha256(text) as sha256, n_chars as file_size_bytes from documents")
 def manifest_text_round_trip(spark, d):
-    """Manifest rows written as CSV text and parsed back with the fixed schema."""
-    m = table(spark, d, "documents").select(
-        F.to_csv(F.struct(
-            F.col("doc_id").cast("string").alias("sample_id"), F.lit("x").alias("ground_truth"), F.col("lang").alias("domain"), "source",
-            F.lit("raw").alias("resolution_type"), F.lit("train").alias("split"), sha256_hex("text").alias("sha256"),
-            F.lit("parquet").alias("storage_type"), F.lit("documents").alias("storage_ref"), F.col("n_chars").alias("file_size_bytes"))).alias("line"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scans.MANIFEST_SCHEMA)
-    return m.select(F.from_csv("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.sample_id", "r.domain", "r.source", "r.sha256", "r.file_size_bytes")
+    """A manifest written as CSV files to a new shared folder and read with its fixed schema; malformed rows would fail the read."""
+    rows = sp_manifest(table(spark, d, "documents"), {
+        "sample_id": "doc_id", "ground_truth": F.lit("x"), "domain": "lang", "source": "source", "resolution_type": F.lit("raw"), "split": F.lit("train"),
+        "sha256": sha256_hex("text"), "storage_type": F.lit("parquet"), "storage_ref": F.lit("documents"), "file_size_bytes": "n_chars"})
+    path = new_folder(spark, "manifest")
+    write_result(rows, path, "csv")
+    return scans.read_manifest(spark, path).select("sample_id", "domain", "source", "sha256", "file_size_bytes")
 
 
 @query("A5", "select 'documents.parquet:'||(row_number() over (order by doc_id)-1) as storage_ref, doc_id, sha256(text) as sha from documents")
@@ -525,14 +525,13 @@ def label_domain_and_orphans(spark, d):
         count(doc.join(lab.select("doc_id"), "doc_id", "left_anti"), "unlabelled_document"))
 
 
-@query("F7", "select 'documents.parquet:'||doc_id as path, case when doc_id in (select doc_id from labels where toxic=1) then 'MISMATCH' else 'MATCH' end as status from documents")
+@query("F7", "select 'pages:'||page_id as path, case when page_id % 7 = 3 then 'MISMATCH' else 'MATCH' end as status from pages")
 def asset_ledger(spark, d):
-    """A ledger of expected hashes (of toxic documents it holds the hash of another text) against the actual ones."""
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("documents.parquet:"), F.col("doc_id").cast("string")).alias("path"), "text")
-    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("altered"))
-    content = F.when(F.col("altered"), F.concat("text", F.lit("?"))).otherwise(F.col("text"))
-    ledger = t.join(toxic, "doc_id", "left").select("path", F.upper(sha256_hex(content)).alias("sha256"))
-    return ex.ledger_check(ledger, t.select("path", sha256_hex("text").alias("sha256"))).select("path", "status")
+    """A stored ledger of payload hashes (every seventh page's is of other bytes) against the hashes of the payloads' bytes as they are now."""
+    t = table(spark, d, "pages").select(F.concat(F.lit("pages:"), F.col("page_id").cast("string")).alias("path"), "page_id", F.encode("html", "utf-8").alias("payload"))
+    stored = F.when(F.col("page_id") % 7 == 3, F.concat("payload", F.unhex(F.lit("00")))).otherwise(F.col("payload"))
+    ledger = cut_lineage(t.select("path", F.upper(F.sha2(stored, 256)).alias("sha256")))
+    return ex.ledger_check(ledger, t.select("path", F.sha2("payload", 256).alias("sha256"))).select("path", "status")
 
 
 # --------------------------------------------------------------------------- payloads and sinks
@@ -552,14 +551,11 @@ def payload_kinds(spark, d):
 
 @query("A9, B18", "select source, count(*) as n, round_even(100e0*count(*)/(select count(*) from documents),2)+0e0 as pct from documents group by 1")
 def result_sink_round_trip(spark, d):
-    """A result written to a new folder under the shared checkpoint folder (never over an existing one) and read back."""
-    import uuid
-
-    from plumbline.session import ensure_checkpoint_dir
-    from plumbline.sources.sinks import percent, write_result
+    """A result written as JSON to a new folder (never over an existing one), read back, written on as CSV and read again."""
     from pyspark.sql import Window
     g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
     g = g.select("source", "n", percent(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("pct"))
-    path = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
-    write_result(g, path)
-    return spark.read.schema(g.schema).parquet(path)
+    as_json, as_csv = new_folder(spark, "results"), new_folder(spark, "results")
+    write_result(g, as_json, "json")
+    write_result(scans.read_manifest(spark, as_json, g.schema, "json"), as_csv, "csv")
+    return scans.read_manifest(spark, as_csv, g.schema)

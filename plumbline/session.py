@@ -45,12 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that does not exist yet, below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder, as a table, and read on from there.
 
     Used where a result is scanned many times (iterative fits, a reference index, rows that are ranked); unlike a cache it
     survives the loss of executors, and unlike ``checkpoint`` the plan runs once and Spark knows the size of what it reads.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

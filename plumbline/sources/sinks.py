@@ -27,8 +27,15 @@ def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows that a report in one text may have.
+MAX_REPORT_ROWS = 100_000
+
+
 def nested_report(df: DataFrame, outer: str, inner: str, values: Sequence[str]) -> DataFrame:
-    """One JSON text: outer key -> inner key -> values. For result tables; keys are written in order."""
+    """One JSON text: outer key -> inner key -> values. For result tables; keys are written in order.
+    More than MAX_REPORT_ROWS rows are an error: the whole report is one row."""
+    few = df.limit(MAX_REPORT_ROWS + 1).agg(F.assert_true(F.count("*") <= MAX_REPORT_ROWS, F.lit(f"a report of more than {MAX_REPORT_ROWS} rows")).alias("x")).scalar()
+    df = df.where(few.isNull())
     entry = F.struct(F.col(inner).cast("string").alias("k"), F.struct(*values).alias("v"))
     per_outer = df.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
     whole = per_outer.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(outer).cast("string").alias("k"), F.to_json("m").alias("j"))))).alias("all"))

@@ -85,3 +85,11 @@ def test_nested_report_and_percent(spark):
     assert sinks.nested_report(df, "model", "cond", ["f1"]).first()[0] == '{"m1":{"c1":{"f1":1.0},"c2":{"f1":0.25}},"m2":{"c1":{"f1":0.5}}}'
     got = [r[0] for r in spark.createDataFrame([(0.00125,), (0.00375,)], "x double").select(sinks.percent("x")).collect()]
     assert got == [0.12, 0.38]
+
+
+def test_a_report_has_a_bound_that_fails(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], "o string, i string, v int")
+    assert sinks.nested_report(df, "o", "i", ["v"]).first().report == '{"a":{"x":{"v":1},"y":{"v":2}},"b":{"x":{"v":3}}}'
+    monkeypatch.setattr(sinks, "MAX_REPORT_ROWS", 2)
+    with pytest.raises(Exception, match="more than 2 rows"):
+        sinks.nested_report(df, "o", "i", ["v"]).collect()
