@@ -316,7 +316,8 @@ def disagreement(e: Evidence) -> dict[str, Column]:
 
 
 def reliability_decision(df: DataFrame, s: Scores, e: Evidence | None = None, model: FusionModel = FusionModel(), out: str = "decision") -> DataFrame:
-    """Add a struct (label, confidence, decision_case, decision_source, consensus_state).
+    """Add a struct (label, confidence, decision_case, decision_source, consensus_state, fusion_confidence, fusion_probabilities,
+    reliability_state, domain_risk, domain_risk_score). The fusion fields are NULL on invalid rows, the last two without evidence.
 
     Order with evidence: high domain risk abstains; at low risk strong consensus decides and strong
     disagreement abstains; at medium risk anything short of decisive abstains; then the fusion model.
@@ -359,7 +360,14 @@ def reliability_decision(df: DataFrame, s: Scores, e: Evidence | None = None, mo
         F.lit("validation").alias("decision_source"), F.lit("INVALID").alias("consensus_state")))
     for when, result in steps:
         chain = chain.when(when, result)
-    decided = f.withColumn(out, chain.otherwise(outcome(label, best, "strategy_e_calibration", "CONFLICT")))
+    sound = lambda c: F.when(~F.col("_bad"), c)
+    shares = F.map_from_arrays(F.array(*[F.lit(v) for v in model.labels]), F.array(*[F.col(f"_f_p{i}") for i in range(len(model.labels))]))
+    more = {"fusion_confidence": sound(best), "fusion_probabilities": sound(shares),
+            "reliability_state": F.lit("RELIABLE") if e is None else disagreement(e)["reliability_state"],
+            "domain_risk": F.lit(None).cast("string") if e is None else F.when(e.available, e.domain_risk),
+            "domain_risk_score": F.lit(None).cast("double") if e is None else F.when(e.available, e.domain_score)}
+    decided = f.withColumn("_c", chain.otherwise(outcome(label, best, "strategy_e_calibration", "CONFLICT")))
+    decided = decided.withColumn(out, F.struct("_c.*", *[c.alias(k) for k, c in more.items()])).drop("_c")
     return decided.drop("_g", "_m", "_o", "_bad", "_spread", *[c for c in f.columns if c.startswith("_f_")])
 
 

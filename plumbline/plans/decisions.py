@@ -138,9 +138,15 @@ def engine_rows(spark, d):
     return rules.reliability_decision(b, rules.Scores.of(), rules.Evidence.of()).select("sample_id", "truth", "decision.*")
 
 
-@query("G11", W("branches", **DOMAIN_SQL, **fusion_sql("domains", "p_frequency"), **_ENGINE) + "select sample_id, label, confidence, decision_source, consensus_state from v")
+@query("G11", W("branches", **DOMAIN_SQL, **fusion_sql("domains", "p_frequency"), **_ENGINE, x="""select sample_id, best as fusion_confidence, domain_risk, domain_risk_score,
+ case when domain_risk='HIGH' or spread>=0.45e0 then 'LOW' when domain_risk='MEDIUM' or spread>=0.3e0 then 'MODERATE' else 'RELIABLE' end as reliability_state from s""")
+       + f"select sample_id, label, confidence, decision_source, consensus_state, {rnd('fusion_confidence')} as fusion_confidence, reliability_state, domain_risk, {rnd('domain_risk_score')} as domain_risk_score, true as shares_agree from v join x using (sample_id)")
 def reliability_aware_decisions(spark, d):
-    return engine_rows(spark, d).select("sample_id", "label", rounded("confidence").alias("confidence"), "decision_source", "consensus_state")
+    """The engine's verdict with the fusion, reliability and domain fields beside it; the fused probabilities add up to one and their largest is the fusion confidence."""
+    v = F.map_values("fusion_probabilities")
+    agree = (F.abs(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) - 1.0) < 1e-9) & (F.abs(F.array_max(v) - F.col("fusion_confidence")) < 1e-12)
+    return engine_rows(spark, d).select("sample_id", "label", rounded("confidence").alias("confidence"), "decision_source", "consensus_state", rounded("fusion_confidence").alias("fusion_confidence"),
+                                        "reliability_state", "domain_risk", rounded("domain_risk_score").alias("domain_risk_score"), agree.alias("shares_agree"))
 
 
 @query("G11, K4", W("branches", **fusion_sql("branches")) + f"select sample_id, case when best<0.5 then {_U} else top end as label, 'V2_CALIBRATED_'||case when best<0.5 then {_U} else top end as decision_case from q")

@@ -214,16 +214,23 @@ def false_negative_recovery(spark, d):
     return long.groupBy("view").agg(*fu.recovery("base", "other"))
 
 
-_ALT = " union all ".join(f"select category, '{v}' as view, {i} as ord, p_{v} as p, y from views" for i, v in enumerate(_BRANCH))
+_ALT = " union all ".join(f"select category, '{v}' as view, {i} as ord, p_{v} as p, p_native, y from views" for i, v in enumerate(_BRANCH))
 
 
-@query("H30", W("views", a=_ALT, r="select category, view, ord, avg((p>=0.5)::integer) as recall from a where y=1 group by 1,2,3", b="select *, row_number() over (partition by category order by recall desc, ord) as rn from r")
-       + f"select category, view as best_view, {rnd('recall')} as best_recall from b where rn=1")
+@query("H30", W("views", a=_ALT, r="""select category, view, ord, avg((p>=0.5)::integer) as recall, count(*) filter (where p_native<0.5) as native_misses, count(*) filter (where p_native<0.5 and p>=0.5) as recovered
+ from a where y=1 group by 1,2,3""", b="select *, row_number() over (partition by category order by recall desc, ord) as rn, row_number() over (partition by category order by recovered desc, ord) as up, row_number() over (partition by category order by recovered, ord) as down from r")
+       + f"""select category, max(case when rn=1 then view end) as best_view, {rnd('max(recall)')} as best_recall, max(native_misses)::bigint as native_misses, max(case when up=1 then view end) as most_recovering_view,
+ max(recovered)::bigint as most_recovered, max(case when down=1 then view end) as least_useful_view, min(recovered)::bigint as least_recovered from b group by 1""")
 def best_view_per_category(spark, d):
-    """The alternative view with the highest recall in each category; the first listed wins a tie."""
-    long = V.views(spark, d).where("y = 1").select("category", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias("view"), F.col(f"p_{v}").alias("p")) for i, v in enumerate(_BRANCH)])).alias("v")).select("category", "v.*")
-    r = long.groupBy("category", "ord", "view").agg(ratio(F.count_if(F.col("p") >= 0.5), F.count("*")).alias("recall"))
-    return reported(r.groupBy("category").agg(F.max_by("view", F.struct(F.col("recall"), -F.col("ord"))).alias("best_view"), F.max("recall").alias("best_recall")))
+    """Per category the alternative view with the highest recall, how many positives the native view misses, and the views that recover most and
+    fewest of them; the first listed wins a tie."""
+    long = V.views(spark, d).where("y = 1").select("category", "p_native", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias("view"), F.col(f"p_{v}").alias("p")) for i, v in enumerate(_BRANCH)])).alias("v")).select("category", "p_native", "v.*")
+    missed, hit = F.col("p_native") < 0.5, F.col("p") >= 0.5
+    r = long.groupBy("category", "ord", "view").agg(ratio(F.count_if(hit), F.count("*")).alias("recall"), F.count_if(missed).alias("native_misses"), F.count_if(missed & hit).alias("recovered"))
+    return reported(r.groupBy("category").agg(
+        F.max_by("view", F.struct(F.col("recall"), -F.col("ord"))).alias("best_view"), F.max("recall").alias("best_recall"), F.max("native_misses").alias("native_misses"),
+        F.max_by("view", F.struct(F.col("recovered"), -F.col("ord"))).alias("most_recovering_view"), F.max("recovered").alias("most_recovered"),
+        F.min_by("view", F.struct("recovered", "ord")).alias("least_useful_view"), F.min("recovered").alias("least_recovered")))
 
 
 @query("H30", W("views", **_FUSED, r="select category, view_set||'_'||rule as fusion, avg(pred) as recall from f where y=1 group by 1,2", b="select *, row_number() over (partition by category order by recall desc, fusion) as rn from r")
