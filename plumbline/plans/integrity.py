@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.functions.fingerprint import hamming, neighbour_fingerprint, sha256_hex
+from plumbline.functions.fingerprint import hamming, sha256_hex
 from plumbline.functions.scalars import is_positive, logit, rounded, sigmoid, softplus
 from plumbline.operators import containment, decontaminate as dc, expectations as ex, neardup, rules
-from plumbline.operators.metrics import confusion, error_bands, shift_buckets, with_rates
+from plumbline.operators.metrics import error_bands, shift_buckets
 from plumbline.operators.sampling import manifest as sp_manifest, split_by_shares
 from plumbline.plans import views as V
 from plumbline.plans.registry import query

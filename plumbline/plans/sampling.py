@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.fingerprint import sha256_hex
 from plumbline.functions.scalars import rounded
 from plumbline.operators import decontaminate as dc, sampling as sp
 from plumbline.plans import views as V

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import ratio, rounded, snapped
