@@ -120,7 +120,7 @@ def _across(buckets: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFra
     def every(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    counts = tiles(members, "main", "tm").join(tiles(strays, "main", "ts"), "main")
+    counts = stage(tiles(members, "main", "tm").join(tiles(strays, "main", "ts"), "main"), "counts")
     of_main = members.join(counts, "main").select("main", "node", tile_of("tm").alias("i"), every("ts").alias("j"), F.lit(False).alias("stray"))
     of_strays = strays.join(counts, "main").select("main", "node", every("tm").alias("i"), tile_of("ts").alias("j"), F.lit(True).alias("stray"))
 
@@ -143,7 +143,8 @@ def _across(buckets: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFra
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     a = of_main.union(of_strays).join(texts, "node").groupBy("main", "i", "j").applyInPandas(to_main, "a long, b long")
-    per = among.groupBy("low").agg(F.ceil(F.count("*") / _TILE).cast("int").alias("tn"), F.countDistinct("root").alias("r")).where("r > 1").select("low", "tn")
+    # Staged, so that Spark knows its size: the join to it is broadcast, or split where one group is large.
+    per = stage(among.groupBy("low").agg(F.ceil(F.count("*") / _TILE).cast("int").alias("tn"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("low", "tn"), "groups")
     own = among.join(per, "low").select("low", "node", "root", tile_of("tn").alias("tile"), every("tn").alias("k"))
     own = own.select("low", "node", "root", "tile", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j")).join(texts, "node")
     b = own.groupBy("low", "i", "j").applyInPandas(to_each_other, "a long, b long")
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = _across(buckets, components(links), reps, docs, width, percent)
     roots = components(links.union(more))
     full = rows.where("node is not null").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
-    lowest = full.groupBy("root").agg(F.min("id").alias("component_id"))
+    lowest = stage(full.groupBy("root").agg(F.min("id").alias("component_id")), "components")
     done = full.join(lowest, "root").select("id", "n", "component_id")
     alone = rows.where("node is null").select("id", "n", F.col("id").alias("component_id"))
     return done.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
