@@ -8,6 +8,7 @@ replacement exactly. All models share the cells, hence one resample.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from math import exp, pi
 
@@ -41,11 +42,15 @@ def poisson_cells(cells: DataFrame, keys: Sequence[str], replicates: int, seed:
     """(replicate, keys..., n) with n > 0: the counts ``n`` of the cells drawn again for each replicate, by inversion where n is
     small, else by Box-Muller, rounded and not below zero."""
     name = F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    # Cells are few and each becomes a thousand rows, so they are dealt out first; a stated number is not coalesced again.
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Each step is its own projection, so the digest is computed once.
-    digest = cells.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("replicate", *keys, "n", F.md5(name).alias("_d"))
+    digest = cells.repartition(tasks, *keys).select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("replicate", *keys, "n", F.md5(name).alias("_d"))
     part = lambda at: F.conv(F.substring("_d", at, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
     drawn = digest.select("replicate", *keys, "n", part(1).alias("_u"), part(9).alias("_v"))
-    steps = cells.sparkSession.createDataFrame(poisson_steps(), "_n int, _k long, _low double, _high double")
+    # A constant table whose size Spark sees: the join to it is a broadcast, and does not gather all cells of one count.
+    rows = json.dumps([{"_n": n, "_k": k, "_low": low, "_high": high} for n, k, low, high in poisson_steps()])
+    steps = cells.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<_n: long, _k: long, _low: double, _high: double>>")))
     few = drawn.join(steps, (F.col("n") == F.col("_n")) & (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))).select("replicate", *keys, F.col("_k").alias("n"))
     z = F.sqrt(F.log(F.lit(1.0) - F.col("_u")) * -2.0) * F.cos(F.col("_v") * (2.0 * pi))
     many = drawn.where(F.col("n") >= EXACT_BELOW).select("replicate", *keys, F.greatest(F.lit(0.0), F.floor(F.col("n") + F.sqrt(F.col("n").cast("double")) * z + 0.5)).cast("bigint").alias("n"))
