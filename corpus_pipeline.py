@@ -12,15 +12,12 @@ from pyspark.sql import functions as F
 from plumbline.llm import langid, linededup, minhash, mixing, packing
 from plumbline.llm.common import stage
 
-#: Below this mean probability no language was recognised; texts in one language, or two, score far higher.
-MIN_SCORE = 0.4
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; without text, without a letter, or unlike any learned language, they go."""
+    """Documents that have a language: without text or without a letter they go. The score drops none, since texts in several languages have a low one."""
     net = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     named = langid.identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("text")), net)
-    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("d.*")
+    return named.where(F.col("lang_pred") != langid.UNKNOWN).select("d.*")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,6 +128,17 @@ def test_stages_against_brute_force(spark, sf):
         assert sum(r.n_words for r in b) <= 2048 and len({r.doc_id for r in b}) == len(b) and max(Counter(r.source for r in b).values()) <= 4
 
 
+def test_texts_in_three_languages_and_of_one_word_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = {r.lang: r.text for r in docs.where("length(text) between 2000 and 6000").orderBy("doc_id").collect()}
+    mixed = ["\n".join(long[k][:1900] for k in three) for three in (("de", "en", "es"), ("fr", "de", "en"), ("es", "fr", "de"))]
+    texts = [*mixed, "ok", "Haus", "é", "x", "12 34", "", None]
+    extra = spark.createDataFrame([(2_000_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    extra = extra.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    named = corpus_pipeline.identify_language(spark, docs.unionByName(extra), sf)
+    assert {r.doc_id - 2_000_000 for r in named.where("doc_id >= 2000000").select("doc_id").collect()} == set(range(7))
+
+
 def test_every_operator_has_a_query():
     assert queries.QUERIES is QUERIES
     assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 11)}
