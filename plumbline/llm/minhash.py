@@ -174,18 +174,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
     return stage(joined.where(alike("ta", "tb")).select("a", "b").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row: documents are linked if their sets of ``width``-word
-    shingles satisfy 100 x intersection >= ``percent`` x union, and a component takes its smallest doc_id.
-
-    With fewer words than ``width`` the whole sequence is one shingle. Texts that are null, empty or blank have an empty set and
-    are linked with nothing. Rows with equal sets are one node, so exact copies cost no pairs. A row without id belongs to the
-    component of its text and is kept only if nothing there has an id; rows that repeat an id get a row each. An empty table
-    gives no rows. Other columns are ignored.
-
-    In each bucket of each table all members are first paired with the smallest one. What then shares a bucket but no component is
-    compared in tiles (see ``_across``), so no link that the tables offer is lost, and a dense group costs rows in proportion to its size.
-    """
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The shingle table of ``docs``, and (id, t, n, root) for its rows that have words: rows of one component have one root."""
     if not 80 <= percent <= 100:
         raise ValueError("the tables are made for similarities of 80 per cent or more")
     rows = stage(shingle_table(docs, width), "shingles")
@@ -199,8 +189,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = _verified(stars, reps, docs, width, percent)
     more = _across(buckets, components(links), reps, docs, width, percent)
     roots = components(links.union(more))
-    full = rows.where("node is not null").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
+    return rows, rows.where("node is not null").join(roots, "node", "left").select("id", "t", "n", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row: documents are linked if their sets of ``width``-word
+    shingles satisfy 100 x intersection >= ``percent`` x union, and a component takes its smallest doc_id.
+
+    With fewer words than ``width`` the whole sequence is one shingle. Texts that are null, empty or blank have an empty set and
+    are linked with nothing. Rows with equal sets are one node, so exact copies cost no pairs. A row without id belongs to the
+    component of its text and is kept only if nothing there has an id; rows that repeat an id get a row each. An empty table
+    gives no rows. Other columns are ignored.
+
+    In each bucket of each table all members are first paired with the smallest one. What then shares a bucket but no component is
+    compared in tiles (see ``_across``), so no link that the tables offer is lost, and a dense group costs rows in proportion to its size.
+    """
+    rows, full = _grouped(docs, width, percent)
     lowest = stage(full.groupBy("root").agg(F.min("id").alias("component_id")), "components")
     done = full.join(lowest, "root").select("id", "n", "component_id")
     alone = rows.where("node is null").select("id", "n", F.col("id").alias("component_id"))
     return done.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are one of each component of ``near_duplicates``, and every row whose text has no words.
+
+    The row kept is the one with the smallest (doc_id, hash of the text), rows without id last; of rows equal in both the one with
+    the smallest other columns. The decision goes by (doc_id, hash of the text), so rows that share an id, or have none, are told apart.
+    """
+    rows, full = _grouped(docs, width, percent)
+    counted = full.groupBy("root", "id", "t").agg(F.count("*").alias("rows"))
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t", "rows")).alias("f")).select("f.id", "f.t", "f.rows")
+    empty = rows.where("node is null").select("id", "t").distinct().select("id", "t", F.lit(1).cast("long").alias("rows"))
+    kept = stage(first.union(empty), "kept").alias("k")
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.t") == F.col("k.t"))
+    single = source.join(kept.where("rows = 1"), same, "left_semi").select("row.*")
+    repeated = source.join(kept.where("rows > 1"), same, "left_semi").groupBy("id", "t").agg(F.min("row").alias("row")).select("row.*")
+    return single.union(repeated)

@@ -139,6 +139,25 @@ def test_texts_in_three_languages_and_of_one_word_stay(spark, sf):
     assert {r.doc_id - 2_000_000 for r in named.where("doc_id >= 2000000").select("doc_id").collect()} == set(range(7))
 
 
+def test_near_dedup_keeps_one_row_per_group_with_null_and_repeated_ids(spark, sf):
+    words = lambda name: [f"{name}{i}" for i in range(60)]
+    near = lambda name, at: " ".join(w if i != at else "changed" for i, w in enumerate(words(name)))
+    rows = [(1, near("a", 0)), (None, near("a", 1)), (None, near("a", 58)),  # a group with an id
+            (None, near("b", 0)), (None, near("b", 1)), (None, near("b", 1)),  # one without
+            (5, near("c", 0)), (5, near("d", 0)), (2, near("d", 1)),  # id 5 is first in one group and not in the other
+            (7, near("e", 0)), (7, near("e", 0)), (7, near("e", 1)), (7, near("e", 59)),  # one id, equal and near rows
+            (None, None), (None, ""), (None, ""), (8, " ")]  # without words: linked with nothing
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    group = lambda t: t.split()[5][0] if t and t.strip() else None
+    assert Counter(group(t) for _, t in got) == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 1, None: 4}
+    assert {group(t): i for i, t in got if group(t)} == {"a": 1, "b": None, "c": 5, "d": 2, "e": 7}
+    again = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), sf).collect()]
+    assert Counter(got) == Counter(again)
+
+
 def test_every_operator_has_a_query():
     assert queries.QUERIES is QUERIES
     assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 11)}
