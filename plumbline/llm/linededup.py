@@ -24,18 +24,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     lower-cased. Keys of at least ``min_chars`` code points that occur in at least ``min_docs`` documents lose all
     their lines everywhere; the others stay in order, joined by line feeds.
 
-    A document is a row: rows that repeat an id, or have none, are documents of their own. Null and empty texts are one empty line (the text
+    Rows that repeat an id are one document, counted once for a line; a row without id is a document of its own. Null and empty texts are one empty line (the text
     becomes empty). Empty keys are never dropped when ``min_chars`` is 1 or more. A text that loses every line becomes
     empty. Existing columns named ``n_lines`` or ``n_dropped`` are replaced. An empty table gives no rows.
 
-    Documents are counted by a sum that is combined before the shuffle, so a line found in a third of all texts is one
-    row per task. Texts travel once, to meet the positions of their dropped lines; hashes do the rest.
+    Lines are first reduced to one row for each document, then counted by a sum that is combined before its shuffle, so a line found in a
+    third of all texts is spread by document and then one row per task. Texts travel once, to meet the positions of their dropped lines; hashes do the rest.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.drop("n_lines", "n_dropped")
     row = docs.select(F.struct(F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(F.lit("row"), F.col(id_col), text).alias("r2")).alias("row"), F.transform(F.split(text, "\n", -1), _key).alias("keys"))
     long_enough = F.length("key") >= min_chars
-    counted = docs.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n", -1), _key))).alias("key")).where(long_enough).select(_pair(F.col("key")).alias("k")).groupBy("k.h1", "k.h2").count()
+    keys = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(F.split(text, "\n", -1), _key))).alias("key")).where(long_enough)
+    by_document = keys.select("id", _pair(F.col("key")).alias("k")).groupBy("k.h1", "k.h2", "id").agg(F.count("*").alias("rows"))
+    counted = by_document.groupBy("h1", "h2").agg(F.sum(F.when(F.col("id").isNull(), F.col("rows")).otherwise(1)).alias("count"))
     shared = stage(counted.where(F.col("count") >= min_docs).select("h1", "h2"), "shared_lines")
     places = row.select("row", F.posexplode("keys").alias("pos", "key")).where(long_enough).select("row", "pos", _pair(F.col("key")).alias("k")).select("row", "pos", "k.h1", "k.h2")
     drops = places.join(shared, ["h1", "h2"]).groupBy("row.r1", "row.r2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))

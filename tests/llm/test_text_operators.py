@@ -107,6 +107,12 @@ def test_a_line_of_a_third_of_all_documents_goes(spark):
     assert linededup.dedup_lines(docs, 10).where("text like '%banner%'").count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, "one document\nseen", "s")] * 10 + [(None, "without id", "s")] * 10 + [(i, "seen", "s") for i in range(2, 11)]
+    out = linededup.dedup_lines(frame(spark, rows), 10).collect()
+    assert Counter((r.doc_id, r.text, r.n_dropped) for r in out) == Counter({(1, "one document", 1): 10, (None, "", 1): 10} | {(i, "", 1): 1 for i in range(2, 11)})
+
+
 def brute_components(rows, width, percent):
     sets = []
     for _, t, _ in rows:
