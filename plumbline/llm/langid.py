@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches
+from plumbline.llm.common import small_batches, stage
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -24,7 +24,7 @@ _LETTER = regex.compile(r"\p{L}")
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_docs`` bounds the labelled rows that the fit reads, those with the smallest hashes of all labelled rows;
+    """``max_docs`` bounds the labelled rows that the fit reads, those with the smallest hashes of each language;
     ``windows_per_doc`` bounds the windows of each, spread over its whole text."""
 
     window: int = 256
@@ -134,11 +134,25 @@ class Network:
         return p.argmax(axis=1), p.max(axis=1)
 
 
+def quota(counts: list[int], total: int) -> int:
+    """The most rows of one language so that all together are at most ``total``: even shares, those not used shared again; 0 without languages, else 1 at least."""
+    share = 0
+    for i, n in enumerate(sorted(counts)):
+        share = max(1, total // (len(counts) - i))
+        if n > share:
+            break
+        total -= n
+    else:
+        share = max(counts, default=0)
+    return share
+
+
 def train(labelled: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_col: str = "lang", key: Column | None = None) -> Network | None:
     """Fit on a bounded sample of the rows of ``labelled`` with a language and a letter in the text; None if there is none.
 
-    The sample is one row for each of the ``max_docs`` smallest hashes of ``key`` (default: of the text), so it does not depend on partitioning. Its windows
-    are cut on the executors; the driver gets at most max_docs x windows_per_doc windows.
+    The sample is one row for each of a language's smallest hashes of ``key`` (default: of the text), so it does not depend on partitioning. The languages share
+    ``max_docs`` evenly, and what those with few rows leave goes to the others; each has one row at least, so all labels are learned. Windows
+    are cut on the executors; the driver gets at most max_docs x windows_per_doc windows (more only if the languages outnumber max_docs).
     """
     small_batches(labelled.sparkSession)
     overlap = max(s.widths) - 1
@@ -157,13 +171,19 @@ def train(labelled: DataFrame, s: Settings = Settings(), text_col: str = "text",
     text, lang = F.col(text_col), F.col(lang_col)
     usable = labelled.where(lang.isNotNull() & text.isNotNull() & text.rlike(r"\p{L}"))
     hashed = usable.select(F.xxhash64(F.lit(s.seed), key if key is not None else text).alias("o"), text.alias("t"), lang.alias("l"))
-    lowest = [r.o for r in hashed.select("o").distinct().orderBy("o").limit(s.max_docs).collect()]
-    if not lowest:
+    pairs = stage(hashed.select("l", "o").distinct(), "hashes")
+    most = quota([r["count"] for r in pairs.groupBy("l").count().collect()], s.max_docs)
+    if not most:
         return None
-    # Only texts below the last hash leave the scan; copies share a hash and are one row.
-    chosen = hashed.where(F.col("o") <= lowest[-1]).groupBy("o").agg(F.first("t").alias("t"), F.min("l").alias("l"))
+    # First in 256 parts of each language, so that a language of most rows is not on one task.
+    ranked = pairs.withColumn("part", F.pmod("o", F.lit(256)))
+    for by in (["l", "part"], ["l"]):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("o"))).where(F.col("r") <= most)
+    # Only texts up to the last hash of their language leave the scan; copies share a hash and are one row. Staged, so that the join is broadcast by size.
+    last = stage(ranked.groupBy("l").agg(F.max("o").alias("last")), "last_hashes")
+    chosen = hashed.join(last, "l").where("o <= last").groupBy("o", "l").agg(F.first("t").alias("t"))
     rows = chosen.select("o", cut("t").alias("w"), "l").collect()
-    rows.sort(key=lambda r: r.o)
+    rows.sort(key=lambda r: (r.o, r.l))
     languages = sorted({r.l for r in rows})
     x = np.stack([np.frombuffer(w, dtype=np.uint8) for r in rows for w in r.w])
     y = np.array([languages.index(r.l) for r in rows for _ in r.w])

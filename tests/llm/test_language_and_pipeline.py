@@ -55,6 +55,15 @@ def test_training_sample_does_not_depend_on_partitions(spark, sf):
     assert all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables, strict=True))
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(f"the text number {i} of many", "en") for i in range(400)] + [(f"el texto {i}", "es") for i in range(3)] + [("ein Satz", "de")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    net = langid.train(docs, langid.Settings(max_docs=20, epochs=1))
+    assert net.languages == ["de", "en", "es"]
+    for counts, total, want in (([400, 3, 1], 20, 16), ([5, 5], 20, 5), ([50, 50, 50], 20, 6), ([9] * 30, 20, 1), ([], 20, 0)):
+        assert langid.quota(counts, total) == want
+
+
 def test_windows_cover_every_byte():
     for n in (0, 1, 255, 256, 257, 509, 510, 5000):
         text = "".join(chr(97 + i % 26) for i in range(n))
