@@ -7,6 +7,12 @@ from contextlib import contextmanager
 from typing import BinaryIO
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """Rows of ``files`` (path, ...) on as many tasks as there are rows. The number is stated: by their own bytes, which are few, Spark would merge all names into one task."""
+    return files.repartitionByRange(max(1, files.count()), "path")
 
 
 def locate(uri: str) -> tuple[fs.FileSystem, str]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import shared_folder, small_batches, stage
-from plumbline.llm.files import reading, writing
+from plumbline.llm.files import dealt, reading, writing
 
 MAGIC = b"IDS1"
 _LENGTH, _SUM, _HEAD, _ENTRY = "<Q", "<I", "<Bq", "<qBQQ"
@@ -194,7 +194,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                             rows = []
                 yield _rows(rows)
 
-    return files.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import shared_folder, small_batches, stage
-from plumbline.llm.files import reading, remove, writing
+from plumbline.llm.files import dealt, reading, remove, writing
 
 #: page_id, has-id, offset of the member, its length.
 _ENTRY = "<qBQQ"
@@ -132,7 +132,7 @@ def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
 
     A task takes whole files but holds one record at a time. Streams may have one member or many.
     """
-    ship = files.select("path").repartition("path")
+    ship = dealt(files.select("path"))
     small_batches(files.sparkSession)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         rows = []
             yield _rows(rows)
 
-    return archives.select("path").repartition("path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return dealt(archives.select("path")).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

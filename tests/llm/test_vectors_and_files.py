@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import ann, chat, embdup, records, warc
 from plumbline.llm.files import reading, writing
@@ -190,6 +191,19 @@ def test_streams_roll_and_damage_is_seen(spark, tmp_path):
         list(warc._Inflated(f).records())
 
 
+def test_files_are_spread_over_tasks(spark, tmp_path):
+    df = spark.createDataFrame(page_rows(), "page_id long, url string, html string").repartition(6)
+    streams = warc.write_streams(warc.plan_revisits(df), f"file://{tmp_path}/s", roll_bytes=3000)
+    archives = warc.normalise(streams, f"file://{tmp_path}/n")
+    assert (n := streams.count()) > 2
+    assert archives.select(F.input_file_name()).distinct().count() == n  # one file for each task with rows
+    assert warc.read_archives(archives).select(F.spark_partition_id()).distinct().count() == n
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").repartition(5)
+    manifest = records.write_tokens(docs, BPE, 2, f"file://{tmp_path}/t")
+    read = records.read_tokens(manifest).select(F.spark_partition_id()).distinct().count()
+    assert read == manifest.count()
+
+
 TEXTS = ["", "a", " leading", "trailing \n", "a  b\n\n c\t\td", "it's don't I'LL 've", "Ünïcode — dash, 日本語 text", "x\u00a0\n y", "a\x1c b\x0b\x0c c", "<|endoftext|> inside", "1234 56.78e9", "\n\n\n", "😀😀 \ud7ff", "punct!!! ... ,,, ;'s", " \u2003 wide \u3000", "tab\there\r\nline"]
 
 
