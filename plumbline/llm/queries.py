@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, embdup, langid, linededup, minhash, mixing, packing, records, warc
+from plumbline.llm import ann, chat, embdup, langid, linededup, minhash, mixing, packing, records, runs, warc
 from plumbline.llm.registry import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -149,3 +149,11 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
     manifest = records.write_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return records.read_tokens(manifest)
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in every document; one document in ten is made to hold one."""
+    docs = table(spark, folder, "documents").select("doc_id", runs.plant(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.with_runs(docs).select("doc_id", "found.*")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2(F.col("text"), 256).alias("collapsed_sha256"))
