@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, embdup, langid, linededup, minhash, mixing, packing, records, runs, warc
+from plumbline.llm import ann, chat, embdup, langid, linededup, minhash, mixing, packing, records, runs, warc, whitening
 from plumbline.llm.registry import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -151,6 +151,13 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.read_tokens(manifest)
 
 
+@query()
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the sixteen strongest components of the different vectors. A deviation that no long holds is null there and whole in deviation_exact."""
+    done = whitening.whiten(table(spark, folder, "embeddings"), count=16)
+    return done.select("vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error", F.col("deviation").alias("deviation_exact"))
+
+
 @query()
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of repeated words in every document; one document in ten is made to hold one."""
