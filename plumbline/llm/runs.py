@@ -150,7 +150,8 @@ def plant(text: Column, doc_id: Column) -> Column:
     g = F.floor(h / 10)
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
     n = F.size(words)
-    a = F.pmod(g, n).cast("int")
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
     p = (F.floor((n - a) / (F.lit(3) + g % 8)) + 1).cast("int")
-    planted = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(text)
+    # Whole pieces are repeated: an expression inside a lambda would be computed again, the words cut again, for every word.
+    repeated = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), repeated), F.lit(1), n), " ")).otherwise(text)
