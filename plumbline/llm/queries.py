@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, embdup, langid, linededup, minhash, mixing, packing, records, runs, warc, whitening
+from plumbline.llm import ann, chat, embdup, langid, linededup, minhash, mixing, packing, records, runs, toxicity, warc, whitening
 from plumbline.llm.registry import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -151,6 +151,14 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.read_tokens(manifest)
 
 
+@query()
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled documents that are not held out."""
+    docs = table(spark, folder, "documents").withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    machine = toxicity.train(docs.where("not held_out"), table(spark, folder, "labels").where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs.select("doc_id", "held_out", "text"), machine).select("doc_id", "held_out", "score", "predicted")
+
+
 @query()
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Every vector on the sixteen strongest components of the different vectors. A deviation that no long holds is null there and whole in deviation_exact."""
