@@ -70,7 +70,8 @@ def thresholds(measured: DataFrame, weights: Sequence[float] = (3, 1, 2), ratio:
     aims = targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ratio, cap)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     aims = stage(aims.withColumn("base", base).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")), "targets")
-    at = _boundary(hist.alias("h").join(aims.alias("t"), F.col("h.source").eqNullSafe(F.col("t.source"))).select("h.source", "bucket", "words", "rest"))
+    # Where whole copies meet the target nothing is left to cut: no document, one without words included, is taken once more.
+    at = _boundary(hist.alias("h").join(aims.where("rest > 0").alias("t"), F.col("h.source").eqNullSafe(F.col("t.source"))).select("h.source", "bucket", "words", "rest"))
     for last, shift in zip(SHIFTS, SHIFTS[1:], strict=False):
         inside = measured.alias("m").join(at.alias("a"), F.col("m.source").eqNullSafe(F.col("a.source")) & (F.shiftright("m.h", last) == F.col("a.prefix")))
         if last == SHIFTS[0]:  # a 4096th of the rows; finer levels read only these
@@ -91,8 +92,8 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), ratio: float
 
     Whole documents are taken, none more than ``ceil(cap)`` times. A source misses its target by at most half of the
     document at its threshold (rows equal in id and text share a hash and are taken together). Null text and text without words
-    have size 0; null is a source of its own, the last; sources without words have target 0; an empty table gives no
-    rows. Null or repeated ids are separate rows. Other columns are ignored.
+    have size 0 and are taken like the others of their source, by their hash; null is a source of its own, the last; a source without any words has target 0 and
+    none of its documents is taken; an empty table gives no rows. Null or repeated ids are separate rows. Other columns are ignored.
     """
     measured = stage(measure(docs), "sizes")
     cuts = thresholds(measured, weights, ratio, cap)

@@ -59,13 +59,14 @@ class Encoder:
     """Whole texts to ids with a byte-level BPE of the tokenizers library; the ids equal those of encoding the text at once.
 
     A text is cut where no token can cross, and pieces seen before are not encoded again; new pieces of a batch are encoded in
-    one call, joined, and the ids cut by their lengths in bytes. Texts with rarer kinds of blanks are encoded as they are. At most ``remember`` pieces are kept.
+    one call, joined, and the ids cut by their lengths in bytes. Texts with rarer kinds of blanks, or with the literal of an added token, which
+    the library takes as that token, are encoded as they are. At most ``remember`` pieces are kept.
     """
 
-    def __init__(self, path: str, remember: int = 250_000) -> None:
+    def __init__(self, path: str, remember: int = 600_000) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self._added = re.compile("|".join([re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]) or r"(?!)")
         vocab = self.tokenizer.get_vocab()
         size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
@@ -77,27 +78,57 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        pieces = [None if _OTHER_BLANK.search(t) else _PIECE.findall(t) for t in texts]
-        known = self._known
-        new = {w: b"" for p in pieces if p is not None for w in p if w not in known}
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces. Those that begin with a blank and end with none are encoded as one text, since no token crosses their starts."""
+        ids: dict[str, bytes] = {}
         joined = [w for w in new if w[0] in " \t\n\r" and w[-1] not in " \t\n\r"]
-        rest = [w for w in new if not (w[0] in " \t\n\r" and w[-1] not in " \t\n\r")]
-        new |= zip(rest, self._whole(rest), strict=True)
+        whole = "".join(joined)
+        if self._added.search(whole):  # only together do they spell an added token
+            joined, whole = [], ""
         if joined:
-            ids = np.frombuffer(self._whole(["".join(joined)])[0], dtype=self.dtype)
-            ends = np.cumsum(self._bytes[ids])
+            found = np.frombuffer(self._whole([whole])[0], dtype=self.dtype)
+            ends = np.cumsum(self._bytes[found])
             stops = np.searchsorted(ends, np.cumsum([len(w.encode("utf-8")) for w in joined])) + 1
-            data, width, start = ids.tobytes(), self.dtype.itemsize, 0
+            data, width, start = found.tobytes(), self.dtype.itemsize, 0
             for w, stop in zip(joined, (stops * width).tolist(), strict=True):
-                new[w] = data[start:stop]
+                ids[w] = data[start:stop]
                 start = stop
-        if len(known) < self._remember:
-            known |= new
-            new = {}
+        rest = [w for w in new if w not in ids]
+        ids |= zip(rest, self._whole(rest), strict=True)
+        if len(self._known) < self._remember:
+            self._known |= ids
+        return [ids[w] for w in new]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text. Each different piece of the texts is looked up once and its ids are copied to all its places."""
+        pieces = [None if _OTHER_BLANK.search(t) or self._added.search(t) else _PIECE.findall(t) for t in texts]
+        places = [w for p in pieces if p is not None for w in p]
+        different = {w: i for i, w in enumerate(dict.fromkeys(places))}
+        known = [self._known.get(w) for w in different]
+        learned = iter(self._learn([w for w, k in zip(different, known, strict=True) if k is None]))
+        known = [next(learned) if k is None else k for k in known]
+        width, at = self.dtype.itemsize, np.fromiter(map(different.__getitem__, places), dtype=np.int64, count=len(places))
+        table = np.frombuffer(b"".join(known), dtype=self.dtype)
+        sizes = np.array([len(k) for k in known], dtype=np.int64) // width
+        first, own = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.cumsum(own)
+        ids = table[np.repeat(first - (ends - own), own) + np.arange(ends[-1] if ends.size else 0)].tobytes()
+        counts = np.cumsum([0 if p is None else len(p) for p in pieces], dtype=np.int64)
+        stops = (np.concatenate(([0], ends))[counts] * width).tolist()
         odd = iter(self._whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        return [next(odd) if p is None else b"".join([known[w] if w in known else new[w] for w in p]) if new else b"".join(map(known.__getitem__, p)) for p in pieces]
+        return [next(odd) if p is None else ids[start:stop] for p, start, stop in zip(pieces, [0, *stops], stops, strict=False)]
+
+
+def chunks(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """(start, stop) of neighbouring texts of about ``chars`` characters together, one at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size + len(t) > chars and i > start:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if texts:
+        yield start, len(texts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -134,9 +165,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
             at = len(MAGIC) + 1
             while first is not None:
                 keys, texts = first.column(0).to_pylist(), [t or "" for t in first.column(1).to_pylist()]
-                for start in range(0, len(texts), 64):
-                    part_keys, part_texts = keys[start : start + 64], texts[start : start + 64]
-                    for key, data in zip(part_keys, e.encode(part_texts), strict=True):
+                for start, stop in chunks(texts):
+                    for key, data in zip(keys[start:stop], e.encode(texts[start:stop]), strict=True):
                         data += end
                         n = len(data) // e.dtype.itemsize
                         index.write(struct.pack(_ENTRY, key or 0, key is not None, at, n))

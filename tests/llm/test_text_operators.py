@@ -70,6 +70,17 @@ def test_mixed_corpus_repeats_rows(spark):
     assert {k: found.get(k, 0) for k in once} == once
 
 
+def test_documents_without_words_are_taken_no_oftener_than_others(spark):
+    """A source that is taken twice whole, the most there is: its empty texts too come twice, not a third time."""
+    rows = [(i, "three words here", "a") for i in range(20)] + [(100 + i, " " * i or None, "a") for i in range(20)] + [(200 + i, "many words " * 40, "b") for i in range(100)]
+    rows += [(900 + i, "", "c") for i in range(5)]
+    docs = frame(spark, rows)
+    got = mixing.mixture(docs).collect()
+    assert {r.copies for r in got if r.source == "a"} == {2} and {r.copies for r in got if r.source == "c"} == {0}
+    assert all(r.copies <= 2 for r in got)
+    assert Counter(r.source for r in mixing.take_mixture(docs).collect())["a"] == 80
+
+
 def test_mixture_of_nothing(spark):
     assert mixing.mixture(frame(spark, [])).count() == 0
     only_empty = mixing.mixture(frame(spark, [(1, "", "a"), (2, None, None)])).collect()

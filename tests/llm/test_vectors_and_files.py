@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from plumbline.llm import ann, chat, embdup, records, warc
 from plumbline.llm.files import reading, writing
@@ -129,7 +130,7 @@ HARD = st.lists(st.sampled_from([*"\\#</turn>: \n\t.aé\u2028", "### ", "</turn>
 
 
 @given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", ""]), HARD), HARD), max_size=5))
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=150, deadline=None)
 def test_chat_round_trip_and_mask(turns):
     text, starts, ends = chat.render(turns, frozenset(["assistant"]))
     assert chat.parse(text) == turns
@@ -207,13 +208,39 @@ def test_files_are_spread_over_tasks(spark, tmp_path):
 TEXTS = ["", "a", " leading", "trailing \n", "a  b\n\n c\t\td", "it's don't I'LL 've", "Ünïcode — dash, 日本語 text", "x\u00a0\n y", "a\x1c b\x0b\x0c c", "<|endoftext|> inside", "1234 56.78e9", "\n\n\n", "😀😀 \ud7ff", "punct!!! ... ,,, ;'s", " \u2003 wide \u3000", "tab\there\r\nline"]
 
 
-@given(st.lists(st.text(st.sampled_from(list(" \n\t\r\x0b\u00a0\u2003'stab.,!é日1😀-")), max_size=40), max_size=8))
-@settings(max_examples=300, deadline=None)
+FRESH = Tokenizer.from_file(BPE)
+FEW = records.Encoder(BPE, remember=50)
+
+
+def library_ids(texts, dtype):
+    """What the library gives for whole texts in its own default setting."""
+    return [np.array(x.ids, dtype=dtype).tobytes() for x in FRESH.encode_batch(list(texts), add_special_tokens=False)] if texts else []
+
+
+@given(st.lists(st.lists(st.sampled_from([*" \n\t\r\x0b\u00a0\u2003'stab.,!é日1😀-", "<|endoftext|>", "<|endof", "text|>"]), max_size=40).map("".join), max_size=8))
+@settings(max_examples=150, deadline=None)
 def test_pieces_encode_like_whole_texts(texts):
-    e = records.Encoder(BPE, remember=50)
     for batch in (texts, TEXTS, texts):
-        want = [np.array(x.ids, dtype=e.dtype).tobytes() for x in e.tokenizer.encode_batch(list(batch), add_special_tokens=False)] if batch else []
-        assert e.encode(list(batch)) == want
+        assert FEW.encode(list(batch)) == library_ids(batch, FEW.dtype)
+
+
+def test_added_tokens_are_encoded_as_the_library_does(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endof text|>", "plain"]
+    e = records.Encoder(BPE)
+    assert np.frombuffer(e.encode(texts)[0], dtype=e.dtype).tolist() == [64, 220, 50256, 275]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = records.read_tokens(records.write_tokens(df, BPE, 2, f"file://{tmp_path}/t")).orderBy("doc_id").collect()
+    want = [np.append(np.frombuffer(x, dtype=e.dtype), 2).astype("<u4") for x in library_ids(texts, e.dtype)]
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(x.size, zlib.crc32(x.tobytes())) for x in want]
+    assert [r.start for r in rows] == [sum(x.size for x in want[:i]) for i in range(len(want))]
+
+
+def test_chunks_of_texts_are_bounded_and_whole():
+    for sizes in ([], [5], [0, 0, 0], [4, 4, 4, 9, 1, 1], [30, 1, 30]):
+        texts = ["x" * n for n in sizes]
+        cuts = list(records.chunks(texts, 10))
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(len(texts)))
+        assert all(b - a == 1 or sum(sizes[a:b]) <= 10 for a, b in cuts)
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -221,7 +248,7 @@ def test_token_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string").repartition(5)
     manifest = records.write_tokens(df, BPE, 2, f"file://{tmp_path}/t")
     got = records.read_tokens(manifest).orderBy("start").collect()
-    t = records.Encoder(BPE).tokenizer
+    t = Tokenizer.from_file(BPE)
     ids = defaultdict(list)
     for k, text in rows:
         ids[k].append(np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4"))
