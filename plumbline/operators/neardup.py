@@ -4,15 +4,20 @@ The 64 bits are cut into ``blocks`` parts. Two patterns at distance <= d differ
 agree on all the others: for every choice of (blocks - d) parts, the pattern masked to those parts is a
 join key. No pair within d is missed, and with blocks > d + 1 a key is long, so few unrelated patterns
 meet. Keys that still gather many patterns are refined: their members agree on the kept parts, so the
-same argument is applied once more to the remaining bits.
+same argument is applied once more to the remaining bits, and where even that gathers many, a last time with single
+bits as parts, after which no more than 2**d patterns share a key.
 
 Rows are reduced to distinct fingerprints first. A fingerprint carried by a third of all rows is one row
-here, and what leaves is at fingerprint level (with member counts), never all pairs of members.
+here, and what leaves is at fingerprint level (with member counts): all pairs of different fingerprints on request,
+or one link for each fingerprint.
+
+The nearest reference without a bound (``nearest_of_all``) is found by a radius that grows: see there.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, comb, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +75,25 @@ def _refine(keyed: DataFrame, hot: DataFrame, distance: int, blocks: int, sub_bl
     return marked.select(*keyed.columns, F.explode(entries).alias("_s")).select(*keyed.columns, "_s.sub", "_s.sub_key")
 
 
+def _to_the_last_bit(refined: DataFrame, hot: DataFrame, distance: int, blocks: int, sub_blocks: int) -> DataFrame:
+    """Add (out, deep_key): 0 for cold keys; for hot ones a row for each way to leave out ``distance`` of the bits outside of both keys, and the other bits."""
+    rest = []
+    for keep in combinations(range(blocks), blocks - distance):
+        outside = [p for i, part in enumerate(_parts(list(range(BITS)), blocks)) if i not in keep for p in part]
+        rest += [[p for i, part in enumerate(_parts(outside, sub_blocks)) if i not in sub for p in part] for sub in combinations(range(sub_blocks), sub_blocks - distance)]
+    subs = len(rest) // comb(blocks, distance)
+    # Positions of one key as text of fixed width: a plain literal for each pair of choices, whatever the number of bit masks.
+    texts = F.array(*[F.lit(",".join(map(str, r))) for r in rest])
+    marked = refined.join(hot, ["choice", "key", "sub", "sub_key"], "left").withColumn("_hot", F.coalesce("is_hot", F.lit(False)))
+    at = F.get(texts, F.col("choice") * subs + F.col("sub") - 1)
+    rows = marked.select(*refined.columns, "_hot", F.when(F.col("_hot"), F.transform(F.split(at, ","), lambda p: p.cast("int"))).otherwise(F.array(F.lit(0))).alias("_bits"), F.lit(0).cast("bigint").alias("out"), F.lit(-1).alias("_last"))
+    for _ in range(distance):  # one more bit left out, beyond those before it
+        following = F.when(F.col("_hot"), F.sequence(F.col("_last") + 1, F.greatest(F.size("_bits") - 1, F.col("_last") + 1))).otherwise(F.array(F.lit(0)))
+        rows = rows.select(*refined.columns, "_hot", "_bits", "out", F.explode(following).alias("_last")).where(~F.col("_hot") | (F.col("_last") < F.size("_bits")))
+        rows = rows.withColumn("out", F.when(F.col("_hot"), F.col("out").bitwiseOR(F.expr("shiftleft(1L, get(_bits, _last))"))).otherwise(F.col("out")))
+    return rows.select(*refined.columns, "out", F.when(F.col("_hot"), F.col("fp").bitwiseAND(F.bitwise_not("out"))).otherwise(F.lit(0).cast("bigint")).alias("deep_key"))
+
+
 def candidate_keys(left: DataFrame, right: DataFrame, distance: int, blocks: int, hot_key: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Keyed fingerprints of both sides and the columns to join them on.
 
@@ -77,9 +101,17 @@ def candidate_keys(left: DataFrame, right: DataFrame, distance: int, blocks: int
     knows: the join that marks them is a broadcast unless there are very many. The plan is the same for any data.
     """
     kl, kr = _keyed(left, distance, blocks), _keyed(right, distance, blocks)
-    full = lambda k: k.groupBy("choice", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_key)
-    hot = cut_lineage(full(kl).unionByName(full(kr)).select("choice", "key", F.lit(True).alias("is_hot")).distinct())
-    return (_refine(kl, hot, distance, blocks, distance + 2), _refine(kr, hot, distance, blocks, distance + 2), ["choice", "key", "sub", "sub_key"])
+
+    def hot(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        full = lambda k: k.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_key)
+        return cut_lineage(full(a).unionByName(full(b)).select(*on, F.lit(True).alias("is_hot")).distinct())
+
+    on = ["choice", "key"]
+    first = hot(kl, kr, on)
+    kl, kr = (_refine(k, first, distance, blocks, distance + 2) for k in (kl, kr))
+    on += ["sub", "sub_key"]
+    second = hot(kl.where("sub > 0"), kr.where("sub > 0"), on)
+    return (*(_to_the_last_bit(k, second, distance, blocks, distance + 2) for k in (kl, kr)), [*on, "out", "deep_key"])
 
 
 def within_distance(left: DataFrame, right: DataFrame, distance: int, blocks: int | None = None,
@@ -92,12 +124,35 @@ def within_distance(left: DataFrame, right: DataFrame, distance: int, blocks: in
     """
     if distance > 7:
         raise ValueError("a distance above 7 of 64 bits cannot be searched by keys")
-    n = blocks or distance + 2
-    kl, kr, on = candidate_keys(left.select("fp"), right.select("fp"), distance, n, hot_key)
+    # A pair may agree on several choices; the distinct runs after the distance filter.
+    return _met(left, right, distance, blocks, hot_key).distinct()
+
+
+def _met(left: DataFrame, right: DataFrame, distance: int, blocks: int | None = None, hot_key: int = 10_000) -> DataFrame:
+    """(fp_left, fp_right, distance) of all pairs within the distance, each once or more."""
+    kl, kr, on = candidate_keys(left.select("fp"), right.select("fp"), distance, blocks or distance + 2, hot_key)
     met = kl.withColumnRenamed("fp", "fp_left").join(kr.withColumnRenamed("fp", "fp_right"), on, "inner")
     d = hamming("fp_left", "fp_right")
-    # A pair may agree on several choices; the distinct runs after the distance filter.
-    return met.where(d <= distance).select("fp_left", "fp_right", d.cast("int").alias("distance")).distinct()
+    return met.where(d <= distance).select("fp_left", "fp_right", d.cast("int").alias("distance"))
+
+
+def nearest_links(candidates: DataFrame, references: DataFrame, distance: int, **how) -> DataFrame:
+    """(fp, ref_fp, distance): for every candidate fingerprint with a reference within the distance one link, to the nearest one (ties: the
+    smallest pattern). Pairs are reduced to it where they are found, so rows moved and returned follow the candidates, however dense the references lie."""
+    best = F.min(F.struct("distance", "fp_right"))
+    return _met(candidates, references, distance, **how).groupBy(F.col("fp_left").alias("fp")).agg(best.alias("_b")).select("fp", F.col("_b.fp_right").alias("ref_fp"), F.col("_b.distance").alias("distance"))
+
+
+def representative_links(df: DataFrame, distance: int, order: str = "first_id", **how) -> DataFrame:
+    """(fp, rep_fp, distance) for every fingerprint that has another one within the distance before it in the order of (``order``, fp): the link
+    to the first of those. A cluster of m fingerprints gives fewer than m rows, whatever the number of its pairs; a fingerprint without a row is the first
+    of its neighbourhood."""
+    # The place in the order travels as part of the pattern's own row and is met again by an equi-join on the pattern.
+    met = _met(df, df, distance, **how).where("fp_left <> fp_right")
+    place = lambda c, n: df.select(F.col("fp").alias(c), F.struct(F.col(order).alias("o"), F.col("fp").alias("f")).alias(n))
+    ordered = met.join(place("fp_right", "_r"), "fp_right").groupBy("fp_left").agg(F.min(F.struct("_r", "distance")).alias("_b"))
+    linked = ordered.join(place("fp_left", "_l"), "fp_left").where(F.col("_b._r") < F.col("_l"))
+    return linked.select(F.col("fp_left").alias("fp"), F.col("_b._r.f").alias("rep_fp"), F.col("_b.distance").alias("distance"))
 
 
 def near_pairs(df: DataFrame, distance: int, **how) -> DataFrame:
@@ -115,3 +170,43 @@ def nearest_reference(candidates: DataFrame, references: DataFrame, distance: in
     best = F.min(F.struct("distance", "ref_order", "ref_id"))
     return named.groupBy(F.col("fp_left").alias("fp")).agg(best.alias("_b")).select(
         "fp", F.col("_b.distance").alias("distance"), F.col("_b.ref_id").alias("ref_id"))
+
+
+def nearest_of_all(candidates: DataFrame, references: DataFrame) -> DataFrame:
+    """(fp, distance, ref_id): for each candidate fingerprint the nearest reference at any distance (ties: lowest ``ref_order``, then
+    ``ref_id``). ``references`` has fp, ref_order and ref_id, ``candidates`` distinct fp; without any reference there are no rows.
+
+    The 64 bits are cut into m parts of about log2(number of references) bits. If two patterns differ in less than m (s + 1) bits, some part
+    differs in at most s. So round s looks up, for every part, all values that differ from the candidate's in exactly s bits; after it every
+    reference nearer than m (s + 1) has been met, and candidates whose best lies below that leave the search, ties being complete. Near ones leave
+    in the first round, of m look-ups, and only those without any near reference go on. Each round is an equi-join on (part, value) whose finds are
+    reduced to one row a candidate before the shuffle. In all rounds together a candidate looks up every value of every part at most once, about
+    m times the references.
+    """
+    refs = cut_lineage(references.groupBy("fp").agg(F.min(F.struct("ref_order", "ref_id")).alias("ref")))
+    n = refs.count()
+    cands = cut_lineage(candidates.select("fp").distinct())
+    parts = _parts(list(range(BITS)), ceil(BITS / max(8, min(24, ceil(log2(max(n, 2)))))))
+    m = len(parts)
+
+    def split(df: DataFrame) -> DataFrame:
+        values = [F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("fp", p[0]).bitwiseAND(F.lit((1 << len(p)) - 1)).alias("value"), F.lit(len(p)).alias("width")) for i, p in enumerate(parts)]
+        return df.select("*", F.explode(F.array(*values)).alias("_p")).select(*df.columns, "_p.*")
+
+    index = cut_lineage(split(refs).select("part", "value", F.col("fp").alias("ref_fp"), "ref"))
+    best = cands.select("fp", F.lit(None).cast("int").alias("distance"), F.lit(None).cast(refs.schema["ref"].dataType).alias("ref"))
+    done = None
+    for s in range(max(len(p) for p in parts) + 1):
+        probes = split(best.select("fp")).withColumn("_last", F.lit(-1))
+        for _ in range(s):  # one more bit turned over, above those before it
+            probes = probes.where(F.col("_last") + 1 < F.col("width")).withColumn("_last", F.explode(F.sequence(F.col("_last") + 1, F.col("width") - 1)))
+            probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, _last)")))
+        met = probes.join(index, ["part", "value"]).select("fp", hamming("fp", "ref_fp").cast("int").alias("distance"), "ref")
+        found = best.where("distance is not null").unionByName(met).groupBy("fp").agg(F.min(F.struct("distance", "ref")).alias("_b"))
+        best = cut_lineage(best.select("fp").join(found, "fp", "left").select("fp", "_b.distance", "_b.ref"))
+        settled = best.where(F.col("distance") < m * (s + 1))
+        done = settled if done is None else done.unionByName(settled)
+        best = best.where(F.col("distance").isNull() | (F.col("distance") >= m * (s + 1)))
+        if best.isEmpty():
+            break
+    return done.unionByName(best.where("distance is not null")).select("fp", "distance", F.col("ref.ref_id").alias("ref_id"))

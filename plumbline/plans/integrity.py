@@ -341,53 +341,59 @@ def _index(rows):
     return cut_lineage(neardup.distinct_fingerprints(rows, "fp", "vec_id"))
 
 
-@query("C5", W("fp", "fp_near", **_DISTINCT_FP) + """select c.first_id as candidate, r.first_id as reference, cast(bit_count(xor(c.fp,r.fp)) as integer) as distance
- from cand c join ref r on bit_count(xor(c.fp,r.fp)) <= 3""")
+@query("C5", W("fp", "fp_near", **_DISTINCT_FP, near="""select c.first_id as candidate, c.members as members, r.first_id as reference, r.members as reference_members, cast(bit_count(xor(c.fp,r.fp)) as integer) as distance,
+ row_number() over (partition by c.fp order by bit_count(xor(c.fp,r.fp)), r.fp) as rn from cand c join ref r on bit_count(xor(c.fp,r.fp)) <= 3""") + "select candidate, members, reference, reference_members, distance from near where rn = 1")
 def near_duplicates_of_reference(spark, d):
-    """Every fingerprint's altered copy against the originals, Hamming distance at most 3."""
+    """Every fingerprint's altered copy with an original at Hamming distance 3 or less, linked to the nearest one; both with the rows they stand for."""
     ref, cand = _index(V.fp(spark, d)), _index(V.fp_near(spark, d))
-    pairs = neardup.within_distance(cand, ref, 3)
-    return (pairs.join(cand.select(F.col("fp").alias("fp_left"), F.col("first_id").alias("candidate")), "fp_left")
-                 .join(ref.select(F.col("fp").alias("fp_right"), F.col("first_id").alias("reference")), "fp_right")
-                 .select("candidate", "reference", "distance"))
+    links = neardup.nearest_links(cand, ref, 3)
+    return (links.join(cand.select("fp", F.col("first_id").alias("candidate"), "members"), "fp")
+                 .join(ref.select(F.col("fp").alias("ref_fp"), F.col("first_id").alias("reference"), F.col("members").alias("reference_members")), "ref_fp")
+                 .select("candidate", "members", "reference", "reference_members", "distance"))
 
 
-@query("C5", W("fp", "fp_near", pool="select fp, min(vec_id) as first_id, count(*) as members from (select * from fp union all select * from fp_near) group by fp")
-       + """select least(a.first_id,b.first_id) as id_1, greatest(a.first_id,b.first_id) as id_2, cast(bit_count(xor(a.fp,b.fp)) as integer) as distance, a.members*b.members as row_pairs
- from pool a join pool b on a.fp < b.fp and bit_count(xor(a.fp,b.fp)) <= 2""")
+@query("C5", W("fp", "fp_near", pool="select fp, min(vec_id) as first_id, count(*) as members from (select * from fp union all select * from fp_near) group by fp",
+               near="""select a.first_id as id, a.members, b.first_id as representative, cast(bit_count(xor(a.fp,b.fp)) as integer) as distance, row_number() over (partition by a.fp order by b.first_id, b.fp) as rn
+ from pool a join pool b on a.fp <> b.fp and (b.first_id < a.first_id or b.first_id = a.first_id and b.fp < a.fp) and bit_count(xor(a.fp,b.fp)) <= 2""") + "select id, members, representative, distance from near where rn = 1")
 def near_duplicates_internal(spark, d):
+    """One row for each fingerprint that repeats an earlier one within two bits: its rows, and the earliest such fingerprint's first id."""
     pool = _index(V.fp(spark, d).unionByName(V.fp_near(spark, d)))
-    pairs = neardup.near_pairs(pool, 2)
-    side = lambda s, n: pool.select(F.col("fp").alias(s), F.col("first_id").alias(f"id{n}"), F.col("members").alias(f"m{n}"))
-    j = pairs.join(side("fp_left", 1), "fp_left").join(side("fp_right", 2), "fp_right")
-    return j.select(F.least("id1", "id2").alias("id_1"), F.greatest("id1", "id2").alias("id_2"), "distance", (F.col("m1") * F.col("m2")).alias("row_pairs"))
+    links = neardup.representative_links(pool, 2)
+    return (links.join(pool.select("fp", F.col("first_id").alias("id"), "members"), "fp")
+                 .join(pool.select(F.col("fp").alias("rep_fp"), F.col("first_id").alias("representative")), "rep_fp").select("id", "members", "representative", "distance"))
 
 
-def _nearest(spark, d, distance, blocks=None):
-    ref = _index(V.fp(spark, d)).select("fp", F.col("first_id").alias("ref_order"), F.col("first_id").alias("ref_id"))
-    cand = _index(V.fp_near(spark, d))
-    return V.fp_near(spark, d), neardup.nearest_reference(cand, ref, distance, blocks=blocks)
+def _references(spark, d):
+    return _index(V.fp(spark, d)).select("fp", F.col("first_id").alias("ref_order"), F.col("first_id").alias("ref_id"))
 
 
-_NEAREST_SQL = """select vec_id, fp, distance, ref_id from (select c.vec_id, c.fp, cast(bit_count(xor(c.fp,r.fp)) as integer) as distance, r.vec_id as ref_id,
- row_number() over (partition by c.vec_id order by bit_count(xor(c.fp,r.fp)), r.vec_id) as rn from fp_near c join fp r on bit_count(xor(c.fp,r.fp)) <= 5) where rn = 1"""
+_NEAREST_SQL = """select vec_id, fp, label, distance, ref_id from (select c.vec_id, c.fp, c.label, cast(bit_count(xor(c.fp,r.fp)) as integer) as distance, r.vec_id as ref_id,
+ row_number() over (partition by c.vec_id order by bit_count(xor(c.fp,r.fp)), r.vec_id) as rn from fp_near c join fp r on true) where rn = 1"""
 
 
-@query("C6", W("fp", "fp_near", near=_NEAREST_SQL) + "select vec_id, distance, ref_id from near")
+@query("C6", W("fp", "fp_near", near=_NEAREST_SQL) + "select vec_id, distance, ref_id from near where distance <= 5")
 def nearest_reference_within(spark, d):
-    rows, nearest = _nearest(spark, d, 5)
-    return rows.join(nearest, "fp").select("vec_id", "distance", "ref_id")
+    rows = V.fp_near(spark, d)
+    return rows.join(neardup.nearest_reference(_index(rows), _references(spark, d), 5), "fp").select("vec_id", "distance", "ref_id")
+
+
+@query("C6", W("fp", "fp_near", near=_NEAREST_SQL) + "select vec_id, distance, ref_id from near")
+def nearest_reference(spark, d):
+    """The nearest reference of every candidate, at whatever distance."""
+    rows = V.fp_near(spark, d)
+    return rows.join(neardup.nearest_of_all(_index(rows), _references(spark, d)), "fp").select("vec_id", "distance", "ref_id")
 
 
-@query("C7", W("fp", "fp_near", near=_NEAREST_SQL, log="""select f.vec_id, f.label, case when distance=0 then 'EXACT' when distance<=3 and f.label<5 then 'OVERLAP' when distance<=3 then 'SUSPICIOUS'
- else 'CLEAN' end as k from fp_near f left join near n on f.vec_id=n.vec_id""") + """select vec_id, case when k='CLEAN' then 'ACCEPT' else 'REJECT' end as audit_action,
+@query("C7", W("fp", "fp_near", near=_NEAREST_SQL, log="""select vec_id, label, distance, ref_id, case when distance=0 then 'EXACT' when distance<=3 and label<5 then 'OVERLAP' when distance<=3 then 'SUSPICIOUS'
+ else 'CLEAN' end as k from near""") + """select vec_id, distance, ref_id, case when k='CLEAN' then 'ACCEPT' else 'REJECT' end as audit_action,
  case k when 'EXACT' then 'EXACT_SHA256_COLLISION' when 'OVERLAP' then 'NEAR_DUPLICATE_SOURCE_OVERLAP' when 'SUSPICIOUS' then 'SUSPICIOUS_NEAR_DUPLICATE' else 'Clean' end as reason_class from log""")
 def leakage_audit_log(spark, d):
-    rows, nearest = _nearest(spark, d, 3, blocks=6)  # no more than the audit decides on; keys of 32 bits
-    j = rows.join(nearest, "fp", "left")
+    """The decision on every candidate with its nearest reference and the distance, accepted rows included."""
+    rows = V.fp_near(spark, d)
+    j = rows.join(neardup.nearest_of_all(_index(rows), _references(spark, d)), "fp", "left")
     origin = F.when(F.col("label") < 5, "shared").otherwise("other")
     log = dc.audit_decision(j, F.coalesce(F.col("distance") == 0, F.lit(False)), F.col("distance"), origin, F.col("ref_id").cast("string"), ["shared"], 3)
-    return log.select("vec_id", "audit_action", F.split_part("reason", F.lit(" "), F.lit(1)).alias("reason_class"))
+    return log.select("vec_id", "distance", "ref_id", "audit_action", F.split_part("reason", F.lit(" "), F.lit(1)).alias("reason_class"))
 
 
 @query("C8", "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")

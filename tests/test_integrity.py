@@ -50,6 +50,50 @@ def test_one_dominant_cluster(spark):
     assert {(r.fp_left, r.fp_right) for r in neardup.near_pairs(df, 3, hot_key=20).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_links_of_dense_clusters_on_each_side(spark, hot):
+    """A whole cube of patterns: thousands of pairs, a row for each fingerprint."""
+    cube = [signed((0xF00D << 40) | sum(1 << (7 * j) for j in range(8) if i >> j & 1)) for i in range(256)]
+    other = [signed(c ^ (1 << 63) ^ (1 << 3)) for c in cube[::3]] + [signed(1 << 62)]
+    ids = {f: (i * 37) % 101 for i, f in enumerate(cube)}  # first ids that repeat
+    df = spark.createDataFrame(list(ids.items()), "fp bigint, first_id int")
+    got = {r.fp: (r.rep_fp, r.distance) for r in neardup.representative_links(df, 2, hot_key=hot).collect()}
+    want = {}
+    for f in cube:
+        before = [(ids[g], g) for g in cube if g != f and popcount(f, g) <= 2 and (ids[g], g) < (ids[f], f)]
+        if before:
+            want[f] = (min(before)[1], popcount(f, min(before)[1]))
+    assert got == want and len(got) < len(cube)
+    links = neardup.nearest_links(spark.createDataFrame([(f,) for f in other], "fp bigint"), df, 3, hot_key=hot).collect()
+    best = {f: min((popcount(f, c), c) for c in cube) for f in other}
+    assert {r.fp: (r.distance, r.ref_fp) for r in links} == {f: b for f, b in best.items() if b[0] <= 3} and len(links) == len(other) - 1
+
+
+def test_keys_to_the_last_bit_hold_few_patterns(spark):
+    """All 4,096 patterns of twelve bits share most keys; at the end no key has more than 2**d of them."""
+    df = spark.range(4096).select(F.expr("shiftleft(id, 20)").alias("fp"))
+    left, right, on = neardup.candidate_keys(df, df, 2, 4, 50)
+    assert left.groupBy(*on).count().agg(F.max("count")).first()[0] <= 50
+    assert left.where("out <> 0").groupBy(*on).count().agg(F.max("count")).first()[0] <= 4
+    pairs = neardup.near_pairs(df, 2, blocks=4, hot_key=50).count()
+    assert pairs == 4096 * (12 + 66) // 2
+
+
+def test_nearest_reference_at_any_distance(spark):
+    rng = random.Random(8)
+    refs = [(signed(rng.getrandbits(64)), rng.randrange(40), i) for i in range(300)]
+    refs += [(refs[0][0], 0, 900), (signed(0), 7, 901), (signed(3), 7, 902)]
+    cands = {r[0] ^ 1 for r in refs[:20]} | {signed(rng.getrandbits(64)) for _ in range(60)} | {refs[5][0], signed(1), signed(2**64 - 1), refs[0][0]}
+    df = spark.createDataFrame(refs, "fp bigint, ref_order int, ref_id int")
+    got = neardup.nearest_of_all(spark.createDataFrame([(c,) for c in cands], "fp bigint"), df)
+    want = {c: min((popcount(c, f), o, i) for f, o, i in refs) for c in cands}
+    assert {r.fp: (r.distance, r.ref_id) for r in got.collect()} == {c: (d, i) for c, (d, _, i) in want.items()}
+    assert max(d for d, _, _ in want.values()) > 15
+    few = neardup.nearest_of_all(spark.createDataFrame([(0,), (-1,)], "fp bigint"), df.limit(1))
+    assert few.count() == 2
+    assert neardup.nearest_of_all(spark.createDataFrame([(0,)], "fp bigint"), df.limit(0)).count() == 0
+
+
 def test_nearest_reference_ties_go_to_the_first(spark):
     ref = spark.createDataFrame([(0b0001, 2, "b"), (0b0010, 1, "a"), (1 << 40, 3, "c")], "fp bigint, ref_order int, ref_id string")
     got = neardup.nearest_reference(spark.createDataFrame([(0,), (-1,)], "fp bigint"), ref, 2).collect()
