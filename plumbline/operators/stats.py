@@ -1,16 +1,15 @@
 """Resampling intervals and paired tests.
 
 Bootstrap, always on counted cells, so its cost is cells x replicates whatever the number of rows. ``poisson``: a cell of n rows gets a
-Poisson(n) count per replicate, which is what n independent Poisson(1) weights add up to; it is made from a hash of (seed,
-replicate, cell), so any engine can repeat it. ``multinomial``: each replicate redraws all cell counts together, which is resampling rows with
+Poisson(n) count per replicate, which is what n independent Poisson(1) weights add up to; it is drawn by inversion from a hash of (seed,
+replicate, cell), by one rule for every n, so any engine can repeat it. ``multinomial``: each replicate redraws all cell counts together, which is resampling rows with
 replacement exactly. All models share the cells, hence one resample.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
-from math import exp, pi
+from collections.abc import Mapping, Sequence
+from math import log, pi
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,42 +18,64 @@ from pyspark.sql import types as T
 
 from plumbline.functions.scalars import chi2_1df_p, ratio, snapped, two_sided_p
 from plumbline.operators.metrics import cell_counts, with_rates
-from plumbline.operators.prefix import value_totals
-
-#: Counts below this are drawn from the exact distribution, larger ones from the normal one rounded; terms of the distribution that are kept.
-EXACT_BELOW, TERMS = 16, 64
-
-
-def poisson_steps() -> list[tuple[int, int, float, float]]:
-    """(n, k, low, high): a uniform number in [low, high) gives the count k for a Poisson mean n, for n from 0 to EXACT_BELOW - 1."""
-    out = []
-    for n in range(EXACT_BELOW):
-        term, low = exp(-n), 0.0
-        for k in range(TERMS):
-            high = 2.0 if k == TERMS - 1 else low + term
-            if high > low:
-                out.append((n, k, low, high))
-            low, term = high, term * n / (k + 1)
-    return out
+from plumbline.operators.prefix import running_totals, value_totals
+from plumbline.session import cut_lineage
+
+#: A Poisson number of mean n lies within n +- (SPREAD sqrt(n) + MARGIN) but for less than 1e-17; numbers of the table that stand in one running total.
+SPREAD, MARGIN, STEP = 9.0, 30, 1024
+#: Parts of (0, 1) by which a draw meets the rows of the table.
+SLICES = 256
+
+
+def poisson_table(means: DataFrame, mean: str = "n") -> DataFrame:
+    """(n, slice, k, low, high): a uniform number u in [low, high) gives the count k of the Poisson distribution of mean n, exactly
+    but for the rounding of doubles, by one rule for every n; ``slice`` is floor(u * SLICES).
+
+    ``means`` holds distinct whole numbers above 0; each gets 18 sqrt(n) + 60 rows. Probabilities are computed for each k by itself and
+    added up in blocks of STEP, so no mean is on one task however large it is.
+    """
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    reach = F.floor(F.lit(SPREAD) * F.sqrt(n)).cast("bigint") + MARGIN
+    first = F.greatest(F.lit(0), F.col("n") - reach).cast("bigint")
+    rows = means.select(F.col(mean).alias("n")).select("n", first.alias("_from"), F.explode(F.sequence(first, F.col("n") + reach)).alias("k"))
+    # ln p = k ln n - n - ln k!; beyond 20! with Stirling's series, and differences taken before the logarithm.
+    small = k * F.log(n) - n - F.log(F.factorial(F.least("k", F.lit(20)).cast("int")).cast("double"))
+    series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / (k * k)) / (k * k)) / (k * k)) / k
+    large = (k - n) - (k + 0.5) * F.log(k / n) - F.log(n * (2.0 * pi)) * 0.5 - series
+    rows = rows.withColumn("_p", F.exp(F.when(F.col("k") <= 20, small).otherwise(large))).withColumn("_block", F.floor((F.col("k") - F.col("_from")) / STEP))
+    inside = Window.partitionBy("n", "_block").orderBy("k")
+    rows = rows.withColumn("_upto", F.sum("_p").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_over", F.sum("_p").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ends = rows.groupBy("n", "_block").agg(F.max("_over").alias("_all"))
+    order = Window.partitionBy("n").orderBy("_block")
+    before = ends.select("n", "_block", F.coalesce(F.sum("_all").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"), F.lead("_block").over(order).isNull().alias("_final"))
+    rows = rows.join(before, ["n", "_block"]).withColumn("high", F.col("_before") + F.col("_upto"))
+    rows = rows.withColumn("low", F.coalesce(F.lag("high").over(inside), F.when(F.col("_block") == 0, F.lit(0.0)).otherwise(F.col("_before"))))
+    last = F.col("k") == F.col("n") + reach
+    rows = rows.withColumn("high", F.when(last, F.lit(1.0)).otherwise(F.least("high", F.lit(1.0)))).where("high > low")
+    slices = F.sequence(F.floor(F.col("low") * SLICES), F.least(F.ceil(F.col("high") * SLICES) - 1, F.lit(SLICES - 1)).cast("bigint"))
+    return rows.select("n", F.explode(slices).alias("slice"), "k", "low", "high")
+
+
+def uniform(digest: Column) -> Column:
+    """52 bits of a hexadecimal digest as a number in [0, 1)."""
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
 
 
 def poisson_cells(cells: DataFrame, keys: Sequence[str], replicates: int, seed: str) -> DataFrame:
-    """(replicate, keys..., n) with n > 0: the counts ``n`` of the cells drawn again for each replicate, by inversion where n is
-    small, else by Box-Muller, rounded and not below zero."""
+    """(replicate, keys..., n) with n > 0: the counts ``n`` of the cells drawn again for each replicate, by inversion of the exact distribution.
+    Cells of one count share their table, which is staged: the join to it is a broadcast where its size allows."""
     name = F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    cells = cut_lineage(cells.where("n > 0"))
+    table = cut_lineage(poisson_table(cells.select(F.col("n").alias("n")).distinct()))
     # Cells are few and each becomes a thousand rows, so they are dealt out first; a stated number is not coalesced again.
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Each step is its own projection, so the digest is computed once.
-    digest = cells.repartition(tasks, *keys).select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("replicate", *keys, "n", F.md5(name).alias("_d"))
-    part = lambda at: F.conv(F.substring("_d", at, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    drawn = digest.select("replicate", *keys, "n", part(1).alias("_u"), part(9).alias("_v"))
-    # A constant table whose size Spark sees: the join to it is a broadcast, and does not gather all cells of one count.
-    rows = json.dumps([{"_n": n, "_k": k, "_low": low, "_high": high} for n, k, low, high in poisson_steps()])
-    steps = cells.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<_n: long, _k: long, _low: double, _high: double>>")))
-    few = drawn.join(steps, (F.col("n") == F.col("_n")) & (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))).select("replicate", *keys, F.col("_k").alias("n"))
-    z = F.sqrt(F.log(F.lit(1.0) - F.col("_u")) * -2.0) * F.cos(F.col("_v") * (2.0 * pi))
-    many = drawn.where(F.col("n") >= EXACT_BELOW).select("replicate", *keys, F.greatest(F.lit(0.0), F.floor(F.col("n") + F.sqrt(F.col("n").cast("double")) * z + 0.5)).cast("bigint").alias("n"))
-    return few.union(many).where("n > 0")
+    drawn = cells.repartition(tasks, *keys).select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("replicate", *keys, "n", F.md5(name).alias("_d"))
+    drawn = drawn.select("replicate", *keys, F.col("n").alias("_n"), uniform(F.col("_d")).alias("_u"))
+    drawn = drawn.select("*", F.floor(F.col("_u") * SLICES).alias("_slice"))
+    steps = table.toDF(*[f"_t_{c}" for c in table.columns])
+    found = drawn.join(steps, (F.col("_n") == F.col("_t_n")) & (F.col("_slice") == F.col("_t_slice")) & (F.col("_u") >= F.col("_t_low")) & (F.col("_u") < F.col("_t_high")))
+    return found.select("replicate", *keys, F.col("_t_k").alias("n")).where("n > 0")
 
 
 def bootstrap_cells(wide: DataFrame, y: str, preds: Sequence[str], replicates: int, seed: str, mode: str = "poisson") -> DataFrame:
@@ -73,38 +94,108 @@ def bootstrap_scores(df: DataFrame, keys: Sequence[str], y: str, score: str, rep
     return drawn.groupBy("replicate", *keys, "score").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
 
 
-#: Cells that one array may hold.
-MAX_CELLS = 65_536
+#: Tries of one binomial draw; each is accepted with a probability above one fifth, so that all fail about once in 10**12 draws.
+TRIES = 128
 
 
-def multinomial_replicates(cells: DataFrame, keys: Sequence[str], replicates: int, seed: str) -> DataFrame:
-    """Redraw cell counts ``n`` for each replicate from Multinomial(sum n, n / sum n).
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: bound as the variable of a one-element transform."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _stirling_rest(k: Column) -> Column:
+    """ln k! - ((k + 1/2) ln k - k + ln(2 pi) / 2) for whole k >= 1."""
+    exact = F.log(F.factorial(F.least(k, F.lit(20.0)).cast("int")).cast("double")) - (k + 0.5) * F.log(k) + k - 0.5 * log(2 * pi)
+    series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / (k * k)) / (k * k)) / (k * k)) / k
+    return F.when(k <= 20, exact).otherwise(series)
+
+
+def _deviance(x: Column, m: Column) -> Column:
+    """x ln(x / m) + m - x, without cancellation where x is near m."""
+    def near(v: Column) -> Column:
+        total = F.lit(1 / 17)
+        for j in range(15, 1, -2):
+            total = total * v * v + 1 / j
+        return (x - m) * v + x * 2.0 * v * v * v * total
+    return _let((x - m) / (x + m), lambda v: F.when(F.abs(v) < 0.1, near(v)).otherwise(x * F.log(x / m) + m - x))
+
+
+def binomial_log_p(k: Column, n: Column, p: Column, q: Column) -> Column:
+    """ln of the binomial probability of k out of n, p + q = 1, both positive; all columns doubles."""
+    inner = (_stirling_rest(n) - _stirling_rest(F.greatest(k, F.lit(1.0))) - _stirling_rest(F.greatest(n - k, F.lit(1.0))) - _deviance(F.greatest(k, F.lit(1.0)), n * p) - _deviance(F.greatest(n - k, F.lit(1.0)), n * q)
+             + 0.5 * F.log(n / (F.greatest(k * (n - k), F.lit(1.0)) * (2 * pi))))
+    return F.when(k <= 0, n * F.log(q)).when(k >= n, n * F.log(p)).otherwise(inner)
+
 
-    The cells of a replicate (prediction patterns: 2^(models + 1) at most) are gathered into one array; more than MAX_CELLS are an error. A
-    generator seeded with (seed, replicate) draws from them in key order, so the result does not depend on partitioning.
+def binomial_draw(n: Column, p: Column, q: Column, seeds: Sequence[Column]) -> Column:
+    """A binomial number of trials ``n`` (whole) with probability p, q = 1 - p, from hashes of ``seeds``.
+
+    Rejection from a hat of a flat middle and exponential tails around the mode, which covers every log-concave distribution and
+    takes about five tries whatever n is: exact but for the rounding of doubles and the 2**-53 steps of the uniform numbers.
     """
-    import zlib
+    size = n.cast("double")
+    uniform_of = lambda i, j: F.shiftrightunsigned(F.xxhash64(*seeds, i, F.lit(j)), 11).cast("double") / float(2**53)
 
+    def draw(b: Column) -> Column:
+        mode, top = b["mode"], F.exp(b["log_top"])
+        width = top * 0.5 + 1.0
 
-    base = zlib.crc32(seed.encode())
-    struct = F.struct(*keys, "n")
-    if cells.limit(MAX_CELLS + 1).count() > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells: scores are not patterns")
-    packed = cells.agg(F.array_sort(F.collect_list(struct)).alias("_cells"))
-    spread = packed.select(F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"), "_cells").repartition("replicate")
+        def attempt(i: Column) -> Column:
+            u, v, level = uniform_of(i, 1), uniform_of(i, 2), uniform_of(i, 3)
+            y = F.when(u <= width / (width + 1.0), v * width / top).otherwise((width - F.log(F.lit(1.0) - v)) / top)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def draw(replicate: pd.Series, counts: pd.Series) -> pd.Series:
-        import numpy as np
-        out = []
-        for b, c in zip(replicate, counts, strict=True):
-            c = np.asarray(c, dtype=np.int64)
-            out.append(np.random.default_rng([base, int(b)]).multinomial(int(c.sum()), c / c.sum()).tolist())
-        return pd.Series(out)
+            def judged(far: Column) -> Column:
+                x = F.when(uniform_of(i, 4) < 0.5, -F.floor(far + 0.5)).otherwise(F.floor(far + 0.5)).cast("double") + mode
+                return _let(x, lambda at: F.struct(
+                    ((at >= 0) & (at <= size) & (F.log(level + 1e-300) + F.least(F.lit(0.0), width - top * far) <= binomial_log_p(F.greatest(F.lit(0.0), F.least(at, size)), size, p, q) - b["log_top"])).alias("done"), at.cast("bigint").alias("k")))
+            return _let(F.least(y, size + 1.0), judged)
+        start = F.struct(F.lit(False).alias("done"), F.lit(-1).cast("bigint").alias("k"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), start, lambda acc, i: F.when(acc["done"], acc).otherwise(attempt(i)))["k"]
 
-    drawn = spread.withColumn("_n", draw("replicate", F.transform("_cells", lambda c: c["n"])))
-    zipped = F.explode(F.arrays_zip("_cells", "_n")).alias("_z")
-    return drawn.select("replicate", zipped).select("replicate", *[F.col(f"_z._cells.{k}").alias(k) for k in keys], F.col("_z._n").alias("n")).where("n > 0")
+    mode = F.least(F.floor((size + 1.0) * p).cast("double"), size)
+    one = _let(mode, lambda m: F.struct(m.alias("mode"), binomial_log_p(m, size, p, q).alias("log_top")))
+    return F.when(n <= 0, F.lit(0).cast("bigint")).when(q <= 0, n).when(p <= 0, F.lit(0).cast("bigint")).otherwise(_let(one, draw))
+
+
+def multinomial_replicates(cells: DataFrame, keys: Sequence[str], replicates: int, seed: str) -> DataFrame:
+    """Redraw cell counts ``n`` for each replicate from Multinomial(sum n, n / sum n), for any number of cells.
+
+    The cells, in the order of a hash, are the leaves of a binary tree. From the root down the count of every node is split between its two
+    children by a binomial draw with their shares, level by level: an equi-join with the table of the level's nodes and a draw
+    from hashes of (seed, replicate, node), so the result does not depend on partitioning and no task holds all cells.
+    """
+    cells = cells.where("n > 0").withColumn("_place", F.struct(F.xxhash64(F.lit(seed), *keys).alias("h"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
+    ranked = running_totals(cells.withColumn("_one", F.lit(1).cast("bigint")), [], ["_place"], F.shiftright(F.col("_place.h"), 52), {"_leaf": "_one"})
+    ranked = cut_lineage(ranked.select(*keys, "n", (F.col("_leaf") - 1).alias("_leaf")))
+    total = ranked.agg(F.count("*").alias("m"), F.sum("n").alias("n")).first()
+    depth = max(0, (total.m - 1).bit_length()) if total.m else 0
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = cells.sparkSession.range(0, replicates if total.m else 0, 1, tasks).select(F.col("id").cast("int").alias("replicate"), F.lit(0).cast("bigint").alias("_node"), F.lit(total.n or 0).cast("bigint").alias("_n"))
+    for level in range(1, depth + 1):
+        nodes = ranked.groupBy(F.shiftright("_leaf", depth - level + 1).alias("_node")).agg(
+            F.sum(F.when(F.shiftright("_leaf", depth - level) % 2 == 0, F.col("n")).otherwise(0)).cast("double").alias("_left"), F.sum("n").cast("double").alias("_all"))
+        split = drawn.join(cut_lineage(nodes), "_node")
+        left = binomial_draw(F.col("_n"), F.col("_left") / F.col("_all"), (F.col("_all") - F.col("_left")) / F.col("_all"), [F.lit(seed), F.col("replicate"), F.lit(level), F.col("_node")])
+        split = split.select("replicate", "_node", "_n", left.alias("_l"))
+        drawn = split.select("replicate", F.explode(F.array(F.struct((F.col("_node") * 2).alias("_node"), F.col("_l").alias("_n")), F.struct((F.col("_node") * 2 + 1).alias("_node"), (F.col("_n") - F.col("_l")).alias("_n")))).alias("_c")).select("replicate", "_c.*").where("_n > 0")
+    return drawn.join(ranked.select(*keys, F.col("_leaf").alias("_node")), "_node").select("replicate", *keys, F.col("_n").alias("n"))
+
+
+def bootstrap_joint_curves(wide: DataFrame, y: str, scores: Mapping[str, str], replicates: int, seed: str) -> DataFrame:
+    """(replicate, model, score, pos, neg) for curves of several models on one resample: the cells of all their scores together
+    are drawn once, then counted for each model's own scores. ``scores`` maps model to column; cells are the distinct tuples of scores, so for very many
+    rows two models at a time have far fewer."""
+    cells = [y, *scores.values()]
+    drawn = poisson_cells(wide.groupBy(*cells).agg(F.count("*").alias("n")), cells, replicates, seed)
+    return model_histograms(drawn, y, scores)
+
+
+def model_histograms(cells: DataFrame, y: str, scores: Mapping[str, str]) -> DataFrame:
+    """(replicate, model, score, pos, neg) from cells (replicate, y, score columns, n)."""
+    per = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("score")) for m, c in scores.items()]))
+    long = cells.select("replicate", F.col(y).alias("y"), "n", per.alias("_m"))
+    return long.groupBy("replicate", F.col("_m.model").alias("model"), F.col("_m.score").alias("score")).agg(
+        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
 
 
 def replicate_metrics(cells: DataFrame, y: str, models: dict[str, str], names: Sequence[str]) -> DataFrame:
@@ -143,9 +234,9 @@ def paired_interval(long: DataFrame, pairs: Sequence[tuple[str, str]], replicate
 
 # --------------------------------------------------------------------------- paired tests
 
-def signed_rank(df: DataFrame, keys: Sequence[str], delta: str, digits: int = 9) -> DataFrame:
+def signed_rank(df: DataFrame, keys: Sequence[str], delta: str, digits: int = 9, cells: bool = False) -> DataFrame:
     """Wilcoxon signed-rank test of paired differences per group: zeros dropped, mid-ranks, normal p with tie
-    correction and no continuity correction.
+    correction and no continuity correction. ``cells`` keeps what ``with_p_method`` needs for other p-values.
 
     Differences are rounded to ``digits`` so that equal differences of decimal scores tie. They are
     counted by size before ranking; only distinct sizes are ordered.
@@ -158,46 +249,72 @@ def signed_rank(df: DataFrame, keys: Sequence[str], delta: str, digits: int = 9)
     run = value_totals(sizes, keys, "_size", {"_upto": "_t"})
     t = F.col("_t").cast("double")
     mid = F.col("_upto").cast("double") - (t - 1.0) / 2.0
+    # Twice the mid-rank is a whole number. Cells are kept for groups alone that are small enough for an exact p.
+    cell = F.when(F.col("_upto_all") <= MOST_EXACT_PAIRS, F.struct((F.col("_upto") * 2 - F.col("_t") + 1).alias("rank2"), F.col("_t").alias("times")))
     s = run.groupBy(*keys).agg(
         F.max("_upto_all").alias("n"), F.sum(mid * F.col("_up")).alias("w_plus"),
-        F.sum(mid * (F.col("_t") - F.col("_up"))).alias("w_minus"), F.sum(t * t * t - t).alias("_ties"), F.max("_t").alias("_most"))
+        F.sum(mid * (F.col("_t") - F.col("_up"))).alias("w_minus"), F.sum(t * t * t - t).alias("_ties"), F.max("_t").alias("_most"),
+        F.sum(t * F.pow(mid, F.lit(4.0))).alias("_r4"), F.sum(t * F.pow(mid, F.lit(6.0))).alias("_r6"), F.array_sort(F.collect_list(cell)).alias("rank_cells"))
     n = F.col("n").cast("double")
     var = n * (n + 1.0) * (n * 2.0 + 1.0) / 24.0 - F.col("_ties") / 48.0
     z = ratio(F.col("w_plus") - n * (n + 1.0) / 4.0, F.sqrt(var))
-    return s.select(*keys, "n", "w_plus", "w_minus", F.least("w_plus", "w_minus").alias("statistic"), z.alias("z"),
-                    two_sided_p(z).alias("p_value"), (F.col("_most") > 1).alias("has_ties"))
+    out = s.select(*keys, "n", "w_plus", "w_minus", F.least("w_plus", "w_minus").alias("statistic"), z.alias("z"),
+                   two_sided_p(z).alias("p_value"), (F.col("_most") > 1).alias("has_ties"), (F.col("_r4") / (var * var)).alias("_k4"), (F.col("_r6") / (var * var * var)).alias("_k6"), F.sqrt(var).alias("_sd"), "rank_cells")
+    return out if cells else out.drop("_k4", "_k6", "_sd", "rank_cells")
 
 
-#: Largest number of pairs for which exact p-values are made: beyond it the table of sums grows with its square.
+#: Largest number of pairs of a group for which exact p-values are made: the table of sums grows with its square.
 MOST_EXACT_PAIRS = 1000
 
 
 def with_p_method(tests: DataFrame, method: str) -> DataFrame:
-    """Add ``p_method`` and, for ``exact``, replace the normal p by the exact one. Exact p needs groups without ties and of at most
-    MOST_EXACT_PAIRS pairs and is NULL elsewhere. Works on the result rows of signed_rank only."""
+    """Replace the normal p of ``signed_rank(..., cells=True)`` by another one; adds ``p_method`` and ``p_error``, and drops the cells.
+
+    ``exact``: from the distribution of the sum of doubled mid-ranks, ties included, made by multiplying its generating function cell by cell; a group of more than
+    MOST_EXACT_PAIRS pairs is an error. ``series``: the normal p at the statistic moved by half a step, with two further terms by the fourth and sixth cumulants (the odd
+    ones are zero), for any size; p_error is the size of the last term and of the first one left out for the steps. ``exact_or_series``: exact as far as MOST_EXACT_PAIRS, series beyond; p_method tells which.
+    ``normal`` needs no cells. No group has a NULL p.
+    """
     if method == "normal":
         return tests.withColumn("p_method", F.lit(method))
-    if method != "exact":
+    if method not in ("exact", "series", "exact_or_series"):
         raise ValueError(f"unknown p method {method!r}")
 
     @F.pandas_udf(T.DoubleType())
-    def exact(n: pd.Series, w: pd.Series) -> pd.Series:
-        tables: dict[int, list[int]] = {}
-        out = []
-        for size, stat in zip(n, w, strict=True):
-            size = int(size)
-            if size not in tables:
-                ways = [1]
-                for k in range(1, size + 1):
-                    ways = [(ways[i] if i < len(ways) else 0) + (ways[i - k] if 0 <= i - k < len(ways) else 0) for i in range(len(ways) + k)]
-                tables[size] = ways
-            ways = tables[size]
-            out.append(min(1.0, 2.0 * sum(ways[: int(stat) + 1]) / 2.0 ** size))
-        return pd.Series(out, dtype="float64")
-
-    fit = (F.col("n") <= MOST_EXACT_PAIRS) & ~F.col("has_ties")
-    p = F.when(fit, exact(F.when(fit, F.col("n")).otherwise(0), F.when(fit, F.col("statistic")).otherwise(0.0)))
-    return tests.withColumn("p_value", p).withColumn("p_method", F.lit(method))
+    def exact(cells: pd.Series, w: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def p_value(group, stat) -> float:
+            size = sum(int(c["rank2"]) * int(c["times"]) for c in group)
+            chance = np.zeros(size + 1)
+            chance[0], top = 1.0, 0
+            for c in group:
+                r = int(c["rank2"])
+                for _ in range(int(c["times"])):
+                    chance[: top + r + 1] *= 0.5
+                    chance[r : top + r + 1] += chance[: top + 1].copy()
+                    top += r
+            return min(1.0, 2.0 * float(chance[: int(round(2 * stat)) + 1].sum()))
+        return pd.Series([p_value(g, x) if len(g) else 0.0 for g, x in zip(cells, w, strict=True)], dtype="float64")
+
+    z = F.greatest(F.lit(0.0), F.abs("z") - F.lit(0.5) / F.col("_sd"))
+    density = F.exp(z * z / -2.0) * (1.0 / (2 * pi) ** 0.5)
+    # Cumulants of a sum of +-r/2: kappa4 = -sum r^4 / 8, kappa6 = sum r^6 / 4, over powers of the variance. Terms of the upper tail, doubled.
+    k4, k6 = F.col("_k4") * -0.125, F.col("_k6") * 0.25
+    he3, he5 = z * z * z - z * 3.0, F.pow(z, F.lit(5.0)) - z * z * z * 10.0 + z * 15.0
+    he7 = F.pow(z, F.lit(7.0)) - F.pow(z, F.lit(5.0)) * 21.0 + z * z * z * 105.0 - z * 105.0
+    second, third = density * he3 * k4 / 12.0, density * (he5 * k6 / 360.0 + he7 * k4 * k4 / 576.0)
+    series = F.least(F.lit(1.0), F.greatest(F.lit(0.0), two_sided_p(z) + second + third))
+    third = F.abs(third) + density * z / (F.col("_sd") * F.col("_sd") * 12.0)
+    small = F.col("n") <= MOST_EXACT_PAIRS
+    if method == "exact":
+        tests = tests.where(F.assert_true(small, F.lit(f"a group of more than {MOST_EXACT_PAIRS} pairs has no exact p-value")).isNull())
+    by_table = exact(F.when(small, F.col("rank_cells")).otherwise(F.slice("rank_cells", 1, 0)), F.col("statistic"))
+    p, error, name = {"exact": (by_table, F.lit(0.0), F.lit("exact")), "series": (series, third, F.lit("series")),
+                      "exact_or_series": (F.when(small, by_table).otherwise(series), F.when(small, F.lit(0.0)).otherwise(third), F.when(small, "exact").otherwise("series"))}[method]
+    kept = [c for c in tests.columns if c not in ("_k4", "_k6", "_sd", "rank_cells")]
+    out = tests.withColumns({"_p": p, "p_error": error, "p_method": name}).select(*[c for c in kept if c != "p_value"], F.col("_p").alias("p_value"), "p_error", "p_method")
+    return out
 
 
 def mcnemar(gained: Column, lost: Column) -> dict[str, Column]:

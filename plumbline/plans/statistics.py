@@ -8,7 +8,7 @@ from math import pi
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import rounded, snapped
-from plumbline.operators import metrics as mt, stats as st
+from plumbline.operators import agreement as ag, metrics as mt, stats as st
 from plumbline.operators.decontaminate import values_long
 from plumbline.operators.fusion import VIEWS, VIEW_SETS
 from plumbline.operators.prefix import describe
@@ -25,18 +25,20 @@ PAIRS = list(combinations(MODELS, 2))
 PRED = {m: f"pred_{m}" for m in MODELS}
 
 
-def _drawn(cells: str, keys: str) -> dict[str, str]:
-    """Subqueries that redraw the counts n of ``cells`` for every replicate: as operators.stats.poisson_cells does."""
+def _drawn(cells: str, keys: str, tag: str = "") -> dict[str, str]:
+    """Subqueries that redraw the counts n of ``cells`` for every replicate (``dr`` + tag): as operators.stats.poisson_cells does."""
     name = "||':'||".join(f"{k}::varchar" for k in keys.split(", "))
-    u = lambda at: f"cast('0x'||substr(d,{at},8) as bigint)/4294967296e0"
-    num = lambda x: repr(x) + ("" if "e" in repr(x) else "e0")
-    steps = ", ".join(f"({n}, {k}, {num(low)}, {num(high)})" for n, k, low, high in st.poisson_steps())
+    reach = f"(floor({st.SPREAD!r}e0*sqrt(n::double))::bigint + {st.MARGIN})"
     return {
-        "ps": f"select * from (values {steps}) t(pn, pk, low, high)",
-        "d1": f"select b.range as replicate, {keys}, n, md5('boot:'||b.range||':'||{name}) as d from {cells}, range({REPLICATES}) b",
-        "d2": f"select replicate, {keys}, n, {u(1)} as u, {u(9)} as v from d1",
-        "dr": f"""select replicate, {keys}, pk::bigint as n from d2 join ps on n = pn and u >= low and u < high
- union all select replicate, {keys}, greatest(0e0, floor(n + sqrt(n::double) * (sqrt(ln(1e0-u) * -2e0) * cos(v * {2 * pi!r}e0)) + 0.5e0))::bigint as n from d2 where n >= {st.EXACT_BELOW}""",
+        f"pm{tag}": f"select distinct n from {cells} where n > 0",
+        f"pk{tag}": f"select n, unnest(range(greatest(0, n - {reach}), n + {reach} + 1)) as k, n + {reach} as last from pm{tag}",
+        f"pp{tag}": f"""select n, k, last, exp(case when k <= 20 then k*ln(n::double) - n - ln(factorial(least(k, 20)::integer)::double)
+ else (k - n)::double - (k + 0.5e0)*ln(k::double/n) - ln(n*{2 * pi!r}e0)*0.5e0 - (1e0/12 - (1e0/360 - (1e0/1260 - 1e0/1680/(k::double*k))/(k::double*k))/(k::double*k))/k end) as p from pk{tag}""",
+        f"pc1{tag}": f"select n, k, last, sum(p) over (partition by n order by k rows unbounded preceding) as upto from pp{tag}",
+        f"ps{tag}": f"select n as pn, k as pk, coalesce(lag(upto) over (partition by n order by k), 0e0) as low, case when k = last then 1e0 else least(upto, 1e0) end as high from pc1{tag}",
+        f"d1{tag}": f"select b.range as replicate, {keys}, n, md5('boot:'||b.range||':'||{name}) as d from {cells}, range({REPLICATES}) b where n > 0",
+        f"d2{tag}": f"select replicate, {keys}, n, cast('0x'||substr(d,1,13) as bigint)/4503599627370496e0 as u from d1{tag}",
+        f"dr{tag}": f"select replicate, {keys}, pk::bigint as n from d2{tag} join ps{tag} on n = pn and u >= low and u < high where pk > 0",
     }
 
 
@@ -122,21 +124,44 @@ def bootstrap_auroc(spark, d):
     return _interval_rows(i, "model", "metric")
 
 
-_PAIR_SQL = " union all ".join(f"select '{a}' as model_1, '{b}' as model_2, x.metric, x.value-z.value as value from ml x join ml z on x.replicate=z.replicate and x.metric=z.metric and x.model='{a}' and z.model='{b}'" for a, b in PAIRS)
-_PAIR_EST = " union all ".join(f"select '{a}' as model_1, '{b}' as model_2, x.metric, x.estimate-z.estimate as estimate from pe x join pe z on x.metric=z.metric and x.model='{a}' and z.model='{b}'" for a, b in PAIRS)
+def _pair_rows(t: str, value: str, on: str) -> str:
+    return " union all ".join(f"select '{a}' as model_1, '{b}' as model_2, x.metric, x.{value}-z.{value} as {value} from {t} x join {t} z on {on} and x.metric=z.metric and x.model='{a}' and z.model='{b}'" for a, b in PAIRS)
 
 
-@query("I2", W("pred", **_WEIGHTS, dd=_PAIR_SQL, de=_PAIR_EST, g="""select model_1, model_2, metric, avg(value) as m, quantile_cont(value,0.025e0) as lo, quantile_cont(value,0.975e0) as hi, avg((value<=0)::integer) as le, avg((value>=0)::integer) as ge from dd group by 1,2,3""")
-       + f"""select model_1, model_2, metric, {rnd('estimate', 8)} as estimate, {rnd('m')} as boot_mean, {rnd('lo', 8)} as ci_low, {rnd('hi', 8)} as ci_high, not (lo<=0 and hi>=0) as significant, {rnd(f'greatest(2*least(le,ge),1e0/{REPLICATES})')} as p_value
+_CURVES = ("auroc", "average_precision")
+_JOINT = ", ".join(f"score_{m}" for m in MODELS)
+_PAIRED_W = _WEIGHTS | {
+    "jc": f"select y, {_JOINT}, count(*) as n from w group by all",
+    **_drawn("jc", "y, " + _JOINT, "j"),
+    "jl": " union all ".join(f"select replicate, '{m}' as model, y, score_{m} as score, n from drj" for m in MODELS) + " union all " + " union all ".join(f"select -1, '{m}', y, score_{m}, n from jc" for m in MODELS),
+    "hh": "select replicate, model, score, sum(y*n)::bigint as pos, sum((1-y)*n)::bigint as neg from jl group by 1,2,3",
+    "rr": _AUC_W["rr"], "aa": _AUC_W["aa"],
+    "al": "select replicate, model, 'auroc' as metric, round(auroc, 12) as value from aa union all select replicate, model, 'average_precision', round(average_precision, 12) from aa",
+    "mx": "select * from ml union all select * from al where replicate >= 0",
+    "px": "select * from pe union all select model, metric, value from al where replicate < 0",
+    "dd": _pair_rows("mx", "value", "x.replicate=z.replicate"), "de": _pair_rows("px", "estimate", "true"),
+    "g": "select model_1, model_2, metric, avg(value) as m, quantile_cont(value,0.025e0) as lo, quantile_cont(value,0.975e0) as hi, avg((value<=0)::integer) as le, avg((value>=0)::integer) as ge from dd group by 1,2,3",
+}
+
+
+@query("I2", W("pred", **_PAIRED_W) + f"""select model_1, model_2, metric, {rnd('estimate', 8)} as estimate, {rnd('m')} as boot_mean, {rnd('lo', 8)} as ci_low, {rnd('hi', 8)} as ci_high, not (lo<=0 and hi>=0) as significant, {rnd(f'greatest(2*least(le,ge),1e0/{REPLICATES})')} as p_value
  from g join de using (model_1, model_2, metric)""")
 def paired_bootstrap(spark, d):
-    """Differences of two models on the same 1,000 resamples, with the difference of the estimates."""
-    r = st.paired_interval(_replicates(spark, d).withColumn("value", F.round("value", 15)), PAIRS, REPLICATES)
-    e = _estimates(spark, d)
+    """Differences of two models in eight metrics, each on the same 1,000 resamples of both, with the difference of the estimates. Count metrics are drawn on
+    prediction patterns, AUROC and average precision on the cells of all models' scores together."""
+    from plumbline.operators.curves import curve_metrics, curve_points
+    keys = ["replicate", "model"]
+    counts = _replicates(spark, d).withColumn("value", F.round("value", 15))
+    w, scores = wide(spark, d), {m: f"score_{m}" for m in MODELS}
+    whole = st.model_histograms(w.select("y", *scores.values(), F.lit(-1).alias("replicate"), F.lit(1).cast("bigint").alias("n")), "y", scores)
+    hist = st.bootstrap_joint_curves(w, "y", scores, REPLICATES, "boot").unionByName(whole)
+    curves = values_long(curve_metrics(curve_points(hist, keys, splits=16), keys), keys, list(_CURVES)).withColumn("value", F.round("value", 12))
+    r = st.paired_interval(counts.unionByName(curves.where("replicate >= 0")), PAIRS, REPLICATES)
+    e = _estimates(spark, d).withColumn("estimate", rounded("estimate")).unionByName(curves.where("replicate < 0").select("model", "metric", F.col("value").alias("estimate")))
     x, z = e.select(F.col("model").alias("model_1"), "metric", F.col("estimate").alias("_1")), e.select(F.col("model").alias("model_2"), "metric", F.col("estimate").alias("_2"))
     r = r.join(x, ["model_1", "metric"]).join(z, ["model_2", "metric"])
     # Estimates are rounded as reported before they are subtracted.
-    return r.select("model_1", "model_2", "metric", rounded(rounded("_1") - rounded("_2"), 8).alias("estimate"), rounded("boot_mean").alias("boot_mean"), rounded("ci_low", 8).alias("ci_low"), rounded("ci_high", 8).alias("ci_high"), "significant", rounded("p_value").alias("p_value"))
+    return r.select("model_1", "model_2", "metric", rounded(F.col("_1") - F.col("_2"), 8).alias("estimate"), rounded("boot_mean").alias("boot_mean"), rounded("ci_low", 8).alias("ci_low"), rounded("ci_high", 8).alias("ci_high"), "significant", rounded("p_value").alias("p_value"))
 
 
 # --------------------------------------------------------------------------- paired tests
@@ -190,6 +215,25 @@ def signed_rank_by_category(spark, d):
     return _tests(st.signed_rank(_fusion_shift(spark, d), ["view_set", "category"], "delta"), "view_set", "category")
 
 
+_EXACT_SQL = {
+    "rc": "select grp, (2*mid)::bigint as rank2, row_number() over (partition by grp order by mid, sz) as i from rk",
+    # The distribution of the sum of doubled mid-ranks, one pair after the other.
+    "gf": """select grp, 0::bigint as i, [1e0] as chance from sr union all
+ select gf.grp, rc.i, list_transform(range(1, (len(chance) + rank2 + 1)::bigint), lambda j: (coalesce(chance[j], 0e0) + case when j > rank2 then coalesce(chance[j - rank2], 0e0) else 0e0 end) * 0.5e0) from gf join rc on rc.grp = gf.grp and rc.i = gf.i + 1""",
+    "ex": "select sr.grp, sr.n, w_plus, w_minus, least(1e0, 2e0*list_sum(chance[1:(2*least(w_plus,w_minus))::bigint + 1])) as p from sr join gf on gf.grp = sr.grp and gf.i = sr.n",
+}
+
+
+@query("I3", W("pred", w=WIDE_SQL, x="select p.grp, w.score_A - w.score_D as dl from w join (select distinct sample_id, grp from pred) p using (sample_id)", **signed_rank_sql("x", "grp"), **_EXACT_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+       + f"select grp, n, w_plus, w_minus, {rnd('p')} as p_value, 'exact' as p_method from ex")
+def signed_rank_exact(spark, d):
+    """Exact tests of two models' scores for every user, ties included: 1,000 pairs a user at most, more are an error."""
+    p = V.pred(spark, d)
+    w = ag.wide_predictions(p, ["sample_id", "grp"], MODELS)
+    t = st.signed_rank(w.select("grp", (F.col("score_A") - F.col("score_D")).alias("delta")), ["grp"], "delta", cells=True)
+    return st.with_p_method(t, "exact").select("grp", "n", "w_plus", "w_minus", rounded("p_value").alias("p_value"), "p_method")
+
+
 @query("I4", W("views", g=" union all ".join(f"select '{v}' as view, y, count(*) filter (where p_native<0.5 and p_{v}>=0.5)::double as b, count(*) filter (where p_native>=0.5 and p_{v}<0.5)::double as c from views group by y" for v in VIEWS[1:]))
        + f"select view, y, b::bigint as gained, c::bigint as lost, {rnd('coalesce((abs(b-c)-1)*(abs(b-c)-1)/nullif(b+c,0),0)')} as statistic, {rnd('case when b+c=0 then 1e0 else ' + two_sided_sql('sqrt((abs(b-c)-1)*(abs(b-c)-1)/(b+c))') + ' end')} as p_value from g")
 def mcnemar_views(spark, d):

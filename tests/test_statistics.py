@@ -43,18 +43,39 @@ def test_signed_rank_with_ties_and_zeros(spark):
     assert abs(r.p_value - math.erfc(abs((wp - n * (n + 1) / 4) / sd) / math.sqrt(2))) < 1e-9
 
 
-def test_signed_rank_exact_small(spark):
-    d = [0.5, -0.1, 0.9, 1.3, 0.25, -0.35, 0.8]
-    tested = st.signed_rank(spark.createDataFrame([(x,) for x in d], "d double"), [], "d")
-    r = st.with_p_method(tested, "exact").first()
-    n, wp, wm = plain_signed_rank(d)
-    stat = min(wp, wm)
-    ways = sum(1 for s in product([0, 1], repeat=n) if sum(i + 1 for i, x in enumerate(s) if x) <= stat)
-    assert r.p_method == "exact" and abs(r.p_value - min(1.0, 2 * ways / 2 ** n)) < 1e-12
-    normal = st.with_p_method(tested, "normal").first()
-    assert normal.p_method == "normal" and normal.p_value == tested.first().p_value
-    tied = st.signed_rank(spark.createDataFrame([(0.5,), (0.5,)], "d double"), [], "d")
-    assert st.with_p_method(tied, "exact").first().p_value is None
+def by_enumeration(d):
+    """Exact two-sided p over all sign patterns, with mid-ranks."""
+    n, wp, wm = plain_signed_rank(np.array(d))
+    a = np.abs(np.array([x for x in d if x]))
+    ranks = [(a < x).sum() + ((a == x).sum() + 1) / 2 for x in a]
+    ways = sum(1 for s in product([0, 1], repeat=n) if sum(r for r, x in zip(ranks, s) if x) <= min(wp, wm))
+    return min(1.0, 2 * ways / 2 ** n)
+
+
+def test_signed_rank_exact(spark):
+    groups = {"plain": [0.5, -0.1, 0.9, 1.3, 0.25, -0.35, 0.8], "ties": [0.5, 0.5, -0.5, 0.2, 0.2, -0.1, 0.9, 0.0, 0.9], "two": [0.5, 0.5], "all": [0.3] * 9 + [-0.3] * 2}
+    rows = [(k, x) for k, d in groups.items() for x in d]
+    tested = st.signed_rank(spark.createDataFrame(rows, "k string, d double"), ["k"], "d", cells=True)
+    got = {r.k: r for r in st.with_p_method(tested, "exact").collect()}
+    for k, d in groups.items():
+        assert got[k].p_method == "exact" and got[k].p_error == 0 and abs(got[k].p_value - by_enumeration(d)) < 1e-12
+    normal = st.with_p_method(st.signed_rank(spark.createDataFrame(rows, "k string, d double"), ["k"], "d"), "normal")
+    assert {r.p_method for r in normal.collect()} == {"normal"} and "rank_cells" not in normal.columns
+
+
+def test_signed_rank_of_any_size_has_a_p_value(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(x)) for k, n, shift, digits in (("a", 300, .1, 6), ("b", 900, .08, 1), ("c", 1100, .05, 3)) for x in np.round(rng.normal(shift, 1, n), digits)]
+    tested = st.signed_rank(spark.createDataFrame(rows, "k string, d double"), ["k"], "d", cells=True)
+    mixed = {r.k: r for r in st.with_p_method(tested, "exact_or_series").collect()}
+    assert {k: r.p_method for k, r in mixed.items()} == {"a": "exact", "b": "exact", "c": "series"}
+    assert all(0 < r.p_value <= 1 and r.p_error < 1e-4 for r in mixed.values())
+    series = {r.k: r for r in st.with_p_method(tested, "series").collect()}
+    for k in "ab":  # ties are the reason for the wider margin: the steps of b are no longer alike
+        assert abs(series[k].p_value - mixed[k].p_value) < (2e-6 if k == "a" else 1e-3)
+    with pytest.raises(Exception, match="more than 1000 pairs"):
+        st.with_p_method(tested, "exact").collect()
+    tested = st.signed_rank(spark.createDataFrame(rows[:7], "k string, d double"), ["k"], "d", cells=True)
     with pytest.raises(ValueError):
         st.with_p_method(tested, "whichever fits")
 
@@ -101,20 +122,74 @@ def test_bootstrap_agrees_with_theory(spark, mode):
 
 
 def test_drawn_counts_are_poisson(spark):
-    cells = spark.createDataFrame([(n, n) for n in (1, 3, 15, 16, 400)], "k int, n long")
-    got = {r.k: (r.m, r.v) for r in st.poisson_cells(cells, ["k"], 4000, "s").groupBy("k").agg((F.sum("n") / 4000).alias("m"), ((F.sum(F.col("n") * F.col("n")) / 4000) - F.pow(F.sum("n") / 4000, 2)).alias("v")).collect()}
-    for n, (mean, var) in got.items():
-        assert abs(mean - n) < 5 * math.sqrt(n / 4000) and abs(var - n) < n * 0.15
+    """Mean, variance, skew and both ends of draws, by one rule for small and large means."""
+    draws, at = 40_000, (1, 8, 16, 100, 1_000_000)
+    cells = spark.createDataFrame([(n, n) for n in at], "k int, n long")
+    rows = st.poisson_cells(cells, ["k"], draws, "s").select("k", "n").toPandas()
+    for n in at:
+        x = np.zeros(draws)
+        got = rows[rows.k == n].n.to_numpy()
+        x[: got.size] = got
+        d = (x - n) / math.sqrt(n)
+        assert abs(d.mean()) < 5 / math.sqrt(draws) and abs(d.var() - 1) < 5 * math.sqrt((2 + 1 / n) / draws)
+        assert abs((d ** 3).mean() - 1 / math.sqrt(n)) < 5 * math.sqrt((15 + 40 / n) / draws)
+        for q, share in ((n - 1.96 * math.sqrt(n), None), (n + 1.96 * math.sqrt(n), None)):
+            true = poisson_below(n, math.floor(q))
+            assert abs((x <= math.floor(q)).mean() - true) < 5 * math.sqrt(max(true * (1 - true), 1e-4) / draws)
     scores = spark.createDataFrame([("m", i % 2, round(i / 40, 3)) for i in range(40)] * 3, "model string, y int, score double")
     hist = st.bootstrap_scores(scores, ["model"], "y", "score", 500, "s")
     assert abs(hist.agg(F.sum(F.col("pos") + F.col("neg"))).first()[0] / 500 - 120) < 3
 
 
-def test_patterns_alone_are_gathered(spark, monkeypatch):
-    monkeypatch.setattr(st, "MAX_CELLS", 3)
-    _, df = wide(spark, 200)
-    with pytest.raises(ValueError, match="more than 3 cells"):
-        st.bootstrap_cells(df, "y", ["pred_A", "pred_B"], 5, "s", "multinomial")
+def poisson_below(n, q):
+    """P(X <= q) of the Poisson distribution of mean n."""
+    return 0.0 if q < 0 else math.fsum(math.exp(k * math.log(n) - n - math.lgamma(k + 1)) for k in range(max(0, int(n - 40 * math.sqrt(n))), q + 1))
+
+
+def test_poisson_table_is_the_distribution(spark):
+    means = spark.createDataFrame([(n,) for n in (1, 2, 16, 500, 250_000)], "n long")
+    rows = st.poisson_table(means).select("n", "k", "low", "high").distinct().toPandas()
+    for n, t in rows.groupby("n"):
+        t = t.sort_values("k")
+        low, high = t.low.to_numpy(), t.high.to_numpy()
+        assert low[0] == 0 and high[-1] == 1 and (low[1:] == high[:-1]).all()
+        width = np.array([math.exp(k * math.log(n) - n - math.lgamma(k + 1)) for k in t.k])
+        assert np.abs((high - low) - width).max() < 1e-11
+
+
+def test_binomial_draws(spark):
+    """Shares of every outcome of a small case, and moments of large and lopsided ones."""
+    cases = [(5, 0.3), (40, 0.9), (1000, 0.001), (10**6, 0.25), (10**10, 0.5)]
+    draws = 20_000
+    df = spark.range(draws).select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).cast("bigint").alias("n"), F.lit(p).alias("p")) for i, (n, p) in enumerate(cases)])).alias("c")).select("id", "c.*")
+    rows = df.select("i", st.binomial_draw(F.col("n"), F.col("p"), F.lit(1.0) - F.col("p"), [F.lit("t"), F.col("id"), F.col("i")]).alias("k")).toPandas()
+    for i, (n, p) in enumerate(cases):
+        k = rows[rows.i == i].k.to_numpy()
+        assert k.size == draws and k.min() >= 0 and k.max() <= n
+        sd = math.sqrt(n * p * (1 - p))
+        d = (k - n * p) / sd
+        assert abs(d.mean()) < 5 / math.sqrt(draws) and abs(d.var() - 1) < 0.06 and abs((d ** 3).mean() - (1 - 2 * p) / sd) < 0.15 + 0.4 * abs(1 - 2 * p) / sd
+        if n <= 40:
+            for j in range(n + 1):
+                true = math.comb(n, j) * p ** j * (1 - p) ** (n - j)
+                assert abs((k == j).mean() - true) < 5 * math.sqrt(max(true * (1 - true), 1e-5) / draws)
+    edge = spark.range(3).select(*[st.binomial_draw(F.lit(n).cast("bigint"), F.lit(p), F.lit(q), [F.col("id")]).alias(f"c{i}") for i, (n, p, q) in enumerate([(0, .5, .5), (7, 1.0, 0.0), (7, 0.0, 1.0)])]).first()
+    assert tuple(edge) == (0, 7, 0)
+
+
+def test_multinomial_of_many_cells(spark):
+    """Cells of scores: counts of each replicate add up, and those of a cell vary as they should."""
+    cells = spark.range(700).select(F.col("id").alias("score"), (F.col("id") % 5 + 1).alias("n"))
+    drawn = st.multinomial_replicates(cells, ["score"], 400, "s")
+    total = 700 * 3
+    per = drawn.groupBy("replicate").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()
+    assert len(per) == 400 and {r.n for r in per} == {total} and max(r.c for r in per) < 700
+    got = drawn.groupBy("score").agg((F.sum("n") / 400).alias("m"), (F.sum(F.col("n") * F.col("n")) / 400).alias("s")).toPandas().set_index("score")
+    z = [(got.m.get(i, 0) - (i % 5 + 1)) / math.sqrt((i % 5 + 1) / 400) for i in range(700)]
+    assert abs(np.mean(z)) < .2 and 0.85 < np.std(z) < 1.15 and max(map(abs, z)) < 5
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "collect_list" not in plan
+    assert st.multinomial_replicates(cells.limit(0), ["score"], 4, "s").count() == 0
 
 
 def test_bootstrap_is_repeatable_under_repartitioning(spark):
