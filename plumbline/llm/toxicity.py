@@ -128,21 +128,23 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text_co
     ids are drawn by their hash from the narrow label table, then, should their rows hold more texts, texts by theirs: the bound holds in
     expectation (a binomial count) for any table, repeated ids and hot texts included.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    known = stage(known.where("y in (0, 1)"), "labels")
-    per = s.max_docs / 2
-    ids = known.join(known.groupBy("y").agg(F.count("*").alias("n")), "y").where(_share(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(per) / F.col("n"))).select("doc_id", "y")
-    ids = stage(ids, "sample_ids")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("y")).where("y in (0, 1)")
+
+    def drawn(rows: DataFrame, hash64: Column) -> DataFrame:
+        """About half of ``max_docs`` rows of each label, those with the smallest hashes."""
+        share = {r.y: s.max_docs / 2 / r["count"] for r in rows.groupBy("y").count().collect()}
+        return rows.where(_share(hash64, F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))))
+
+    ids = stage(drawn(known, F.xxhash64(F.lit(s.seed), "doc_id")), "sample_ids")
     texts = docs.select("doc_id", F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null").join(ids, "doc_id")
     texts = stage(texts.groupBy("y", F.xxhash64(F.lit(s.seed), "text").alias("h")).agg(F.first("text").alias("text")), "sample_texts")
-    bound = texts.groupBy("y").agg(F.count("*").alias("n"))
-    return texts.join(bound, "y").where(_share(F.col("h"), F.lit(per) / F.col("n"))).select("h", "text", "y")
+    return drawn(texts, F.col("h")).select("h", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine | None:
     """Fit on ``sample``; None if it holds no toxic or no other text. The driver gets the chosen terms and, per sampled text, the places of those present."""
     small_batches(docs.sparkSession)
-    chosen = stage(sample(docs, labels, s, text_col, label_col), "sample")
+    chosen = sample(docs, labels, s, text_col, label_col)
 
     @F.pandas_udf("array<int>")
     def terms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
