@@ -63,7 +63,7 @@ class Encoder:
     the library takes as that token, are encoded as they are. At most ``remember`` pieces are kept.
     """
 
-    def __init__(self, path: str, remember: int = 600_000) -> None:
+    def __init__(self, path: str, remember: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self._added = re.compile("|".join([re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]) or r"(?!)")
@@ -79,18 +79,18 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> list[bytes]:
-        """Ids of pieces. Those that begin with a blank and end with none are encoded as one text, since no token crosses their starts."""
+        """Ids of pieces. Those that begin with a blank and end with none are encoded some hundred at a time as one text, since no token crosses their starts."""
         ids: dict[str, bytes] = {}
         joined = [w for w in new if w[0] in " \t\n\r" and w[-1] not in " \t\n\r"]
-        whole = "".join(joined)
-        if self._added.search(whole):  # only together do they spell an added token
-            joined, whole = [], ""
-        if joined:
-            found = np.frombuffer(self._whole([whole])[0], dtype=self.dtype)
-            ends = np.cumsum(self._bytes[found])
-            stops = np.searchsorted(ends, np.cumsum([len(w.encode("utf-8")) for w in joined])) + 1
-            data, width, start = found.tobytes(), self.dtype.itemsize, 0
-            for w, stop in zip(joined, (stops * width).tolist(), strict=True):
+        groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
+        wholes = ["".join(g) for g in groups]
+        if any(self._added.search(w) for w in wholes):  # only together do they spell an added token
+            groups, wholes = [], []
+        for group, data in zip(groups, self._whole(wholes), strict=True):
+            ends = np.cumsum(self._bytes[np.frombuffer(data, dtype=self.dtype)])
+            stops = (np.searchsorted(ends, np.cumsum([len(w.encode("utf-8")) for w in group])) + 1) * self.dtype.itemsize
+            start = 0
+            for w, stop in zip(group, stops.tolist(), strict=True):
                 ids[w] = data[start:stop]
                 start = stop
         rest = [w for w in new if w not in ids]
@@ -119,7 +119,7 @@ class Encoder:
         return [next(odd) if p is None else ids[start:stop] for p, start, stop in zip(pieces, [0, *stops], stops, strict=False)]
 
 
-def chunks(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """(start, stop) of neighbouring texts of about ``chars`` characters together, one at least."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -163,16 +163,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         with writing(path) as out, writing(path + ".index") as index:
             out.write(MAGIC + bytes([e.dtype.itemsize]))
             at = len(MAGIC) + 1
+            keys: list[int | None] = []
+            texts: list[str] = []
             while first is not None:
-                keys, texts = first.column(0).to_pylist(), [t or "" for t in first.column(1).to_pylist()]
+                keys += first.column(0).to_pylist()
+                texts += [t or "" for t in first.column(1).to_pylist()]
+                first = next(batches, None)
                 for start, stop in chunks(texts):
+                    if stop == len(texts) and first is not None:  # waits for more
+                        keys, texts = keys[start:], texts[start:]
+                        break
                     for key, data in zip(keys[start:stop], e.encode(texts[start:stop]), strict=True):
                         data += end
                         n = len(data) // e.dtype.itemsize
                         index.write(struct.pack(_ENTRY, key or 0, key is not None, at, n))
                         at += out.write(whole := frame(struct.pack(_HEAD, key is not None, key or 0) + data)) or len(whole)
                         records, ids = records + 1, ids + n
-                first = next(batches, None)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_records": [records], "n_ids": [ids]})
 
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_t"))
