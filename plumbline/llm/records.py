@@ -11,7 +11,9 @@ import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 from typing import BinaryIO
 
 import numpy as np
@@ -60,7 +62,8 @@ class Encoder:
 
     A text is cut where no token can cross, and pieces seen before are not encoded again; new pieces of a batch are encoded in
     one call, joined, and the ids cut by their lengths in bytes. Texts with rarer kinds of blanks, or with the literal of an added token, which
-    the library takes as that token, are encoded as they are. At most ``remember`` pieces are kept.
+    the library takes as that token, are encoded as they are. Pieces are numbered as they come, and a number stands for the piece's ids in one array;
+    past ``remember`` pieces the numbering begins anew.
     """
 
     def __init__(self, path: str, remember: int = 1_000_000) -> None:
@@ -72,8 +75,13 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
         self._bytes = np.zeros(size, dtype=np.int64)
         self._bytes[list(vocab.values())] = [len(k) for k in vocab]
-        self._known: dict[str, bytes] = {}
         self._remember = remember
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: defaultdict[str, int] = defaultdict(count().__next__)
+        self._ids = np.empty(0, dtype=self.dtype)
+        self._first = self._size = np.empty(0, dtype=np.int64)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,26 +103,27 @@ class Encoder:
                 start = stop
         rest = [w for w in new if w not in ids]
         ids |= zip(rest, self._whole(rest), strict=True)
-        if len(self._known) < self._remember:
-            self._known |= ids
         return [ids[w] for w in new]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text. Each different piece of the texts is looked up once and its ids are copied to all its places."""
+        """Little-endian ids of each text, copied piece by piece from those of the pieces."""
         pieces = [None if _OTHER_BLANK.search(t) or self._added.search(t) else _PIECE.findall(t) for t in texts]
         places = [w for p in pieces if p is not None for w in p]
-        different = {w: i for i, w in enumerate(dict.fromkeys(places))}
-        known = [self._known.get(w) for w in different]
-        learned = iter(self._learn([w for w, k in zip(different, known, strict=True) if k is None]))
-        known = [next(learned) if k is None else k for k in known]
-        width, at = self.dtype.itemsize, np.fromiter(map(different.__getitem__, places), dtype=np.int64, count=len(places))
-        table = np.frombuffer(b"".join(known), dtype=self.dtype)
-        sizes = np.array([len(k) for k in known], dtype=np.int64) // width
-        first, own = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        if len(self._number) > self._remember or len(self._number) != self._size.size:  # full, or a batch failed half-way
+            self._forget()
+        before = len(self._number)
+        at = np.fromiter(map(self._number.__getitem__, places), dtype=np.int64, count=len(places))
+        if len(self._number) > before:
+            learned = self._learn(list(islice(self._number, before, None)))
+            sizes = np.array([len(x) for x in learned], dtype=np.int64) // self.dtype.itemsize
+            self._first = np.concatenate((self._first, self._ids.size + np.cumsum(sizes) - sizes))
+            self._size = np.concatenate((self._size, sizes))
+            self._ids = np.concatenate((self._ids, np.frombuffer(b"".join(learned), dtype=self.dtype)))
+        own = self._size[at]
         ends = np.cumsum(own)
-        ids = table[np.repeat(first - (ends - own), own) + np.arange(ends[-1] if ends.size else 0)].tobytes()
+        ids = self._ids[np.repeat(self._first[at] - (ends - own), own) + np.arange(ends[-1] if ends.size else 0)].tobytes()
         counts = np.cumsum([0 if p is None else len(p) for p in pieces], dtype=np.int64)
-        stops = (np.concatenate(([0], ends))[counts] * width).tolist()
+        stops = (np.concatenate(([0], ends))[counts] * self.dtype.itemsize).tolist()
         odd = iter(self._whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
         return [next(odd) if p is None else ids[start:stop] for p, start, stop in zip(pieces, [0, *stops], stops, strict=False)]
 
