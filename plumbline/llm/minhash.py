@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shingles as sh
@@ -99,13 +99,12 @@ def _across(buckets: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFra
     work are cut into tiles of ``_TILE`` nodes, compared inside a task; only links leave it, one for each
     stray and tile, since a link to any member joins the component.
     """
-    same = Window.partitionBy("key")
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     placed = buckets.join(roots.join(sizes, "root"), "node", "left").select("key", "low", "node", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
-    main = F.max(F.struct("size", "root")).over(same)["root"]
-    # A bucket of two was tested whole by its star.
-    mixed = placed.withColumn("r0", F.min("root").over(same)).withColumn("main", main).withColumn("r1", F.max("root").over(same)).withColumn("m", F.count("*").over(same)).where("r0 <> r1 and m > 2")
-    mixed = stage(mixed.select("low", "node", "root", "main"), "mixed")
+    placed = stage(placed, "placed")
+    # A bucket of two was tested whole by its star. The few that are mixed are found by one combined aggregation and met again by a join, which is split where a bucket is large.
+    unlike = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("m")).where("r0 <> r1 and m > 2")
+    mixed = stage(placed.join(stage(unlike.select("key", "main"), "unlike"), "key").select("low", "node", "root", "main"), "mixed")
     texts = _texts(mixed.select("node").distinct(), reps, docs)
     members = mixed.where("root = main").select("main", "node").distinct()
     strays = mixed.where("root <> main").select("main", "node").distinct()
@@ -182,9 +181,9 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     reps = stage(rows.where("left is not null").groupBy("node").agg(F.first(F.struct("id", "t", "n", "left", "right", "histogram")).alias("r")).select("node", "r.*"), "sets")
     tables = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))
     keyed = reps.select(F.explode(tables).alias("key"), "node")
-    same = Window.partitionBy("key")
-    buckets = keyed.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same)).where("low <> high")
-    buckets = stage(buckets.select("key", "node", "low"), "buckets")
+    # The smallest and largest member are combined before the shuffle, and members meet them by a join: no task holds a bucket, however many members it has.
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    buckets = stage(keyed.join(stage(shared.select("key", "low"), "lows"), "key").select("key", "node", "low"), "buckets")
     stars = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(stars, reps, docs, width, percent)
     more = _across(buckets, components(links), reps, docs, width, percent)
@@ -211,11 +210,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return done.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, t, cluster) for each different pair of doc_id and text (t hashes it) that has words: members of one component of ``near_duplicates`` have one cluster."""
+    return stage(_grouped(docs, width, percent)[1].select("id", "t", F.col("root").alias("cluster")).distinct(), "clusters")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are one of each component of ``near_duplicates``, and every row whose text has no words.
 
-    The row kept is the one with the smallest (doc_id, hash of the text), rows without id last; of rows equal in both the one with
-    the smallest other columns. The decision goes by (doc_id, hash of the text), so rows that share an id, or have none, are told apart.
+    The row kept is the one with the smallest (doc_id, hash of the text), rows without id last; of rows equal in both the one whose
+    columns come first as JSON, whatever their types. The decision goes by (doc_id, hash of the text), so rows that share an id, or have none, are told apart.
     """
     rows, full = _grouped(docs, width, percent)
     counted = full.groupBy("root", "id", "t").agg(F.count("*").alias("rows"))
@@ -225,5 +229,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")).alias("d")
     same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.t") == F.col("k.t"))
     single = source.join(kept.where("rows = 1"), same, "left_semi").select("row.*")
-    repeated = source.join(kept.where("rows > 1"), same, "left_semi").groupBy("id", "t").agg(F.min("row").alias("row")).select("row.*")
+    repeated = source.join(kept.where("rows > 1"), same, "left_semi").groupBy("id", "t").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return single.union(repeated)

@@ -276,3 +276,40 @@ def test_packing_in_many_tasks_is_repeatable(spark, monkeypatch):
     rows = awkward()
     first, second = (sorted(map(str, packing.pack(frame(spark, rows), 64, 2).collect())) for _ in range(2))
     assert first == second and len({r.split("bin_id=")[1] for r in first}) > 5
+
+
+def test_near_copies_share_no_bin(spark, sf):
+    """The query's own bins: no two documents of a group of near copies stand in one, and every word is packed once."""
+    from plumbline.llm.queries import op9_best_fit_packing
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    group = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    bins, words = defaultdict(list), Counter()
+    for r in op9_best_fit_packing(spark, sf).collect():
+        bins[r.bin_id].append(r)
+        words[r.doc_id] += r.n_words
+    assert words == {k: len(WORD.findall(t or "")) for k, t in texts.items()}
+    for rows in bins.values():
+        assert sum(r.n_words for r in rows) <= 2048
+        named = [group[r.doc_id] for r in rows]
+        assert len(set(named)) == len(named)
+    assert len(set(group.values())) < len(group)
+
+
+def test_near_dedup_with_columns_that_have_no_order(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, {"b": 2}), (1, text, {"a": 1}), (2, text, {"c": 3}), (3, "other words " * 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra map<string, int>")
+    kept = sorted((r.doc_id, r.extra) for r in minhash.drop_near_duplicates(df).collect())
+    assert kept == [(1, {"a": 1}), (3, None)]
+
+
+def test_one_very_large_bucket(spark):
+    """Hundreds of near copies of one text, all in the same buckets, beside strays that share some of them."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    rows = [(i, " ".join([*base[:-1], f"end{i}"]), "s") for i in range(400)]
+    rows += [(1000 + i, " ".join([*base[:60], *[f"x{i}y{j}" for j in range(60)]]), "s") for i in range(40)]
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, rows), 2, 80).collect()}
+    assert {got[i] for i in range(400)} == {0} and all(got[1000 + i] == 1000 + i for i in range(40))
+    plan = minhash._grouped(frame(spark, rows), 2, 80)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
