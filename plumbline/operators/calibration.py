@@ -78,7 +78,7 @@ def fit_temperature(df: DataFrame, s: str = "s", y: str = "y", low: float = 0.01
 
 
 def fit_platt(df: DataFrame, s: str = "s", y: str = "y", l2: float = 1e-5, a_range: tuple[float, float] = (1e-4, 20.0),
-              b_range: tuple[float, float] = (-20.0, 20.0), tolerance: float = 1e-10, steps: int = 60) -> Calibration:
+              b_range: tuple[float, float] = (-20.0, 20.0), tolerance: float = 1e-10, steps: int = 60, settled: float = 1e-6) -> Calibration:
     """Minimise mean NLL of sigmoid(A s + B) + l2 (A^2 + B^2) inside the box.
 
     Damped Newton: one aggregate per pass gives the gradient and Hessian at the current point together
@@ -123,8 +123,10 @@ def fit_platt(df: DataFrame, s: str = "s", y: str = "y", l2: float = 1e-5, a_ran
             if trial[0] <= f + 1e-15:
                 break
             scale /= 2
-        else:  # no step this way lowers the loss: the point is as good as rounding allows
-            return Calibration("platt", A=a, B=b)
+        else:  # no step this way lowers the loss: as good as rounding allows, if the point is flat
+            if (hold_a or abs(ga) < settled) and (hold_b or abs(gb) < settled):
+                return Calibration("platt", A=a, B=b)
+            raise RuntimeError(f"the Platt fit found no better point, yet its gradient is {ga:.3g}, {gb:.3g}")
         moved = abs(na - a) + abs(nb - b)
         a, b = na, nb
         f, ga, gb, haa, hab, hbb = trial
@@ -162,6 +164,56 @@ def fit_fusion(df: DataFrame, label: str, features: tuple[str, str] = ("p_genera
     lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial",
                             standardization=False, regParam=0.0, maxIter=iterations, tol=1e-7)
     model = lr.fit(vectors)
-    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    cells = cut_lineage(data.groupBy("_y", *features).agg(F.sum("weight").alias("w")))
+    w, b = _polish(cells, features, model.coefficientMatrix.toArray(), model.interceptVector.toArray(), total)
     w, b = w - w.mean(axis=0), b - b.mean()
     return FusionModel(tuple(tuple(float(x) for x in row) for row in w), tuple(float(x) for x in b), labels)
+
+
+def _class_shares(features, w, b) -> list[Column]:
+    """Softmax of linear scores as columns, shifted by the largest."""
+    z = [sum((F.col(f) * F.lit(float(x)) for f, x in zip(features, row, strict=True)), F.lit(float(c))) for row, c in zip(w, b, strict=True)]
+    e = [F.exp(x - F.greatest(*z)) for x in z]
+    return [x / sum(e[1:], e[0]) for x in e]
+
+
+def _polish(cells: DataFrame, features, w, b, total: float, tolerance: float = 1e-11, steps: int = 25):
+    """Newton steps on the weighted log loss from a fit near its minimum, each one aggregate over counted cells for gradient and Hessian, until no entry of the mean
+    gradient exceeds ``tolerance``; raises where that is not reached."""
+    import numpy as np
+
+    k = len(w)
+    x = [*[F.col(f) for f in features], F.lit(1.0)]
+    m = len(x)
+    for _ in range(steps):
+        q = [F.col(f"_q{c}") for c in range(k)]
+        shares = cells.select("*", *[s.alias(f"_q{c}") for c, s in enumerate(_class_shares(features, w, b))])
+        grads = [F.sum(F.col("w") * (q[c] - (F.col("_y") == c).cast("double")) * x[j]) for c in range(k) for j in range(m)]
+        pairs = [(c, d, i, j) for c in range(k) for d in range(c, k) for i in range(m) for j in range(i, m)]
+        curves = [F.sum(F.col("w") * q[c] * ((1.0 if c == d else 0.0) - q[d]) * x[i] * x[j]) for c, d, i, j in pairs]
+        row = shares.agg(*[g.alias(f"g{n}") for n, g in enumerate(grads)], *[h.alias(f"h{n}") for n, h in enumerate(curves)]).first()
+        g = np.array([row[f"g{n}"] for n in range(len(grads))]) / total
+        if np.abs(g).max() < tolerance:
+            return w, b
+        h = np.zeros((k, m, k, m))
+        for n, (c, d, i, j) in enumerate(pairs):
+            h[c, i, d, j] = h[c, j, d, i] = h[d, i, c, j] = h[d, j, c, i] = row[f"h{n}"] / total
+        step = -(np.linalg.pinv(h.reshape(k * m, k * m), rcond=1e-10) @ g).reshape(k, m)
+        w, b = w + step[:, :-1], b + step[:, -1]
+    raise RuntimeError(f"the fusion fit did not settle in {steps} steps (gradient {np.abs(g).max():.3g})")
+
+
+def fusion_certificate(df: DataFrame, label: str, model, features: tuple[str, str] = ("p_generated", "p_manipulated")) -> DataFrame:
+    """One row per label of the model that occurs: rows ``n``, and the class-weighted means of one (``share``) and of each feature under the model's probability of the label
+    (``model_*``) and over the label's own rows (``own_*``). A model is the minimum of its convex loss exactly where the two agree; ``residual`` is their largest difference."""
+    known = df.where(F.col(label).isin(*model.labels))
+    sizes = known.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    total, k = sizes.agg(F.sum("n"), F.count("*")).first()
+    weighted = known.join(sizes.withColumn("_w", F.lit(1.0 / k) / F.col("n")), F.col(label) == F.col("label"))
+    q = _class_shares(features, model.weights, model.biases)
+    per = F.explode(F.array(*[F.struct(F.lit(name).alias("of"), share.alias("q"), (F.col("label") == name).cast("double").alias("own")) for name, share in zip(model.labels, q, strict=True)]))
+    rows = weighted.select("_w", *features, per.alias("_c")).select("_w", *features, "_c.*")
+    sums = rows.groupBy(F.col("of").alias("label")).agg(*[F.sum(F.col("_w") * F.col(c) * x).alias(f"{side}_{name}") for side, c in (("model", "q"), ("own", "own"))
+                                                          for name, x in (("share", F.lit(1.0)), *[(f, F.col(f)) for f in features])])
+    gaps = [F.abs(F.col(f"model_{n}") - F.col(f"own_{n}")) for n in ("share", *features)]
+    return sums.join(sizes, "label").withColumn("residual", F.greatest(*gaps))

@@ -125,8 +125,13 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[
     NULLs are left out.
     """
     keys = list(keys)
-    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
-    counted = counted.where("_c > 0").withColumn("_w", F.col("_v").cast("double") * F.col("_c"))
+    return describe_counted(df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(value).alias("_c")), keys, "_v", "_c", quantiles, at_least)
+
+
+def describe_counted(cells: DataFrame, keys: Sequence[str], value: str, count: str, quantiles: Mapping[str, float], at_least: Mapping[str, float] | None = None) -> DataFrame:
+    """``describe`` from rows that stand for ``count`` equal values each, one row a value."""
+    keys = list(keys)
+    counted = cells.select(*keys, F.col(value).alias("_v"), F.col(count).alias("_c")).where("_c > 0 and _v is not null").withColumn("_w", F.col("_v").cast("double") * F.col("_c"))
     ranked = value_totals(counted, keys, "_v", {"_upto": "_c", "_sum": "_w"})
     v, c = F.col("_v"), F.col("_c")
     # Squares of differences from the mean, which every row has by now: no cancellation for large values.

@@ -242,10 +242,15 @@ def signed_rank(df: DataFrame, keys: Sequence[str], delta: str, digits: int = 9,
     counted by size before ranking; only distinct sizes are ordered.
     """
     keys = list(keys)
-    d = snapped(delta, digits)
-    sizes = (df.select(*keys, d.alias("_d")).where((F.col("_d") != 0) & F.col("_d").isNotNull())
-               .groupBy(*keys, F.abs("_d").alias("_size"))
-               .agg(F.count("*").alias("_t"), F.count_if(F.col("_d") > 0).alias("_up")))
+    cells_ = df.select(*keys, snapped(delta, digits).alias("_d")).groupBy(*keys, "_d").agg(F.count("*").alias("_n"))
+    return signed_rank_counted(cells_, keys, "_d", "_n", cells)
+
+
+def signed_rank_counted(counted: DataFrame, keys: Sequence[str], delta: str, count: str, cells: bool = False) -> DataFrame:
+    """``signed_rank`` from rows that stand for ``count`` equal differences each. Groups without any difference other than zero have no row."""
+    d = F.col(delta)
+    sizes = (counted.where((d != 0) & d.isNotNull() & (F.col(count) > 0)).groupBy(*keys, F.abs(d).alias("_size"))
+             .agg(F.sum(count).alias("_t"), F.sum(F.when(d > 0, F.col(count)).otherwise(0)).alias("_up")))
     run = value_totals(sizes, keys, "_size", {"_upto": "_t"})
     t = F.col("_t").cast("double")
     mid = F.col("_upto").cast("double") - (t - 1.0) / 2.0

@@ -110,12 +110,14 @@ def strategy_e_fusion(spark, d):
     return out.select("sample_id", rounded("q_p0").alias("q_real"), rounded("q_p1").alias("q_generated"), rounded("q_p2").alias("q_manipulated"), "decision.label")
 
 
-@query("G10")
+@query("G10", W("branches", k="select truth as label, count(*) as n, avg(p_generated) as g, avg(p_manipulated) as m from branches group by 1")
+       + f"""select label, n, {rnd('1e0/(select count(*) from k)')} as model_share, {rnd('g/(select count(*) from k)', 8)} as model_generated, {rnd('m/(select count(*) from k)', 8)} as model_manipulated, true as settled from k""")
 def strategy_e_training(spark, d):
-    """The fusion model fitted on the derived scores, one row per label: centred weights and bias."""
-    model = cal.fit_fusion(V.branches(spark, d), "truth")
-    return spark.createDataFrame([(name, w[0], w[1], b) for name, w, b in zip(model.labels, model.weights, model.biases, strict=True)],
-                                 "label string, w_generated double, w_manipulated double, bias double")
+    """The fusion model fitted on the derived scores, with its certificate: per label the class-weighted means under the fitted probabilities, which at the
+    minimum, and nowhere else, are those of the label's own rows."""
+    rows = V.branches(spark, d)
+    c = cal.fusion_certificate(rows, "truth", cal.fit_fusion(rows, "truth"))
+    return c.select("label", "n", rounded("model_share").alias("model_share"), rounded("model_p_generated", 8).alias("model_generated"), rounded("model_p_manipulated", 8).alias("model_manipulated"), (F.col("residual") < 1e-9).alias("settled"))
 
 
 _ENGINE = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.functions.fingerprint import hamming, sha256_hex
+from plumbline.functions.fingerprint import FINGERPRINT_VERSION, hamming, neighbour_fingerprint, sha256_hex
 from plumbline.functions.scalars import is_positive, logit, rounded, sigmoid, softplus
 from plumbline.operators import containment, decontaminate as dc, expectations as ex, neardup, rules
 from plumbline.operators.metrics import error_bands, shift_buckets
@@ -13,8 +13,9 @@ from plumbline.operators.sampling import manifest as sp_manifest, split_by_share
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.plans.views import rnd, uq, with_views
-from plumbline.session import cut_lineage, new_folder
+from plumbline.session import cut_lineage, ensure_checkpoint_dir, new_folder
 from plumbline.sources import scans
+from plumbline.sources.index import ReferenceIndex
 from plumbline.sources.scans import table
 from plumbline.sources.sinks import percent, write_result
 
@@ -75,8 +76,22 @@ def label_normalisation(spark, d):
 
 @query("A8", W("fp") + "select fp, count(*) as members, min(vec_id) as first_id from fp group by fp")
 def cached_reference_index(spark, d):
-    """Fingerprint index written once to the checkpoint folder and read from there."""
-    return _index(V.fp(spark, d))
+    """Fingerprints of the reference, indexed below the checkpoint folder by the first call and read from there by later ones."""
+    return _fingerprint_index(spark, d).groupBy(F.col("key").alias("fp")).agg(F.count("*").alias("members"), F.min("vec_id").alias("first_id"))
+
+
+def _fingerprint_index(spark, d, candidates=None):
+    place = f"{ensure_checkpoint_dir(spark)}/reference-index-{FINGERPRINT_VERSION}"
+    index = ReferenceIndex(spark, place, [f"{d}/embeddings.parquet"], lambda read: read.select("file_id", "vec_id", neighbour_fingerprint("embedding").alias("key")).where("key is not null"))
+    index.refresh()
+    return index.read() if candidates is None else index.search(candidates, "fp")
+
+
+@query("A8, C2", W("fp", "fp_near") + "select c.vec_id, min(r.vec_id) as first_reference, count(*) as n_references from fp_near c join fp r using (fp) group by 1")
+def reference_index_search(spark, d):
+    """Candidates whose fingerprint the index holds; it reads the folders of their keys alone."""
+    met = _fingerprint_index(spark, d, V.fp_near(spark, d).select(F.col("vec_id").alias("candidate"), "fp"))
+    return met.groupBy(F.col("candidate").alias("vec_id")).agg(F.min("vec_id").alias("first_reference"), F.count("*").alias("n_references"))
 
 
 @query("A10", W("samples") + """select generator as source, count(*) as n_total, count(*) filter (where y=0) as n_real, count(*) filter (where y=1) as n_ai,

@@ -16,7 +16,7 @@ from plumbline.plans import views as V
 from plumbline.plans.metrics import reported
 from plumbline.plans.registry import query
 from plumbline.plans.studies import WIDE_SQL, fused_rows, fused_union, wide
-from plumbline.plans.views import MODELS, rnd, sql_rates, with_views
+from plumbline.plans.views import MODELS, rnd, signed_rank_sql, sql_rates, two_sided_sql, with_views
 
 W = with_views
 REPLICATES = 1000
@@ -166,31 +166,6 @@ def paired_bootstrap(spark, d):
 
 # --------------------------------------------------------------------------- paired tests
 
-def _horner(cs):
-    out = f"{cs[0]!r}e0" if "e" not in repr(cs[0]) else repr(cs[0])
-    for c in cs[1:]:
-        out = f"({out})*x+{c!r}" + ("e0" if "e" not in repr(c) else "")
-    return out
-
-
-def two_sided_sql(z):
-    """Two-sided normal p by the tail approximation, from a SQL expression."""
-    from plumbline.functions.scalars import _TAIL_DEN, _TAIL_NUM
-    near = f"exp(-x*x/2e0)*({_horner(_TAIL_NUM)})/({_horner(_TAIL_DEN)})"
-    far = "exp(-x*x/2e0)/(x+1e0/(x+2e0/(x+3e0/(x+4e0/(x+0.65e0)))))/2.506628274631e0"
-    return f"(select least(1e0, 2e0*(case when x<7.07106781186547e0 then {near} else {far} end)) from (select abs({z}) as x))"
-
-
-def signed_rank_sql(source, keys):
-    """Subqueries of a signed-rank test over rows (keys, dl)."""
-    return {
-        "nz": f"select *, abs(dd) as sz from (select *, round(dl,9) as dd from {source}) where dd<>0",
-        "rk": f"select *, rank() over (partition by {keys} order by sz)+(count(*) over (partition by {keys}, sz)-1)/2e0 as mid, count(*) over (partition by {keys}, sz) as t from nz",
-        "sr": f"select {keys}, count(*) as n, sum(case when dd>0 then mid else 0e0 end) as w_plus, sum(case when dd<0 then mid else 0e0 end) as w_minus, sum(t::double*t-1e0) as ties from rk group by {keys}",
-        "zz": "select *, (w_plus-n*(n+1e0)/4e0)/sqrt(n*(n+1e0)*(2e0*n+1e0)/24e0-ties/48e0) as z from sr",
-    }
-
-
 _SR = f"n, w_plus, w_minus, least(w_plus,w_minus) as statistic, {rnd('z')} as z, {rnd(two_sided_sql('z'))} as p_value"
 _SETS = {k: VIEW_SETS[k] for k in "BCDE"}
 _DIFF = {"f": fused_union(_SETS, ("mean",)), "x": "select f.view_set, f.category, f.fused-v.p_native as dl from f join views v using (sample_id) where f.y=1"}

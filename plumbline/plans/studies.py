@@ -14,7 +14,7 @@ from plumbline.operators.prefix import describe
 from plumbline.plans import views as V
 from plumbline.plans.metrics import reported
 from plumbline.plans.registry import query
-from plumbline.plans.views import MODELS, SQL_COUNTS, rnd, sql_points, sql_rates, with_views
+from plumbline.plans.views import MODELS, SQL_COUNTS, rnd, signed_rank_sql, sql_points, sql_rates, two_sided_sql, with_views
 from plumbline.sources.scans import table
 from plumbline.sources.sinks import nested_report
 
@@ -295,8 +295,37 @@ def robustness_summary(spark, d):
     return reported(s.join(t.groupBy("model").agg(F.avg(F.col("clean_f1") - F.col("f1")).alias("mean_drop")), "model"))
 
 
-@query("H35", W("cond", s="select condition, gt, score-clean_score as dl from cond") + f"""select condition, gt, count(*) as n, {rnd('avg(dl)')} as mean_delta, {rnd('median(dl)')} as median_delta, {rnd('stddev_pop(dl)', 7)} as std_delta from s group by 1,2""")
+_WHO = ("all", "positive", "negative")
+_BUCKET_SQL = dict(zip(rb.SHIFT_BUCKETS, ("dl < -0.1e0", "dl >= -0.1e0 and dl < -0.05e0", "abs(dl) <= 0.05e0", "dl > 0.05e0 and dl <= 0.1e0", "dl > 0.1e0"), strict=True))
+_STUDY_RATES = ("accuracy", "precision", "recall", "f1")
+
+
+def _study_sql():
+    stats = {"mean": ("avg(dl)", 9), "median": ("median(dl)", 9), "std": ("stddev_pop(dl)", 7)} | {n: (f"count(*) filter ({t})*100e0/count(*)", 9) for n, t in _BUCKET_SQL.items()}
+    parts = {
+        "sh": "select condition, y, cast(score > 0.5e0 as integer) as pred, round(score-p_native, 9)+0e0 as dl from grid",
+        "c": f"select condition, {SQL_COUNTS} from sh group by 1",
+        "sc": "select 'all' as who, * from sh union all select case y when 1 then 'positive' else 'negative' end, * from sh",
+        "ag": "select condition, who, count(*) as n, " + ", ".join(f"{rnd(x, digits)} as {n}" for n, (x, digits) in stats.items()) + " from sc group by 1,2",
+        "wd": "select condition, " + ", ".join(f"max(case when who='{w}' then {n} end) as {w}_{n}" for w in _WHO for n in ("n", *stats)) + " from ag group by 1",
+        "xx": "select condition, dl from sh where y=1", **signed_rank_sql("xx", "condition"),
+        "ts": f"select condition, least(w_plus,w_minus) as statistic, {two_sided_sql('z')} as p from zz",
+    }
+    return W("grid", **parts) + f"""select condition, tp, tn, fp, fn, {sql_rates(*_STUDY_RATES)}, {', '.join(f'{w}_{n}' for w in _WHO for n in ('n', *stats))},
+ coalesce(statistic, 0e0) as statistic, {rnd('coalesce(p, 1e0)')} as p_value, coalesce(p, 1e0) < 0.05e0/39 as bonferroni_significant from c join wd using (condition) left join ts using (condition)"""
+
+
+@query("H35, B15, I5", _study_sql())
 def condition_shift_study(spark, d):
+    """40 conditions of aspect ratio and compression against the untouched score: confusion and rates, moments and five buckets of the shift for all, positive and
+    negative rows, the signed-rank test of the positive ones, and Bonferroni over the 39 conditions beside the baseline."""
+    out = rb.condition_study(V.grid(spark, d), "condition", "native_baseline", "y", "p_native", "score", inclusive=False, metrics=_STUDY_RATES)
+    keep = ("condition", "tp", "tn", "fp", "fn", "statistic", "bonferroni_significant", *(f"{w}_n" for w in _WHO))
+    return out.select(*[F.col(c) if c in keep else rounded(c, 7 if c.endswith("_std") else 9).alias(c) for c in out.columns])
+
+
+@query("H35", W("cond", s="select condition, gt, score-clean_score as dl from cond") + f"""select condition, gt, count(*) as n, {rnd('avg(dl)')} as mean_delta, {rnd('median(dl)')} as median_delta, {rnd('stddev_pop(dl)', 7)} as std_delta from s group by 1,2""")
+def condition_shift_by_class(spark, d):
     """Score shift against clean per condition and class: mean, median, spread."""
     c = V.cond(spark, d).withColumn("delta", snapped(F.col("score") - F.col("clean_score"), 9))
     out = describe(c, ["condition", "gt"], "delta", {"median_delta": 0.5})

@@ -22,6 +22,15 @@ CONDITIONS = [("clean", "clean", 0, 0.0, 0)] + [
     (f"{f}_{lv}", f, lv, k, 1 + i * 3 + lv - 1) for i, f in enumerate(FAMILIES) for lv, k in LEVEL_SHARE.items()]
 
 
+# Aspect ratios, and JPEG qualities (None: not compressed) tried with the native ratio and with every other one.
+RATIOS = ("native", "1:1", "16:9", "9:16", "0.4586", "2.1805")
+NATIVE_QUALITIES = (None, 100, 95, 90, 85, 75, 60, 50, 40, 30)
+OTHER_QUALITIES = (None, 95, 90, 75, 50, 30)
+#: (condition, ratio, quality, share of the score that the condition replaces); the first is the baseline.
+GRID = [("native_baseline" if r == "native" and q is None else f"{r}_{'none' if q is None else f'q{q}'}", r, q, round(0.03 * i + (0 if q is None else 100 - q) / 200, 3))
+        for i, r in enumerate(RATIOS) for q in (NATIVE_QUALITIES if r == "native" else OTHER_QUALITIES)]
+
+
 def u(salt: str | Column, key: str | Column) -> Column:
     salt = F.lit(salt) if isinstance(salt, str) else salt
     return uniform_hash(salt, key if isinstance(key, Column) else F.col(key))
@@ -68,6 +77,15 @@ def views(spark: SparkSession, d: str) -> DataFrame:
                     *[snapped(F.lit(0.4) * F.col("gt") + F.lit(0.6) * u(v, "sample_id"), 3).alias(f"p_{v}") for v in VIEWS])
 
 
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every sample under 40 conditions, beside its score without any."""
+    c = literal_rows(condition=[x[0] for x in GRID], k=[x[3] for x in GRID])
+    v = views(spark, d).select("sample_id", "y", "p_native", c.alias("_c"))
+    k, name = F.col("_c.k"), F.col("_c.condition")
+    score = snapped((F.lit(1.0) - k) * F.col("p_native") + k * u(F.concat(F.lit("grid:"), name), "sample_id"), 3)
+    return v.select("sample_id", "y", "p_native", name.alias("condition"), score.alias("score"))
+
+
 def branches(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     gen, man = F.col("generator").isin("view", "click"), F.col("generator").isin("signup", "purchase")
@@ -138,6 +156,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
              f"from pred p, (values {_COND_ROWS}) c(condition,family,level,k,cond_order))"),
     "views": (("samples",), "select sample_id, gt as y, generator as category, pair_id, " + ", ".join(
         f"{snap('0.4e0*gt+0.6e0*' + uq(repr(v + ':') + '||sample_id'))} as p_{v}" for v in VIEWS) + " from samples"),
+    "grid": (("views",), f"select v.sample_id, v.y, v.p_native, c.condition, {snap('(1e0-c.k)*v.p_native+c.k*' + uq("'grid:'||c.condition||':'||v.sample_id"))} as score from views v, (values "
+             + ", ".join(f"('{n}', {k!r}e0)" for n, _, _, k in GRID) + ") c(condition, k)"),
     "branches": ((), f"select *, {snap('1e0-p_generated')} as p_real, {snap('1e0-p_manipulated')} as p_original from (select event_id as sample_id,"
                  " case when event_type='error' then 0 else 1 end as y, event_type as generator, event_id//2 as pair_id, cast(event_id%2 as integer) as gt,"
                  f" case when {_GEN} then 'AI_GENERATED' when {_MAN} then 'AI_MANIPULATED' else 'REAL_ORIGINAL' end as truth,"
@@ -200,3 +220,28 @@ def sql_points(source: str, keys: str) -> dict[str, str]:
         "pts": f"select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over ({part}) as np, sum(neg) over ({part}) as nn "
                f"from hist window w as ({part} order by score desc rows unbounded preceding)",
     }
+
+
+def _horner(cs):
+    out = f"{cs[0]!r}e0" if "e" not in repr(cs[0]) else repr(cs[0])
+    for c in cs[1:]:
+        out = f"({out})*x+{c!r}" + ("e0" if "e" not in repr(c) else "")
+    return out
+
+
+def two_sided_sql(z):
+    """Two-sided normal p by the tail approximation, from a SQL expression."""
+    from plumbline.functions.scalars import _TAIL_DEN, _TAIL_NUM
+    near = f"exp(-x*x/2e0)*({_horner(_TAIL_NUM)})/({_horner(_TAIL_DEN)})"
+    far = "exp(-x*x/2e0)/(x+1e0/(x+2e0/(x+3e0/(x+4e0/(x+0.65e0)))))/2.506628274631e0"
+    return f"(select least(1e0, 2e0*(case when x<7.07106781186547e0 then {near} else {far} end)) from (select abs({z}) as x))"
+
+
+def signed_rank_sql(source, keys):
+    """Subqueries of a signed-rank test over rows (keys, dl)."""
+    return {
+        "nz": f"select *, abs(dd) as sz from (select *, round(dl,9) as dd from {source}) where dd<>0",
+        "rk": f"select *, rank() over (partition by {keys} order by sz)+(count(*) over (partition by {keys}, sz)-1)/2e0 as mid, count(*) over (partition by {keys}, sz) as t from nz",
+        "sr": f"select {keys}, count(*) as n, sum(case when dd>0 then mid else 0e0 end) as w_plus, sum(case when dd<0 then mid else 0e0 end) as w_minus, sum(t::double*t-1e0) as ties from rk group by {keys}",
+        "zz": "select *, (w_plus-n*(n+1e0)/4e0)/sqrt(n*(n+1e0)*(2e0*n+1e0)/24e0-ties/48e0) as z from sr",
+    }

@@ -1,5 +1,6 @@
 """Deduplication, near-duplicate search, containment, sampling and checks against brute force."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -269,6 +270,50 @@ def test_samples_beyond_a_thousand_gather_no_stratum(spark):
         assert windows and all("_k" in x for x in windows)
 
 
+def exchanged_rows(df):
+    """Rows written to shuffles by running the plan of ``df``, staged tables before it not counted."""
+    df.collect()
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+
+    def walk(node):
+        nonlocal total
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        if node.nodeName().endswith("QueryStage"):
+            walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+    walk(plan)
+    return total
+
+
+def test_samples_move_no_rows_of_the_pool(spark):
+    n = 40_000
+    df = spark.range(0, n, 1, 4).select(F.col("id"), F.when(F.col("id") % 3 == 0, None).otherwise("b").alias("k"), (F.col("id") % 7 > 0).alias("ok"))
+    sample = sp.sample_per_stratum(df, "k", "id", 50, "s")
+    audited = sp.audited_draw(df, "k", "id", "ok", 30, "s")
+    fixed = sp.split_fixed(df, ["k"], "id", "s", [("a", 20), ("b", 10)])
+    filled = sp.fill_to_target(df.where("id < 10"), df.where("id >= 10"), "k", "id", 40, "s")
+    for frame in (sample, audited, fixed, filled):
+        assert exchanged_rows(frame) < 1500
+    by_rank = {k: sorted((hashlib.md5(f"s:{i}".encode()).hexdigest(), i) for i in range(n) if (None if i % 3 == 0 else "b") == k) for k in (None, "b")}
+    assert {(r.k, r.id): r["rank"] for r in sample.collect()} == {(k, i): j + 1 for k, rows in by_rank.items() for j, (_, i) in enumerate(rows[:50])}
+    want = set()
+    for k, rows in by_rank.items():
+        accepted = 0
+        for _, i in rows:
+            if accepted < 30:
+                want.add((k, i))
+            accepted += i % 7 > 0
+    assert {(r.k, r.id) for r in audited.collect()} == want
+    split = Counter((r.k, r.split) for r in fixed.collect())
+    assert split[("b", "a")] == 20 and split[(None, "b")] == 10 and sum(split.values()) == n
+    few = sp.sample_per_stratum(df.limit(20), "k", "id", 50, "s")
+    assert few.count() == 20 and sp.sample_per_stratum(df.limit(0), "k", "id", 5, "s").count() == 0
+
+
 def test_row_references_tell_equal_names_apart(spark, tmp_path):
     from plumbline.sources import scans
     for folder in ("one", "two"):

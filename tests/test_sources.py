@@ -1,6 +1,7 @@
 """Scans and sinks on temporary folders."""
 
 import os
+import re
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -93,3 +94,35 @@ def test_a_report_has_a_bound_that_fails(spark, monkeypatch):
     monkeypatch.setattr(sinks, "MAX_REPORT_ROWS", 2)
     with pytest.raises(Exception, match="more than 2 rows"):
         sinks.nested_report(df, "o", "i", ["v"]).collect()
+
+
+def test_reference_index_follows_its_inputs(spark, tmp_path):
+    from plumbline.sources.index import ReferenceIndex, key_bucket
+    source, place = tmp_path / "ref", str(tmp_path / "index")
+    spark.range(0, 100).repartition(2).write.parquet(str(source))
+    built = []
+
+    def rows(read):
+        built.append(1)
+        return read.select("file_id", (F.col("id") % 50).alias("key"), F.col("id").alias("member"))
+
+    index = ReferenceIndex(spark, place, [str(source)], rows)
+    assert index.refresh() == 2 and sorted(r.member for r in index.read().collect()) == list(range(100))
+    written = sorted(str(p) for p in (tmp_path / "index").rglob("*"))
+    assert index.refresh() == 0 and len(built) == 1  # a second call writes nothing
+    assert sorted(str(p) for p in (tmp_path / "index").rglob("*")) == written
+    spark.range(100, 110).coalesce(1).write.mode("append").parquet(str(source))
+    assert index.refresh() == 1 and index.read().count() == 110  # only the new file is read
+    gone = next(p for p in source.glob("part-*.parquet") if spark.read.parquet(str(p)).agg(F.max("id")).first()[0] < 100)
+    lost = spark.read.parquet(str(gone)).count()
+    gone.unlink()
+    assert index.refresh() == 0 and index.read().count() == 110 - lost
+    spark.range(500, 503).coalesce(1).write.mode("append").parquet(f"{place}/keys/batch=unfinished/bucket=1")  # left behind by a lost job
+    cands = spark.createDataFrame([(7, "a"), (7, "b"), (999, "c"), (None, "d")], "k long, name string")
+    found = index.search(cands, "k")
+    want = [m for m in (r.member for r in index.read().collect()) if m % 50 == 7]
+    assert sorted((r.name, r.member) for r in found.collect()) == sorted((n, m) for n in "ab" for m in want)
+    buckets = {r[0] for r in spark.createDataFrame([(7,), (999,)], "k long").select(key_bucket(F.col("k"))).collect()}
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    read = re.findall(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(([\d,]+)\)|PartitionFilters: \[[^\]]*\(bucket#\d+ = (\d+)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert read and set(",".join(x or y for x, y in read).split(",")) == {str(b) for b in buckets}  # no other folder is read

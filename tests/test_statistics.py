@@ -284,3 +284,39 @@ def test_fusion_weights_ignore_stray_labels(spark):
     assert np.allclose(clean.weights, stray.weights, atol=1e-6) and np.allclose(clean.biases, stray.biases, atol=1e-6)
     with pytest.raises(ValueError):
         cal.fit_fusion(spark.createDataFrame([("A_STRAY", .5, .5)], "truth string, p_generated double, p_manipulated double"), "truth")
+
+
+def test_fusion_certificate_tells_a_minimum(spark):
+    rng = np.random.default_rng(6)
+    rows = [(t, float(np.round(rng.beta(2 + 3 * (t == "AI_GENERATED"), 3), 3)), float(np.round(rng.beta(2 + 3 * (t == "AI_MANIPULATED"), 3), 3))) for t in rng.choice(["REAL_ORIGINAL", "AI_GENERATED", "AI_MANIPULATED"], 900, p=[.6, .3, .1])]
+    df = spark.createDataFrame([(str(t), g, m) for t, g, m in rows], "truth string, p_generated double, p_manipulated double")
+    fitted = cal.fit_fusion(df, "truth")
+    good = cal.fusion_certificate(df, "truth", fitted).collect()
+    assert len(good) == 3 and max(r.residual for r in good) < 1e-10 and all(abs(r.model_share - 1 / 3) < 1e-10 for r in good)
+    moved = type(fitted)(tuple(tuple(x + .05 * (i == j) for j, x in enumerate(w)) for i, w in enumerate(fitted.weights)), fitted.biases, fitted.labels)
+    assert max(r.residual for r in cal.fusion_certificate(df, "truth", moved).collect()) > 1e-4
+
+
+def test_condition_study_against_plain_numbers(spark):
+    from plumbline.operators import robustness as rb
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        base, y = round(float(rng.random()), 3), int(rng.random() < .4)
+        rows += [(c, y, base, round(min(1.0, max(0.0, base + float(rng.normal(m, s)))), 3)) for c, m, s in (("base", 0, 0), ("same", 0, 0), ("soft", -.02, .05), ("hard", -.1, .2))]
+    out = {r.c: r for r in rb.condition_study(spark.createDataFrame(rows, "c string, y int, base double, s double"), "c", "base", "y", "base", "s", inclusive=False).collect()}
+    assert set(out) == {"base", "same", "soft", "hard"}
+    for c, r in out.items():
+        for who, ys in (("all", (0, 1)), ("positive", (1,)), ("negative", (0,))):
+            d = np.round(np.array([s - b for k, y, b, s in rows if k == c and y in ys]), 9)
+            assert r[f"{who}_n"] == d.size and abs(r[f"{who}_mean"] - d.mean()) < 1e-9 and abs(r[f"{who}_median"] - np.median(d)) < 1e-9 and abs(r[f"{who}_std"] - d.std()) < 1e-7
+            shares = [(d < -.1).mean(), ((d >= -.1) & (d < -.05)).mean(), (abs(d) <= .05).mean(), ((d > .05) & (d <= .1)).mean(), (d > .1).mean()]
+            assert [r[f"{who}_{b}"] for b in rb.SHIFT_BUCKETS] == pytest.approx([x * 100 for x in shares])
+        assert r.tp == sum(k == c and y == 1 and s > .5 for k, y, _, s in rows)
+        d = np.round(np.array([s - b for k, y, b, s in rows if k == c and y == 1]), 9)
+        if c in ("base", "same"):
+            assert (r.statistic, r.p_value, r.bonferroni_significant) == (0, 1, False)
+        else:
+            n, wp, wm = plain_signed_rank(d)
+            assert r.statistic == min(wp, wm) and r.bonferroni_significant == (r.p_value < .05 / 3)
+    assert out["hard"].bonferroni_significant
