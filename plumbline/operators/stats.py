@@ -8,10 +8,15 @@ replacement exactly. All models share the cells, hence one resample.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from math import log, pi
+from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
+from hashlib import md5
+from math import factorial, log, pi
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,13 +186,86 @@ def multinomial_replicates(cells: DataFrame, keys: Sequence[str], replicates: in
     return drawn.join(ranked.select(*keys, F.col("_leaf").alias("_node")), "_node").select("replicate", *keys, F.col("_n").alias("n"))
 
 
+#: Cells that a task holds and counts at a time, and blocks of replicates at most.
+LOT, MOST_BLOCKS = 2**18, 40
+
+
+@lru_cache(maxsize=4096)
+def poisson_bounds(mean: int) -> tuple[int, np.ndarray]:
+    """The first count k and the upper ends of the intervals of u for it and those after it: the rule of ``poisson_table`` for one mean."""
+    reach = int(SPREAD * mean**0.5) + MARGIN
+    first = max(0, mean - reach)
+    k, n = np.arange(first, mean + reach + 1, dtype="float64"), float(mean)
+    small = k[k <= 20]
+    k = k[len(small):]
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (k * k)) / (k * k)) / (k * k)) / k
+    logs = [small * log(n) - n - np.log(np.array([float(factorial(int(x))) for x in small])), (k - n) - (k + 0.5) * np.log(k / n) - log(n * (2 * pi)) * 0.5 - series]
+    high = np.minimum(np.cumsum(np.exp(np.concatenate(logs))), 1.0)
+    high[-1] = 1.0
+    return first, high
+
+
+def _tile_histograms(models: Sequence[str], seed: str, replicates: int, blocks: int):
+    """Arrow batches of (block, name, n, y, a score of each model) to (replicate, model, score, pos, neg); at most LOT cells and a batch are held."""
+    def count(block: int, cells: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = [x.encode() for x in cells["name"].to_pylist()]
+        means, of = np.unique(cells["n"].to_numpy(), return_inverse=True)
+        alike = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1])
+        y = cells["y"].to_numpy()
+        coded = [cells[f"s{i}"].combine_chunks().dictionary_encode(null_encoding="encode") for i in range(len(models))]
+        both = [(c.indices.to_numpy() * 2 + y, c.dictionary) for c in coded]
+        for replicate in range(replicates * block // blocks, replicates * (block + 1) // blocks):
+            start = f"{seed}:{replicate}:".encode()
+            # The first 52 bits of each digest, as ``uniform`` takes them.
+            digests = np.frombuffer(b"".join([md5(start + x).digest() for x in names]), dtype=">u8")[::2]
+            u = (digests >> np.uint64(12)).astype("float64") / float(2**52)
+            k = np.empty(len(u))
+            for mean, rows in zip(means.tolist(), alike, strict=True):
+                first, high = poisson_bounds(mean)
+                k[rows] = first + np.searchsorted(high, u[rows], side="right")
+            for model, (code, scores) in zip(models, both, strict=True):
+                total = np.bincount(code, weights=k, minlength=2 * len(scores)).astype("int64").reshape(-1, 2)
+                seen = total.any(axis=1)
+                m = int(seen.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([replicate] * m, pa.int32()), pa.array([model] * m, pa.string()), scores.filter(pa.array(seen)), pa.array(total[seen, 1]), pa.array(total[seen, 0])],
+                                                 names=["replicate", "model", "score", "pos", "neg"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        rows = 0
+        for batch in batches:
+            for block in pc.unique(batch["block"]).to_pylist():
+                held.setdefault(block, []).append(batch.filter(pc.equal(batch["block"], block)))
+            rows += batch.num_rows
+            if rows >= LOT:
+                for block, parts in held.items():
+                    yield from count(block, pa.Table.from_batches(parts))
+                held, rows = {}, 0
+        for block, parts in held.items():
+            yield from count(block, pa.Table.from_batches(parts))
+    return run
+
+
 def bootstrap_joint_curves(wide: DataFrame, y: str, scores: Mapping[str, str], replicates: int, seed: str) -> DataFrame:
     """(replicate, model, score, pos, neg) for curves of several models on one resample: the cells of all their scores together
     are drawn once, then counted for each model's own scores. ``scores`` maps model to column; cells are the distinct tuples of scores, so for very many
-    rows two models at a time have far fewer."""
-    cells = [y, *scores.values()]
-    drawn = poisson_cells(wide.groupBy(*cells).agg(F.count("*").alias("n")), cells, replicates, seed)
-    return model_histograms(drawn, y, scores)
+    rows two models at a time have far fewer.
+
+    The draws are those of ``poisson_cells``, but no row is made of a draw: lots of cells meet blocks of replicates, and a task draws the counts
+    of its cells and adds them up by score at once. Shuffled are the cells, once for each block, and the counted scores of each task.
+    """
+    columns = [y, *scores.values()]
+    name = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in columns])
+    cells = cut_lineage(wide.where(F.col(y).isin(0, 1)).groupBy(*columns).agg(F.count("*").alias("n")).select(
+        name.alias("name"), "n", F.col(y).cast("int").alias("y"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(scores.values())]))
+    lots = max(1, -(-cells.count() // LOT))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, min(MOST_BLOCKS, replicates, -(-tasks // lots)))
+    tiles = cells.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "*")
+    dealt = tiles.repartitionById(blocks * lots, F.col("block") * lots + F.pmod(F.xxhash64("name"), F.lit(lots)).cast("int"))
+    kind = cells.schema["s0"].dataType.simpleString()
+    drawn = dealt.mapInArrow(_tile_histograms(list(scores), seed, replicates, blocks), f"replicate int, model string, score {kind}, pos bigint, neg bigint")
+    return drawn.groupBy("replicate", "model", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def model_histograms(cells: DataFrame, y: str, scores: Mapping[str, str]) -> DataFrame:

@@ -192,6 +192,29 @@ def test_multinomial_of_many_cells(spark):
     assert st.multinomial_replicates(cells.limit(0), ["score"], 4, "s").count() == 0
 
 
+def test_joint_curves_are_those_of_the_drawn_cells(spark, monkeypatch):
+    """Counted where they are drawn, in tiles: no row for each cell and replicate is made, and the histograms are those of such rows."""
+    rows = [(i % 2, (i * 7 % 13) / 13 if i % 11 else None, (i * 5 % 9) / 9) for i in range(300)] + [(1, .5, .25)] * 400 + [(None, .5, .5)]
+    df = spark.createDataFrame(rows, "y int, a double, b double")
+    cells = df.groupBy("y", "a", "b").agg(F.count("*").alias("n"))
+    want = st.model_histograms(st.poisson_cells(cells, ["y", "a", "b"], 12, "s"), "y", {"A": "a", "B": "b"}).where("pos + neg > 0")
+    want = {tuple(r) for r in want.collect()}
+    for lot in (2**18, 40):
+        monkeypatch.setattr(st, "LOT", lot)
+        got = st.bootstrap_joint_curves(df, "y", {"A": "a", "B": "b"}, 12, "s")
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "md5" not in plan
+        assert {tuple(r) for r in got.collect()} == want
+    assert st.bootstrap_joint_curves(df.limit(0), "y", {"A": "a", "B": "b"}, 12, "s").count() == 0
+
+
+@pytest.mark.parametrize("mean", [1, 7, 50, 3000, 10**7])
+def test_poisson_bounds_are_those_of_the_table(spark, mean):
+    first, high = st.poisson_bounds(mean)
+    table = st.poisson_table(spark.createDataFrame([(mean,)], "n bigint")).select("k", "high").distinct().collect()
+    assert all(abs(high[r.k - first] - r.high) < 1e-11 for r in table) and high[-1] == 1.0
+
+
 def test_bootstrap_is_repeatable_under_repartitioning(spark):
     _, df = wide(spark, 500)
     for mode in ("poisson", "multinomial"):
