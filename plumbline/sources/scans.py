@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.scalars import col
+from plumbline.operators.prefix import SPLITS, running_totals, with_even_bucket
+from plumbline.session import cut_lineage
 
 # Asset extensions kept by a directory scan.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "bmp")
@@ -44,6 +46,19 @@ def shards(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return df.select("*", F.when(F.contains(full, F.lit(root + "/")), below).otherwise(name).alias("shard"), name.alias("file_name"), F.col("_metadata.row_index").alias("row_in_shard"))
 
 
+def as_one_shard(df: DataFrame, path: str) -> DataFrame:
+    """The rows of a table with ``shard``, its own name, whatever number of files holds it."""
+    return df.select("*", F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("shard"))
+
+
+def numbered_shard(df: DataFrame, path: str, key: str) -> DataFrame:
+    """``as_one_shard`` with ``row_in_shard``: the row's place, from 0, in the order of the numeric column ``key`` over the whole table, NULL last."""
+    rows = as_one_shard(df, path).withColumns({"_one": F.lit(1).cast("bigint"), "_none": F.col(key).isNull()})
+    placed = with_even_bucket(cut_lineage(rows), key)
+    last = F.when(F.col("_none"), F.lit(SPLITS + 1).cast("bigint")).otherwise(F.col("_bucket"))
+    return running_totals(placed, [], ["_none", key], last, {"_place": "_one"}).select(*df.columns, "shard", (F.col("_place") - 1).alias("row_in_shard"))
+
+
 def asset_files(spark: SparkSession, folder: str, extensions: Sequence[str] = IMAGE_EXTENSIONS, content: bool = False) -> DataFrame:
     """Files below a folder by extension (any case), the class being the parent folder's name. The bytes are
     read only when ``content`` is asked for."""
