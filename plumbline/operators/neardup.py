@@ -26,6 +26,8 @@ from plumbline.functions.fingerprint import hamming
 from plumbline.session import cut_lineage
 
 BITS = 64
+#: Bits of a reference's place in the order of references; the distance, 64 at most, stands above them.
+PLACE_BITS = 56
 
 
 def _parts(positions: list[int], n: int) -> list[list[int]]:
@@ -180,10 +182,13 @@ def nearest_of_all(candidates: DataFrame, references: DataFrame) -> DataFrame:
     differs in at most s. So round s looks up, for every part, all values that differ from the candidate's in exactly s bits; after it every
     reference nearer than m (s + 1) has been met, and candidates whose best lies below that leave the search, ties being complete. Near ones leave
     in the first round, of m look-ups, and only those without any near reference go on. Each round is an equi-join on (part, value) whose finds are
-    reduced to one row a candidate before the shuffle. In all rounds together a candidate looks up every value of every part at most once, about
+    reduced to one row a candidate before the shuffle: a find is one number, its distance above the place of its reference, whose minimum is kept by
+    hashing, without a sort of all finds. In all rounds together a candidate looks up every value of every part at most once, about
     m times the references.
     """
-    refs = cut_lineage(references.groupBy("fp").agg(F.min(F.struct("ref_order", "ref_id")).alias("ref")))
+    first = references.groupBy("fp").agg(F.min(F.struct("ref_order", "ref_id")).alias("ref"))
+    # Numbers that rise with the order of the references, though not by one.
+    refs = cut_lineage(first.orderBy("ref").select("fp", "ref", F.monotonically_increasing_id().alias("place")))
     n = refs.count()
     cands = cut_lineage(candidates.select("fp").distinct())
     parts = _parts(list(range(BITS)), ceil(BITS / max(8, min(24, ceil(log2(max(n, 2)))))))
@@ -193,20 +198,22 @@ def nearest_of_all(candidates: DataFrame, references: DataFrame) -> DataFrame:
         values = [F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("fp", p[0]).bitwiseAND(F.lit((1 << len(p)) - 1)).alias("value"), F.lit(len(p)).alias("width")) for i, p in enumerate(parts)]
         return df.select("*", F.explode(F.array(*values)).alias("_p")).select(*df.columns, "_p.*")
 
-    index = cut_lineage(split(refs).select("part", "value", F.col("fp").alias("ref_fp"), "ref"))
-    best = cands.select("fp", F.lit(None).cast("int").alias("distance"), F.lit(None).cast(refs.schema["ref"].dataType).alias("ref"))
+    index = cut_lineage(split(refs).select("part", "value", F.col("fp").alias("ref_fp"), "place"))
+    best = cands.select("fp", F.lit(None).cast("bigint").alias("find"))
+    distance = F.shiftright("find", PLACE_BITS).cast("int")
     done = None
     for s in range(max(len(p) for p in parts) + 1):
         probes = split(best.select("fp")).withColumn("_last", F.lit(-1))
         for _ in range(s):  # one more bit turned over, above those before it
             probes = probes.where(F.col("_last") + 1 < F.col("width")).withColumn("_last", F.explode(F.sequence(F.col("_last") + 1, F.col("width") - 1)))
             probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, _last)")))
-        met = probes.join(index, ["part", "value"]).select("fp", hamming("fp", "ref_fp").cast("int").alias("distance"), "ref")
-        found = best.where("distance is not null").unionByName(met).groupBy("fp").agg(F.min(F.struct("distance", "ref")).alias("_b"))
-        best = cut_lineage(best.select("fp").join(found, "fp", "left").select("fp", "_b.distance", "_b.ref"))
-        settled = best.where(F.col("distance") < m * (s + 1))
+        met = probes.join(index, ["part", "value"]).select("fp", F.shiftleft(hamming("fp", "ref_fp").cast("bigint"), PLACE_BITS).bitwiseOR(F.col("place")).alias("find"))
+        found = best.where("find is not null").unionByName(met).groupBy("fp").agg(F.min("find").alias("find"))
+        best = cut_lineage(best.select("fp").join(found, "fp", "left"))
+        settled = best.where(distance < m * (s + 1))
         done = settled if done is None else done.unionByName(settled)
-        best = best.where(F.col("distance").isNull() | (F.col("distance") >= m * (s + 1)))
+        best = best.where(F.col("find").isNull() | (distance >= m * (s + 1)))
         if best.isEmpty():
             break
-    return done.unionByName(best.where("distance is not null")).select("fp", "distance", F.col("ref.ref_id").alias("ref_id"))
+    found = done.unionByName(best.where("find is not null")).select("fp", distance.alias("distance"), F.col("find").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"))
+    return found.join(refs.select("place", F.col("ref.ref_id").alias("ref_id")), "place").select("fp", "distance", "ref_id")

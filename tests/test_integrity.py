@@ -11,6 +11,7 @@ from plumbline.functions import text as tx
 from plumbline.functions.fingerprint import neighbour_fingerprint, payload_kind
 from plumbline.operators import containment, decontaminate as dc, expectations as ex, neardup, sampling as sp
 from plumbline.plans import integrity, views as V
+from plumbline.session import cut_lineage
 
 
 def signed(x):
@@ -132,6 +133,18 @@ def test_nearest_reference_at_any_distance(spark):
     assert neardup.nearest_of_all(spark.createDataFrame([(0,)], "fp bigint"), df.limit(0)).count() == 0
 
 
+def test_nearest_of_all_keeps_finds_without_sorting_them(spark, monkeypatch):
+    """All finds of a candidate are reduced to one number by hashing: memory follows the candidates, not the finds."""
+    staged = []
+    monkeypatch.setattr(neardup, "cut_lineage", lambda df: staged.append(df) or cut_lineage(df))
+    refs = spark.range(64).select((F.col("id") * 3).alias("fp"), (-F.col("id")).alias("ref_order"), F.col("id").cast("string").alias("ref_id"))
+    got = neardup.nearest_of_all(spark.range(5).select((F.col("id") * 3 + 1).alias("fp")), refs)
+    fps = {3 * i: (-i, str(i)) for i in range(64)}
+    assert {r.fp: (r.distance, r.ref_id) for r in got.collect()} == {c: min((popcount(c, f), *o) for f, o in fps.items())[::2] for c in range(1, 16, 3)}
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in staged[3:]]
+    assert plans and all("HashAggregate" in x and "SortAggregate" not in x and "ObjectHash" not in x for x in plans)
+
+
 def test_nearest_reference_ties_go_to_the_first(spark):
     ref = spark.createDataFrame([(0b0001, 2, "b"), (0b0010, 1, "a"), (1 << 40, 3, "c")], "fp bigint, ref_order int, ref_id string")
     got = neardup.nearest_reference(spark.createDataFrame([(0,), (-1,)], "fp bigint"), ref, 2).collect()
