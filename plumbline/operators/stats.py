@@ -332,8 +332,8 @@ def signed_rank_counted(counted: DataFrame, keys: Sequence[str], delta: str, cou
     run = value_totals(sizes, keys, "_size", {"_upto": "_t"})
     t = F.col("_t").cast("double")
     mid = F.col("_upto").cast("double") - (t - 1.0) / 2.0
-    # Twice the mid-rank is a whole number. Cells are kept for groups alone that are small enough for an exact p.
-    cell = F.when(F.col("_upto_all") <= MOST_EXACT_PAIRS, F.struct((F.col("_upto") * 2 - F.col("_t") + 1).alias("rank2"), F.col("_t").alias("times")))
+    # Twice the mid-rank is a whole number, and with the number of ties below it one number of both. Cells are kept for groups alone that are small enough for an exact p.
+    cell = F.when(F.col("_upto_all") <= MOST_EXACT_PAIRS, ((F.col("_upto") * 2 - F.col("_t") + 1) * CELL_BASE + F.col("_t")).cast("int"))
     s = run.groupBy(*keys).agg(
         F.max("_upto_all").alias("n"), F.sum(mid * F.col("_up")).alias("w_plus"),
         F.sum(mid * (F.col("_t") - F.col("_up"))).alias("w_minus"), F.sum(t * t * t - t).alias("_ties"), F.max("_t").alias("_most"),
@@ -346,8 +346,9 @@ def signed_rank_counted(counted: DataFrame, keys: Sequence[str], delta: str, cou
     return out if cells else out.drop("_k4", "_k6", "_sd", "rank_cells")
 
 
-#: Largest number of pairs of a group for which exact p-values are made: the table of sums grows with its square.
+#: Largest number of pairs of a group for which exact p-values are made: the table of sums grows with its square; what doubled ranks of cells are multiplied by.
 MOST_EXACT_PAIRS = 1000
+CELL_BASE = 2048
 
 
 def with_p_method(tests: DataFrame, method: str) -> DataFrame:
@@ -365,18 +366,15 @@ def with_p_method(tests: DataFrame, method: str) -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def exact(cells: pd.Series, w: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def p_value(group, stat) -> float:
-            size = sum(int(c["rank2"]) * int(c["times"]) for c in group)
-            chance = np.zeros(size + 1)
+        # A group's cells come as one array of whole numbers, not as an object a cell.
+        def p_value(group: np.ndarray, stat: float) -> float:
+            ranks, times = np.divmod(group.astype("int64"), CELL_BASE)
+            chance = np.zeros(int(ranks @ times) + 1)
             chance[0], top = 1.0, 0
-            for c in group:
-                r = int(c["rank2"])
-                for _ in range(int(c["times"])):
-                    chance[: top + r + 1] *= 0.5
-                    chance[r : top + r + 1] += chance[: top + 1].copy()
-                    top += r
+            for r in np.repeat(ranks, times).tolist():
+                chance[: top + r + 1] *= 0.5
+                chance[r : top + r + 1] += chance[: top + 1].copy()
+                top += r
             return min(1.0, 2.0 * float(chance[: int(round(2 * stat)) + 1].sum()))
         return pd.Series([p_value(g, x) if len(g) else 0.0 for g, x in zip(cells, w, strict=True)], dtype="float64")
 

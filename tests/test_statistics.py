@@ -63,6 +63,16 @@ def test_signed_rank_exact(spark):
     assert {r.p_method for r in normal.collect()} == {"normal"} and "rank_cells" not in normal.columns
 
 
+def test_rank_cells_are_plain_numbers(spark):
+    """The exact test's Python gets arrays of numbers, no object for each cell; ranks and ties of the largest group fit."""
+    rows = [(0, float(i // 2)) for i in range(2, 1002)] + [(1, 1.0)] * 1000
+    t = st.signed_rank(spark.createDataFrame(rows, "k int, d double"), ["k"], "d", cells=True)
+    assert t.schema["rank_cells"].dataType.simpleString() == "array<int>"
+    cells = {r.k: [divmod(c, st.CELL_BASE) for c in r.rank_cells] for r in t.collect()}
+    assert cells == {0: [(4 * i + 3, 2) for i in range(500)], 1: [(1001, 1000)]}
+    assert {r.k: r.p_value for r in st.with_p_method(t, "exact").collect()} == pytest.approx({0: 2.0 ** -999, 1: 2.0 ** -999}, rel=1e-9, abs=0)
+
+
 def test_signed_rank_of_any_size_has_a_p_value(spark):
     rng = np.random.default_rng(3)
     rows = [(k, float(x)) for k, n, shift, digits in (("a", 300, .1, 6), ("b", 900, .08, 1), ("c", 1100, .05, 3)) for x in np.round(rng.normal(shift, 1, n), digits)]
