@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import ratio, rounded, snapped
+from plumbline.functions.scalars import ratio, rounded
 from plumbline.operators import agreement as ag, fusion as fu, metrics as mt, robustness as rb
 from plumbline.operators.decontaminate import compare_reported, values_long
 from plumbline.operators.expectations import status_summary
 from plumbline.operators.curves import auroc_rank_sum, curve_metrics, curve_points, score_histogram
-from plumbline.operators.prefix import describe
+from plumbline.operators.prefix import describe_counted
 from plumbline.plans import views as V
 from plumbline.plans.metrics import reported
 from plumbline.plans.registry import query
@@ -327,8 +327,7 @@ def condition_shift_study(spark, d):
 @query("H35", W("cond", s="select condition, gt, score-clean_score as dl from cond") + f"""select condition, gt, count(*) as n, {rnd('avg(dl)')} as mean_delta, {rnd('median(dl)')} as median_delta, {rnd('stddev_pop(dl)', 7)} as std_delta from s group by 1,2""")
 def condition_shift_by_class(spark, d):
     """Score shift against clean per condition and class: mean, median, spread."""
-    c = V.cond(spark, d).withColumn("delta", snapped(F.col("score") - F.col("clean_score"), 9))
-    out = describe(c, ["condition", "gt"], "delta", {"median_delta": 0.5})
+    out = describe_counted(V.cond_shifts(spark, d), ["condition", "gt"], "delta", "n", {"median_delta": 0.5})
     return out.select("condition", "gt", "n", rounded("mean").alias("mean_delta"), rounded("median_delta").alias("median_delta"), rounded("std", 7).alias("std_delta"))
 
 
