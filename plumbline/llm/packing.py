@@ -74,12 +74,12 @@ def text_cluster(text: Column) -> Column:
     return F.xxhash64(lower_ascii(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))))
 
 
-def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, cluster: Column | None = None, clusters: DataFrame | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, cluster: Column | None = None, size: Column | None = None) -> DataFrame:
     """One row per piece of a document: doc_id, source, piece (from 0), first_word, n_words, bin_id.
 
-    Sizes are words. A document longer than ``capacity`` is cut into pieces of ``capacity`` words and a rest; nothing is dropped.
+    Sizes are the text's words, counted here unless ``size`` has their number; ``text`` is read only for what is not given. A document longer than ``capacity`` is cut into pieces of ``capacity`` words and a rest; nothing is dropped.
     No bin exceeds the capacity, holds two pieces of one ``cluster`` (default: equal texts; a document's own
-    pieces are of one cluster; ``clusters``, as ``minhash.clusters`` makes them, names those of documents that have one, near copies for instance), or more than ``per_source`` pieces of one source.
+    pieces are of one cluster; rows of ``minhash.clusters`` have sizes and the clusters of near copies), or more than ``per_source`` pieces of one source.
 
     Null texts and texts without words are one piece of no words, placed by the same rules; null is a source of its own; rows that repeat an id are separate
     documents; an empty table gives no rows; other columns are ignored.
@@ -90,12 +90,10 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, cluster: Co
     if capacity < 1 or per_source < 1:
         raise ValueError("capacity and per_source are at least 1")
     small_batches(docs.sparkSession, 10_000)
-    own = (cluster if cluster is not None else text_cluster(F.col("text"))).cast("bigint")
-    measured = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), own.alias("cluster"), F.xxhash64("text").alias("t"))
-    if clusters is not None:
-        named = clusters.select(F.col("id").cast("bigint").alias("id"), F.col("t").alias("nt"), F.col("cluster").alias("near"))
-        measured = measured.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("nt")), "left").withColumn("cluster", F.coalesce("near", "cluster"))
-    measured = stage(measured.select("doc_id", "source", "size", "cluster"), "sizes")
+    words = size if size is not None else n_words(F.col("text"))
+    own = cluster if cluster is not None else text_cluster(F.col("text"))
+    measured = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words.cast("bigint").alias("size"), own.cast("bigint").alias("cluster"))
+    measured = stage(measured, "sizes")
     last = F.greatest(F.lit(0), F.ceil(F.col("size") / capacity) - 1).cast("int")
     pieces = measured.select("doc_id", "source", "cluster", "size", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     pieces = pieces.select("doc_id", "source", "cluster", "piece", (F.col("piece").cast("bigint") * capacity).alias("first_word"), F.least(F.lit(capacity), F.col("size") - F.col("piece").cast("bigint") * capacity).alias("n_words"))

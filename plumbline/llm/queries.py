@@ -140,8 +140,9 @@ def op8_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in bins of 2,048 words without conflicts: near copies are of one cluster, so no bin holds two of them."""
-    docs = table(spark, folder, "documents")
-    return packing.pack(docs, capacity=2048, per_source=4, clusters=minhash.clusters(docs, width=5, percent=80))
+    docs = minhash.clusters(table(spark, folder, "documents"), width=5, percent=80, carry=["source"])
+    cluster = F.coalesce("cluster", packing.text_cluster(F.lit("")))
+    return packing.pack(docs, capacity=2048, per_source=4, cluster=cluster, size=F.col("words"))
 
 
 @query()

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,54 @@ def test_one_very_large_bucket(spark):
     assert {got[i] for i in range(400)} == {0} and all(got[1000 + i] == 1000 + i for i in range(40))
     plan = minhash._grouped(frame(spark, rows), 2, 80)[1]._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_sets_of_texts_side_by_side(width, monkeypatch):
+    """Texts that lie end to end have the sets and word counts that each has alone, wherever blocks and chunks end."""
+    monkeypatch.setattr(minhash, "_BYTES", 300)
+    monkeypatch.setattr(sh, "_CHUNK", 50)
+    r = random.Random(5)
+    texts = ["".join(r.choice("aAbé \n\t") for _ in range(r.randrange(120))) for _ in range(200)] + [None, "", " \n", "w" * 400 + " X", "one", "ONE", "a\x00b \x1c c\xa0d"]
+    r.shuffle(texts)
+    rows = [x for raw, bounds in minhash._blocks(pa.array(texts, pa.string())) for x in minhash._summaries(raw, bounds, width).to_pylist()]
+    words = [WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    sets = [{tuple(w[i:i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()) for w in words]
+    assert [(x["words"], x["n"]) for x in rows] == [(len(w), len(s)) for w, s in zip(words, sets, strict=True)]
+    nodes = defaultdict(set)
+    for x, s in zip(rows, sets, strict=True):
+        nodes[x["node"]].add(frozenset(s))
+    assert all(len(v) == 1 for v in nodes.values()) and len(nodes) == len({frozenset(s) for s in sets})
+    for x, t in zip(rows, texts, strict=True):
+        alone = sh.shingle_set(t, width)
+        if alone.size < 4:
+            assert x["left"] is None and x["right"] is None and x["histogram"] is None
+        else:
+            left, right = minhash._band_keys(alone)
+            assert (x["left"], x["right"], x["histogram"]) == (left.tolist(), right.tolist(), sh.histogram(alone))
+
+
+def test_packing_near_copies_reads_texts_once(spark, sf, monkeypatch):
+    """op9 takes sizes and clusters from the near-duplicate step; packing itself reads no text."""
+    from plumbline.llm.queries import op9_best_fit_packing
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    monkeypatch.setattr(packing, "n_words", None)
+    words = Counter()
+    for r in op9_best_fit_packing(spark, sf).collect():
+        words[r.doc_id] += r.n_words
+    assert words == {k: len(WORD.findall(t or "")) for k, t in texts.items()}
+
+
+def test_clusters_of_every_row(spark):
+    rows = near_rows(4)
+    got = minhash.clusters(frame(spark, rows), 5, 80, carry=["source", "a b"]).collect()
+    assert Counter((r.doc_id, r.words, r["source"], r["a b"]) for r in got) == Counter((i, len(WORD.findall(t or "")), s, "x") for i, t, s in rows)
+    group = defaultdict(set)
+    for i, _, low, _ in brute_components(rows, 5, 80):
+        group[i].add(low)
+    found = defaultdict(set)
+    for r in got:
+        if r.doc_id is not None and r.cluster is not None:
+            found[r.cluster] |= group[r.doc_id]
+    assert all(len(v) == 1 for v in found.values())
+    assert {r.doc_id for r in got if r.cluster is None} == {i for i, t, _ in rows if not WORD.search(t or "")}
