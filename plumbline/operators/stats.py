@@ -8,19 +8,22 @@ replacement exactly. All models share the cells, hence one resample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
 from hashlib import md5
+from itertools import groupby
 from math import factorial, log, pi
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.digest import md5_heads, message_words, text_bytes
 from plumbline.functions.scalars import chi2_1df_p, ratio, snapped, two_sided_p
 from plumbline.operators.metrics import cell_counts, with_rates
 from plumbline.operators.prefix import running_totals, value_totals
@@ -187,7 +190,11 @@ def multinomial_replicates(cells: DataFrame, keys: Sequence[str], replicates: in
 
 
 #: Cells that a task holds and counts at a time, and blocks of replicates at most.
-LOT, MOST_BLOCKS = 2**18, 40
+LOT, MOST_BLOCKS = 2**19, 40
+#: Replicates and draws that are hashed together, which stay near a core's cache; counted rows that leave together.
+AT_ONCE, DRAWS, ROWS_OUT = 8, 2**16, 2**16
+#: Leading bits of a draw that look up its count.
+HEAD_BITS = 12
 
 
 @lru_cache(maxsize=4096)
@@ -205,54 +212,116 @@ def poisson_bounds(mean: int) -> tuple[int, np.ndarray]:
     return first, high
 
 
+@lru_cache(maxsize=256)
+def poisson_heads(mean: int) -> np.ndarray:
+    """The count for each value of a draw's first HEAD_BITS bits; -1 where they leave it open."""
+    first, high = poisson_bounds(mean)
+    low = np.arange(2**HEAD_BITS) / 2.0**HEAD_BITS
+    least, most = (np.searchsorted(high, u, side="right") for u in (low, low + (2.0**-HEAD_BITS - 2.0**-52)))
+    return np.where(least == most, first + least, -1).astype("float64")
+
+
+def poisson_counts(heads: np.ndarray, mean: int, draw: Callable[[int], float]) -> np.ndarray:
+    """Counts of the Poisson distribution from the first 32 bits of each draw; ``draw`` gives one in full, for the few that these leave open."""
+    flat = heads.reshape(-1)
+    first, high = poisson_bounds(mean)
+    k = poisson_heads(mean)[flat >> np.array(32 - HEAD_BITS, "u4")] if flat.size >= 2**HEAD_BITS else np.full(flat.size, -1.0)
+    rest = np.flatnonzero(k < 0)
+    low = flat[rest] / 2.0**32
+    least, most = (np.searchsorted(high, u, side="right") for u in (low, low + (2.0**-32 - 2.0**-52)))
+    k[rest] = first + least
+    for i in rest[least != most].tolist():
+        k[i] = first + np.searchsorted(high, draw(i), side="right")
+    return k.reshape(heads.shape)
+
+
 def _tile_histograms(models: Sequence[str], seed: str, replicates: int, blocks: int):
-    """Arrow batches of (block, name, n, y, a score of each model) to (replicate, model, score, pos, neg); at most LOT cells and a batch are held."""
+    """Rows (block, cells), whose cells are an Arrow batch of (name, n, y, a score of each model), to (replicate, model, score, pos, neg); at most LOT cells and a batch are held."""
+    def batch_of(rows: list[tuple[int, str, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(total) for _, _, _, total in rows]
+        total = np.concatenate([total for _, _, _, total in rows])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([r for r, _, _, _ in rows], "int32"), sizes)), pa.array(np.repeat(np.array([m for _, m, _, _ in rows], object), sizes), pa.string()),
+                                           pa.concat_arrays([scores for _, _, scores, _ in rows]), pa.array(total[:, 1]), pa.array(total[:, 0])], names=["replicate", "model", "score", "pos", "neg"])
+
     def count(block: int, cells: pa.Table) -> Iterator[pa.RecordBatch]:
-        names = [x.encode() for x in cells["name"].to_pylist()]
-        means, of = np.unique(cells["n"].to_numpy(), return_inverse=True)
-        alike = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1])
-        y = cells["y"].to_numpy()
+        texts, sizes = text_bytes(cells["name"].combine_chunks())
+        # Cells of one count lie together, and of these the names of one length.
+        order = np.lexsort((sizes, cells["n"].to_numpy()))
+        texts, sizes, n, y = texts[order], sizes[order], *(cells[c].to_numpy()[order] for c in ("n", "y"))
         coded = [cells[f"s{i}"].combine_chunks().dictionary_encode(null_encoding="encode") for i in range(len(models))]
-        both = [(c.indices.to_numpy() * 2 + y, c.dictionary) for c in coded]
-        for replicate in range(replicates * block // blocks, replicates * (block + 1) // blocks):
-            start = f"{seed}:{replicate}:".encode()
-            # The first 52 bits of each digest, as ``uniform`` takes them.
-            digests = np.frombuffer(b"".join([md5(start + x).digest() for x in names]), dtype=">u8")[::2]
-            u = (digests >> np.uint64(12)).astype("float64") / float(2**52)
-            k = np.empty(len(u))
-            for mean, rows in zip(means.tolist(), alike, strict=True):
-                first, high = poisson_bounds(mean)
-                k[rows] = first + np.searchsorted(high, u[rows], side="right")
-            for model, (code, scores) in zip(models, both, strict=True):
-                total = np.bincount(code, weights=k, minlength=2 * len(scores)).astype("int64").reshape(-1, 2)
-                seen = total.any(axis=1)
-                m = int(seen.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([replicate] * m, pa.int32()), pa.array([model] * m, pa.string()), scores.filter(pa.array(seen)), pa.array(total[seen, 1]), pa.array(total[seen, 0])],
-                                                 names=["replicate", "model", "score", "pos", "neg"])
+        both = [(c.indices.to_numpy()[order] * np.int64(2) + y, c.dictionary) for c in coded]
+        ends = [*(np.flatnonzero(np.diff(n)) + 1).tolist(), len(n)]
+        ours = range(replicates * block // blocks, replicates * (block + 1) // blocks)
+        rows: list[tuple[int, str, pa.Array, np.ndarray]] = []
+        out, held = 0, np.empty((min(AT_ONCE, len(ours)), len(n)))
+        for _, alike in groupby(ours, key=lambda r: len(str(r))):
+            members = list(alike)
+            leads = [f"{seed}:{r}:".encode() for r in members]
+            words, lengths = message_words(texts, sizes, len(leads[0]))
+            parts = -(-len(members) // AT_ONCE)
+            for part in range(parts):
+                some = slice(len(members) * part // parts, len(members) * (part + 1) // parts)
+                starts = leads[some]
+                k = held[:len(starts)]
+                step, mean_at = max(1, DRAWS // len(starts)), 0
+                for at in range(0, len(n), step):
+                    to = min(len(n), at + step)
+                    heads = md5_heads(starts, {w: x[at:to] for w, x in words.items()}, lengths[at:to])
+                    low = at
+                    while low < to:
+                        high = min(to, ends[mean_at])
+                        # The first 52 bits of a digest are the draw, as ``uniform`` takes them.
+                        full = lambda i, low=low, wide=high - low: (int.from_bytes(md5(starts[i // wide] + texts[low + i % wide, :sizes[low + i % wide]].tobytes()).digest()[:7]) >> 4) / 2.0**52
+                        k[:, low:high] = poisson_counts(heads[:, low - at:high - at], int(n[low]), full)
+                        mean_at += high == ends[mean_at]
+                        low = high
+                for replicate, drawn in zip(members[some], k, strict=True):
+                    for model, (code, scores) in zip(models, both, strict=True):
+                        total = np.bincount(code, weights=drawn, minlength=2 * len(scores)).astype("int64").reshape(-1, 2)
+                        seen = total.any(axis=1)
+                        rows.append((replicate, model, scores.filter(pa.array(seen)), total[seen]))
+                        out += len(rows[-1][3])
+                        if out >= ROWS_OUT:
+                            yield batch_of(rows)
+                            rows, out = [], 0
+        if rows:
+            yield batch_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.RecordBatch]] = {}
         rows = 0
         for batch in batches:
-            for block in pc.unique(batch["block"]).to_pylist():
-                held.setdefault(block, []).append(batch.filter(pc.equal(batch["block"], block)))
-            rows += batch.num_rows
-            if rows >= LOT:
-                for block, parts in held.items():
-                    yield from count(block, pa.Table.from_batches(parts))
-                held, rows = {}, 0
+            for block, part in zip(batch["block"].to_pylist(), batch["cells"], strict=True):
+                with pa.ipc.open_stream(part.as_buffer()) as stream:
+                    held.setdefault(block, []).extend(stream)
+                rows += held[block][-1].num_rows
+                if rows >= LOT:
+                    for block, parts in held.items():
+                        yield from count(block, pa.Table.from_batches(parts))
+                    held, rows = {}, 0
         for block, parts in held.items():
             yield from count(block, pa.Table.from_batches(parts))
     return run
 
 
+def _packed(lots: int):
+    """Arrow batches of cells to (lot, cells), a batch a row: the batches of each task go to one lot after the other."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(batches, TaskContext.get().partitionId()):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([i % lots], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["lot", "cells"])
+    return pack
+
+
 def bootstrap_joint_curves(wide: DataFrame, y: str, scores: Mapping[str, str], replicates: int, seed: str) -> DataFrame:
     """(replicate, model, score, pos, neg) for curves of several models on one resample: the cells of all their scores together
     are drawn once, then counted for each model's own scores. ``scores`` maps model to column; cells are the distinct tuples of scores, so for very many
     rows two models at a time have far fewer.
 
     The draws are those of ``poisson_cells``, but no row is made of a draw: lots of cells meet blocks of replicates, and a task draws the counts
-    of its cells and adds them up by score at once. Shuffled are the cells, once for each block, and the counted scores of each task.
+    of its cells, hashed together in arrays, and adds them up by score at once. Shuffled are the cells, packed, once for each block, and the counted scores of each task.
     """
     columns = [y, *scores.values()]
     name = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in columns])
@@ -261,11 +330,13 @@ def bootstrap_joint_curves(wide: DataFrame, y: str, scores: Mapping[str, str], r
     lots = max(1, -(-cells.count() // LOT))
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, min(MOST_BLOCKS, replicates, -(-tasks // lots)))
-    tiles = cells.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "*")
-    dealt = tiles.repartitionById(blocks * lots, F.col("block") * lots + F.pmod(F.xxhash64("name"), F.lit(lots)).cast("int"))
+    packed = cells.mapInArrow(_packed(lots), "lot int, cells binary")
+    tiles = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "*")
+    dealt = tiles.repartitionById(blocks * lots, F.col("block") * lots + F.col("lot")).select("block", "cells")
     kind = cells.schema["s0"].dataType.simpleString()
     drawn = dealt.mapInArrow(_tile_histograms(list(scores), seed, replicates, blocks), f"replicate int, model string, score {kind}, pos bigint, neg bigint")
-    return drawn.groupBy("replicate", "model", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # A task has counted each score once, so its rows are dealt out as they are.
+    return drawn.repartition("replicate", "model", "score").groupBy("replicate", "model", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def model_histograms(cells: DataFrame, y: str, scores: Mapping[str, str]) -> DataFrame:

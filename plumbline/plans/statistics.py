@@ -17,6 +17,7 @@ from plumbline.plans.metrics import reported
 from plumbline.plans.registry import query
 from plumbline.plans.studies import WIDE_SQL, fused_rows, fused_union, wide
 from plumbline.plans.views import MODELS, rnd, signed_rank_sql, sql_rates, two_sided_sql, with_views
+from plumbline.session import cut_lineage
 
 W = with_views
 REPLICATES = 1000
@@ -56,8 +57,8 @@ _WEIGHTS = {
 }
 
 
-def _replicates(spark, d, names=BOOT_METRICS, mode="poisson"):
-    cells = st.bootstrap_cells(wide(spark, d), "y", list(PRED.values()), REPLICATES, "boot", mode)
+def _replicates(spark, d, names=BOOT_METRICS, mode="poisson", rows=None):
+    cells = st.bootstrap_cells(wide(spark, d) if rows is None else rows, "y", list(PRED.values()), REPLICATES, "boot", mode)
     return values_long(st.replicate_metrics(cells, "y", PRED, names), ["replicate", "model"], list(names))
 
 
@@ -151,8 +152,10 @@ def paired_bootstrap(spark, d):
     prediction patterns, AUROC and average precision on the cells of all models' scores together."""
     from plumbline.operators.curves import curve_metrics, curve_points
     keys = ["replicate", "model"]
-    counts = _replicates(spark, d).withColumn("value", F.round("value", 15))
-    w, scores = wide(spark, d), {m: f"score_{m}" for m in MODELS}
+    scores = {m: f"score_{m}" for m in MODELS}
+    # Samples are put together from their models once, for the patterns, the joint cells and the whole histograms.
+    w = cut_lineage(wide(spark, d).select("y", *PRED.values(), *scores.values()))
+    counts = _replicates(spark, d, rows=w).withColumn("value", F.round("value", 15))
     whole = st.model_histograms(w.select("y", *scores.values(), F.lit(-1).alias("replicate"), F.lit(1).cast("bigint").alias("n")), "y", scores)
     hist = st.bootstrap_joint_curves(w, "y", scores, REPLICATES, "boot").unionByName(whole)
     curves = values_long(curve_metrics(curve_points(hist, keys, splits=16), keys), keys, list(_CURVES)).withColumn("value", F.round("value", 12))

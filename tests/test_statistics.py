@@ -1,12 +1,15 @@
 """Resampling, paired tests and fits against plain computations."""
 
 import math
+from hashlib import md5
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.digest import md5_heads, message_words, text_bytes
 from plumbline.functions.scalars import chi2_1df_p, normal_tail, sigmoid, softplus
 from plumbline.operators import calibration as cal, fusion as fu, stats as st
 from plumbline.sources.scoring import linear_scorer, score_batches
@@ -218,6 +221,63 @@ def test_joint_curves_are_those_of_the_drawn_cells(spark, monkeypatch):
     assert st.bootstrap_joint_curves(df.limit(0), "y", {"A": "a", "B": "b"}, 12, "s").count() == 0
 
 
+def test_digests_of_many_texts():
+    """Texts and leads of every length around the ends of words and blocks, against hashlib."""
+    rng = np.random.default_rng(5)
+    texts = ["", *("".join(map(chr, rng.integers(32, 127, int(n)))) for n in rng.integers(0, 150, 300)), "0.\u00e9\u4e2d"]
+    laid, sizes = text_bytes(pa.array(["left out", *texts])[1:])
+    for lead in (0, 1, 4, 9, 55, 56, 63, 64, 130):
+        leads = [rng.integers(0, 256, lead).astype("u1").tobytes() for _ in range(3)]
+        got = md5_heads(leads, *message_words(laid, sizes, lead))
+        assert got.tolist() == [[int.from_bytes(md5(a + t.encode()).digest()[:4]) for t in texts] for a in leads]
+
+
+@pytest.mark.parametrize("mean", [1, 3, 400, 10**6])
+def test_counts_from_the_head_of_a_draw(mean):
+    """The first 32 bits decide the count, but where a bound lies among the draws that begin with them: these are asked for."""
+    first, high = st.poisson_bounds(mean)
+    rng = np.random.default_rng(mean)
+    edges = (np.unique(high[high < 1]) * 2.0**52).astype("int64")
+    u = np.concatenate([rng.integers(0, 2**52, 6000), *(np.clip(edges + d, 0, 2**52 - 1) for d in (-2**21, -1, 0, 1, 2**21))])
+    want = first + np.searchsorted(high, u / 2.0**52, side="right")
+    for some in (slice(None), slice(5900, None)):
+        asked = []
+        got = st.poisson_counts((u[some] >> 20).astype("u4"), mean, lambda i: asked.append(i) or u[some][i] / 2.0**52)
+        assert (got == want[some]).all() and 0 < len(asked) <= 5 * len(edges) + 10
+
+
+def test_draws_of_joint_cells_are_hashed_together(monkeypatch):
+    """A tile of 4,000 cells and 60 replicates: histograms as of single digests, of which next to none is made."""
+    rng = np.random.default_rng(2)
+    a, y, n = rng.integers(0, 50, 4000) / 50, rng.integers(0, 2, 4000), np.where(rng.random(4000) < .1, rng.integers(2, 40, 4000), 1)
+    names = [f"{c}:{x}:{i}" for i, (c, x) in enumerate(zip(y, a))]
+    cells = pa.RecordBatch.from_arrays([pa.array(names), pa.array(n), pa.array(y.astype("int32")), pa.array(a)], names=["name", "n", "y", "s0"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, cells.schema) as stream:
+        stream.write_batch(cells)
+    tile = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([sink.getvalue().to_pybytes()])], names=["block", "cells"])
+    asked = []
+    monkeypatch.setattr(st, "md5", lambda x: asked.append(x) or md5(x))
+    got = {(r["replicate"], r["score"]): (r["neg"], r["pos"]) for batch in st._tile_histograms(["A"], "s", 120, 2)(iter([tile])) for r in batch.to_pylist()}
+    assert len(asked) < 5
+    want = {}
+    for replicate in range(60, 120):
+        for name, c, x, mean in zip(names, y, a, n.tolist()):
+            first, high = st.poisson_bounds(mean)
+            k = first + int(np.searchsorted(high, (int(md5(f"s:{replicate}:{name}".encode()).hexdigest()[:13], 16)) / 2.0**52, side="right"))
+            want.setdefault((replicate, x), [0, 0])[c] += k
+    assert got == {k: tuple(v) for k, v in want.items() if any(v)}
+
+
+def test_paired_bootstrap_puts_samples_together_once(spark, sf, monkeypatch):
+    """Patterns, joint cells and whole histograms come from one staged table of samples."""
+    from plumbline.plans import statistics as ps
+    made = []
+    monkeypatch.setattr(ps, "REPLICATES", 3)
+    monkeypatch.setattr(ps, "wide", lambda *x, real=ps.wide: made.append(x) or real(*x))
+    assert ps.paired_bootstrap(spark, sf).count() == 48 and len(made) == 1
+
+
 @pytest.mark.parametrize("mean", [1, 7, 50, 3000, 10**7])
 def test_poisson_bounds_are_those_of_the_table(spark, mean):
     first, high = st.poisson_bounds(mean)
