@@ -327,7 +327,8 @@ def bootstrap_joint_curves(wide: DataFrame, y: str, scores: Mapping[str, str], r
     name = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in columns])
     cells = cut_lineage(wide.where(F.col(y).isin(0, 1)).groupBy(*columns).agg(F.count("*").alias("n")).select(
         name.alias("name"), "n", F.col(y).cast("int").alias("y"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(scores.values())]))
-    lots = max(1, -(-cells.count() // LOT))
+    # An eighth of a lot is left free, since batches are dealt out whole.
+    lots = max(1, -(-cells.count() * 8 // (LOT * 7)))
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, min(MOST_BLOCKS, replicates, -(-tasks // lots)))
     packed = cells.mapInArrow(_packed(lots), "lot int, cells binary")
